@@ -1,15 +1,13 @@
 """Packing documents into training sequences by vector bin packing.
 
 Every piece has three demands: tokens, segments (one each) and loss-bearing tokens. Every sequence has
-the three capacities of `Limits`. Pieces are placed largest first; among the open sequences that can
-hold a piece, the dot-product heuristic takes the one whose remaining capacities, scaled by the limits,
-are most aligned with the piece's scaled demands.
+the three capacities of `Limits`. Sequences are filled one at a time by the dot-product heuristic: of the
+waiting pieces that still fit, the one whose scaled demands have the largest dot product with the
+sequence's scaled remaining capacities comes next, until none fits.
 
-A document longer than a sequence is cut into full sequences and a rest; the rest and short documents
-are packed whole. Where a window of documents has been packed, sequences filled to `Limits.settled` are
-closed and the others stay open for the next window, so that memory is bounded by the window and by
-`Limits.open_bins`. A sequence that is still open at the end of a partition is filled up with pieces cut
-from the other open ones, so that a partition ends with at most a few sequences that aren't full.
+A document longer than a sequence is cut into full sequences and a rest; rests and short documents are
+packed whole. Pieces wait in a pool of bounded size, from which sequences are filled whenever it holds
+`Limits.pool` tokens more than the `Limits.choice` tokens kept back to choose from.
 
 No shuffle is needed: a scan partition packs its own documents, and a sequence's id is made of the
 partition's number and a counter within it. The scan's splits and the order within them are fixed, so a
@@ -40,12 +38,9 @@ class Limits:
     tokens: int = 4096
     segments: int = 128
     loss_tokens: int | None = None
-    #: A sequence with at most so many tokens free is closed.
-    settled: int = 4
-    #: Sequences left open from one window of documents to the next.
-    open_bins: int = 64
-    #: Tokens of documents that are packed together.
-    window: int = 1_000_000
+    #: Tokens of waiting pieces at which sequences are filled, and those kept back for a good choice.
+    pool: int = 1_000_000
+    choice: int = 250_000
 
     @property
     def capacity(self) -> np.ndarray:
@@ -68,63 +63,66 @@ SCHEMA = T.StructType(
 
 
 class Packer:
-    """Packs pieces (document, start, loss flags) one window after another."""
+    """Fills sequences from a pool of pieces (item, start, length)."""
 
     def __init__(self, limits: Limits):
         self.limits = limits
         self.cap = limits.capacity
-        self.bins: list[list[tuple[int, int, int]]] = []  # per open sequence: (item, start, length)
-        self.free = np.empty((0, 3))
-
-    def window(self, items: list[tuple[int, np.ndarray | None]], at: int, last: bool) -> Iterator[list[tuple[int, int, int]]]:
-        """items: (tokens, loss-bearing positions or None for all); at: the number of the first.
-
-        Yields closed sequences as lists of (item number, start, length)."""
-        pieces: list[tuple[int, int, int, int]] = []  # length, loss, item, start
-        for k, (n, loss) in enumerate(items, at):
-            start = 0
-            while start < n:
-                length = self._cut(n - start, loss, start)
-                pieces.append((length, length if loss is None else int(np.searchsorted(loss, start + length) - np.searchsorted(loss, start)), k, start))
-                start += length
-        pieces.sort(key=lambda p: (-max(p[0] / self.cap[0], p[1] / self.cap[2] if self.cap[2] else 0), p[2], p[3]))
-        for length, loss, k, start in pieces:
-            self._place(np.array([length, 1.0, loss]), (k, start, length))
-        keep = []
-        for i in range(len(self.bins)):
-            if self.free[i, 0] <= self.limits.settled or self.free[i, 1] < 1 or last:
-                yield self.bins[i]
-            else:
-                keep.append(i)
-        keep.sort(key=lambda i: (-self.free[i, 0], i))
-        for i in keep[self.limits.open_bins :]:
-            yield self.bins[i]
-        keep = keep[: self.limits.open_bins]
-        self.bins, self.free = [self.bins[i] for i in keep], self.free[keep]
+        self.pieces: list[tuple[int, int, int]] = []
+        self.needs: list[tuple[int, int, int]] = []
+        self.waiting = 0
+
+    def add(self, item: int, tokens: int, loss: np.ndarray | None = None) -> None:
+        """loss: positions of the loss-bearing tokens in order; None: all."""
+        start = 0
+        while start < tokens:
+            length = self._cut(tokens - start, loss, start)
+            bearing = length if loss is None else int(np.searchsorted(loss, start + length) - np.searchsorted(loss, start))
+            self.put((item, start, length), (length, 1, bearing))
+            start += length
+
+    def put(self, piece: tuple[int, int, int], need: tuple[int, int, int]) -> None:
+        self.pieces.append(piece)
+        self.needs.append(need)
+        self.waiting += need[0]
+
+    def full(self) -> bool:
+        return self.waiting >= self.limits.pool + self.limits.choice
+
+    def fill(self, last: bool) -> Iterator[list[tuple[int, int, int]]]:
+        """Sequences filled from the pool, until `choice` tokens are left or, at last, nothing."""
+        if not self.pieces:
+            return
+        needs = np.array(self.needs, dtype=np.float64)
+        order = np.lexsort((np.arange(len(needs)), -(needs / np.where(self.cap > 0, self.cap, 1)).max(axis=1)))
+        needs, pieces = needs[order], [self.pieces[i] for i in order]
+        share = needs / np.where(self.cap > 0, self.cap, 1)
+        left = np.arange(len(needs))
+        while len(left) and (last or self.waiting > self.limits.choice):
+            free, bin_ = self.cap.copy(), []
+            fits = left
+            while len(fits):
+                best = fits[int(np.argmax(share[fits] @ (free / np.where(self.cap > 0, self.cap, 1))))]
+                bin_.append(best)
+                free -= needs[best]
+                fits = fits[fits != best]
+                fits = fits[(needs[fits] <= free).all(axis=1)]
+            self.waiting -= int(needs[bin_, 0].sum())
+            left = left[~np.isin(left, bin_)]
+            yield [pieces[i] for i in bin_]
+        self.pieces, self.needs = [pieces[i] for i in left], [tuple(map(int, needs[i])) for i in left]
 
     def _cut(self, rest: int, loss: np.ndarray | None, start: int) -> int:
         """The longest piece from start on that an empty sequence can hold."""
         length = min(rest, int(self.cap[0]), int(self.cap[2]) if loss is None else rest)
         if loss is not None:
-            first = np.searchsorted(loss, start)
+            first = int(np.searchsorted(loss, start))
             if first + int(self.cap[2]) < len(loss):
                 length = min(length, int(loss[first + int(self.cap[2])]) - start)
-        if length < 1:
+        if length < 1 or self.cap[1] < 1:
             raise ValueError("the limits leave no room for a single token")
         return length
 
-    def _place(self, need: np.ndarray, piece: tuple[int, int, int]) -> None:
-        fits = np.flatnonzero((self.free >= need).all(axis=1)) if need[0] < self.cap[0] else ()
-        if len(fits):
-            score = (self.free[fits] / self.cap) @ (need / self.cap)
-            # of equal alignment the fuller sequence, as best fit does; the heuristic's sum favours loose ones otherwise
-            best = fits[np.lexsort((fits, score / np.linalg.norm(self.free[fits] / self.cap, axis=1) * -1, self.free[fits, 0] - need[0]))[0]]
-            self.bins[best].append(piece)
-            self.free[best] -= need
-        else:
-            self.bins.append([piece])
-            self.free = np.vstack([self.free, self.cap - need])
-
 
 class WordTokens:
     """Token ids of whole texts by a `tokenizers` file, with a cache of words.
@@ -239,9 +237,7 @@ def _pack_partition(batches, tokenizer, limits, end_id, with_ids, loss_from) ->
     sequence = (context.partitionId() if context else 0) << 32
     enc, packer, end = encoder(tokenizer), Packer(limits), np.array([end_id], dtype="<u4").tobytes()
     kept: dict[int, tuple[int, bytes]] = {}  # documents with pieces in open sequences
-    first = at = 0
-    waiting: list[tuple[int, np.ndarray | None]] = []
-    size = 0
+    at = 0
 
     def rows(sequences: Iterator[list[tuple[int, int, int]]]) -> Iterator[pa.RecordBatch]:
         nonlocal sequence
@@ -267,15 +263,13 @@ def _pack_partition(batches, tokenizer, limits, end_id, with_ids, loss_from) ->
                 n = len(ids) // 4
                 loss = None if loss_from is None else np.arange(min(loss_from(text), n), n)
                 kept[at] = (doc, ids, loss)
-                waiting.append((n, loss))
+                packer.add(at, n, loss)
                 at += 1
-                size += n
-            if size >= limits.window:
-                yield from rows(packer.window(waiting, first, False))
-                first, waiting, size = at, [], 0
-                needed = {k for b in packer.bins for k, _, _ in b}
+            if packer.full():
+                yield from rows(packer.fill(False))
+                needed = {k for k, _, _ in packer.pieces}
                 kept = {k: v for k, v in kept.items() if k in needed}
-    yield from rows(packer.window(waiting, first, True))
+    yield from rows(packer.fill(True))
 
 
 ARROW = pa.schema([(f.name, pa.binary() if isinstance(f.dataType, T.BinaryType) else pa.int64()) for f in SCHEMA])
@@ -308,13 +302,13 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
             need = np.stack([frame["tokens"].fillna(0), np.ones(len(frame)), frame["loss_tokens"].fillna(0)], axis=1).astype(float)
             bad = (need > packer.cap).any(axis=1)
             yield pd.DataFrame({"id": frame["id"][bad], "sequence_id": pd.array([pd.NA] * int(bad.sum()), dtype="Int64"), "slot": pd.array([pd.NA] * int(bad.sum()), dtype="Int64")})
-            order = np.lexsort((np.arange(len(frame)), -(need / packer.cap).max(axis=1)))
-            for i in order[~bad[order]]:
+            for i in np.flatnonzero(~bad):
                 ids[at] = frame["id"].iloc[i]
-                packer._place(need[i], (at, 0, int(need[i, 0])))
+                packer.put((at, 0, int(need[i, 0])), tuple(map(int, need[i])))
                 at += 1
-            yield out(packer.window([], at, False))
-        yield out(packer.window([], at, True))
+                if packer.full():
+                    yield out(packer.fill(False))
+        yield out(packer.fill(True))
 
     return examples.select("id", "tokens", "loss_tokens").mapInPandas(run, "id long, sequence_id long, slot long")
 
