@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing
+from . import linededup, neardup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
+    "op7_line_dedup": linededup.op7_line_dedup,
 }
 
 SQL: dict[str, str] = {
     "op3_minhash_near_dedup": neardup.OP3_SQL,
+    "op7_line_dedup": linededup.OP7_SQL,
 }
