@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, neardup, packing
+from . import decontam, linededup, neardup, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
     "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_line_dedup": linededup.op7_line_dedup,
 }
 
