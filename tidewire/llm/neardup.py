@@ -328,6 +328,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = 5, sketch:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def without_near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that stay: of each group the row with the smallest doc_id.
+
+    Of rows that repeat a doc_id with the same text all stay or go together."""
+    gone = near_duplicates(docs, threshold).where("NOT kept").select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone_id"), "left_anti")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at 85 percent."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), threshold=85)
