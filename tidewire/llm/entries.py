@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, neardup, packing, quality, rules, toxicity
+from . import decontam, linededup, neardup, packing, pii, quality, rules, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
     "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
+    "op5_pii": pii.op5_pii,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_line_dedup": linededup.op7_line_dedup,
     "op10_quality_rules": rules.op10_quality_rules,
