@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, linededup, neardup, packing, pii, quality, rules, toxicity
+from . import decontam, langid, linededup, neardup, packing, pii, quality, rules, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": pii.op5_pii,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_line_dedup": linededup.op7_line_dedup,
+    "op8_warc": warc.op8_warc,
     "op9_language_id": langid.op9_language_id,
     "op10_quality_rules": rules.op10_quality_rules,
 }
@@ -23,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op3_minhash_near_dedup": neardup.OP3_SQL,
     "op7_line_dedup": linededup.OP7_SQL,
+    "op8_warc": warc.OP8_SQL,
 }
