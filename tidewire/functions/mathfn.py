@@ -23,7 +23,7 @@ def jittered_backoff(attempt: Column, base: float = 2.0, most: float = 60.0, low
 def retry_after(header: Column, most: float) -> Column:
     """Seconds of a Retry-After header between 0 and most; null where it isn't a number."""
     v = F.trim(header).try_cast("double")
-    return F.when(~F.isnan(v), F.least(F.greatest(v, F.lit(0.0)), F.lit(most)))
+    return F.when(v.isNotNull() & ~F.isnan(v), F.least(F.greatest(v, F.lit(0.0)), F.lit(most)))
 
 
 def health_max_age(poll: Column, jitter: Column, override: Column | None = None) -> Column:

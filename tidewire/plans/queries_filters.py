@@ -200,11 +200,11 @@ def strf25_tiers(spark, sf_dir):
     return items(spark).select("id", s.alias("score"), cards.color(F.col("score")).alias("color"), cards.icon(F.col("score")).alias("icon"), F.length(cards.flames(s)).alias("flames"))
 
 
-@query(f"WITH {T} SELECT message_id, lower(regexp_replace(coalesce(text, ''), '^@+', '')) AS name FROM t WHERE message_id < 20")
+@query(f"WITH {T} SELECT message_id, lower(regexp_replace(coalesce(text, ''), '^@+', '')) AS name FROM t")
 def strf27_channel_names(spark, sf_dir):
     from ..operators import store
 
-    return texts(spark, sf_dir).where("message_id < 20").select("message_id", store.channel_name(F.coalesce("text", F.lit(""))).alias("name"))
+    return texts(spark, sf_dir).select("message_id", store.channel_name(F.coalesce("text", F.lit(""))).alias("name"))
 
 
 NORM = r"trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'))"
