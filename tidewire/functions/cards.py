@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
+from .bind import let
 from .text import stripped
 
 LONG_CHARS, LONG_LINES, DETAILS, DETAIL_CHARS = 80, 2, 3, 72
@@ -55,27 +56,35 @@ def polished(text: Column) -> Column:
     """Without list marks and ellipses, closed by a full stop; empty stays empty."""
     s = F.regexp_replace(stripped(F.coalesce(text, F.lit(""))), r"^[•\-* ]+", "")
     s = F.trim(F.regexp_replace(s, r"[.…⋯． ]+$", ""))
-    return F.when(s == "", "").when(s.rlike("[。！？；]$"), s).otherwise(F.concat(s, F.lit("。")))
+    return let(s, lambda x: F.when(x == "", "").when(x.rlike("[。！？；]$"), x).otherwise(F.concat(x, F.lit("。"))))
 
 
 def shortened(summary: Column, cap: int = LONG_CHARS) -> Column:
     """The first sentence, cut at a clause mark where it exceeds cap."""
     first = stripped(F.substring_index(polished(summary), "\n", 1))
+    return let(first, lambda x: let(_sentence(x), lambda y: _cut(y, cap)))
+
+
+def _sentence(first: Column) -> Column:
     sentence = first
     for mark in ("？", "！", "。"):
         head = stripped(F.substring_index(first, mark, 1))
         sentence = F.when(first.contains(mark) & (head != ""), F.concat(head, F.lit(mark))).otherwise(sentence)
+    return sentence
+
+
+def _cut(sentence: Column, cap: int) -> Column:
     window = F.substring(sentence, 1, cap)
     cut = window
     for mark in (" ", "；", "、", "，"):
         at = F.length(window) - F.instr(F.reverse(window), mark)  # characters before the last mark
         cut = F.when(window.contains(mark) & (at >= max(20, cap // 3)), F.substring(window, F.lit(1), at)).otherwise(cut)
-    return F.when(F.length(sentence) <= cap, polished(sentence)).otherwise(polished(cut))
+    return polished(F.when(F.length(sentence) <= cap, sentence).otherwise(cut))
 
 
 def detail_lines(details: Column) -> Column:
     """Up to three polished details as a list."""
-    lines = F.transform(F.slice(details, 1, DETAILS), lambda d: F.when(F.length(polished(d)) > DETAIL_CHARS, shortened(polished(d), DETAIL_CHARS)).otherwise(polished(d)))
+    lines = F.transform(F.transform(F.slice(details, 1, DETAILS), polished), lambda d: F.when(F.length(d) > DETAIL_CHARS, shortened(d, DETAIL_CHARS)).otherwise(d))
     return F.array_join(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.concat(F.lit("- "), x)), "\n")
 
 
@@ -92,14 +101,16 @@ def morning_block(index: Column, title: Column, summary: Column, bullets: Column
     head = F.concat(F.lit("**"), index.cast("string"), F.lit(". "), stripped(F.coalesce(title, F.lit("未命名"))), F.lit("**\n"))
     f = stripped(F.coalesce(focus, F.lit("")))
     tail = F.concat(F.lit("\n关注："), F.when(f != "", f).otherwise("跟踪后续进展"), F.lit("\n北京时间："), time)
-    plain = stripped(F.coalesce(summary, F.lit("")))
-    short = shortened(plain)
+    body = let(stripped(F.coalesce(summary, F.lit(""))), lambda plain: F.when(is_long(plain), let(shortened(plain), lambda short: _long_body(plain, short, bullets))).otherwise(plain))
+    return F.concat(head, body, tail)
+
+
+def _long_body(plain: Column, short: Column, bullets: Column) -> Column:
     marked = F.filter(F.transform(F.coalesce(bullets, F.array().cast("array<string>")), lambda b: F.regexp_replace(stripped(b), r"^[•\-* ]+", "")), lambda b: b != "")
     pool = F.when(F.size(marked) > 0, marked).otherwise(split_details(plain))
     fresh = F.filter(pool, lambda d: ~F.contains(short, d))
-    block = detail_lines(F.when(F.size(fresh) > 0, fresh).otherwise(split_details(plain)))
-    long = F.concat(short, F.when(block != "", F.concat(F.lit("\n📌 事件详情\n"), block)).otherwise(""))
-    return F.concat(head, F.when(is_long(plain), long).otherwise(plain), tail)
+    chosen = let(fresh, lambda x: F.when(F.size(x) > 0, x).otherwise(split_details(plain)))
+    return let(detail_lines(chosen), lambda block: F.concat(short, F.when(block != "", F.concat(F.lit("\n📌 事件详情\n"), block)).otherwise("")))
 
 
 def local_minute(instant: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
+from .bind import let
 from .text import squeezed, stripped
 
 EVALUATION = "score int, is_news boolean, is_spam boolean, title string, summary_bullets array<string>, key_takeaways array<string>, category string, actionable_insight string"
@@ -35,10 +36,10 @@ def repaired(text: Column) -> Column:
 
 def parsed(text: Column) -> Column:
     """A variant holding an object: the whole text, its outer object or that repaired; else null."""
-    clean = without_fences(text)
-    inner = outer_object(clean)
-    tries = [F.try_parse_json(x) for x in (clean, inner, repaired(inner))]
-    return F.coalesce(*[F.when(F.schema_of_variant(v).startswith("OBJECT"), v) for v in tries])
+    def tried(clean: Column, inner: Column) -> Column:
+        return F.coalesce(*[let(F.try_parse_json(x), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v)) for x in (clean, inner, repaired(inner))])
+
+    return let(without_fences(text), lambda clean: let(outer_object(clean), lambda inner: tried(clean, inner)))
 
 
 def _text(v: Column, path: str) -> Column:
@@ -55,15 +56,18 @@ def _present(v: Column, path: str) -> Column:
 
 def _truthy(v: Column, path: str) -> Column:
     """Whether a value counts as true: any text, array or object that isn't empty, any number but 0."""
-    kind, raw = _kind(v, path), _text(v, path)
-    return F.coalesce(
-        F.when(kind == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
-        .when(kind == "STRING", raw != "")
-        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~raw.isin("[]", "{}"))
-        .when(kind == "VOID", F.lit(False))
-        .otherwise(raw.try_cast("double") != 0),
-        F.lit(False),
-    )
+    raw = _text(v, path)
+
+    def true(kind: Column) -> Column:
+        return (
+            F.when(kind == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+            .when(kind == "STRING", raw != "")
+            .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~raw.isin("[]", "{}"))
+            .when(kind == "VOID", F.lit(False))
+            .otherwise(raw.try_cast("double") != 0)
+        )
+
+    return F.coalesce(let(_kind(v, path), true), F.lit(False))
 
 
 def _lines(v: Column, path: str) -> Column:
@@ -85,30 +89,45 @@ def normalised(v: Column, fallback_title: Column | None = None) -> Column:
     """A struct of EVALUATION from an object variant; null for null.
 
     Scores are clamped to 1..10, other spellings of fields accepted, spam forced to a score of 2 at most."""
+    return let(v, lambda x: F.when(x.isNotNull(), _record(x, fallback_title)))
+
+
+def _record(v: Column, fallback_title: Column | None) -> Column:
     raw = F.when(_present(v, "$.score") & (_kind(v, "$.score") != "VOID"), _text(v, "$.score")).when(_present(v, "$.urgency_score"), _text(v, "$.urgency_score")).otherwise(F.lit("5"))
-    number = F.when(raw.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(raw).try_cast("long")).when(raw.rlike(r"^[+-]?\d+\.\d*$"), raw.try_cast("double").cast("long")).when(raw == "true", 1).when(raw == "false", 0)
-    score = F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce(number, F.lit(5)))).cast("int")
-    spam = _truthy(v, "$.is_spam")
-    named = stripped(F.coalesce(_text(v, "$.category"), F.lit("")))
-    category = F.when(named.isin(*fixed.CATEGORIES), named).when(spam, fixed.SPAM_CATEGORY).when(score >= 7, fixed.URGENT_CATEGORY).otherwise(fixed.DEFAULT_CATEGORY)
-    news = F.when(_present(v, "$.is_news"), _truthy(v, "$.is_news")).otherwise((score >= 5) & ~category.isin(fixed.CHAT_CATEGORY, fixed.SPAM_CATEGORY))
-    own = stripped(F.coalesce(_text(v, "$.title"), F.lit("")))
     spare = stripped(F.coalesce(fallback_title, F.lit(""))) if fallback_title is not None else F.lit("")
-    title = F.when(own != "", own).when(spare != "", spare).otherwise(fixed.DEFAULT_TITLE)
-    title = F.when(F.length(title) > 100, F.concat(F.substring(title, 1, 97), F.lit("..."))).otherwise(title)
+    title = let(stripped(F.coalesce(_text(v, "$.title"), F.lit(""))), lambda own: F.when(own != "", own).when(spare != "", spare).otherwise(fixed.DEFAULT_TITLE))
+    title = let(title, lambda t: F.when(F.length(t) > 100, F.concat(F.substring(t, 1, 97), F.lit("..."))).otherwise(t))
     bullets = F.when(_present(v, "$.summary_bullets") & (_kind(v, "$.summary_bullets") != "VOID"), _lines(v, "$.summary_bullets")).otherwise(_lines(v, "$.summary_points"))
-    insight = stripped(_text(v, "$.actionable_insight"))
-    out = F.struct(
-        F.when(spam, F.least(score, F.lit(2))).otherwise(score).alias("score"),
-        (~spam & news).alias("is_news"),
-        spam.alias("is_spam"),
-        title.alias("title"),
-        _first(bullets, default=F.array(title)).alias("summary_bullets"),
-        _first(_lines(v, "$.key_takeaways"), default=F.array(F.lit(fixed.DEFAULT_TAKEAWAY))).alias("key_takeaways"),
-        F.when(spam, fixed.SPAM_CATEGORY).otherwise(category).alias("category"),
-        F.when(insight != "", insight).alias("actionable_insight"),
-    )
-    return F.when(v.isNotNull(), out)
+    insight = let(stripped(_text(v, "$.actionable_insight")), lambda x: F.when(x != "", x))
+    takeaways = let(_lines(v, "$.key_takeaways"), lambda x: _first(x, default=F.array(F.lit(fixed.DEFAULT_TAKEAWAY))))
+
+    def finished(score: Column, spam: Column, category: Column, title: Column) -> Column:
+        news = F.when(_present(v, "$.is_news"), _truthy(v, "$.is_news")).otherwise((score >= 5) & ~category.isin(fixed.CHAT_CATEGORY, fixed.SPAM_CATEGORY))
+        return F.struct(
+            F.when(spam, F.least(score, F.lit(2))).otherwise(score).alias("score"),
+            (~spam & news).alias("is_news"),
+            spam.alias("is_spam"),
+            title.alias("title"),
+            let(bullets, lambda b: _first(b, default=F.array(title))).alias("summary_bullets"),
+            takeaways.alias("key_takeaways"),
+            F.when(spam, fixed.SPAM_CATEGORY).otherwise(category).alias("category"),
+            insight.alias("actionable_insight"),
+        )
+
+    def categorised(score: Column, spam: Column) -> Column:
+        category = let(
+            stripped(F.coalesce(_text(v, "$.category"), F.lit(""))),
+            lambda c: F.when(c.isin(*fixed.CATEGORIES), c).when(spam, fixed.SPAM_CATEGORY).when(score >= 7, fixed.URGENT_CATEGORY).otherwise(fixed.DEFAULT_CATEGORY),
+        )
+        return let(category, lambda c: let(title, lambda t: finished(score, spam, c, t)))
+
+    return let(let(raw, _clamped), lambda score: let(_truthy(v, "$.is_spam"), lambda spam: categorised(score, spam)))
+
+
+def _clamped(raw: Column) -> Column:
+    """A score as an integer between 1 and 10; 5 where it isn't a number."""
+    number = F.when(raw.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(raw).try_cast("long")).when(raw.rlike(r"^[+-]?\d+\.\d*$"), raw.try_cast("double").cast("long")).when(raw == "true", 1).when(raw == "false", 0)
+    return F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce(number, F.lit(5)))).cast("int")
 
 
 ITEM = "rank int, message_id long, channel string, title string, summary string, summary_bullets array<string>, score int, category string, event_at string, is_update boolean, update_reason string"

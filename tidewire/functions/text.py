@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed
+from .bind import let
 from .types import struct
 
 _SPACE = re.compile(r"\s+")
@@ -100,11 +101,15 @@ def reader_blob(title: Column, summary: Column, bullets: Column) -> Column:
 def lead_title(text: Column, most: int = fixed.LEAD_TITLE_MAX) -> Column:
     """The first clause by the first kind of mark that gives one, cut to `most` characters."""
     s = F.regexp_replace(squeezed(F.coalesce(text, F.lit(""))), r"^[•\-* ]+", "")
+    return let(let(s, _first_clause), lambda x: F.when(F.length(x) > most, F.rtrim(F.substring(x, 1, most))).otherwise(x))
+
+
+def _first_clause(s: Column) -> Column:
     out = s
     for mark in ("，", "；", "？", "！", "。"):
         head = stripped(F.substring_index(s, mark, 1))
         out = F.when(s.contains(mark) & (head != ""), head).otherwise(out)
-    return F.when(F.length(out) > most, F.rtrim(F.substring(out, 1, most))).otherwise(out)
+    return out
 
 
 def clauses(text: Column) -> Column:
@@ -130,14 +135,18 @@ def caption(text: Column, most: int = fixed.CAPTION_MAX) -> Column:
     """A complete sentence or more of at most `most` characters, without an ellipsis at the end."""
     s = F.regexp_replace(without_traces(text), r"^[•\-* ]+", "")
     s = F.trim(F.regexp_replace(F.regexp_replace(s, r"(?:\.{2,}|…+|⋯+)$", ""), r"[ .．⋯]+$", ""))
-    closed = F.when(s.rlike("[。！？；]$"), s).otherwise(F.concat(s, F.lit("。")))
+    closed = let(s, lambda x: F.when(x == "", "").when(x.rlike("[。！？；]$"), x).otherwise(F.concat(x, F.lit("。"))))
+    return let(closed, lambda x: F.when(F.length(x) <= most, x).otherwise(_within(x, most)))
+
+
+def _within(closed: Column, most: int) -> Column:
     window = F.substring(closed, 1, most)
     cut = F.rtrim(F.regexp_replace(window, r"[ .．…⋯]+$", ""))
     out = F.when(cut == "", "").when(cut.rlike("[。！？；]$"), cut).otherwise(_closed_cut(cut, most))
     for mark in ("；", "？", "！", "。"):  # the last one tested first wins
         at = _last(window, mark)
         out = F.when(at >= 9, F.substring(window, F.lit(1), at)).otherwise(out)
-    return F.when(s == "", "").when(F.length(closed) <= most, closed).otherwise(out)
+    return out
 
 
 def _closed_cut(cut: Column, most: int) -> Column:
