@@ -18,9 +18,9 @@ from .. import fixed
 from .bind import let
 from .types import struct
 
-_SPACE = re.compile(r"\s+")
 _NUMBER = re.compile(fixed.NUMBER, re.I)
-_OTHER = re.compile(r"[^\w\u4e00-\u9fff]+")
+_DIGIT = re.compile(r"\d")
+_CJK = re.compile(r"[\u4e00-\u9fff]")
 _TOKEN = re.compile(r"[a-z]{2,}|[\u4e00-\u9fff]+")
 _PHRASES = sorted(fixed.TEMPLATE_PHRASES, key=len, reverse=True)
 _GENERIC = frozenset(fixed.GENERIC_TOKENS)
@@ -30,7 +30,7 @@ FEATURES = "norm string, numbers array<string>, tokens array<string>, specific a
 
 def fold(text: str | None) -> str:
     """NFKC, case-folded, white space collapsed and stripped; null counts as empty."""
-    return _SPACE.sub(" ", unicodedata.normalize("NFKC", text or "").casefold()).strip()
+    return " ".join(unicodedata.normalize("NFKC", text or "").casefold().split())
 
 
 def bucket(whole: str, fraction: str | None) -> str:
@@ -42,12 +42,15 @@ def bucket(whole: str, fraction: str | None) -> str:
 def features_of(text: str | None) -> tuple[str, list[str], list[str], list[str], str | None]:
     """Values of FEATURES for a text; arrays are sorted."""
     norm = fold(text)
-    numbers = sorted({bucket(*m.groups()) for m in _NUMBER.finditer(norm)})
-    body = _NUMBER.sub(" ", norm)
-    for phrase in _PHRASES:  # one after another, longest first: phrases overlap
-        body = body.replace(phrase, " ")
+    numbers, body = [], norm
+    if _DIGIT.search(norm):
+        numbers = sorted({bucket(*m.groups()) for m in _NUMBER.finditer(norm)})
+        body = _NUMBER.sub(" ", norm)
+    if _CJK.search(body):
+        for phrase in _PHRASES:  # one after another, longest first: phrases overlap
+            body = body.replace(phrase, " ")
     tokens: set[str] = set()
-    for run in _TOKEN.findall(_OTHER.sub(" ", body)):
+    for run in set(_TOKEN.findall(body)):
         tokens.update([run] if run[0] <= "z" or len(run) == 1 else map("".join, zip(run, run[1:], strict=False)))
     specific = sorted(tokens - _GENERIC)
     parts = specific + [f"#{n}" for n in numbers]
@@ -76,6 +79,33 @@ def pattern(*alternatives: str) -> str:
     return "(?iuU)" + "|".join(f"(?:{a})" for a in alternatives)
 
 
+def needles(regex: str) -> list[str] | None:
+    """Lower-case texts of which every match holds at least one; None if the pattern doesn't show any."""
+    inner = regex
+    for edge in (r"\b", "(", r"\b"):
+        inner = inner.removeprefix(edge)
+    found = [re.match(r"[^\\()\[\]{}|*+?.^$]*", a.removeprefix(r"\b"))[0] for a in re.split(r"\|(?![^()]*\))", inner.removesuffix(r"\b").removesuffix(")"))]
+    return [n.lower() for n in found] if all(found) and "(" not in inner else None
+
+
+def any_match(text: Column, *patterns: str) -> Column:
+    """Whether any of the patterns matches.
+
+    A pattern is tried only on texts that hold one of its literal words, which is much cheaper to see."""
+    low = F.translate(F.lower(text), "ſ", "s")  # the one letter that matches another case but isn't its lower case
+    out = F.lit(False)
+    for p in patterns:
+        hit = text.rlike(pattern(p))
+        words = needles(p)
+        if words:
+            guard = F.contains(low, F.lit(words[0]))
+            for w in words[1:]:
+                guard = guard | F.contains(low, F.lit(w))
+            hit = guard & hit
+        out = out | hit
+    return out
+
+
 def stripped(text: Column | str) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

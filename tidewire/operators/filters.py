@@ -18,7 +18,7 @@ def _any(*patterns: str) -> str:
 
 
 def is_spam(text: Column) -> Column:
-    return text.rlike(_any(*fixed.SPAM))
+    return tx.any_match(text, *fixed.SPAM)
 
 
 def is_short(text: Column) -> Column:
@@ -26,15 +26,15 @@ def is_short(text: Column) -> Column:
 
 
 def is_crypto(text: Column) -> Column:
-    return text.rlike(_any(*fixed.CRYPTO))
+    return tx.any_match(text, *fixed.CRYPTO)
 
 
 def is_urgent(text: Column) -> Column:
-    return text.rlike(_any(fixed.URGENT))
+    return tx.any_match(text, fixed.URGENT)
 
 
 def is_unsafe_photo_text(text: Column) -> Column:
-    return text.rlike(_any(*fixed.VICE, *fixed.POLITICAL, fixed.NEWS_LIKE))
+    return tx.any_match(text, *fixed.VICE, *fixed.POLITICAL, fixed.NEWS_LIKE)
 
 
 def is_news_like(category: Column, *texts: Column) -> Column:

@@ -44,7 +44,7 @@ def flag(name: str, *patterns: str):
     sql = f"WITH {T} SELECT message_id, {like('text', *patterns)} AS hit FROM t"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return texts(spark, sf_dir).select("message_id", F.coalesce("text", F.lit("")).rlike(tx.pattern(*patterns)).alias("hit"))
+        return texts(spark, sf_dir).select("message_id", tx.any_match(F.coalesce("text", F.lit("")), *patterns).alias("hit"))
 
     run.__name__ = name
     return query(sql)(run)
