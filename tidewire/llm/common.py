@@ -26,6 +26,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id and text aren't in bad (doc_id, copy: a hash of the text)."""
+    k, c = fresh(docs, "bad_id"), fresh(docs, "bad_copy")
+    gone = bad.select(F.col("doc_id").alias(k), F.col("copy").alias(c)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(k)) & (F.xxhash64(docs["text"]) == F.col(c)), "left_anti")
+
+
 _written: list[tuple[SparkSession, str]] = []
 _own_dir: list[str] = []
 

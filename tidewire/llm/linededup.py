@@ -76,12 +76,12 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, removed:
     and give no origin. Rows that repeat a doc_id are told apart by their text; equal rows count as one
     document and keep the same lines.
     """
-    key = common_key(docs)
+    id_, copy, cut = (common.fresh(docs, c) for c in ("run_doc_id", "run_copy", "run_lines"))
     numbered = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    runs = repeated_runs(numbered, min_words).select(F.col("doc_id").alias(key), F.col("copy").alias(key + "_copy"), F.col("runs").alias(key + "_runs"))
-    wide = docs.join(runs, (docs["doc_id"] == F.col(key)) & (F.xxhash64(docs["text"]) == F.col(key + "_copy")), "left")
+    runs = repeated_runs(numbered, min_words).select(F.col("doc_id").alias(id_), F.col("copy").alias(copy), F.col("runs").alias(cut))
+    wide = docs.join(runs, (docs["doc_id"] == F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(copy)), "left")
+    cut = F.col(cut)
     lines = F.split("text", "\n", -1)
-    cut = F.col(key + "_runs")
     kept = F.filter(lines, lambda x, i: ~F.exists(cut, lambda r: (i >= r["first"]) & (i <= r["last"])))
     gone = F.when(cut.isNull(), F.lit(0)).otherwise(F.aggregate(cut, F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1))
     text = F.when(cut.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
@@ -96,14 +96,6 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, removed:
     return wide.select(*out, gone.cast("long").alias(removed))
 
 
-def common_key(docs: DataFrame) -> str:
-    """A column name that docs doesn't have."""
-    name = "run_doc_id"
-    while {name, name + "_copy", name + "_runs"} & set(docs.columns):
-        name += "_"
-    return name
-
-
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with repeated passages removed: doc_id, n_removed_lines, n_chars and text."""
     return remove_repeated_lines(common.table(spark, sf_dir, "documents")).select("doc_id", "n_removed_lines", "n_chars", "text")

@@ -151,20 +151,20 @@ def estimate(equal: np.ndarray, more: np.ndarray, less: np.ndarray, n_u: np.ndar
 
 
 def sketched(docs: DataFrame, sketch: Sketch, size: int) -> DataFrame:
-    """For each row: doc_id, n_shingles, signature of the set (null if empty), registers, bands."""
+    """For each row: doc_id, copy (a hash of the text), n_shingles, signature of the set (null if empty), registers, bands."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sets = [shingles(t, size) for t in frame["text"]]
             some = [k for k, s in enumerate(sets) if len(s)]
             regs = sketches([sets[k] for k in some], sketch)
-            out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "signature": None, "registers": None}).astype({"signature": object, "registers": object})
+            out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "copy": frame["copy"], "n_shingles": [len(s) for s in sets], "signature": None, "registers": None}).astype({"signature": object, "registers": object})
             for r, k in enumerate(some):
-                out.iat[k, 2] = xxhash.xxh3_128_digest(sets[k].tobytes())
-                out.iat[k, 3] = regs[r].tobytes()
+                out.iat[k, 3] = xxhash.xxh3_128_digest(sets[k].tobytes())
+                out.iat[k, 4] = regs[r].tobytes()
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, signature binary, registers binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("copy"), "text").mapInPandas(run, "doc_id long, copy long, n_shingles long, signature binary, registers binary")
 
 
 def _blocks(rows: DataFrame, key: str, parts: str) -> DataFrame:
@@ -285,8 +285,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = 5, sketch:
     """Groups of documents whose shingle sets reach a Jaccard similarity of threshold percent.
 
     docs: doc_id and text, other columns are ignored. Returns for each row doc_id, n_shingles,
-    component_id (the smallest doc_id reachable by links, its own included) and kept (doc_id =
-    component_id). Null and empty texts, and texts of white space, have 0 shingles and no links. Rows
+    component_id (the smallest doc_id reachable by links, its own included), kept (doc_id =
+    component_id) and copy (a hash of the text). Null and empty texts, and texts of white space, have 0 shingles and no links. Rows
     with a null doc_id take part in no link, have a null component_id and are kept. Rows that repeat a
     doc_id each get the component of their own text.
     """
@@ -324,21 +324,21 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = 5, sketch:
     linked = common.components(blocks.mapInPandas(_exact_links(threshold), "a long, b long"))
 
     named = nodes.select("signature", "node").join(linked, "node", "left").select("signature", F.coalesce("component", "node").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("signature")).alias("signature")).join(named, "signature", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = rows.select("doc_id", "copy", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("signature")).alias("signature")).join(named, "signature", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "copy")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "copy")
 
 
 def without_near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, that stay: of each group the row with the smallest doc_id.
 
-    Of rows that repeat a doc_id with the same text all stay or go together."""
-    gone = near_duplicates(docs, threshold).where("NOT kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone_id"), "left_anti")
+    Rows that repeat a doc_id and text stay or go together."""
+    return common.without(docs, near_duplicates(docs, threshold).where("NOT kept"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at 85 percent."""
-    return near_duplicates(common.table(spark, sf_dir, "documents"), threshold=85)
+    return near_duplicates(common.table(spark, sf_dir, "documents"), threshold=85).drop("copy")
 
 
 OP3_SQL = r"""

@@ -194,8 +194,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that aren't rejected."""
-    bad = score(docs, train(docs, labels)).where("toxic").select(F.col("doc_id").alias("_bad_id"), F.col("copy").alias("_bad_copy")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_copy")), "left_anti")
+    return common.without(docs, score(docs, train(docs, labels)).where("toxic"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
