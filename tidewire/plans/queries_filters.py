@@ -87,8 +87,8 @@ def now():
     SELECT message_id, CAST(max_age AS INTEGER) AS max_age, coalesce({NOW} - published_s >= -120 AND (max_age <= 0 OR {NOW} - published_s <= max_age), FALSE) AS fresh FROM posts, ages"""
 )
 def flt5_freshness(spark, sf_dir):
-    ages = spark.createDataFrame([(1800,), (0,), (None,)], "max_age int")
-    return views.posts(spark, sf_dir).crossJoin(F.broadcast(ages)).select("message_id", "max_age", timewin.fresh(F.col("published_at"), F.col("max_age"), now()).alias("fresh"))
+    ages = F.explode(F.array(F.lit(1800), F.lit(0), F.lit(None).cast("int"))).alias("max_age")
+    return views.posts(spark, sf_dir).select("message_id", "published_at", ages).select("message_id", "max_age", timewin.fresh(F.col("published_at"), F.col("max_age"), now()).alias("fresh"))
 
 
 PHOTOS = [
