@@ -25,6 +25,9 @@ _TOKEN = re.compile(r"[a-z]{2,}|[\u4e00-\u9fff]+")
 _PHRASES = sorted(fixed.TEMPLATE_PHRASES, key=len, reverse=True)
 _GENERIC = frozenset(fixed.GENERIC_TOKENS)
 
+#: White space as Python's str methods know it, as a Java character class.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 FEATURES = "norm string, numbers array<string>, tokens array<string>, specific array<string>, event_key string"
 
 
@@ -108,12 +111,12 @@ def any_match(text: Column, *patterns: str) -> Column:
 
 def stripped(text: Column | str) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
 
 
 def squeezed(text: Column | str) -> Column:
     """White space collapsed to single blanks and stripped."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, rf"{SPACE}+", " "))
 
 
 def blob(title: Column | str, summary: Column | str) -> Column:
