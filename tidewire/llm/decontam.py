@@ -42,37 +42,42 @@ UNITS = frozenset(
 )
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,/:]*")
 _NUMBER_UNIT = re.compile(r"[+-]?[$€£]?\d[\d.,/:]*([^\W\d_]+|[%$€£°])")
-_NAME = re.compile(r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*[a-zß-öø-ÿ][^\W\d_]*")
 LITERAL, NUMBER, UNIT, NAME = range(4)
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(64)]
 
 
+_AROUND = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "$%") + "…«»“”„‘’–—¿¡"
+_CLOSERS, _ENDS = "'\")]»”’*_", ".!?:…"
+
+
 def classify(word: str) -> tuple[str | None, int, str | None, int, bool]:
     """A white-space word's template token and kind at the start of a sentence, the same elsewhere, and whether it ends one.
 
     A token of None: the word holds only punctuation."""
-    ends = bool(re.search(r"[.!?:…]['\")\]»”]*$", word))
-    core = re.sub(r"^[^\w$€£%+-]+|[^\w$€£%]+$", "", word).strip("+-_")
+    ends = word.rstrip(_CLOSERS)[-1:] in _ENDS and word[-1:] != ""
+    core = word.strip(_AROUND)
     low = core.lower()
-    if not core:
+    if core.isalpha():
+        if low in UNITS:
+            return "<unit>", UNIT, "<unit>", UNIT, ends
+        if core[0].isupper() and not core.isupper():
+            return low, LITERAL, "<name>", NAME, ends
+        return low, LITERAL, low, LITERAL, ends
+    if not any(c.isalnum() for c in core):
+        if core in UNITS:
+            return "<unit>", UNIT, "<unit>", UNIT, ends
         return None, LITERAL, None, LITERAL, ends
     if _NUMBER.fullmatch(core):
         return "<number>", NUMBER, "<number>", NUMBER, ends
     if (m := _NUMBER_UNIT.fullmatch(core)) and m[1].lower() in UNITS | {"°"}:
         return "<number><unit>", NUMBER, "<number><unit>", NUMBER, ends
-    if low in UNITS:
-        return "<unit>", UNIT, "<unit>", UNIT, ends
-    if not any(c.isalnum() for c in core):
-        return None, LITERAL, None, LITERAL, ends
-    if _NAME.fullmatch(core):
-        return low, LITERAL, "<name>", NAME, ends
     return low, LITERAL, low, LITERAL, ends
 
 
 class _Words(dict):
     """Numbers of words; their classes are held in arrays by number."""
 
-    BOUND = 400_000
+    BOUND = 250_000
 
     def __init__(self):
         super().__init__()
@@ -80,25 +85,29 @@ class _Words(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.rows: list[tuple] = []
-        self.arrays: tuple = ()
+        self.rows: list[tuple] = []  # not in the arrays yet
+        self.n = 0
+        self.arrays = tuple(np.empty(1 << 12, dtype=t) for t in (np.uint64, np.uint64, np.int8, np.int8, bool, bool))
 
     def __missing__(self, word: str) -> int:
         start, k1, mid, k2, ends = classify(word)
-        h = lambda t: 0 if t is None else xxhash.xxh64_intdigest(t)
-        self.rows.append((h(start), h(mid), k1, k2, ends, start is None))
-        self[word] = n = len(self.rows) - 1
+        h1 = 0 if start is None else xxhash.xxh64_intdigest(start)
+        h2 = h1 if mid is start else xxhash.xxh64_intdigest(mid)
+        self.rows.append((h1, h2, k1, k2, ends, start is None))
+        self[word] = n = self.n + len(self.rows) - 1
         return n
 
     def of(self, words: list[str]) -> tuple:
         if len(self) > self.BOUND:
             self.reset()
         ids = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        done = len(self.arrays[0]) if self.arrays else 0
-        if done < len(self.rows):
-            types = (np.uint64, np.uint64, np.int8, np.int8, bool, bool)
-            new = [np.array(c, dtype=t) for c, t in zip(zip(*self.rows[done:], strict=True), types, strict=True)]
-            self.arrays = tuple(np.concatenate(x) for x in zip(self.arrays, new, strict=True)) if self.arrays else tuple(new)
+        if self.rows:
+            size = self.n + len(self.rows)
+            if size > len(self.arrays[0]):
+                self.arrays = tuple(np.concatenate([a, np.empty(max(len(a), size), dtype=a.dtype)]) for a in self.arrays)
+            for a, column in zip(self.arrays, zip(*self.rows, strict=True), strict=True):
+                a[self.n : size] = column
+            self.n, self.rows = size, []
         return tuple(a[ids] for a in self.arrays)
 
 
@@ -206,8 +215,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs, with all their columns, that hold no item."""
-    bad = flagged(docs, benchmark, window, coverage).select(F.col("doc_id").alias("_bad_id"), F.col("copy").alias("_bad_copy"))
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_copy")), "left_anti")
+    return common.without(docs, flagged(docs, benchmark, window, coverage))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
