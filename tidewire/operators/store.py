@@ -98,6 +98,13 @@ def retained(df: DataFrame, time: str, days: int, now: Column) -> DataFrame:
     return df.where(F.col(time).isNull() | (F.unix_seconds(time) >= F.unix_seconds(now) - days * 86400))
 
 
+def night_archive(archive: DataFrame, new: DataFrame, today: Column, days: int = 3) -> DataFrame:
+    """The archive (key, day, and other columns) with new rows written over old ones of the same key and day; days
+    more than `days` before today are dropped."""
+    both = archive.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return first_by(both, [*KEY, "day"], [F.desc("_new")]).drop("_new").where(F.col("day") >= F.date_sub(today, days))
+
+
 def migrated(df: DataFrame, key: Sequence[str], order: Sequence[Column], default: str = "legacy") -> DataFrame:
     """A table brought to the keyed form: a group column (default where absent or unsafe), one row for each key."""
     if "group_id" not in df.columns:

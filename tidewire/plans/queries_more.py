@@ -117,3 +117,15 @@ WINDOWS = [("22:00-00:00", 1320, 0), ("8-9:30", 480, 570), ("08:00-08:00", None,
 def dt2_windows(spark, sf_dir):
     spans = [(s, timewin.Span.parse(s)) for s, _, _ in WINDOWS]
     return spark.createDataFrame([(s, x and x.start, x and x.end) for s, x in spans], "spec string, start int, stop int")
+
+
+@query(
+    f"""WITH {POSTS}, a AS (SELECT *, DATE '2024-01-01' + CAST(message_id % 6 AS INTEGER) AS day FROM posts) SELECT message_id, strftime(day, '%Y-%m-%d') AS day, CASE WHEN message_id % 4 = 0 THEN 9 ELSE 5 END AS score
+    FROM a WHERE day >= DATE '2024-01-06' - 3"""
+)
+def str7_night_archive(spark, sf_dir):
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("message_id") % 6).cast("int"))
+    p = views.posts(spark, sf_dir).select(*store.KEY, day.alias("day"), F.lit(5).alias("score"))
+    new = p.where("message_id % 4 = 0").withColumn("score", F.lit(9))
+    kept = store.night_archive(p, new, F.lit("2024-01-06").cast("date"))
+    return kept.select("message_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "score")
