@@ -388,7 +388,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each page, read back from archives by way of the merged index."""
     root = common.new_path(spark, "archives")
     manifest = write_archives(common.table(spark, sf_dir, "pages"), root)
-    captures = capture_index(manifest, root).select("archive", "offset")
+    # offsets compress so well that adaptive execution would take the index for small and broadcast it
+    captures = capture_index(manifest, root).select("archive", "offset").hint("merge")
     records = read_archives(manifest, root)
     return captures.join(records, ["archive", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
