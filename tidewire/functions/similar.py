@@ -14,8 +14,9 @@ def same_event(a: Column, b: Column) -> Column:
     shared, union = F.size(F.array_intersect(a["tokens"], b["tokens"])), F.size(F.array_union(a["tokens"], b["tokens"]))
     specific = F.size(F.array_intersect(a["specific"], b["specific"]))
     numbers = (F.size(a["numbers"]) == 0) | (F.size(b["numbers"]) == 0) | F.arrays_overlap(a["numbers"], b["numbers"])
-    tight = (shared >= fixed.JACCARD * union) & (specific >= fixed.SPECIFIC_MIN)
-    loose = (shared >= fixed.LOOSE_JACCARD * union) & (specific >= fixed.LOOSE_SPECIFIC_MIN)
+    share = F.try_divide(shared, union)
+    tight = (share >= fixed.JACCARD) & (specific >= fixed.SPECIFIC_MIN)
+    loose = (share >= fixed.LOOSE_JACCARD) & (specific >= fixed.LOOSE_SPECIFIC_MIN)
     return (F.size(a["tokens"]) > 0) & (F.size(b["tokens"]) > 0) & numbers & (tight | loose)
 
 

@@ -20,7 +20,7 @@ def against_recent(candidates: DataFrame, recents: DataFrame) -> DataFrame:
     listed = old.select("group_id", F.explode("summaries").alias("summary")).withColumn("old", f("summary")).groupBy("group_id").agg(F.collect_list("old").alias("olds"))
     j = candidates.withColumn("_new", f("blob")).withColumn("_reason", f("reason")).join(listed, "group_id", "left")
     match = F.exists("olds", lambda o: similar.same_event(F.col("_new"), o) & ~similar.material_update(F.col("is_update"), F.col("reason"), F.col("_reason"), o))
-    return j.withColumn("near_duplicate", F.coalesce(match, F.lit(False)) & (tx.stripped("blob") != "")).drop("_new", "_reason", "olds")
+    return j.withColumn("near_duplicate", F.coalesce(match & (tx.stripped("blob") != ""), F.lit(False))).drop("_new", "_reason", "olds")
 
 
 def similar_pairs(posts: DataFrame, id_: str = "id", group: str = "group_id") -> DataFrame:
@@ -28,20 +28,20 @@ def similar_pairs(posts: DataFrame, id_: str = "id", group: str = "group_id") ->
 
     posts: id, group and feature struct f. Exact. Tokens are ranked by rarity; two sets with a Jaccard
     similarity of 0.30 share one of each one's first n - ceil(0.30 n) + 1 tokens, so only these prefixes
-    are joined, and sets whose sizes or token positions rule the
-    threshold out never meet. A token that many posts carry isn't rare and so seldom is in a prefix."""
+    are joined, of sets whose sizes allow the threshold. Shared tokens outside of both prefixes are at most
+    as many as the longer rest, so pairs that share too few prefix tokens go before their sets are compared."""
     t = F.lit(fixed.LOOSE_JACCARD)
     base = posts.select(F.col(group).alias("g"), F.col(id_).alias("id"), F.col("f.tokens").alias("tokens")).where(F.size("tokens") > 0)
     each = base.select("g", "id", F.explode("tokens").alias("token"), F.size("tokens").alias("n"))
     rarity = each.groupBy("g", "token").agg(F.count("*").alias("df"))
     ranked = each.join(rarity, ["g", "token"]).withColumn("pos", F.row_number().over(Window.partitionBy("g", "id").orderBy("df", "token")))
-    prefix = ranked.where((F.col("pos") <= F.col("n") - F.ceil(t * F.col("n")) + 1) & (F.col("df") > 1))
-    a = prefix.select("g", "token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = prefix.select("g", "token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    # position filter: tokens left after this one bound the overlap
-    bound = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
-    near = (F.col("na") * t <= F.col("nb")) & (F.col("nb") * t <= F.col("na")) & (bound >= t * (F.col("na") + F.col("nb")) / (t + 1))
-    pairs = a.join(b, ["g", "token"]).where(F.col("a") < F.col("b")).where(near).select("g", "a", "b").distinct()
+    percent = round(100 * fixed.LOOSE_JACCARD)
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = ranked.where((F.col("pos") <= length) & (F.col("df") > 1)).withColumn("rest", F.col("n") - length)
+    a, b = (prefix.select("g", "token", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("rest").alias(f"r{x}")) for x in "ab")
+    near = (F.col("na") * percent <= F.col("nb") * 100) & (F.col("nb") * percent <= F.col("na") * 100)
+    met = a.join(b, ["g", "token"]).where((F.col("a") < F.col("b")) & near).groupBy("g", "a", "b", "na", "nb", "ra", "rb").agg(F.count("*").alias("met"))
+    pairs = met.where(F.col("met") + F.greatest("ra", "rb") + 1e-6 >= t * (F.col("na") + F.col("nb")) / (t + 1)).select("g", "a", "b")
     fa, fb = posts.select(F.col(group).alias("g"), F.col(id_).alias("a"), F.col("f").alias("fa")), posts.select(F.col(group).alias("g"), F.col(id_).alias("b"), F.col("f").alias("fb"))
     full = pairs.join(fa, ["g", "a"]).join(fb, ["g", "b"])
     shared, total = F.size(F.array_intersect("fa.tokens", "fb.tokens")), F.size(F.array_union("fa.tokens", "fb.tokens"))

@@ -105,12 +105,12 @@ PAIRS = [
     (1, "Diesel retail price hits $6.06 in California", "California diesel retail price at $6 record", False, ""),
     (2, "Diesel retail price hits $6.06 in California", "Gasoline exports from Rotterdam fall 12%", False, ""),
     (3, "Fed cuts by 25 bp after meeting", "Fed cuts by 50 bp after meeting", False, ""), (4, "", "text", False, ""), (5, "柴油零售均价突破6.06美元，加州居民抱怨", "加州居民抱怨柴油零售价升至6美元", True, "新增7.5美元"),
-    (6, "Storm closes harbour near Lisbon tonight", "Storm closes harbour near Lisbon", True, "officials named Almada terminal"), (7, "Storm closes harbour near Lisbon tonight", "Storm closes harbour near Lisbon", True, "short"),
+    (6, "Storm closes harbour near Lisbon tonight", "Storm closes harbour near Lisbon", True, "officials named Almada terminal"), (7, "Storm closes harbour near Lisbon tonight", "Storm closes harbour near Lisbon", True, "short"), (8, "", "", True, "x"), (9, None, None, None, None),
 ]
 
 
 @query(
-    """SELECT * FROM (VALUES (CAST(1 AS BIGINT), TRUE, FALSE, TRUE), (2, FALSE, FALSE, TRUE), (3, FALSE, FALSE, TRUE), (4, FALSE, FALSE, FALSE), (5, TRUE, TRUE, FALSE), (6, TRUE, TRUE, FALSE), (7, TRUE, FALSE, FALSE)) AS v(id, same, material, adds)"""
+    """SELECT * FROM (VALUES (CAST(1 AS BIGINT), TRUE, FALSE, TRUE), (2, FALSE, FALSE, TRUE), (3, FALSE, FALSE, TRUE), (4, FALSE, FALSE, FALSE), (5, TRUE, TRUE, FALSE), (6, TRUE, TRUE, FALSE), (7, TRUE, FALSE, FALSE), (8, FALSE, FALSE, FALSE), (9, FALSE, FALSE, FALSE)) AS v(id, same, material, adds)"""
 )
 def strf9_similar_event(spark, sf_dir):
     p = spark.createDataFrame(PAIRS, "id long, a string, b string, is_update boolean, reason string").withColumns({"fa": tx.features("a"), "fb": tx.features("b"), "fr": tx.features("reason")})
@@ -119,7 +119,7 @@ def strf9_similar_event(spark, sf_dir):
 
 
 @query(
-    """SELECT * FROM (VALUES (CAST(1 AS BIGINT), TRUE), (2, FALSE), (3, FALSE), (4, FALSE), (5, FALSE), (6, FALSE), (7, TRUE)) AS v(id, near_duplicate)"""
+    """SELECT * FROM (VALUES (CAST(1 AS BIGINT), TRUE), (2, FALSE), (3, FALSE), (4, FALSE), (5, FALSE), (6, FALSE), (7, TRUE), (8, FALSE), (9, FALSE)) AS v(id, near_duplicate)"""
 )
 def jn8_against_recent(spark, sf_dir):
     p = spark.createDataFrame(PAIRS, "id long, blob string, b string, is_update boolean, reason string").withColumn("group_id", F.col("id").cast("string"))
