@@ -25,10 +25,18 @@ def strf24_digest_prompt(spark, sf_dir):
     return prompts.digest_prompts(batch).select("group_id", "n", F.md5("prompt").alias("prompt_md5"))
 
 
-@query(f"WITH {POSTS}, f AS (SELECT message_id, list_filter({TOKENS}, lambda x: x NOT IN ('the', 'and', 'for', 'from', 'with', 'that', 'this')) AS t FROM posts WHERE NOT regexp_matches(text, '[0-9]')) SELECT message_id, CASE WHEN len(t) >= 3 THEN md5(array_to_string(t, ' ')) END AS event_key_md5 FROM f")
+NUMBERS = (
+    rf"list_sort(list_distinct(list_transform(regexp_extract_all({NORM}, '\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?'), lambda y: "
+    "CASE WHEN CAST(replace(y, ',', '') AS DOUBLE) >= 1 THEN CAST(CAST(floor(CAST(replace(y, ',', '') AS DOUBLE)) AS HUGEINT) AS VARCHAR) ELSE printf('%.2f', CAST(replace(y, ',', '') AS DOUBLE)) END)))"
+)
+
+
+@query(
+    f"""WITH {POSTS}, f AS (SELECT message_id, list_concat(list_filter({TOKENS}, lambda x: x NOT IN ('the', 'and', 'for', 'from', 'with', 'that', 'this')), list_transform({NUMBERS}, lambda n: '#' || n)) AS t FROM posts)
+    SELECT message_id, CASE WHEN len(t) >= 3 THEN md5(array_to_string(t, ' ')) END AS event_key_md5 FROM f"""
+)
 def strf7_event_key(spark, sf_dir):
-    p = views.posts(spark, sf_dir).where(~F.col("text").rlike("[0-9]"))
-    return p.select("message_id", F.md5(tx.features("text")["event_key"]).alias("event_key_md5"))
+    return views.posts(spark, sf_dir).select("message_id", F.md5(tx.features("text")["event_key"]).alias("event_key_md5"))
 
 
 CLAUSES = r"list_filter(list_transform(string_split_regex(text, '[。！？；;：:\n]'), lambda c: regexp_replace(c, '^[ ，,、:：]+|[ ，,、:：]+$', '', 'g')), lambda c: length(c) >= 6)"
