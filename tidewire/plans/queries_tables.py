@@ -10,13 +10,18 @@ from ..operators import admission, filters, nearjoin, ranking, store
 from ..functions import text as tx
 from ..functions import timewin
 from . import views
-from .queries_filters import BUCKET, NORM, NOW, TOKENS, T, now, texts  # noqa: F401
+from .queries_filters import BUCKET, EARLY, NORM, NOW, TOKENS, T, now, texts  # noqa: F401
 from .registry import query, rows_sql
 
 P, E, C = views.POSTS, views.EVENTS, views.EVENTS + ", " + views.CALLS
 FP = f"sha256({NORM})"
 
 
+def early():
+    """Whether a post is one of the stored ones."""
+    return F.unix_seconds("published_at") < EARLY
+
+
 def keyed(df):
     """Posts with their fingerprint."""
     return df.withColumn("fingerprint", tx.fingerprint("text"))
@@ -44,13 +49,12 @@ def pending_digest_candidates(spark, sf_dir):
 
 # joins ---------------------------------------------------------------------------------------------------
 
-NEW = f"{P}, stored AS (SELECT group_id, channel, message_id FROM posts WHERE message_id % 3 = 0), incoming AS (SELECT *, 0 AS ord FROM posts WHERE message_id % 2 = 0 UNION ALL SELECT *, 1 FROM posts WHERE message_id % 4 = 0)"
+NEW = f"{P}, stored AS (SELECT group_id, channel, message_id FROM posts WHERE published_s < {EARLY}), incoming AS (SELECT *, 0 AS ord FROM posts UNION ALL SELECT *, 1 FROM posts)"
 
 
 def stored_and_new(spark, sf_dir):
     p = views.posts(spark, sf_dir)
-    new = p.where("message_id % 2 = 0").withColumn("ord", F.lit(0)).unionByName(p.where("message_id % 4 = 0").withColumn("ord", F.lit(1)))
-    return p.where("message_id % 3 = 0"), new
+    return p.where(early()), p.withColumn("ord", F.explode(F.array(F.lit(0), F.lit(1))))
 
 
 @query(f"WITH {NEW} SELECT i.group_id, i.channel, i.message_id, i.ord FROM incoming i ANTI JOIN stored USING (group_id, channel, message_id)")
@@ -65,13 +69,13 @@ def snk2_insert_if_absent(spark, sf_dir):
     return store.insert_if_absent(new, stored, [F.col("ord")]).select(*store.KEY, "ord")
 
 
-CLAIMS = f"claims AS (SELECT group_id, {FP} AS fingerprint, published_s AS claimed FROM posts WHERE message_id % 5 = 0)"
+CLAIMS = f"claims AS (SELECT group_id, {FP} AS fingerprint, published_s AS claimed FROM posts WHERE published_s < {EARLY})"
 
 
 @query(f"WITH {P}, {CLAIMS} SELECT message_id FROM posts WHERE EXISTS (SELECT 1 FROM claims c WHERE c.group_id = posts.group_id AND c.fingerprint = {FP} AND c.claimed >= {NOW - 86400})")
 def jn2_seen_recently(spark, sf_dir):
     p = keyed(views.posts(spark, sf_dir))
-    claims = p.where("message_id % 5 = 0").select("group_id", "fingerprint", F.unix_seconds("published_at").alias("claimed"))
+    claims = p.where(early()).select("group_id", "fingerprint", F.unix_seconds("published_at").alias("claimed"))
     return store.seen(p, claims, F.lit(NOW - 86400)).select("message_id")
 
 
@@ -80,39 +84,39 @@ ITEMS = "raw AS (SELECT conv_id % 50 AS message_id, turn AS pos, conv_id AS item
 
 def model_items(spark, sf_dir):
     c = views.table(spark, sf_dir, "conversations")
-    p = views.posts(spark, sf_dir).where("message_id % 2 = 0")
+    p = views.posts(spark, sf_dir).where(early())
     items = c.select((F.col("conv_id") % 50).alias("message_id"), F.col("turn").alias("pos"), F.col("conv_id").alias("item"), F.when(F.col("turn") % 3 != 0, F.col("turn") % 12).alias("score"))
     return items.join(p.select("message_id", "group_id", "channel"), "message_id"), p
 
 
-@query(f"WITH {P}, {ITEMS} SELECT message_id, item, pos FROM (SELECT r.*, row_number() OVER (PARTITION BY r.message_id ORDER BY pos, item) AS n FROM raw r JOIN posts p USING (message_id) WHERE r.message_id % 2 = 0) WHERE n = 1")
+@query(f"WITH {P}, {ITEMS} SELECT message_id, item, pos FROM (SELECT r.*, row_number() OVER (PARTITION BY r.message_id ORDER BY pos, item) AS n FROM raw r JOIN posts p USING (message_id) WHERE p.published_s < {EARLY}) WHERE n = 1")
 def jn4_first_known_item(spark, sf_dir):
     items, p = model_items(spark, sf_dir)
     return ranking.first_items(items.withColumn("pos", F.struct("pos", "item")), p).select("message_id", "item", "pos.pos")
 
 
-@query(f"WITH {P}, {ITEMS} SELECT r.item, r.pos, p.channel, p.published_s FROM raw r JOIN posts p USING (message_id) WHERE message_id % 2 = 0")
+@query(f"WITH {P}, {ITEMS} SELECT r.item, r.pos, p.channel, p.published_s FROM raw r JOIN posts p USING (message_id) WHERE p.published_s < {EARLY}")
 def jn5_item_to_post(spark, sf_dir):
     items, p = model_items(spark, sf_dir)
     return items.join(p.select(*store.KEY, "published_at"), list(store.KEY)).select("item", "pos", "channel", F.unix_seconds("published_at").alias("published_s"))
 
 
 @query(
-    f"""WITH {P}, {ITEMS}, f AS (SELECT message_id, any_value(score) AS score FROM (SELECT * FROM raw WHERE pos = 1 AND item < 50 AND message_id % 2 = 0) GROUP BY 1)
+    f"""WITH {P}, {ITEMS}, f AS (SELECT message_id, max(score) AS score FROM (SELECT * FROM raw WHERE pos = 1) GROUP BY 1)
     SELECT p.message_id, f.score AS item_score, CASE WHEN f.score IS NULL THEN CASE WHEN p.message_id % 10 = 0 THEN 'near_duplicate' ELSE 'digest_filtered' END WHEN p.message_id % 10 = 0 THEN 'near_duplicate' END AS filter_reason
-    FROM posts p LEFT JOIN f USING (message_id) WHERE p.message_id % 2 = 0"""
+    FROM posts p LEFT JOIN f USING (message_id) WHERE p.published_s < {EARLY}"""
 )
 def jn6_outcome(spark, sf_dir):
     items, p = model_items(spark, sf_dir)
     cand = p.withColumn("filter_reason", F.when(F.col("message_id") % 10 == 0, fixed.NEAR_DUPLICATE))
-    return ranking.outcome(cand, items.where("pos = 1 AND item < 50")).select("message_id", "item_score", "filter_reason")
+    return ranking.outcome(cand, items.where("pos = 1").groupBy(*store.KEY).agg(F.max("score").alias("score"))).select("message_id", "item_score", "filter_reason")
 
 
-@query(f"WITH {P} SELECT message_id, CASE WHEN message_id % 3 = 0 THEN message_id % 10 ELSE 7 END AS score FROM posts WHERE message_id % 3 = 0 OR message_id % 2 = 0")
+@query(f"WITH {P} SELECT message_id, CASE WHEN published_s < {EARLY} THEN message_id % 10 ELSE 7 END AS score FROM posts")
 def jn7_overnight_merge(spark, sf_dir):
-    p = views.posts(spark, sf_dir).select(*store.KEY)
-    archived = p.where("message_id % 3 = 0").withColumn("score", (F.col("message_id") % 10).cast("int"))
-    return ranking.merged_overnight(archived, p.where("message_id % 2 = 0")).select("message_id", F.col("score").cast("long").alias("score"))
+    p = views.posts(spark, sf_dir)
+    archived = p.where(early()).select(*store.KEY, (F.col("message_id") % 10).cast("int").alias("score"))
+    return ranking.merged_overnight(archived, p.select(*store.KEY)).select("message_id", F.col("score").cast("long").alias("score"))
 
 
 @query(
@@ -137,10 +141,10 @@ def jn10_group_settings(spark, sf_dir):
     return store.with_settings(views.posts(spark, sf_dir), groups, {"min_score": 7, "quiet_hours": "00:00-08:00"}).select("message_id", "min_score", "quiet_hours")
 
 
-@query(f"WITH {P} SELECT message_id, CASE WHEN message_id % 2 = 0 THEN scraped_s ELSE {NOW} END AS scraped_s FROM posts")
+@query(f"WITH {P} SELECT message_id, CASE WHEN published_s < {EARLY} THEN scraped_s ELSE {NOW} END AS scraped_s FROM posts")
 def jn11_scraped_or_now(spark, sf_dir):
     p = views.posts(spark, sf_dir)
-    read = p.where("message_id % 2 = 0").select(*store.KEY, F.unix_seconds("scraped_at").alias("s"))
+    read = p.where(early()).select(*store.KEY, F.unix_seconds("scraped_at").alias("s"))
     return p.select(*store.KEY).join(read, list(store.KEY), "left").select("message_id", F.coalesce("s", F.lit(NOW)).alias("scraped_s"))
 
 
@@ -318,9 +322,9 @@ def str3_paired_claims(spark, sf_dir):
 # top-k ---------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {P} SELECT group_id, message_id FROM posts WHERE message_id % 4 <> 0 ORDER BY scraped_s, message_id, group_id, channel LIMIT 100")
+@query(f"WITH {P} SELECT group_id, message_id FROM posts WHERE published_s >= {EARLY} ORDER BY scraped_s, message_id, group_id, channel LIMIT 100")
 def top1_pending(spark, sf_dir):
-    p = views.posts(spark, sf_dir).withColumn("evaluated_at", F.when(F.col("message_id") % 4 == 0, F.lit(1)))
+    p = views.posts(spark, sf_dir).withColumn("evaluated_at", F.when(early(), F.lit(1)))
     return ranking.pending(p, ranking.load_limit(20, 5)).select("group_id", "message_id")
 
 
@@ -360,20 +364,22 @@ def top8_photo_cap(spark, sf_dir):
 
 # writes --------------------------------------------------------------------------------------------------
 
-STATE = f"{P}, st AS (SELECT group_id, channel, message_id, CAST(NULL AS INTEGER) AS score, CASE WHEN message_id % 6 = 0 THEN 1 ELSE 0 END AS alert_sent FROM posts)"
+STATE = f"{P}, st AS (SELECT group_id, channel, message_id, published_s, CAST(NULL AS INTEGER) AS score, CASE WHEN message_id % 6 = 0 THEN 1 ELSE 0 END AS alert_sent FROM posts)"
 
 
-@query(f"WITH {STATE} SELECT message_id, CASE WHEN message_id % 3 = 0 THEN CAST(message_id % 10 AS INTEGER) ELSE score END AS score, alert_sent FROM st")
+@query(f"WITH {STATE} SELECT message_id, CASE WHEN published_s < {EARLY} THEN CAST(message_id % 10 AS INTEGER) ELSE score END AS score, alert_sent FROM st")
 def snk3_evaluation_update(spark, sf_dir):
-    st = views.posts(spark, sf_dir).select(*store.KEY, F.lit(None).cast("int").alias("score"), F.when(F.col("message_id") % 6 == 0, 1).otherwise(0).alias("alert_sent"))
-    u = st.where("message_id % 3 = 0").select(*store.KEY, (F.col("message_id") % 10).cast("int").alias("score"), F.lit(0).alias("alert_sent"))
+    p = views.posts(spark, sf_dir)
+    st = p.select(*store.KEY, F.lit(None).cast("int").alias("score"), F.when(F.col("message_id") % 6 == 0, 1).otherwise(0).alias("alert_sent"))
+    u = p.where(early()).select(*store.KEY, (F.col("message_id") % 10).cast("int").alias("score"), F.lit(0).alias("alert_sent"))
     return store.apply_updates(st, u).select("message_id", "score", "alert_sent")
 
 
-@query(f"WITH {STATE} SELECT message_id, CASE WHEN message_id % 4 = 0 THEN 1 ELSE alert_sent END AS alert_sent, CASE WHEN message_id % 8 = 0 THEN 9 END AS score FROM st")
+@query(f"WITH {STATE} SELECT message_id, CASE WHEN published_s < {EARLY} THEN 1 ELSE alert_sent END AS alert_sent, CASE WHEN published_s < {EARLY} AND message_id % 8 = 0 THEN 9 END AS score FROM st")
 def snk4_mark_sent(spark, sf_dir):
-    st = views.posts(spark, sf_dir).select(*store.KEY, F.lit(None).cast("int").alias("score"), F.when(F.col("message_id") % 6 == 0, 1).otherwise(0).alias("alert_sent"), F.lit(None).cast("timestamp").alias("alert_sent_at"), F.lit(None).cast("string").alias("summary"))
-    sent = st.where("message_id % 4 = 0").select(*store.KEY, now().alias("at"), F.when(F.col("message_id") % 8 == 0, 9).alias("score"), F.lit(None).cast("string").alias("summary"))
+    p = views.posts(spark, sf_dir)
+    st = p.select(*store.KEY, F.lit(None).cast("int").alias("score"), F.when(F.col("message_id") % 6 == 0, 1).otherwise(0).alias("alert_sent"), F.lit(None).cast("timestamp").alias("alert_sent_at"), F.lit(None).cast("string").alias("summary"))
+    sent = p.where(early()).select(*store.KEY, now().alias("at"), F.when(F.col("message_id") % 8 == 0, 9).alias("score"), F.lit(None).cast("string").alias("summary"))
     return store.mark_sent(st, sent).select("message_id", "alert_sent", "score")
 
 
@@ -395,9 +401,9 @@ def flt18_health(spark, sf_dir):
     return store.unhealthy(b, F.timestamp_seconds(F.lit(NOW + 30 * 86400)), F.lit(40000))
 
 
-@query(f"WITH {P} SELECT message_id FROM posts WHERE message_id % 5 = 0 OR published_s >= {NOW + 90 * 86400} - 90 * 86400")
+@query(f"WITH {P} SELECT message_id FROM posts WHERE length(text) < 1000 OR published_s >= {NOW + 90 * 86400} - 90 * 86400")
 def snk14_retention(spark, sf_dir):
-    p = views.posts(spark, sf_dir).withColumn("evaluated_at", F.when(F.col("message_id") % 5 != 0, F.col("published_at")))
+    p = views.posts(spark, sf_dir).withColumn("evaluated_at", F.when(F.length("text") >= 1000, F.col("published_at")))
     return store.retained(p, "evaluated_at", fixed.RETENTION_DAYS["posts"], F.timestamp_seconds(F.lit(NOW + 90 * 86400))).select("message_id")
 
 
