@@ -27,6 +27,7 @@ _GENERIC = frozenset(fixed.GENERIC_TOKENS)
 
 #: White space as Python's str methods know it, as a Java character class.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 FEATURES = "norm string, numbers array<string>, tokens array<string>, specific array<string>, event_key string"
 
@@ -95,23 +96,26 @@ def any_match(text: Column, *patterns: str) -> Column:
     """Whether any of the patterns matches.
 
     A pattern is tried only on texts that hold one of its literal words, which is much cheaper to see."""
-    low = F.translate(F.lower(text), "ſ", "s")  # the one letter that matches another case but isn't its lower case
-    out = F.lit(False)
-    for p in patterns:
-        hit = text.rlike(pattern(p))
-        words = needles(p)
-        if words:
-            guard = F.contains(low, F.lit(words[0]))
-            for w in words[1:]:
-                guard = guard | F.contains(low, F.lit(w))
-            hit = guard & hit
-        out = out | hit
-    return out
+    def tried(low: Column) -> Column:
+        out = F.lit(False)
+        for p in patterns:
+            hit = text.rlike(pattern(p))
+            words = needles(p)
+            if words:
+                guard = F.contains(low, F.lit(words[0]))
+                for w in words[1:]:
+                    guard = guard | F.contains(low, F.lit(w))
+                hit = guard & hit
+            out = out | hit
+        return out
+
+    # "ſ" is the one letter that matches another case but isn't its lower case
+    return let(F.translate(F.lower(text), "ſ", "s"), tried)
 
 
 def stripped(text: Column | str) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, rf"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def squeezed(text: Column | str) -> Column:
