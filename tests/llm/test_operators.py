@@ -309,6 +309,18 @@ def test_toxicity_held_out(spark):
     assert out[out.label == 1].toxic.mean() > 0.7 and out[out.label == 0].toxic.mean() < 0.02
 
 
+def test_toxicity_held_out_of_each_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels.where("doc_id % 4 <> 0"))
+    held = docs.join(labels.where("doc_id % 4 = 0").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    out = toxicity.score(held, model).join(held.select("doc_id", "lang", "label"), "doc_id").toPandas()
+    recall = out[out.label == 1].groupby("lang").toxic.mean().to_dict()
+    print(recall, "false alarms", out[out.label == 0].groupby("lang").toxic.mean().to_dict())
+    assert set(recall) == {"en", "de", "fr", "es"} and min(recall.values()) > 0.7
+    assert out[out.label == 0].groupby("lang").toxic.mean().max() < 0.02
+
+
 def test_chain_feeds_earlier_categories():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(800, 2))

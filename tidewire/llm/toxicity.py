@@ -4,10 +4,13 @@ Categories are predicted one after another. The model of a category sees word fe
 probabilities of all earlier categories; it is trained with out-of-fold predictions of those, so that it
 learns from probabilities as good as they are at scoring time.
 
-Word features: counts (log1p) of the words that tell toxic from other training documents best, by the
-z-score of their log odds, found in the training sample itself. The labels have one flag; the two
-categories before it are derived from it and the found words: `insulting` (flagged and at least one
-word that points to toxicity), `abusive` (flagged and at least three occurrences).
+Features: counts (log1p) of the words, and apart from them of the word beginnings of 5 to 7 letters, that
+tell toxic from other training documents best, by the z-score of their log odds, found in the training
+sample itself. Each kind has a list of its own, so that neither takes the other's places: beginnings find
+the stems of languages with many inflected forms, each too rare to be a feature. The labels have one flag;
+the two categories before it are derived from it and the found features: `insulting` (flagged and at least
+one word that points to toxicity by itself or by its beginning), `abusive` (flagged and at least three
+such occurrences). Languages written without spaces have only whole runs of letters and their beginnings.
 """
 
 from __future__ import annotations
@@ -20,13 +23,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
-#: Bounds of the training sample (labelled documents, chosen by a hash of doc_id) and of the word features.
+#: Bounds of the training sample (labelled documents, chosen by a hash of doc_id) and of the features of each kind.
 SAMPLE, FEATURES = 12_000, 192
-#: z-score from which a word points to toxicity, and documents it must occur in.
+#: z-score from which a feature points to toxicity, and documents it must occur in.
 POINTING_Z, MIN_DOCS = 5.0, 5
+#: Letters of the word beginnings.
+PREFIXES = (5, 6, 7)
+#: Words and beginnings of documents handed over at once; all are, this bounds a worker's memory only.
+FORM_ROWS = 20_000
 CATEGORIES = ("insulting", "abusive", "toxic")
 THRESHOLD = 0.5
 
@@ -38,32 +46,49 @@ def word(raw: str) -> str:
     return _EDGES.sub("", raw).lower()
 
 
+def forms(w: str) -> list[str]:
+    """A word's features: itself and its beginnings, marked by a star (no word ends in one)."""
+    return [w, *(w[:k] + "*" for k in PREFIXES if len(w) >= k)] if w else []
+
+
 class _Index(dict):
-    """Vocabulary number of each white-space word, -1 if it has none."""
+    """Number of the set of features that each white-space word has, -1 if it has none."""
 
     BOUND = 500_000
 
-    def __init__(self, vocabulary: list[str]):
+    def __init__(self, vocabulary: list[str], pointing: np.ndarray):
         super().__init__()
         self.number = {w: k for k, w in enumerate(vocabulary)}
+        self.pointing = pointing
+        self.sets: dict[tuple[int, ...], int] = {}
 
     def __missing__(self, raw: str) -> int:
         if len(self) > self.BOUND:
             self.clear()
-        n = self[raw] = self.number.get(word(raw), -1)
+        own = tuple(self.number[f] for f in forms(word(raw)) if f in self.number)
+        n = self[raw] = self.sets.setdefault(own, len(self.sets)) if own else -1
         return n
 
+    def members(self) -> np.ndarray:
+        """For each set its features, and last whether one of them points to toxicity."""
+        out = np.zeros((len(self.sets), len(self.number) + 1))
+        for own, k in self.sets.items():
+            out[k, list(own)] = 1
+            out[k, -1] = self.pointing[list(own)].any()
+        return out
+
 
 def counts(texts: list[str | None], index: _Index) -> np.ndarray:
-    """Occurrences of each vocabulary word in each text."""
-    out = np.zeros((len(texts), len(index.number)), dtype=np.float64)
-    for k, t in enumerate(texts):
+    """Occurrences of each feature in each text, and last those of words that point to toxicity."""
+    found = []
+    for t in texts:
         words = (t or "").split()
         n = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
-        n = n[n >= 0]
-        if len(n):
-            out[k] = np.bincount(n, minlength=out.shape[1])
-    return out
+        found.append(np.bincount(n[n >= 0]))
+    sets = np.zeros((len(texts), len(index.sets)))
+    for k, n in enumerate(found):
+        sets[k, : len(n)] = n
+    return sets @ index.members()
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 12) -> np.ndarray:
@@ -117,16 +142,12 @@ class Chain:
 @dataclass
 class Model:
     vocabulary: list[str]
-    pointing: np.ndarray  # whether each word points to toxicity
+    pointing: np.ndarray  # whether each feature points to toxicity
     chain: Chain | None  # None: nothing to learn from
     threshold: float = THRESHOLD
 
-    def features(self, n: np.ndarray) -> np.ndarray:
-        toward = n[:, self.pointing].sum(axis=1, keepdims=True)
-        return np.hstack([np.log1p(n), np.log1p(toward)])
-
     def score(self, n: np.ndarray) -> np.ndarray:
-        return self.chain.predict(self.features(n)) if self.chain else np.zeros((len(n), len(CATEGORIES)))
+        return self.chain.predict(np.log1p(n)) if self.chain else np.zeros((len(n), len(CATEGORIES)))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
@@ -139,47 +160,53 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("copy", F.xxhash64("text"))
     texts = common.materialize(texts.groupBy("copy").agg(F.min(F.struct("doc_id", "flag", "text")).alias("x")).select("x.*"), "toxicity-sample")
 
-    def distinct_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def distinct_forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(w, int(y)) for t, y in zip(f["text"], f["flag"], strict=True) for w in {word(r) for r in set(t.split())} if w]
+            rows = []
+            for t, y in zip(f["text"], f["flag"], strict=True):
+                rows += [(w, int(y)) for w in {x for r in set(t.split()) for x in forms(word(r))}]
+                if len(rows) > FORM_ROWS:
+                    yield pd.DataFrame(rows, columns=["word", "flag"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["word", "flag"])
 
     totals = dict(texts.groupBy("flag").count().collect())
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return Model([], np.zeros(0, bool), None)
-    df = texts.mapInPandas(distinct_words, "word string, flag long").groupBy("word").agg(F.sum("flag").alias("b"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
+    df = texts.mapInPandas(distinct_forms, "word string, flag long").groupBy("word").agg(F.sum("flag").alias("b"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
     b, g = F.col("b") + 0.5, F.col("n") - F.col("b") + 0.5
     z = (F.log(b / (bad + 1 - b)) - F.log(g / (good + 1 - g))) / F.sqrt(1 / b + 1 / g)
-    found = df.select("word", z.alias("z")).orderBy(F.abs("z").desc(), "word").limit(features).collect()
+    best = Window.partitionBy(F.col("word").endswith("*")).orderBy(F.abs("z").desc(), "word")
+    found = df.select("word", z.alias("z")).withColumn("k", F.row_number().over(best)).where(F.col("k") <= features).orderBy("word").collect()
     vocabulary, pointing = [r.word for r in found], np.array([r.z >= POINTING_Z for r in found], dtype=bool)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = _Index(vocabulary)
+        index = _Index(vocabulary, pointing)
         for f in frames:
             n = np.minimum(counts(list(f["text"]), index), 60_000).astype("<u2")
             yield pd.DataFrame({"doc_id": f["doc_id"], "flag": f["flag"], "n": [r.tobytes() for r in n]})
 
     rows = texts.mapInPandas(count, "doc_id long, flag int, n binary").toPandas().sort_values("doc_id")  # `sample` rows at most
     model = Model(vocabulary, pointing, None)
-    n = np.frombuffer(b"".join(rows["n"]), dtype="<u2").reshape(len(rows), len(vocabulary)).astype(np.float64)
+    n = np.frombuffer(b"".join(rows["n"]), dtype="<u2").reshape(len(rows), len(vocabulary) + 1).astype(np.float64)
     flag = rows["flag"].to_numpy() > 0
-    toward = n[:, pointing].sum(axis=1)
+    toward = n[:, -1]
     y = np.stack([flag & (toward >= 1), flag & (toward >= 3), flag], axis=1).astype(np.float64)
-    model.chain = Chain.fit(model.features(n), y, rows["doc_id"].to_numpy() % 5)
+    model.chain = Chain.fit(np.log1p(n), y, rows["doc_id"].to_numpy() % 5)
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, copy (hash of the text), a probability for each category, and toxic.
 
-    Null and empty texts get the scores of a text without any of the words. Texts of any length are read
+    Null and empty texts get the scores of a text without any of the features. Texts of any length are read
     whole. Every row is scored by itself, so repeated rows and null doc_ids don't matter.
     """
     common.small_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = _Index(model.vocabulary)
+        index = _Index(model.vocabulary, model.pointing)
         for f in frames:
             p = model.score(counts(list(f["text"]), index))
             out = pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "copy": f["copy"].astype("Int64")})
