@@ -22,3 +22,12 @@ def test_entry_gives_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_stored_side_of_item_joins_is_the_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    ids = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    convs = {r.conv_id for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().collect()}
+    assert {r.message_id for r in queries.QUERIES["jn6_outcome_all"](spark, sf).collect()} == ids
+    assert {r.message_id for r in queries.QUERIES["jn4_first_known_item_all"](spark, sf).collect()} == ids & convs
+    assert {r.item for r in queries.QUERIES["jn5_item_to_post_all"](spark, sf).collect()} == ids & convs

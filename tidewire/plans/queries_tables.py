@@ -112,6 +112,41 @@ def jn6_outcome(spark, sf_dir):
     return ranking.outcome(cand, items.where("pos = 1").groupBy(*store.KEY).agg(F.max("score").alias("score"))).select("message_id", "item_score", "filter_reason")
 
 
+# the same three joins with every post stored and every conversation as an item of the post with its id
+
+ALL_ITEMS = "raw AS (SELECT conv_id AS message_id, turn AS pos, conv_id AS item, CASE WHEN turn % 3 = 0 THEN NULL ELSE turn % 12 END AS score FROM conversations)"
+
+
+def all_items(spark, sf_dir):
+    c = views.table(spark, sf_dir, "conversations")
+    p = views.posts(spark, sf_dir)
+    items = c.select(F.col("conv_id").alias("message_id"), F.col("turn").alias("pos"), F.col("conv_id").alias("item"), F.when(F.col("turn") % 3 != 0, F.col("turn") % 12).alias("score"))
+    return items.join(p.select("message_id", "group_id", "channel"), "message_id"), p
+
+
+@query(f"WITH {P}, {ALL_ITEMS} SELECT message_id, item, pos FROM (SELECT r.*, row_number() OVER (PARTITION BY r.message_id ORDER BY pos, item) AS n FROM raw r JOIN posts p USING (message_id)) WHERE n = 1")
+def jn4_first_known_item_all(spark, sf_dir):
+    items, p = all_items(spark, sf_dir)
+    return ranking.first_items(items.withColumn("pos", F.struct("pos", "item")), p).select("message_id", "item", "pos.pos")
+
+
+@query(f"WITH {P}, {ALL_ITEMS} SELECT r.item, r.pos, p.channel, p.published_s FROM raw r JOIN posts p USING (message_id)")
+def jn5_item_to_post_all(spark, sf_dir):
+    items, p = all_items(spark, sf_dir)
+    return items.join(p.select(*store.KEY, "published_at"), list(store.KEY)).select("item", "pos", "channel", F.unix_seconds("published_at").alias("published_s"))
+
+
+@query(
+    f"""WITH {P}, {ALL_ITEMS}, f AS (SELECT message_id, max(score) AS score FROM (SELECT * FROM raw WHERE pos = 1) GROUP BY 1)
+    SELECT p.message_id, f.score AS item_score, CASE WHEN f.score IS NULL THEN CASE WHEN p.message_id % 10 = 0 THEN 'near_duplicate' ELSE 'digest_filtered' END WHEN p.message_id % 10 = 0 THEN 'near_duplicate' END AS filter_reason
+    FROM posts p LEFT JOIN f USING (message_id)"""
+)
+def jn6_outcome_all(spark, sf_dir):
+    items, p = all_items(spark, sf_dir)
+    cand = p.withColumn("filter_reason", F.when(F.col("message_id") % 10 == 0, fixed.NEAR_DUPLICATE))
+    return ranking.outcome(cand, items.where("pos = 1").groupBy(*store.KEY).agg(F.max("score").alias("score"))).select("message_id", "item_score", "filter_reason")
+
+
 @query(f"WITH {P} SELECT message_id, CASE WHEN published_s < {EARLY} THEN message_id % 10 ELSE 7 END AS score FROM posts")
 def jn7_overnight_merge(spark, sf_dir):
     p = views.posts(spark, sf_dir)
