@@ -31,3 +31,10 @@ def test_stored_side_of_item_joins_is_the_whole_table(spark):
     assert {r.message_id for r in queries.QUERIES["jn6_outcome_all"](spark, sf).collect()} == ids
     assert {r.message_id for r in queries.QUERIES["jn4_first_known_item_all"](spark, sf).collect()} == ids & convs
     assert {r.item for r in queries.QUERIES["jn5_item_to_post_all"](spark, sf).collect()} == ids & convs
+
+
+def test_digest_candidates_come_from_the_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    got, want = both(spark, sf, queries.QUERIES["pending_digest_candidates_all"], queries.SQL["pending_digest_candidates_all"])
+    column = sorted(["group_id", "channel", "message_id", "fingerprint", "rank"]).index("message_id")
+    assert got == want and max(r[column] for r in got) > 602

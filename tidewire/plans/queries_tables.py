@@ -47,6 +47,23 @@ def pending_digest_candidates(spark, sf_dir):
     return ranking.batch(kept, BATCH).select("group_id", "channel", "message_id", "fingerprint", "rank")
 
 
+@query(
+    f"""WITH {P}, clock AS (SELECT max(published_s) AS latest FROM posts), fresh AS (SELECT posts.*, {FP} AS fingerprint FROM posts, clock WHERE latest - published_s >= -120),
+    u AS (SELECT *, row_number() OVER (PARTITION BY group_id, fingerprint ORDER BY published_s DESC, channel, message_id) AS k FROM fresh),
+    kept AS (SELECT * FROM u WHERE k = 1 AND ({BUCKET.replace("WHEN group_id <> 'intl'", "WHEN FALSE AND group_id <> 'intl'")}) IS NULL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY published_s DESC, channel, message_id) AS rank FROM kept)
+    SELECT group_id, channel, message_id, fingerprint, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= {BATCH}"""
+)
+def pending_digest_candidates_all(spark, sf_dir):
+    """The same batch at the time of the latest post, with posts of any age."""
+    posts = views.posts(spark, sf_dir)
+    clock = posts.agg(F.max("published_at").alias("latest"))
+    posts = posts.crossJoin(F.broadcast(clock)).where(timewin.fresh(F.col("published_at"), 0, F.col("latest"))).drop("latest")
+    unique = ranking.newest_by_fingerprint(keyed(posts)).where("NOT duplicate")
+    kept = unique.where(filters.bucket(F.col("text")).isNull()).withColumn("urgent", filters.is_urgent(F.col("text")))
+    return ranking.batch(kept, BATCH).select("group_id", "channel", "message_id", "fingerprint", "rank")
+
+
 # joins ---------------------------------------------------------------------------------------------------
 
 NEW = f"{P}, stored AS (SELECT group_id, channel, message_id FROM posts WHERE published_s < {EARLY}), incoming AS (SELECT *, 0 AS ord FROM posts UNION ALL SELECT *, 1 FROM posts)"
