@@ -86,6 +86,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than this share of the rows is joined by a broadcast of its own: at most as many keys as the inverse.
+HOT_SHARE = 1 / 512
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: list[str], count: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key and in `count` the key's rows on the left.
+
+    Keys beyond HOT_SHARE of the left rows (so 512 of them at most) are broadcast, which leaves their rows where they
+    are; the other keys are small beside a task and go by a shuffle. Both tables should be written ones. `count` isn't kept."""
+    most = max(1, int(left.count() * HOT_SHARE))
+    hot, rest = (right.where(F.col(count) > most).drop(count), right.where(F.col(count) <= most).drop(count))
+    by_hot = left.join(F.broadcast(hot), key, how)
+    others = left.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key, how)
+    return by_hot.unionByName(others)
+
+
 def whole_groups(frames: Iterator[pd.DataFrame], key: list[str], rows: int = 20_000) -> Iterator[pd.DataFrame]:
     """From frames sorted by key, frames of about `rows` rows that never cut a group in two."""
     held: list[pd.DataFrame] = []

@@ -1,17 +1,21 @@
 """Removal of passages that repeat within and across documents, in DataFrame functions only.
 
-Winnowing over line hashes. The winnowing window at a line is the shortest run of lines from there on
-that holds `min_words` words; its smallest line hash is the window's fingerprint. A repeated run of at
-least `min_words` words holds at least one whole window, so a fingerprint of it is found in both places.
-Fingerprints are joined with the hash of their window, which confirms the match, to the first position
-(smallest doc_id, then line) that has it. Matches are extended both ways: every window that starts in a
-run extends it forwards and the mirrored windows, which end at a line, extend it backwards, so the
-matched windows cover the repeated run to its last line at either end. All lines of later runs go.
-
-Windows are not thinned out further: a passage may be as short as one window, and then each one counts.
-
-A document's lines are the parts of its text between \\n characters. Lines without a word take part in
-no window and stay. Two windows of the same document match only where they don't overlap.
+Winnowing over line hashes.
+
+1. Select. The winnowing window at a line is the shortest run of lines from there on that holds `min_words` words. Of
+   each window the rightmost smallest line hash is selected; neighbouring windows mostly select the same line, so only
+   some lines become fingerprints, and any repeated run of `min_words` words holds one that is selected in both places.
+2. Join positions. Fingerprints are counted over all selected positions. Those at a single position drop out here, and
+   with them nearly all of the text; only windows around the others go on.
+3. Extend. Around a position a match is extended backwards by the windows that start before it and forwards, line by
+   line, past the end of each window until the next window takes over (fewer than `min_words` words). Every extension is
+   compared, by a second hash of its lines, with the first place (smallest doc_id, then line) that has the same fingerprint
+   and lines; so a run is found whatever other runs share its fingerprint, and no pair of places is enumerated.
+4. Delete. All lines of runs that aren't the first go.
+
+A document's lines are the parts of its text between \n characters. Lines without a word take part in
+no window and stay. Two runs of the same document match only where they don't overlap. Fingerprint and
+lines are hashed independently, so a match rests on 128 bits.
 """
 
 from __future__ import annotations
@@ -39,28 +43,36 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """Whole windows that start or end at each line: doc_id, copy, first, last, fingerprint and window hashes."""
+    """Whole windows by the line they start at: doc_id, copy, first, the selected fingerprint, whether its position is
+    selected here for the first time, and runs (last, k: hash of the lines): the window and its extensions by a line each."""
     by_doc = Window.partitionBy(*DOC).orderBy("line")
     placed = lines.withColumn("until", F.sum("words").over(by_doc.rowsBetween(Window.unboundedPreceding, 0))).withColumn("since", F.col("until") - F.col("words"))
     ahead = Window.partitionBy(*DOC).orderBy("since").rangeBetween(0, min_words - 1)
-    back = Window.partitionBy(*DOC).orderBy("until").rangeBetween(-(min_words - 1), 0)
-
-    def over(w, first, last):
-        return F.struct(
-            first.alias("first"), last.alias("last"), F.sum("words").over(w).alias("n"), F.min("h1").over(w).alias("fingerprint"),
-            F.xxhash64(F.collect_list("h1").over(w)).alias("k1"), F.xxhash64(F.lit(2), F.collect_list("h2").over(w)).alias("k2"),
-        )
-
-    both = placed.select(*DOC, over(ahead, F.col("line"), F.max("line").over(ahead)).alias("f"), over(back, F.min("line").over(back), F.col("line")).alias("b"))
-    return both.select(*DOC, F.posexplode(F.array("f", "b")).alias("kind", "w")).where(F.col("w.n") >= min_words).select(*DOC, "kind", "w.*").drop("n")
+    # extensions end where the lines after the first one reach min_words: from there on the next window holds them
+    beyond = Window.partitionBy(*DOC).orderBy("until").rangeBetween(0, min_words - 1)
+    least = F.min(F.struct("h1", (-F.col("line")).alias("at"))).over(ahead)
+    found = placed.select(
+        *DOC, F.col("line").alias("first"), "since", least.alias("least"), F.sum("words").over(ahead).alias("n"), F.count("*").over(ahead).alias("size"),
+        F.collect_list(F.struct("line", "h2")).over(ahead).alias("inside"), F.collect_list(F.struct("line", "h2")).over(beyond).alias("through"),
+    ).where(F.col("n") >= min_words)
+    # both lists begin at the window's first line: the longer one holds the other
+    found = found.withColumn("lines", F.when(F.size("through") > F.col("size"), F.col("through")).otherwise(F.col("inside")))
+    ends = F.sequence(F.col("size").cast("int"), F.size("lines"))
+    runs = F.transform(ends, lambda m: F.struct(F.element_at("lines", m)["line"].alias("last"), F.xxhash64(F.slice("lines", F.lit(1), m)["h2"]).alias("k")))
+    new = F.coalesce(F.col("least.at") != F.lag("least.at").over(Window.partitionBy(*DOC).orderBy("since")), F.lit(True))
+    return found.select(*DOC, "first", F.col("least.h1").alias("fingerprint"), new.alias("new"), runs.alias("runs"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Maximal runs of lines to remove: doc_id, copy, runs (array of first, last)."""
-    found = common.materialize(windows(line_table(docs), min_words), "windows")
-    key = ["kind", "fingerprint", "k1", "k2"]
-    firsts = found.groupBy(*key).agg(F.min(F.struct(*DOC, "first", "last")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(firsts, key).where("doc_id <> origin.doc_id OR copy <> origin.copy OR first > origin.last").select(*DOC, "first", "last")
+    found = common.materialize(windows(line_table(docs), min_words), "fingerprints")
+    twice = found.where("new").groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")
+    near = common.spread_join(found, common.materialize(twice, "repeated"), ["fingerprint"], "n", "left_semi")
+    near = common.materialize(near.select(*DOC, "first", "fingerprint", F.explode("runs").alias("run")).select(*DOC, "first", "fingerprint", "run.*"), "positions")
+    key = ["fingerprint", "k"]
+    firsts = near.groupBy(*key).agg(F.min(F.struct(*DOC, "first", "last")).alias("origin"), F.count("*").alias("n")).where("n > 1")
+    later = common.spread_join(near, common.materialize(firsts, "origins"), key, "n")
+    later = later.where("doc_id <> origin.doc_id OR copy <> origin.copy OR first > origin.last").select(*DOC, "first", "last")
     by_doc = Window.partitionBy(*DOC).orderBy("first", "last")
     spread = later.distinct().withColumn("reach", F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)))
     runs = spread.withColumn("run", F.sum(F.when(F.col("first") <= F.col("reach") + 1, 0).otherwise(1)).over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
