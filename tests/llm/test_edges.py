@@ -116,11 +116,22 @@ def test_warc(spark, tmp_path):
     assert warc.write_archives(pages, f"file://{tmp_path}/m", least_bytes=5).where("kind = 'archive'").count() > 0
 
 
-def test_language(docs):
+def test_language(spark, docs):
     out = {(r.doc_id, r.lang_pred) for r in langid.predict(docs, langid.train(docs)).collect()}
     assert {(2, "und"), (3, "und"), (4, "und"), (11, "und")} <= out
+    assert len(langid.predict(docs, langid.train(docs)).collect()) == N
     assert {r.lang_pred for r in langid.predict(docs, langid.train(empty(docs))).collect()} == {"und"}
     assert langid.predict(empty(docs), langid.train(docs)).count() == 0
+    same = langid.Model({"b": b" one text ", "a": b" one text "})
+    assert same.predict(["one text", "²½ Ⅷ ①", "ª", "漢字 e\u0301"])[:2] == [("b", 0.5), ("und", 0.0)]
+    tied = langid.train(spark.createDataFrame([(1, "one text", "b"), (1, "one text", "a")], "doc_id long, text string, lang string"))
+    assert tied.predict(["one text"]) == [("a", 0.5)]
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(k, f"common words of text {k % 7}", "en") for k in range(300)] + [(1000 + k, "".join(chr(97 + (k * 7 + j * j) % 26) for j in range(30)), f"l{k:03}") for k in range(250)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.texts) == 251 and sum(map(len, model.texts.values())) <= langid.TOTAL
 
 
 def test_pipeline_stages_take_empty_tables(spark, sf):

@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -334,17 +335,41 @@ def test_chain_feeds_earlier_categories():
 # languages
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text("ab ", max_size=40), st.text("abc ", max_size=40))
-def test_phrases_are_longest_matches(train, text):
-    n, i = 0, 0
+def plain_phrases(train, text):
+    n = i = 0
     while i < len(text):
         k = 1
-        while i + k < len(text) + 1 and text[i : i + k] in train:
+        while i + k <= len(text) and text[i : i + k] in train:
             k += 1
         i += max(1, k - 1)
         n += 1
-    assert langid.phrases(text, langid.automaton(train)) == n
+    return n
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab ", max_size=40), min_size=1, max_size=3), st.lists(st.text("abcé ", max_size=90), max_size=4), st.sampled_from([1, 4, 7, 256]))
+def test_phrases_are_longest_matches_over_whole_texts(trains, some, lane):
+    trains, some, old = [t.encode() for t in trains], [t.encode() for t in some], langid.LANE
+    langid.LANE = lane
+    try:
+        got = langid.Parser(trains).counts(some)
+    finally:
+        langid.LANE = old
+    assert got.tolist() == [[plain_phrases(t, x) for t in trains] for x in some]
+
+
+def test_language_query_equals_a_plain_parse(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs.where("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 <> 2"))
+    got = {r.doc_id: r for r in langid.op9_language_id(spark, sf).collect()}
+    rows = docs.collect()
+    assert set(got) == {r.doc_id for r in rows}
+    for r in rows:
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    for r in rows[:12]:
+        clean = " " + " ".join("".join(c if unicodedata.category(c)[0] in "LM" else " " for c in r.text.lower()).split()) + " "
+        cost = {k: plain_phrases(t, clean.encode()) * np.log2(len(t) + 2) for k, t in model.texts.items()}
+        assert got[r.doc_id].lang_pred == min(cost, key=cost.get)
 
 
 def test_language_held_out(spark):

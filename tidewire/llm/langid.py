@@ -2,16 +2,22 @@
 
 For each language a suffix automaton of labelled text accepts exactly the substrings of that text. A
 document is cut into phrases, each the longest one that the automaton accepts (or a single unknown
-character); the entropy per character under a language is (phrases * log2 of the text's length) /
-characters. The language with the fewest phrases, so normalised, wins.
+symbol); the entropy per symbol under a language is (phrases * log2 of the training text's length) /
+symbols. The language with the fewest phrases, so normalised, wins.
 
-Text is reduced to its words' letters in lower case. Phrases are cut word by word, each word standing
-between blanks, so that the phrases of a word can be kept in a cache.
+Text is reduced to its letters (with their combining marks) in lower case and single blanks for all else,
+and is read as UTF-8 bytes, so that automata have few symbols in any script. Phrases run across words.
+
+Parsing is the same for all texts and languages at once: texts are cut into lanes of `LANE` symbols that
+step together through one table of all automata. Lanes after a text's first start as if a phrase began
+there; then each is parsed again from the state in which the lane before it really ends, until both parses
+are in the same state, from where on they agree. So counts are those of parsing a text from end to end.
 """
 
 from __future__ import annotations
 
-import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,25 +29,42 @@ from pyspark.sql import functions as F
 from . import common
 from .quality import remainder
 
-#: Bounds of the training sample for each language: documents (chosen by a hash), characters taken from
-#: one of them, characters in all.
-DOCUMENTS, EXCERPT, CHARACTERS = 80, 3_000, 80_000
-#: Languages learned at most: the most frequent ones.
-LANGUAGES = 200
+#: Bounds of the training sample for each language: documents (chosen by a hash), letters and blanks taken from one
+#: of them, bytes in all. All languages together learn from TOTAL bytes at most, in equal parts; none is left out.
+DOCUMENTS, EXCERPT, CHARACTERS, TOTAL = 80, 3_000, 80_000, 1_000_000
 UNKNOWN = "und"
-
-_EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-_INNER = re.compile(r"[\W\d_]+")
-
-
-def letters(raw: str) -> str:
-    """A white-space word's letters in lower case; parts between other characters are joined by blanks."""
-    return _INNER.sub(" ", _EDGES.sub("", raw)).lower()
-
-
-def automaton(text: str) -> list[dict[str, int]]:
-    """Transitions of the suffix automaton of a text; state 0 is the start and every state accepts."""
-    step: list[dict[str, int]] = [{}]
+#: Symbols in a lane, and bytes of text parsed at once.
+LANE, SLICE = 256, 4_000_000
+
+_kinds: list[np.ndarray] = []
+
+
+def _kind() -> np.ndarray:
+    """For each code point: 0 other, 1 letter, 2 combining mark."""
+    if not _kinds:
+        first = (unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1))
+        _kinds.append(np.fromiter(({"L": 1, "M": 2}.get(c, 0) for c in first), dtype=np.uint8, count=sys.maxunicode + 1))
+    return _kinds[0]
+
+
+def letters(text: str | None) -> bytes:
+    """A text's letters in lower case, in UTF-8, with a blank before, between and after runs of them; empty without letters."""
+    raw = (text or "").lower().encode("utf-32-le", "surrogatepass")
+    points = np.frombuffer(raw, dtype=np.uint32)
+    kind = _kind()[points]
+    if not (kind == 1).any():
+        return b""
+    keep = kind > 0
+    gap = ~keep
+    gap[1:] &= keep[:-1]  # the first of each run of others
+    shown = keep | gap
+    out = np.where(keep, points, 32)[shown].astype("<u4").tobytes().decode("utf-32-le")
+    return f" {out.strip(' ')} ".encode()
+
+
+def automaton(text) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of a sequence; state 0 is the start and every state accepts."""
+    step: list[dict] = [{}]
     link, size = [-1], [0]
     last = 0
     for c in text:
@@ -70,94 +93,168 @@ def automaton(text: str) -> list[dict[str, int]]:
     return step
 
 
-def phrases(text: str, step: list[dict[str, int]]) -> int:
-    """Number of longest-match phrases of a text."""
-    n = state = 0
-    start = step[0]
-    for c in text:
-        nxt = step[state].get(c)
-        if nxt is None:
-            n += state != 0  # the phrase so far ends
-            nxt = start.get(c, 0)
-            n += nxt == 0  # a character that the language doesn't have
-        state = nxt
-    return n + (state != 0)
-
-
-class _Counts(dict):
-    """For each white-space word its characters and its phrases under each language, as fields of one integer."""
-
-    BOUND, BITS = 300_000, 40  # a field holds the sum over a text of up to 2^39 characters
-
-    def __init__(self, texts: list[str]):
-        super().__init__()
-        self.steps = [automaton(t) for t in texts]
-
-    def __missing__(self, raw: str) -> int:
-        word = letters(raw)
-        n = 0
-        if word:
-            for s in reversed(self.steps):
-                n = (n | phrases(f" {word} ", s)) << self.BITS
-            n |= len(word) + 2
-        if len(self) > self.BOUND:
-            self.clear()
-        if len(raw) <= 64:
-            self[raw] = n
-        return n
+class Parser:
+    """Counts the phrases of texts under several automata.
+
+    One flat table: a state is the place of its row; the entry of a symbol is four times the next state, plus 1 if a
+    phrase ends before the symbol, plus 2 if the symbol is unknown. Restarts are in the table: a symbol that doesn't continue a phrase ends it and
+    leads where the start state leads, or, if the language doesn't have it, is a phrase of its own."""
+
+    def __init__(self, texts: list[bytes]):
+        used = sorted(set(b"".join(texts)))
+        self.symbol = np.full(256, len(used), dtype=np.uint8)  # any other byte
+        self.symbol[used] = np.arange(len(used))
+        self.pad = len(used) + 1
+        width = self.pad + 1
+        steps = [automaton(t) for t in texts]
+        self.roots = np.cumsum([0] + [len(s) for s in steps[:-1]]) * width if texts else np.zeros(0, np.int64)
+        self.table = np.empty((sum(map(len, steps)), width), dtype=np.int32)
+        at = 0
+        for s, root in zip(steps, self.roots.tolist(), strict=True):
+            start = np.full(width, 4 * root + 2, dtype=np.int64)  # an unknown symbol: a phrase, and the start again
+            for c, q in s[0].items():
+                start[self.symbol[c]] = 4 * (root + q * width)
+            rows = self.table[at : at + len(s)]
+            rows[0] = start
+            rows[1:] = start + 1  # the phrase so far ends
+            state = np.repeat(np.arange(len(s)), [len(x) for x in s])
+            symbols = self.symbol[np.fromiter((c for x in s for c in x), dtype=np.int64, count=len(state))]
+            rows[state, symbols] = 4 * (root + width * np.fromiter((q for x in s for q in x.values()), dtype=np.int64, count=len(state)))
+            rows[:, self.pad] = 4 * (root + width * np.arange(len(s)))
+            at += len(s)
+        self.table = self.table.ravel()
+
+    def _run(self, lanes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each lane (rows: symbols in order, columns: lanes) from the given states, and the states at its end."""
+        n = np.zeros(state.shape, dtype=np.int32)
+        for symbols in lanes:
+            v = self.table[state + symbols[:, None]]
+            # at most an ended phrase (bit 0) and one unknown symbol (bit 1)
+            n += (v & 1) + (v >> 1 & 1)
+            state = v >> 2
+        return n, state
+
+    def _mend(self, lanes: np.ndarray, true: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For single lanes: phrases of the parse from `true` less those of the parse from `root`, both until they meet; the
+        true end state; and whether they met."""
+        n, end, met = np.zeros(len(true), dtype=np.int64), np.zeros(len(true), dtype=np.int32), true == root
+        left = np.flatnonzero(~met)
+        a, b, own = true[left].astype(np.int32), root[left].astype(np.int32), lanes[:, left]
+        for k in range(len(lanes)):
+            if not len(left):
+                break
+            x, y = self.table[a + own[k]], self.table[b + own[k]]
+            n[left] += (x & 1) + (x >> 1 & 1) - (y & 1) - (y >> 1 & 1)
+            a, b = x >> 2, y >> 2
+            same = a == b
+            if same.any():
+                met[left[same]] = True
+                left, a, b, own = left[~same], a[~same], b[~same], own[:, ~same]
+        end[left] = a
+        return n, end, met
+
+    def counts(self, texts: list[bytes]) -> np.ndarray:
+        """Phrases of each text under each automaton."""
+        out = np.zeros((len(texts), len(self.roots)), dtype=np.int64)
+        some = [k for k, t in enumerate(texts) if t]
+        if not some or not len(self.roots):
+            return out
+        lengths = np.array([-(-len(texts[k]) // LANE) for k in some])  # lanes of each text
+        first = np.cumsum(lengths) - lengths
+        flat = np.full(int(lengths.sum()) * LANE, self.pad, dtype=np.uint8)
+        for k, f in zip(some, first.tolist(), strict=True):
+            flat[f * LANE : f * LANE + len(texts[k])] = self.symbol[np.frombuffer(texts[k], dtype=np.uint8)]
+        lanes = np.ascontiguousarray(flat.reshape(-1, LANE).T).astype(np.int32)
+        root = np.tile(self.roots.astype(np.int32), (lanes.shape[1], 1))
+        n, end = self._run(lanes, root)
+        n = n.astype(np.int64)
+        spoken = end.copy()  # the end of a lane that starts at the root
+        todo = np.ones(lanes.shape[1], dtype=bool)
+        todo[first] = False
+        base, todo = n.copy(), np.repeat(todo[:, None], len(self.roots), axis=1)
+        while todo.any():
+            lane, lang = np.nonzero(todo)
+            diff, mended, met = self._mend(lanes[:, lane], end[lane - 1, lang], root[lane, lang])
+            n[lane, lang] = base[lane, lang] + diff
+            now = np.where(met, spoken[lane, lang], mended)
+            moved = now != end[lane, lang]
+            end[lane, lang] = now
+            todo[:] = False  # a lane whose end moved changes the one after it, if that is of the same text
+            lane, lang = lane[moved] + 1, lang[moved]
+            inside = lane < len(todo)
+            todo[lane[inside], lang[inside]] = True
+            todo[first] = False
+        out[some] = np.add.reduceat(n, first, axis=0)
+        out[some] += end[first + lengths - 1] != root[0]  # the last phrase ends with the text
+        return out
 
 
 @dataclass
 class Model:
-    """Training text of each language, in order of their names."""
+    """Training text of each language as letters(), in order of their names."""
 
-    texts: dict[str, str]
-    _counts: _Counts | None = field(default=None, repr=False)
+    texts: dict[str, bytes]
+    _parser: Parser | None = field(default=None, repr=False)
 
     def __getstate__(self):  # automata are built again where they are needed
-        return {"texts": self.texts, "_counts": None}
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and a score; UNKNOWN and 0 for texts without letters."""
-        if self._counts is None:
-            self._counts = _Counts(list(self.texts.values()))
-        packed = sum(map(self._counts.__getitem__, (text or "").split()))
-        if not packed or not self.texts:
-            return UNKNOWN, 0.0
-        low = (1 << _Counts.BITS) - 1
-        chars = packed & low
-        total = np.array([packed >> (_Counts.BITS * (k + 1)) & low for k in range(len(self.texts))], dtype=np.float64)
-        bits = total * np.log2([len(t) + 2 for t in self.texts.values()])
-        best = int(np.argmin(bits))
-        # short texts differ by a few phrases and so stay uncertain; long ones are compared per 200 characters
-        odds = np.exp(-(bits - bits[best]) * min(1.0, 200 / chars) * np.log(2))
-        return list(self.texts)[best], float(1 / odds.sum())
+        return {"texts": self.texts, "_parser": None}
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language and a score for each text; UNKNOWN and 0 for texts without letters."""
+        if self._parser is None:
+            self._parser = Parser(list(self.texts.values()))
+        out: list[tuple[str, float]] = []
+        held: list[bytes] = []
+        for t in texts:
+            held.append(letters(t))
+            if sum(map(len, held)) >= SLICE:
+                out += self._judge(held)
+                held = []
+        return out + self._judge(held)
+
+    def _judge(self, clean: list[bytes]) -> list[tuple[str, float]]:
+        names, cost = list(self.texts), np.log2([len(t) + 2 for t in self.texts.values()])
+        out = []
+        for t, n in zip(clean, self._parser.counts(clean), strict=True):
+            if not t or not names:
+                out.append((UNKNOWN, 0.0))
+                continue
+            bits = n * cost
+            best = int(np.argmin(bits))
+            # short texts differ by a few phrases and so stay uncertain; long ones are compared per 200 symbols
+            odds = np.exp(-(bits - bits[best]) * min(1.0, 200 / len(t)) * np.log(2))
+            out.append((names[best], float(1 / odds.sum())))
+        return out
 
 
 def train(docs: DataFrame) -> Model:
-    """Learn from text and lang of docs; rows where either is null, or the text has no letter, teach nothing."""
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text")
-    total = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    """Learn from text and lang of docs; rows where either is null, or the text has no letter, teach nothing.
+
+    Every lang value is learned, the rare ones too: with many of them each gets an equal part of TOTAL."""
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text").where(F.col("text").rlike(r"\p{L}"))
+    total = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # a row for each language
     if not total:
         return Model({})
     rate = F.create_map(*[F.lit(v) for r in total for v in (r.lang, min(1.0, 4 * DOCUMENTS / r.n))])
     draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 40)) / float(1 << 40)
     # about 4 * DOCUMENTS rows of each language, however frequent it is
     drawn = rows.withColumn("h", draw).where(F.col("h") < F.try_element_at(rate, F.col("lang")))
-    part = drawn.select("lang", "h", F.substring("text", 1, EXCERPT).alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    part = drawn.select("lang", "h", F.substring(F.regexp_replace("text", r"[^\p{L}\p{M}]+", " "), 1, EXCERPT).alias("text"))
     kept = part.groupBy("lang").agg(F.slice(F.sort_array(F.collect_set(F.struct("h", "text"))), 1, DOCUMENTS).alias("x"))
-    texts = {}
+    texts, most = {}, min(CHARACTERS, TOTAL // len(total))
     for r in sorted(kept.collect(), key=lambda r: r.lang):  # DOCUMENTS * EXCERPT characters of each language at most
-        words = [w for x in r.x for raw in x.text.split() if (w := letters(raw))]
-        texts[r.lang] = (" " + " ".join(words) + " ")[:CHARACTERS]
+        text = letters(" ".join(x.text for x in r.x))[:most].decode("utf-8", "ignore")  # not inside a character
+        if clean := letters(text):
+            texts[r.lang] = clean
     return Model(texts)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) for each row of docs.
 
-    Null texts and texts without a letter are UNKNOWN with score 0. Whole texts are read, whatever their
-    length; rows are read one by one, so repeated rows and null ids don't matter; equal languages go by name.
+    Null texts and texts without a letter (digits and signs such as ² or Ⅷ are none) are UNKNOWN with score 0. Whole texts
+    are read, whatever their length; rows are read one by one, so repeated rows and null ids don't matter;
+    equal languages go by name.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -166,7 +263,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for f in frames:
-            found = [m.predict(t) for t in f["text"]]
+            found = m.predict(list(f["text"]))
             yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
