@@ -225,28 +225,112 @@ def test_template_catches_reparameterised_items_only_if_slots_agree(spark):
     assert {1, 2} <= set(got) and got[2] == 1 and 4 not in got and got.get(3, 0) < 1
 
 
-def test_decontamination_equals_plain(spark, sf, texts):
-    bench = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
-
-    def canonical(text):
-        out, start = [], True
-        for w in text.split():
-            token, _, mid, _, ends = decontam.classify(w)
-            if token is not None:
-                out.append((token if start else mid, (decontam.classify(w)[1] if start else decontam.classify(w)[3])))
-            start = ends
+class PlainTemplates:
+    """Items found in texts, by lists of tokens and a search of every window; its own word classes."""
+
+    NUMBER = r"[+-]?[$€£]?[0-9][0-9.,/:]*"
+    EDGE = set("!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~…«»“”„‘’–—¿¡")
+
+    def tokens(self, text, inside=False):
+        out, start = [], not inside
+        for w in (text or "").split():
+            tail = w
+            while tail and tail[-1] in "'\")]»”’*_":
+                tail = tail[:-1]
+            core = w
+            while core and core[0] in self.EDGE:
+                core = core[1:]
+            while core and core[-1] in self.EDGE:
+                core = core[:-1]
+            if any(c.isalnum() for c in core) or core in decontam.UNITS:
+                out.append(self.kind(core, start) + (core.lower(), w.strip(".,;:!?")))
+            start = tail != "" and tail[-1] in ".!?:…"
         return out
 
-    grams = lambda c, n: {tuple(t for t, _ in c[i : i + n]) for i in range(len(c) - n + 1) if sum(k == 0 for _, k in c[i : i + n]) >= 4}
-    items = {k: canonical(t) for k, t in bench.items()}
-    want = {}
+    def kind(self, core, start):
+        low = core.lower()
+        if low in decontam.UNITS:
+            return "<unit>", True
+        if core.isalpha() and core[0].isupper() and not core.isupper() and not start:
+            return "<name>", True
+        if re.fullmatch(self.NUMBER, core):
+            return "<number>", True
+        m = re.fullmatch(self.NUMBER + r"(.+)", core)
+        unit = re.sub("^" + self.NUMBER, "", core)
+        if m and (unit.lower() in decontam.UNITS or unit == "°") and (unit.isalpha() or unit in "%$€£°"):
+            return "<number><unit>", True
+        return low, False
+
+    def good(self, w):
+        return sum(not x[1] for x in w) >= min(4, (len(w) + 1) // 2)
+
+    def found(self, doc, item):
+        """Largest coverage of the item in the document."""
+        d, best = self.tokens(doc), 0.0
+        i, inner = self.tokens(item), self.tokens(item, True)
+        n = min(8, len(i))
+        if not n:
+            return 0.0
+        starts = range(len(i) - n + 1)
+        goods = [p for p in starts if self.good(i[p : p + n])]
+        hits = []  # shift, pos, pairs of values
+        for p in goods:
+            for form in ([i, inner] if p == 0 and self.good(inner[:n]) else [i]):
+                for q in range(len(d) - n + 1):
+                    if [x[0] for x in form[p : p + n]] == [x[0] for x in d[q : q + n]]:
+                        hits.append((q - p, p, {(x[0] + x[3], y[0] + y[3]) for x, y in zip(form[p : p + n], d[q : q + n], strict=True) if x[1]}))
+        covered = set()
+        for shift, p, pairs in hits:
+            values = {}
+            for s, _, other in hits:
+                if s == shift:
+                    for a, b in other:
+                        values.setdefault(a, set()).add(b)
+            if all(len(values[a]) == 1 for a, _ in pairs):
+                covered.add(p)
+        if goods:
+            best = len(covered) / len(goods)
+        if len(goods) == len(starts) == 1 or not goods:
+            have = {tuple(x[2] for x in d[q : q + n]) for q in range(len(d) - n + 1)}
+            best = max(best, sum(tuple(x[2] for x in i[p : p + n]) in have for p in starts) / len(starts))
+        return best
+
+
+def test_every_item_with_a_token_is_found_where_it_is_copied(spark):
+    items = ["Paris is nice", "Compute 17 * 23 + 99 / 3 - 4 ^ 2", "Solve 3 4 5 6 7 8 9 10 11 12", "What is 12 plus 34 times 5 minus 678 ?", "What is the capital of France?", "Anna Bob Carl Dora Emil Fritz Gina Hans Ida", "xyzzy", "1 2 3"]
+    docs = [(100 + k, f"a heading line\n{t}\nand more of it, quite another thing") for k, t in enumerate(items)] + [(1, "nothing of this kind here"), (2, "")]
+    got = decontam.flagged(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {r.doc_id: r["items"] for r in got} == {100 + k: [k] for k in range(len(items))}
+
+
+def test_decontamination_equals_plain_on_made_items(spark):
+    rng, plain = random.Random(11), PlainTemplates()
+    pool = ["If", "the", "train", "from", "Rome", "Paris", "John", "Anna", "goes", "12", "7.5", "30", "km", "5kg", "hours", "and", "buys", "apples", "for", "$3", "then", "how", "many", "stay?", "end.", "Ends.", "—", "it", "costs", "20%", "more:", "so", "far"]
+    items = [" ".join(rng.choice(pool) for _ in range(rng.choice([1, 3, 7, 8, 9, 14, 25]))) for _ in range(25)] + ["Please answer this common question now with care: " + " ".join(rng.choice(pool) for _ in range(9)) for _ in range(6)]
+    swap = {"John": "Peter", "Anna": "Mary", "12": "40", "Rome": "Oslo", "30": "31"}
+    docs = []
+    for _ in range(60):
+        t = rng.choice(items).split()
+        if rng.random() < 0.5:
+            t = [swap.get(w, w) for w in t]
+        if rng.random() < 0.4:
+            t[rng.randrange(len(t))] = rng.choice(pool)
+        docs.append(" ".join([*(rng.choice(pool) for _ in range(rng.randrange(6))), *t, *(rng.choice(pool) for _ in range(rng.randrange(6)))]))
+    want = {(d, i) for d, t in enumerate(docs) for i, x in enumerate(items) if plain.found(t, x) >= 0.5}
+    got = decontam.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 40
+
+
+def test_decontamination_query_equals_plain(spark, sf, texts):
+    bench, plain = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}, PlainTemplates()
+    words = {k: {x[2] for x in plain.tokens(t)} for k, t in bench.items()}
+    got = {r.doc_id: r for r in decontam.op4_benchmark_decontamination(spark, sf).collect()}
+    assert set(got) == set(texts)
     for d, t in texts.items():
-        have = grams(canonical(t), 8)
-        hit = sorted(k for k, c in items.items() if (g := [tuple(t for t, _ in c[i : i + 8]) for i in range(len(c) - 7) if sum(k == 0 for _, k in c[i : i + 8]) >= 4]) and sum(x in have for x in g) >= 0.5 * len(g))
-        if hit:
-            want[d] = hit
-    got = {r.doc_id: r["items"] for r in decontam.flagged(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
-    assert got == want and want
+        have = {x[2] for x in plain.tokens(t)}
+        want = sorted(k for k in bench if len(words[k] & have) >= 0.4 * len(words[k]) and plain.found(t, bench[k]) >= 0.5)
+        assert (got[d]["items"] or []) == want and got[d].kept == (not want)
+    assert not all(r.kept for r in got.values())
 
 
 # classifiers
@@ -419,3 +503,15 @@ def test_pipeline_stages_equal_plain_versions(spark, sf, texts):
     assert not holds & set(kept["benchmark_decontamination"])
     packed = corpus_pipeline.run(spark, sf).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
     assert {r.doc_id for r in packed} == set(kept["benchmark_decontamination"]) and all(r.n == r.t for r in packed)
+
+
+def test_joins_of_hot_keys_equal_plain_joins(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 0.1)
+    rng = random.Random(4)
+    left = common.materialize(spark.createDataFrame([(k, 0 if rng.random() < 0.4 else rng.randrange(60), k % 3) for k in range(6000)], "x long, k long, join_salt long"), "left")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(0, 60, 2)], "k long, v string")
+    want = sorted(left.join(right, "k").select("x", "k", "v").collect())
+    assert sorted(common.salted_join(left, right, ["k"]).select("x", "k", "v").collect()) == want
+    counted = right.join(left.groupBy("k").count(), "k")
+    assert sorted(common.spread_join(left, counted, ["k"], "count").select("x", "k", "v").collect()) == want
+    assert common.spread_join(left, counted, ["k"], "count", "left_semi").count() == len(want)

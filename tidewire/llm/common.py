@@ -46,9 +46,11 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares: spark.checkpoint.dir, or a temporary one of ours where it is unset."""
+    """The folder that every executor shares: spark.checkpoint.dir, or a temporary one of ours where it is unset, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="tidewire-"))
         base = _own_dir[0]
@@ -102,6 +104,22 @@ def spread_join(left: DataFrame, right: DataFrame, key: list[str], count: str, h
     return by_hot.unionByName(others)
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: list[str], salts: int = 16) -> DataFrame:
+    """An inner join in which keys beyond HOT_SHARE of the left rows (512 of them at most) are dealt to `salts` tasks.
+
+    The right side's rows of these keys are repeated for each salt. The left table is read twice."""
+    counts = left.groupBy(*key).agg(F.count("*").alias("n"))
+    mark, salt = fresh(left, "join_mark"), fresh(left, "join_salt")
+    most = max(1, int(left.count() * HOT_SHARE))
+    hot = [r[0] for r in counts.where(F.col("n") > most).select(F.xxhash64(*key)).collect()]  # at most 1 / HOT_SHARE
+    if not hot:
+        return left.join(right, key)
+    spread = F.when(F.xxhash64(*key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    # a row's salt comes from its content, so that a task that runs again deals its rows the same way
+    lifted = left.withColumn(mark, spread).withColumn(salt, F.element_at(mark, F.pmod(F.xxhash64(F.lit(3), *left.columns), F.size(mark)).cast("int") + 1)).drop(mark)
+    return lifted.join(right.withColumn(salt, F.explode(spread)), [*key, salt]).drop(salt)
+
+
 def whole_groups(frames: Iterator[pd.DataFrame], key: list[str], rows: int = 20_000) -> Iterator[pd.DataFrame]:
     """From frames sorted by key, frames of about `rows` rows that never cut a group in two."""
     held: list[pd.DataFrame] = []
@@ -165,7 +183,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = materialize(edges, "links")
     before = None
-    for _ in range(60):
+    while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -8,11 +8,17 @@ the document, else the window doesn't count. Re-parameterised questions (other n
 so caught, and chance matches of number-heavy templates aren't.
 
 An item is found in a document if the windows that count cover at least `coverage` of its windows. Items
-with fewer tokens than a window are one window of their own length; items of fewer than `MIN_TOKENS`
-tokens identify nothing and are ignored.
+with fewer tokens than a window are one window of their own length. Windows need some tokens that aren't
+placeholders, so that chance matches of number-heavy templates don't count.
 
-Documents are scanned once; only windows whose hash is in a bitmap of fixed size (built from all
-benchmark windows) leave the scan, and the join decides about them.
+Items of one window, and items without a window that is good enough (a sum, a list of names, two words), are also
+looked for as they are: windows of the same length over lower-cased words. So every item with a token is found
+where it is copied, whatever it holds. The first word of an item is tried both as the start of a sentence and inside one.
+
+Documents are scanned once; only windows whose hash is in a bitmap (built from all benchmark windows, of a size that
+goes with their number up to a bound) leave the scan, and the join decides about them. A document and an item meet
+first by the item's rarest windows, of which any document that covers enough must hold one; so windows that many items
+share (a common instruction) don't bring all of them together. All windows are compared only for those that met.
 """
 
 from __future__ import annotations
@@ -23,16 +29,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .neardup import mix
 
-WINDOW, COVERAGE, MIN_TOKENS = 8, 0.5, 4
+WINDOW, COVERAGE = 8, 0.5
 #: A window needs so many tokens that aren't placeholders, or half of them if it is shorter.
 LITERALS = 4
-BITMAP_BITS = 1 << 22
+#: Bits of the bitmap: 16 for each benchmark window within these bounds, so it is 8 MB at most.
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 26
+TEMPLATE, EXACT = 0, 1
 
 UNITS = frozenset(
     "kg g mg lb lbs oz ton tons tonne tonnes km cm mm mi mile miles meter meters metre metres foot feet inch inches yard yards "
@@ -87,13 +95,14 @@ class _Words(dict):
         self.clear()
         self.rows: list[tuple] = []  # not in the arrays yet
         self.n = 0
-        self.arrays = tuple(np.empty(1 << 12, dtype=t) for t in (np.uint64, np.uint64, np.int8, np.int8, bool, bool))
+        self.arrays = tuple(np.empty(1 << 12, dtype=t) for t in (np.uint64, np.uint64, np.int8, np.int8, bool, bool, np.uint64))
 
     def __missing__(self, word: str) -> int:
         start, k1, mid, k2, ends = classify(word)
         h1 = 0 if start is None else xxhash.xxh64_intdigest(start)
         h2 = h1 if mid is start else xxhash.xxh64_intdigest(mid)
-        self.rows.append((h1, h2, k1, k2, ends, start is None))
+        exact = h1 if k1 == LITERAL else xxhash.xxh64_intdigest(word.strip(_AROUND).lower())
+        self.rows.append((h1, h2, k1, k2, ends, start is None, exact))
         self[word] = n = self.n + len(self.rows) - 1
         return n
 
@@ -114,60 +123,89 @@ class _Words(dict):
 _words = _Words()
 
 
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """A text's template: token hashes, kinds, white-space words and the word of each token."""
+def template(text: str | None, inside: bool = False) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """A text's template: token hashes, kinds, white-space words, the word of each token, and hashes of the tokens as they are.
+
+    inside: take the first word as one inside a sentence."""
     words = (text or "").split()
     if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int8), words, np.empty(0, np.int64)
-    h1, h2, k1, k2, ends, skip = _words.of(words)
-    start = np.append(True, ends[:-1])
+        return np.empty(0, np.uint64), np.empty(0, np.int8), words, np.empty(0, np.int64), np.empty(0, np.uint64)
+    h1, h2, k1, k2, ends, skip, exact = _words.of(words)
+    start = np.append(not inside, ends[:-1])
     hashes, kinds = np.where(start, h1, h2), np.where(start, k1, k2)
     where = np.flatnonzero(~skip)
-    return hashes[where], kinds[where], words, where
+    return hashes[where], kinds[where], words, where, exact[where]
 
 
-def window_hashes(hashes: np.ndarray, kinds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the window at each position, and whether it has enough tokens that aren't placeholders."""
+def window_hashes(hashes: np.ndarray, length: int, kind: int) -> np.ndarray:
+    """Hash of the window of `length` tokens at each position."""
     n = len(hashes) - length + 1
     if n < 1:
-        return np.empty(0, np.uint64), np.empty(0, bool)
-    x = np.full(n, length, dtype=np.uint64)
+        return np.empty(0, np.uint64)
+    x = np.full(n, 2 * length + kind, dtype=np.uint64)
     for k in range(length):
         x += hashes[k : k + n] * _POWERS[k]
+    return mix(x)
+
+
+def good_windows(kinds: np.ndarray, length: int) -> np.ndarray:
+    """Whether the template window at each position has enough tokens that aren't placeholders."""
     literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
-    return mix(x), literal[length:] - literal[:-length] >= min(LITERALS, (length + 1) // 2)
+    return literal[length:] - literal[:-length] >= min(LITERALS, (length + 1) // 2)
 
 
 def _slots(words: list[str], where: np.ndarray, kinds: np.ndarray, at: int, length: int) -> list[str]:
     return [f"{kinds[i]}{words[where[i]].strip('.,;:!?')}" for i in range(at, at + length) if kinds[i] != LITERAL]
 
 
+def item_windows(item: int, text: str | None, window: int) -> list[tuple]:
+    """item_id, kind, pos, n (the item's windows of that kind), length, hash and slots of each window of an item."""
+    rows, exact = [], []
+    good = np.zeros(0, bool)
+    for inside in (False, True):
+        hashes, kinds, words, where, exact = template(text, inside)
+        length = min(window, len(hashes))
+        if not length:
+            return []
+        fits = good_windows(kinds, length)
+        if not inside:
+            good = fits
+        x = window_hashes(hashes, length, TEMPLATE)
+        for p in np.flatnonzero(fits if not inside else fits[:1] & good[:1]):
+            rows.append((item, TEMPLATE, int(p), int(good.sum()), length, int(x[p].view(np.int64)), _slots(words, where, kinds, p, length)))
+    if len(good) == 1 or not good.any():
+        x = window_hashes(exact, length, EXACT)
+        rows += [(item, EXACT, p, len(x), length, int(v), []) for p, v in enumerate(x.view(np.int64))]
+    return rows
+
+
+WINDOWS = "item_id long, kind int, pos long, n long, length long, hash long, slots array<string>"
+
+
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """item_id, pos, n (the item's windows), length, hash and slots of each window of each item."""
+    """item_windows() of each item; equal rows once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for item, text in zip(frame["item_id"], frame["text"], strict=True):
-                hashes, kinds, words, where = template(text)
-                length = min(window, len(hashes))
-                if length < MIN_TOKENS:
-                    continue
-                x, good = window_hashes(hashes, kinds, length)
-                rows += [(item, p, int(good.sum()), length, int(x[p].view(np.int64)), _slots(words, where, kinds, p, length)) for p in np.flatnonzero(good)]
-            yield pd.DataFrame(rows, columns=["item_id", "pos", "n", "length", "hash", "slots"])
+            rows = [r for item, text in zip(frame["item_id"], frame["text"], strict=True) for r in item_windows(item, text, window)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in WINDOWS.split(", ")])
+
+    return benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text").mapInPandas(run, WINDOWS).distinct()
+
 
-    return benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text").mapInPandas(run, "item_id long, pos long, n long, length long, hash long, slots array<string>").distinct()
+def _bitmap(windows: DataFrame) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """A bitmap of all window hashes, and the kinds and lengths that occur; both of bounded size."""
+    size = LEAST_BITS
+    while size < min(MOST_BITS, 16 * windows.count()):
+        size *= 2
+    words = windows.groupBy(F.floor(F.pmod("hash", F.lit(size)) / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(hash, {size}) % 64 AS INT))")).alias("bits"))
+    out = np.zeros(size // 64, dtype=np.int64)
+    found = words.toPandas()  # MOST_BITS / 64 rows at most
+    out[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool), sorted((r[0], r[1]) for r in windows.select("kind", "length").distinct().collect())
 
 
-def _bitmap(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """A bitmap of all window hashes, and the lengths that occur; both of bounded size."""
-    bit = F.pmod("hash", F.lit(BITMAP_BITS))
-    words = windows.groupBy(F.floor(bit / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(hash, {BITMAP_BITS}) % 64 AS INT))")).alias("bits"))
-    out = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
-    for w, bits in words.collect():  # BITMAP_BITS / 64 rows at most
-        out[w] = bits
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool), [r[0] for r in windows.select("length").distinct().collect()]
+FOUND = "doc_id long, copy long, at long, kind int, hash long, doc_slots array<string>"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
@@ -175,36 +213,57 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 
     docs: doc_id and text; benchmark: item_id and text; other columns are ignored. Null and empty texts
     hold and match nothing; rows with a null item_id are ignored, those with a null doc_id are matched
-    like others. Repeated rows give their matches once.
+    like others. Repeated rows give their matches once. Rows that share an item_id but not the text are items of
+    one name: the windows of all count. An item of a word or two is found in every document that holds it.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     items = common.materialize(benchmark_windows(benchmark, window), "benchmark")
-    bits, lengths = _bitmap(items)
+    bits, looks = _bitmap(items)
     sent = spark.sparkContext.broadcast(np.packbits(bits))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.unpackbits(sent.value).view(bool)
+        size = np.uint64(len(bits))
         for frame in frames:
             rows = []
             for doc, copy, text in zip(frame["doc_id"].astype("Int64"), frame["copy"], frame["text"], strict=True):
-                hashes, kinds, words, where = template(text)
-                for length in lengths:
-                    x, good = window_hashes(hashes, kinds, length)
-                    for p in np.flatnonzero(good & bits[(x % np.uint64(BITMAP_BITS)).astype(np.int64)]):
-                        rows.append((doc, copy, int(p), length, int(x[p].view(np.int64)), _slots(words, where, kinds, p, length)))
-            yield pd.DataFrame(rows, columns=["doc_id", "copy", "at", "length", "hash", "doc_slots"])
+                hashes, kinds, words, where, exact = template(text)
+                for kind, length in looks:
+                    x = window_hashes(exact if kind == EXACT else hashes, length, kind)
+                    hit = bits[(x % size).astype(np.int64)]
+                    if kind == TEMPLATE and len(x):
+                        hit &= good_windows(kinds, length)
+                    for p in np.flatnonzero(hit):
+                        rows.append((doc, copy, int(p), kind, int(x[p].view(np.int64)), [] if kind == EXACT else _slots(words, where, kinds, p, length)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("copy"), "text")
-    found = texts.mapInPandas(run, "doc_id long, copy long, at long, length long, hash long, doc_slots array<string>").distinct()
-    pairs = found.join(items, ["hash", "length"]).withColumn("shift", F.col("at") - F.col("pos"))
-    pairs = common.materialize(pairs.where("size(slots) = size(doc_slots)"), "matches")
-    align = ["doc_id", "copy", "item_id", "shift"]
+    found = texts.mapInPandas(run, FOUND).distinct()
+    found = common.materialize(found.join(items.select("kind", "hash").distinct(), ["kind", "hash"], "left_semi"), "windows")
+
+    # of an item's windows the rarest among items, one more than may be missing
+    sharing = items.select("kind", "hash", "item_id").distinct().groupBy("kind", "hash").agg(F.count("*").alias("sharing"))
+    places = items.groupBy("kind", "item_id", "pos", "n", "hash").agg(F.lit(1)).join(sharing, ["kind", "hash"]).groupBy("kind", "item_id", "pos").agg(F.max("n").alias("n"), F.max("sharing").alias("sharing"), F.collect_set("hash").alias("hashes"))
+    rank = F.row_number().over(Window.partitionBy("kind", "item_id").orderBy("sharing", "pos"))
+    rare = places.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(coverage) - 1e-9) + 1)
+    rare = rare.select("kind", "item_id", F.explode("hashes").alias("hash")).groupBy("kind", "hash").agg(F.collect_set("item_id").alias("ids"))
+    holders = found.select("kind", "hash", "doc_id", "copy").distinct()
+    met = common.salted_join(holders, rare, ["kind", "hash"]).select("kind", "doc_id", "copy", F.explode("ids").alias("item_id")).distinct()
+    # the items of a document, with it; then all windows of both
+    own = ["kind", "doc_id", "copy", "hash"]
+    wanted = common.salted_join(met, items.groupBy("kind", "item_id").agg(F.collect_list(F.struct("pos", "n", "hash", "slots")).alias("w")), ["kind", "item_id"])
+    wanted = wanted.select("kind", "doc_id", "copy", "item_id", F.explode("w").alias("w")).select("kind", "doc_id", "copy", "item_id", "w.*")
+    f = found.select(*[F.col(c).alias(f"f_{c}") for c in own], "at", "doc_slots")
+    pairs = wanted.join(f, [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in own]).withColumn("shift", F.col("at") - F.col("pos"))
+    pairs = common.materialize(pairs.where("size(slots) = size(doc_slots)").select("kind", "doc_id", "copy", "item_id", "shift", "pos", "n", "slots", "doc_slots"), "matches")
+    align = ["kind", "doc_id", "copy", "item_id", "shift"]
     said = pairs.where("size(slots) > 0").select(*align, F.explode(F.arrays_zip("slots", "doc_slots")).alias("s")).select(*align, F.col("s.slots").alias("slot"), F.col("s.doc_slots").alias("value")).distinct()
     broken = said.groupBy(*align, "slot").count().where("count > 1").groupBy(*[F.col(c).alias(f"b_{c}") for c in align]).agg(F.collect_set("slot").alias("broken"))
     same = [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in align]
-    counted = pairs.join(broken, same, "left").where(F.col("broken").isNull() | ~F.arrays_overlap("slots", "broken")).select(*align[:3], "pos", "n")
-    return counted.groupBy("doc_id", "copy", "item_id").agg((F.countDistinct("pos") / F.max("n")).alias("coverage")).where(F.col("coverage") >= coverage)
+    counted = pairs.join(broken, same, "left").where(F.col("broken").isNull() | ~F.arrays_overlap("slots", "broken")).select(*align[:4], "pos", "n")
+    by_kind = counted.groupBy(*align[:4]).agg((F.countDistinct("pos") / F.max("n")).alias("coverage"))
+    return by_kind.groupBy("doc_id", "copy", "item_id").agg(F.max("coverage").alias("coverage")).where(F.col("coverage") >= coverage)
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
