@@ -67,6 +67,11 @@ def test_near_duplicates(docs):
     assert all(r.kept and r.component_id is None for r in out if r.doc_id is None)
     assert all(r.n_shingles == 0 and r.kept for r in out if r.doc_id in (2, 3, 4))
     assert neardup.near_duplicates(empty(docs)).count() == 0
+    # rows of one doc_id with different texts are apart: what links one of them links nothing to the other
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    same_id = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "x"])), (0, " ".join([*b[:-1], "y"])), (1, " ".join(a)), (3, " ".join(["z", *b[1:]]))]
+    got = neardup.near_duplicates(docs.sparkSession.createDataFrame(same_id, "doc_id long, text string"), 80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 0), (1, 1), (1, 1), (2, 1), (3, 0)]
     assert neardup.without_near_duplicates(docs).columns == docs.columns
 
 

@@ -3,7 +3,7 @@
 1. Sketch. A document's set of word shingles becomes `Sketch.registers` SetSketch registers: every
    register is the truncated, exponentially spaced level of the smallest of the set's exponential hash
    values. Sketches of two sets merge by taking the larger register (`merge`).
-2. Collapse. Documents with equal sets are one node, named by their smallest doc_id.
+2. Collapse. Documents with equal sets are one node, with a number of its own and their smallest doc_id.
 3. Band. Groups of `Sketch.rows` registers are hashed; nodes that share a band meet in a bucket. A
    bucket beyond `BLOCK` nodes is split into blocks, and pairs of blocks are compared apart, so no task
    holds a hot bucket.
@@ -14,8 +14,8 @@
    same way), and each block emits a star for each of its exact components.
 6. The exact links' connected components are the groups.
 
-A pair at similarity 0.85 shares no band with a chance of about 2e-8, and `MARGIN` is more than five standard deviations
-of the estimate at the default threshold, so links are not lost in practice; links that are reported are always exact.
+A pair at similarity 0.85 shares no band with a chance of about 2e-8 (at 0.80, about 3e-6), and `MARGIN` is 5.2 standard
+deviations of the estimate at 0.85 and 4.65 at 0.80, so links are not lost in practice; links that are reported are always exact.
 """
 
 from __future__ import annotations
@@ -293,10 +293,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = 5, sketch:
     common.small_batches(docs.sparkSession)
     rows = common.materialize(sketched(docs, sketch, size), "sketches")
     some = rows.where("signature IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = common.materialize(
-        some.groupBy("signature").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("x")).select("signature", F.col("x.doc_id").alias("node"), "x.n_shingles", "x.registers"),
-        "nodes",
-    )
+    # a repeated doc_id may stand for several sets, so nodes are numbered apart from it; copy tells its rows' texts apart
+    least = some.groupBy("signature").agg(F.min(F.struct("doc_id", "copy", "n_shingles", "registers")).alias("x"))
+    nodes = common.materialize(least.select(F.monotonically_increasing_id().alias("node"), "signature", "x.doc_id", "x.copy", "x.n_shingles", "x.registers"), "nodes")
     bands = sketch.registers // sketch.rows
     width = 2 * sketch.rows
     banded = nodes.select(
@@ -317,13 +316,18 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = 5, sketch:
         for frame in frames:
             yield pd.DataFrame({"node": frame["node"], "shingles": [shingles(t, size).tobytes() for t in frame["text"]]})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(guessed.select("node"), "node", "left_semi")
+    # each node by the row that it was made from; rows that repeat doc_id and text give its set more than once, which does no harm
+    asked = guessed.select("node").join(nodes.select("node", F.col("doc_id").alias("n_doc"), F.col("copy").alias("n_copy")), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("t_doc"), F.xxhash64("text").alias("t_copy"), "text")
+    texts = texts.join(asked, (F.col("t_doc") == F.col("n_doc")) & (F.col("t_copy") == F.col("n_copy"))).select("node", "text")
     sets = texts.mapInPandas(full_sets, "node long, shingles binary")
-    # a repeated doc_id may stand for several sets; only that of its node counts
     blocks = to_check.join(sets, "node").repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "node").select("component", "lo", "hi", "node", "shingles")
     linked = common.components(blocks.mapInPandas(_exact_links(threshold), "a long, b long"))
 
-    named = nodes.select("signature", "node").join(linked, "node", "left").select("signature", F.coalesce("component", "node").alias("component_id"))
+    mine = nodes.select("signature", "node", "doc_id").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mine = common.materialize(mine, "members")
+    lowest = mine.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    named = common.spread_join(mine.select("signature", "component"), common.materialize(lowest, "lowest"), ["component"], "n").select("signature", "component_id")
     out = rows.select("doc_id", "copy", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("signature")).alias("signature")).join(named, "signature", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "copy")
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "copy")
