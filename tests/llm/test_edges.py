@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontam, langid, linededup, neardup, packing, pii, quality, rules, toxicity, warc
+from tidewire.llm import common, decontam, langid, linededup, neardup, packing, pii, quality, rules, toxicity, warc
 import corpus_pipeline
 
 LONG = " ".join(f"word{k % 977}" for k in range(40_000))
@@ -113,14 +113,37 @@ def test_warc(spark, tmp_path):
     assert len(got) == len(rows) and all(r.intact for r in got)
     assert {(r.page_id, r.refers_to) for r in got if r.record_type == "revisit"} == {(1, 6), (2, 6), (5, 6), (3, 4)}
     for fan_in in (2, 100):
-        index = warc.capture_index(manifest, root, range_captures=2, fan_in=fan_in).collect()
+        made = common.materialize(warc.capture_index(manifest, root, range_captures=2, fan_in=fan_in), "index")
+        index = sorted(warc.placed(made).collect(), key=lambda r: r.position)
         keys = [(r.part, r.urlkey, r.timestamp) for r in index]
-        assert len(index) == len(rows) and keys == sorted(keys) and [k[1:] for k in keys] == sorted(k[1:] for k in keys)
+        assert len(index) == len(rows) and keys == sorted(keys) and [k[1:] for k in keys] == sorted(k[1:] for k in keys) and [r.position for r in index] == list(range(len(rows)))
+    records = common.materialize(warc.read_archives(manifest, root), "records")
+    back = {(r.page_id, r.payload_digest, r.refers_to): r for r in warc.checked(warc.placed(made), records).collect()}
+    sha = lambda x: warc.digest((x or "").encode())
+    assert set(back) == {(1, sha("same"), 6), (2, sha("same"), 6), (3, sha(""), 4), (4, sha(""), None), (None, sha("same"), None), (5, sha("é" * 70_000), None), (5, sha("same"), 6), (6, sha("same"), None)}
+    assert back[1, sha("same"), 6].payload_bytes == 4
+    broken = {
+        "is not in the archives": (made, records.where("page_id <> 6")), "is not in the index": (made.where("page_id <> 5"), records), "is not intact": (made, records.withColumn("intact", F.expr("page_id <> 6"))),
+        "refers to a response": (made, records.withColumn("named_digest", F.lit("x"))),
+    }
+    for why, (left, right) in broken.items():
+        with pytest.raises(Exception, match=why):
+            warc.checked(warc.placed(left), right).collect()
     none = warc.write_archives(pages.where("FALSE"), f"file://{tmp_path}/e")
     assert warc.read_archives(none, root).count() == 0 and warc.capture_index(none, root).count() == 0
     assert warc.write_archives(pages, f"file://{tmp_path}/m", least_bytes=5).where("kind = 'archive'").count() > 0
 
 
+def test_runs_are_dealt_within_fan_in(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://h{k % 7}.b/{k % 11}", "x" * (k % 3)) for k in range(90)], "page_id long, url string, html string")
+    root = f"file://{tmp_path}/r"
+    manifest = warc.write_archives(pages, root, run_captures=1)
+    made = common.materialize(warc.capture_index(manifest, root, fan_in=8), "index")
+    assert warc.compact(manifest, root, 8).select("path").distinct().count() <= 8
+    want = sorted((warc.surt(f"http://h{k % 7}.b/{k % 11}"), k) for k in range(90))
+    assert [(r.urlkey, r.page_id) for r in sorted(warc.placed(made).collect(), key=lambda r: r.position)] == sorted(want)
+
+
 def test_language(spark, docs):
     out = {(r.doc_id, r.lang_pred) for r in langid.predict(docs, langid.train(docs)).collect()}
     assert {(2, "und"), (3, "und"), (4, "und"), (11, "und")} <= out

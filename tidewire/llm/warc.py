@@ -5,13 +5,18 @@ Of pages with equal payloads the one with the largest page_id is a response, the
 records that refer to it. Files get names of their own for each task attempt and are moved into place
 when complete; only files that a committed attempt lists are read, so a task may run again at any time.
 
+Reading back. Payload lengths and digests are those of the bytes read, not of headers; a revisit's are those of the
+response that it refers to. A record that isn't intact, one that the index doesn't list, and a listed one that isn't
+there stop the job.
+
 Index. While it writes, a task collects its captures and flushes them as locally sorted runs of bounded
 length, with the key at the start of every block of `BLOCK` lines. Merge ranges are cut from these keys;
 each range merges the slices of all runs with a loser tree, which streams and holds one block of each
 run. With more than `FAN_IN` runs, passes that merge `FAN_IN` runs into one come first. Ranges are cut by
 URL key, timestamp and position, so that one hot URL is spread over several ranges.
 
-Files go to and come from the shared folder through pyarrow's file systems.
+Files go to and come from the shared folder through pyarrow's file systems, which take s3a:// and s3n:// as s3://; a
+scheme that they don't know is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import base64
 import datetime
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,22 +34,24 @@ import numpy as np
 import pandas as pd
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 ARCHIVE_BYTES, RUN_CAPTURES, BLOCK, FAN_IN, RANGE_CAPTURES = 64 << 20, 50_000, 1000, 128, 200_000
+#: Merge ranges at most; with more captures than RANGES * RANGE_CAPTURES ranges get longer (a merge streams, so it needs no more memory).
+RANGES = 4096
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 
 MANIFEST = "kind string, path string, block long, key string, next_key string, start long, stop long, captures long"
-RECORD = "archive string, offset long, length long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, intact boolean"
+RECORD = "archive string, offset long, length long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, named_digest string, intact boolean"
 CAPTURE = "urlkey string, timestamp string, page_id long, record_type string, payload_digest string, archive string, offset long, length long"
 
 
 def open_fs(uri: str) -> tuple[arrow_fs.FileSystem, str]:
-    return arrow_fs.FileSystem.from_uri(uri)
+    return arrow_fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
 
 
 def surt(url: str | None) -> str:
@@ -242,7 +250,8 @@ def members(stream) -> Iterator[tuple[int, int, bytes]]:
 
 
 def read_archives(manifest: DataFrame, root: str) -> DataFrame:
-    """Every record of the listed archives (RECORD); intact: the payload read has the recorded length and digest."""
+    """Every record of the listed archives (RECORD). payload_bytes and payload_digest are of the payload read (null for a
+    revisit, which has none), named_digest is the header's; intact: the payload has the length and digest of the headers."""
     spark = manifest.sparkSession
     files = manifest.where("kind = 'archive'").select("path")
     n = max(1, files.count())
@@ -256,10 +265,10 @@ def read_archives(manifest: DataFrame, root: str) -> DataFrame:
                     for offset, length, raw in members(stream):
                         fields, payload = parse(raw)
                         number = lambda k: int(fields[k]) if fields.get(k) else None  # noqa: B023, E731
-                        sha = fields["warc-payload-digest"].removeprefix("sha1:")
-                        kind = fields["warc-type"]
-                        intact = kind == "revisit" or (len(payload) == number("x-payload-length") and digest(payload) == sha)
-                        rows.append((path, offset, length, number("x-page-id"), fields.get("warc-target-uri"), kind, number("x-refers-to-page"), number("x-payload-length"), sha, intact))
+                        named, kind = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
+                        size, sha = (None, None) if kind == "revisit" else (len(payload), digest(payload))
+                        intact = not payload if kind == "revisit" else (size, sha) == (number("x-payload-length"), named)
+                        rows.append((path, offset, length, number("x-page-id"), fields.get("warc-target-uri"), kind, number("x-refers-to-page"), size, sha, named, intact))
                         if len(rows) >= 1000:
                             yield from _arrow(rows, RECORD)
                             rows = []
@@ -320,10 +329,13 @@ def slice_lines(fs, path: str, start: int, stop: int, low: str | None, high: str
 
 
 def compact(manifest: DataFrame, root: str, fan_in: int = FAN_IN) -> DataFrame:
-    """Merge runs fan_in at a time until at most fan_in are left; the new runs' manifest."""
+    """Merge at most fan_in runs at a time until at most fan_in are left; the new runs' manifest."""
     runs = manifest.where("kind = 'run'")
     while (n := runs.select("path").distinct().count()) > fan_in:
-        spans = runs.groupBy("path").agg(F.max("stop").alias("stop")).withColumn("part", F.pmod(F.xxhash64("path"), F.lit(-(-n // fan_in))))
+        dealt = runs.groupBy("path").agg(F.max("stop").alias("stop")).withColumn("deal", F.pmod(F.xxhash64("path"), F.lit(-(-n // fan_in))))
+        # a hash deals unevenly: what is beyond fan_in in a deal is a part of its own
+        over = F.floor((F.row_number().over(Window.partitionBy("deal").orderBy("path")) - 1) / fan_in)
+        spans = dealt.withColumn("part", F.col("deal") + over * (-(-n // fan_in))).drop("deal")
 
         def run(frames: Iterator[pd.DataFrame]):
             fs, base = open_fs(root)
@@ -340,14 +352,14 @@ def compact(manifest: DataFrame, root: str, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def capture_index(manifest: DataFrame, root: str, range_captures: int = RANGE_CAPTURES, fan_in: int = FAN_IN) -> DataFrame:
-    """All captures in order of URL key, timestamp and page_id: column part, and CAPTURE in order within it.
+    """All captures in order of URL key, timestamp and page_id: columns part, rank (from 0, as merged), and CAPTURE.
 
     Parts are disjoint ranges in order of their number."""
     runs = compact(manifest, root, fan_in)
     total = runs.agg(F.sum("captures")).first()[0] or 0
-    parts = max(1, -(-total // range_captures))
+    parts = min(RANGES, max(1, -(-total // range_captures)))
     edges: list[str] = []
-    if parts > 1:  # one bound for each range of `range_captures` captures
+    if parts > 1:  # one bound for each range
         placed = runs.select("key").repartitionByRange(int(parts), "key").select("key", F.spark_partition_id().alias("p"))
         edges = sorted(r[0] for r in placed.groupBy("p").agg(F.min("key")).select("min(key)").collect())[1:]
     ddl = "part long, path string, start long, stop long, low string, high string"
@@ -366,45 +378,76 @@ def capture_index(manifest: DataFrame, root: str, range_captures: int = RANGE_CA
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, _ = open_fs(root)
-        names = ["part"] + [x.split()[0] for x in CAPTURE.split(", ")]
+        names = ["part", "rank"] + [x.split()[0] for x in CAPTURE.split(", ")]
         for frame in common.whole_groups(frames, ["part"], rows=1):
             cuts = common.group_bounds(frame, ["part"])
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 some = frame.iloc[a:b]
                 tree = LoserTree([slice_lines(fs, r.path, int(r.start), int(r.stop), r.low, r.high) for r in some.itertuples()])
                 rows = []
-                for line in tree:
+                for rank, line in enumerate(tree):
                     key, time, page, kind, sha, archive, offset, length = line.split("\t")
-                    rows.append((int(some["part"].iloc[0]), key, time, int(page) if page else None, kind, sha, archive, int(offset), int(length)))
+                    rows.append((int(some["part"].iloc[0]), rank, key, time, int(page) if page else None, kind, sha, archive, int(offset), int(length)))
                     if len(rows) >= 10_000:
                         yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64"})
                         rows = []
                 yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64"})
 
-    return slices.repartition("part").sortWithinPartitions("part", "path").mapInPandas(merge, "part long, " + CAPTURE)
+    return slices.repartition("part").sortWithinPartitions("part", "path").mapInPandas(merge, "part long, rank long, " + CAPTURE)
+
+
+def placed(index: DataFrame) -> DataFrame:
+    """The index with each capture's place in the order of all captures (position, from 0): those of the parts before it, and its rank."""
+    counts = index.groupBy("part").agg(F.count("*").alias("n"))  # RANGES rows at most, so one task may add them up
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return index.join(F.broadcast(before), "part").withColumn("position", F.col("before") + F.col("rank")).drop("before")
+
+
+def checked(index: DataFrame, records: DataFrame) -> DataFrame:
+    """A row for each capture: what its record holds, with urlkey and position of the index.
+
+    Payload facts of a revisit are those of its response. Anything missing or broken stops the job. Both tables should be
+    written ones."""
+    i = index.select("urlkey", "position", F.col("archive").alias("i_archive"), F.col("offset").alias("i_offset"))
+    # offsets compress so well that adaptive execution would take the index for small and broadcast it
+    both = i.hint("merge").join(records, (F.col("i_archive") == F.col("archive")) & (F.col("i_offset") == F.col("offset")), "full")
+    fault = F.when(F.col("i_archive").isNull(), "is not in the index").when(F.col("archive").isNull(), "is not in the archives").when(~F.col("intact"), "is not intact")
+    stop = lambda bad, why, value: F.when(bad, F.raise_error(F.concat(F.lit("WARC: a record "), why))).otherwise(value)
+    both = both.withColumn("record_type", stop(fault.isNotNull(), fault, F.col("record_type")))
+    both = common.materialize(both.select("page_id", "payload_bytes", "payload_digest", "named_digest", "record_type", "refers_to", "urlkey", "position"), "captures")
+    key = ["refers_to", "named_digest"]
+    again = both.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
+    first = both.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("named_digest"), "payload_bytes").distinct()
+    facts = again.groupBy(*key).agg(F.count("*").alias("n")).join(first, key, "left")
+    facts = facts.withColumn("payload_bytes", stop(F.col("payload_bytes").isNull(), F.lit("refers to a response that is not there"), F.col("payload_bytes")))
+    found = common.spread_join(again, common.materialize(facts, "responses"), key, "n").withColumn("payload_digest", F.col("named_digest"))
+    return both.where("record_type = 'response'").unionByName(found).drop("named_digest")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each page, read back from archives by way of the merged index."""
+    """A row for each page, read back from archives by way of the merged index: also its URL key and its place in the capture order."""
     root = common.new_path(spark, "archives")
     manifest = write_archives(common.table(spark, sf_dir, "pages"), root)
-    # offsets compress so well that adaptive execution would take the index for small and broadcast it
-    captures = capture_index(manifest, root).select("archive", "offset").hint("merge")
-    records = read_archives(manifest, root)
-    return captures.join(records, ["archive", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    index = common.materialize(capture_index(manifest, root), "index")
+    return checked(placed(index), common.materialize(read_archives(manifest, root), "records"))
 
 
 OP8_SQL = r"""
 WITH hashed AS (
-  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+  SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
 ), nibbles AS (
-  SELECT page_id, octet_length(encode(payload)) AS n, hex, list_transform(range(1, 41), lambda i: strpos('0123456789abcdef', substr(hex, i, 1)) - 1) AS d FROM hashed
+  SELECT page_id, url, octet_length(encode(payload)) AS n, hex, list_transform(range(1, 41), lambda i: strpos('0123456789abcdef', substr(hex, i, 1)) - 1) AS d FROM hashed
 ), digits AS (
-  SELECT page_id, n, array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform([15, 10, 5, 0], lambda s:
-    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((d[5*k+1] * 65536 + d[5*k+2] * 4096 + d[5*k+3] * 256 + d[5*k+4] * 16 + d[5*k+5])) >> s) & 31)::INT + 1, 1)), '')), '') AS digest
+  SELECT page_id, url, n, array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((d[5*k+1] * 65536 + d[5*k+2] * 4096 + d[5*k+3] * 256 + d[5*k+4] * 16 + d[5*k+5])) >> s) & 31)::INT + 1, 1)), '')), '') AS digest,
+    regexp_extract(url, '^(https?)://(?:www\.)?([^/?#]*)([^?#]*)(?:\?([^#]*))?', ['scheme', 'host', 'path', 'query']) AS u
   FROM nibbles
+), keyed AS (
+  SELECT *, lower(array_to_string(list_reverse(string_split(u.host, '.')), ',') || ')' || CASE WHEN rtrim(u.path, '/') = '' THEN '/' ELSE rtrim(u.path, '/') END
+    || CASE WHEN u.query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(u.query, '&')), '&') END) AS urlkey FROM digits
 ), tops AS (SELECT digest, max(page_id) AS top FROM digits GROUP BY digest)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
-FROM digits JOIN tops USING (digest)
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to, urlkey,
+  row_number() OVER (ORDER BY urlkey || chr(9) || strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id % 1000000000), '%Y%m%d%H%M%S') || chr(9) || lpad(CAST(page_id AS VARCHAR), 20, '0')) - 1 AS position
+FROM keyed JOIN tops USING (digest)
 """
