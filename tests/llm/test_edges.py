@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, repeated rows, ties, empty tables and clashing names, for every operator."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,15 +51,32 @@ def test_packing(docs):
     assert placed[3] is None and None not in (placed[1], placed[2], placed[4])
 
 
-def test_quality(docs, labels):
+def test_quality(spark, docs, labels):
     for lab in (labels, empty(labels)):
-        assert quality.score(docs, quality.train(docs, lab)).count() == N
-        assert rules.apply_rules(docs, rules.train(docs, lab)).count() == N
+        model, trees = quality.train(docs, lab), rules.train(docs, lab)
+        scored, judged = quality.score(docs, model).collect(), rules.apply_rules(docs, trees).collect()
+        assert len(scored) == len(judged) == N and all(0 <= r.score <= 1 for r in scored)
+        blank = quality.score(spark.createDataFrame([(0, "")], "doc_id long, text string"), model).first().score
+        assert {r.score for r in scored if r.doc_id in (2, 3, 4)} == {blank} and sum(r.doc_id is None for r in scored) == 2
+        assert len({r.score for r in scored if r.doc_id == 5}) == 1  # repeated rows
+        counted = {(r.doc_id, r.n_words): r for r in judged}
+        assert counted[5, 40_000].word_chars == len(LONG.replace(" ", "")) and counted[5, 40_000].n_repeat_words == 40_000  # its words come again every 977
+        assert all(counted[k, 0].base_failed and not counted[k, 0].kept for k in (2, 3, 4)) and counted[11, 2].n_symbols == 3
+        assert counted[9, 121].n_dup_lines == 1 and counted[9, 121].n_repeat_words == 120 and counted[9, 121].base_failed
+        assert sum(r.doc_id is None for r in judged) == 2
     assert quality.score(empty(docs), quality.train(empty(docs), labels)).count() == 0
     assert rules.apply_rules(empty(docs), rules.train(empty(docs), labels)).count() == 0
     assert {r.kept for r in rules.apply_rules(docs.where("doc_id IN (2, 3, 4)"), None).collect()} == {False}
 
 
+def test_samples_are_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"text number {k % 50} of one id") for k in range(80)] + [(2, "another one")] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality.sample_stats(docs, labels, "quality", 2).count() == 2
+    assert quality.sample_stats(docs, labels, "quality", 1000).count() == 51
+    assert toxicity.labelled(docs, labels, 2).count() == 2 and toxicity.labelled(docs, labels, 1000).count() == 51
+
+
 def test_near_duplicates(docs):
     out = neardup.near_duplicates(docs).collect()
     assert len(out) == N
@@ -87,9 +105,17 @@ def test_pii(docs):
     assert (10, 2) in out and (2, 0) in out and pii.detect(empty(docs)).count() == 0
 
 
-def test_toxicity(docs, labels):
+def test_toxicity(spark, docs, labels):
     for lab in (labels, empty(labels)):
-        assert toxicity.score(docs, toxicity.train(docs, lab)).count() == N
+        model = toxicity.train(docs, lab)
+        out = toxicity.score(docs, model).collect()
+        assert len(out) == N and sum(r.doc_id is None for r in out) == 2
+        blank = toxicity.score(spark.createDataFrame([(0, None)], "doc_id long, text string"), model).first()
+        assert {r.p_toxic for r in out if r.doc_id in (2, 3, 4)} == {blank.p_toxic} and len({r.p_toxic for r in out if r.doc_id == 5}) == 1
+        assert all(r.toxic == (r.p_toxic >= model.threshold) for r in out)
+    assert {r.p_toxic for r in out} == {0.0}  # without labels nothing is learned
+    tied = toxicity.Model([], np.zeros((0, 1), bool), toxicity.Chain([np.zeros(1), np.zeros(2), np.zeros(4)]))
+    assert {(r.p_toxic, r.toxic) for r in toxicity.score(docs, tied).collect()} == {(0.5, True)}  # at the threshold
     assert toxicity.without_toxic(docs, labels).columns == docs.columns
     assert toxicity.score(empty(docs), toxicity.train(empty(docs), labels)).count() == 0
 

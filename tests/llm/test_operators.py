@@ -416,6 +416,39 @@ def test_chain_feeds_earlier_categories():
     assert ((chain.predict(x)[:, 1] > 0.5) == y[:, 1]).mean() > 0.85
 
 
+def test_chain_predictions_of_a_fold_come_from_the_others():
+    """Against a plain version: features of a fold's models, and the models, are those of the other folds."""
+    rng = np.random.default_rng(8)
+    x, fold = rng.normal(size=(300, 4)), np.arange(300) % 3
+    y = np.stack([x[:, 0] > 0, x[:, 0] + x[:, 2] > 0.3], axis=1).astype(float)
+    use, fold_use, last = np.array([0, 1, 2]), {0: np.array([0, 2]), 1: np.array([1, 2]), 2: np.array([0, 3])}, rng.normal(size=(300, 1))
+    chain = toxicity.Chain.fit(x, y, fold, use, fold_use, last)
+    first = np.zeros(300)
+    for k in range(3):
+        z = x[:, fold_use[k]]
+        first[fold == k] = toxicity.probability(z[fold == k], toxicity.fit_logistic(z[fold != k], y[fold != k, 0]))
+    assert np.allclose(chain.held[:, 0], first)
+    want = toxicity.fit_logistic(np.hstack([x[:, use], first[:, None], last]), y[:, 1])
+    assert np.allclose(chain.weights[1], want) and len(chain.weights[0]) == 4
+    p0 = toxicity.probability(x[:, use], chain.weights[0])
+    assert np.allclose(chain.predict(x[:, use], last)[:, 1], toxicity.probability(np.hstack([x[:, use], last, p0[:, None]])[:, [0, 1, 2, 4, 3]], want))
+
+
+def test_toxicity_query_equals_a_plain_count(spark, sf, texts):
+    """Scores of the query from the model's own words, counted plainly."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.op6_toxicity(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for d, t in texts.items():
+        words = [re.sub(r"^[\W\d_]+|[\W\d_]+$", "", w).lower() for w in t.split()]
+        forms = [{w, *(w[:k] + "*" for k in (5, 6, 7) if len(w) >= k)} for w in words if w]
+        n = [sum(v in f for f in forms) for v in model.vocabulary]
+        strong = {v for v, p in zip(model.vocabulary, model.pointing[:, 0], strict=True) if p}
+        p = model.chain.predict(np.log1p([n]), np.log1p([[sum(bool(f & strong) for f in forms)]]))[0] if model.chain else np.zeros(3)
+        assert np.allclose([got[d].p_insulting, got[d].p_abusive, got[d].p_toxic], p) and got[d].kept == (p[-1] < model.threshold)
+
+
 # languages
 
 

@@ -67,7 +67,7 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 
 def sample_stats(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """doc_id, y and the statistics of at most `sample` labelled documents.
+    """doc_id, y and the statistics of at most `sample` labelled documents, equal rows once.
 
     Of several labels of a doc_id the smallest counts; null labels, ids and texts are left out."""
     common.small_batches(docs.sparkSession)
@@ -78,9 +78,12 @@ def sample_stats(docs: DataFrame, labels: DataFrame, label: str, sample: int) ->
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = pd.DataFrame(docstats.statistics(list(f["text"]))[1], columns=docstats.NAMES)
-            yield pd.concat([f[["doc_id", "y"]].reset_index(drop=True), out], axis=1)
+            yield pd.concat([f[["doc_id", "copy", "y"]].reset_index(drop=True), out], axis=1)
 
-    return common.materialize(texts.mapInPandas(run, "doc_id long, y long, " + ", ".join(f"{c} double" for c in docstats.NAMES)), f"{label}-sample")
+    stats = ", ".join(f"{c} double" for c in docstats.NAMES)
+    found = texts.withColumn("copy", F.xxhash64("text")).mapInPandas(run, f"doc_id long, copy long, y long, {stats}").dropDuplicates(["doc_id", "copy"])
+    # a doc_id may stand for many texts, so the bound holds for the rows themselves
+    return common.materialize(found.orderBy(F.xxhash64("doc_id", "copy"), "doc_id", "copy").limit(sample).drop("copy"), f"{label}-sample")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:

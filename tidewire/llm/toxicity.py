@@ -7,10 +7,15 @@ learns from probabilities as good as they are at scoring time.
 Features: counts (log1p) of the words, and apart from them of the word beginnings of 5 to 7 letters, that
 tell toxic from other training documents best, by the z-score of their log odds, found in the training
 sample itself. Each kind has a list of its own, so that neither takes the other's places: beginnings find
-the stems of languages with many inflected forms, each too rare to be a feature. The labels have one flag;
-the two categories before it are derived from it and the found features: `insulting` (flagged and at least
-one word that points to toxicity by itself or by its beginning), `abusive` (flagged and at least three
-such occurrences). Languages written without spaces have only whole runs of letters and their beginnings.
+the stems of languages with many inflected forms, each too rare to be a feature. Languages written without
+spaces have only whole runs of letters and their beginnings.
+
+The labels have one flag; the two categories before it are derived for flagged training documents: `insulting`
+(at least one word that points to toxicity by itself or by its beginning) and `abusive` (at least three
+such occurrences). Which words point there is found in the other folds only, never in the document's own, and the models
+of these categories don't see their count: they have to find them in single features. The last model, whose category is
+the flag itself, does. Out-of-fold predictions come from features that were chosen, and models that were fitted,
+without the fold.
 """
 
 from __future__ import annotations
@@ -36,7 +41,9 @@ PREFIXES = (5, 6, 7)
 #: Words and beginnings of documents handed over at once; all are, this bounds a worker's memory only.
 FORM_ROWS = 20_000
 CATEGORIES = ("insulting", "abusive", "toxic")
-THRESHOLD = 0.5
+FOLDS = 5
+#: Bounds of the probability from which a document is toxic; within them it is where out-of-fold predictions have the best F1.
+THRESHOLDS = (0.3, 0.7)
 
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
@@ -56,10 +63,9 @@ class _Index(dict):
 
     BOUND = 500_000
 
-    def __init__(self, vocabulary: list[str], pointing: np.ndarray):
+    def __init__(self, vocabulary: list[str]):
         super().__init__()
         self.number = {w: k for k, w in enumerate(vocabulary)}
-        self.pointing = pointing
         self.sets: dict[tuple[int, ...], int] = {}
 
     def __missing__(self, raw: str) -> int:
@@ -69,17 +75,18 @@ class _Index(dict):
         n = self[raw] = self.sets.setdefault(own, len(self.sets)) if own else -1
         return n
 
-    def members(self) -> np.ndarray:
-        """For each set its features, and last whether one of them points to toxicity."""
-        out = np.zeros((len(self.sets), len(self.number) + 1))
+    def members(self, pointing: np.ndarray | None = None) -> np.ndarray:
+        """For each set its features; with pointing (a column for each fold) also in which folds one of them points to toxicity."""
+        out = np.zeros((len(self.sets), len(self.number) + (0 if pointing is None else pointing.shape[1])))
         for own, k in self.sets.items():
             out[k, list(own)] = 1
-            out[k, -1] = self.pointing[list(own)].any()
+            if pointing is not None:
+                out[k, len(self.number) :] = pointing[list(own)].any(axis=0)
         return out
 
 
-def counts(texts: list[str | None], index: _Index) -> np.ndarray:
-    """Occurrences of each feature in each text, and last those of words that point to toxicity."""
+def counts(texts: list[str | None], index: _Index, pointing: np.ndarray | None = None) -> np.ndarray:
+    """Occurrences of each feature in each text, and with pointing last, for each fold, those of words that point to toxicity."""
     found = []
     for t in texts:
         words = (t or "").split()
@@ -88,7 +95,7 @@ def counts(texts: list[str | None], index: _Index) -> np.ndarray:
     sets = np.zeros((len(texts), len(index.sets)))
     for k, n in enumerate(found):
         sets[k, : len(n)] = n
-    return sets @ index.members()
+    return sets @ index.members(pointing)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 12) -> np.ndarray:
@@ -114,26 +121,38 @@ def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Chain:
-    """Linear models of categories in order; each takes the features and the earlier probabilities."""
+    """Linear models of categories in order; each takes the features and the earlier probabilities, the last one also
+    features of its own."""
 
     weights: list[np.ndarray]
+    held: np.ndarray | None = None  # the out-of-fold predictions
+
+    def __getstate__(self):  # they stay on the driver
+        return {"weights": self.weights, "held": None}
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, fold: np.ndarray, penalty: float = 1.0) -> Chain:
-        """x: features; y: a column for each category; fold: a number for each row."""
-        weights = []
+    def fit(cls, x: np.ndarray, y: np.ndarray, fold: np.ndarray, use: np.ndarray | None = None, fold_use: dict[int, np.ndarray] | None = None, last: np.ndarray | None = None, penalty: float = 1.0) -> Chain:
+        """x: features; y: a column for each category; fold: a number for each row. use: the columns of x of the final models;
+        fold_use: for each fold the columns that were chosen without it. All by default. last: columns for the last category only."""
+        whole = x if use is None else x[:, use]
+        chosen = {k: x if fold_use is None else x[:, fold_use[k]] for k in np.unique(fold).tolist()}
+        weights, before = [], np.zeros((len(x), 0))
         for j in range(y.shape[1]):
-            weights.append(fit_logistic(x, y[:, j], penalty))
+            more = [before] if last is None or j < y.shape[1] - 1 else [before, last]
+            weights.append(fit_logistic(np.hstack([whole, *more]), y[:, j], penalty))
             held = np.zeros(len(x))
-            for k in np.unique(fold):
-                own = fold == k
-                held[own] = probability(x[own], fit_logistic(x[~own], y[~own, j], penalty)) if (~own).any() else probability(x[own], weights[-1])
-            x = np.hstack([x, held[:, None]])
-        return cls(weights)
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
+            for k, own_x in chosen.items():
+                own, z = fold == k, np.hstack([own_x, *more])
+                # with a single fold there are no others to learn from
+                held[own] = probability(z[own], fit_logistic(z[~own], y[~own, j], penalty)) if (~own).any() else y[:, j].mean()
+            before = np.hstack([before, held[:, None]])
+        return cls(weights, before)
+
+    def predict(self, x: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
         out = []
         for w in self.weights:
+            if last is not None and len(out) == len(self.weights) - 1:
+                x = np.hstack([x, last])
             out.append(probability(x, w))
             x = np.hstack([x, out[-1][:, None]])
         return np.stack(out, axis=1)
@@ -142,59 +161,87 @@ class Chain:
 @dataclass
 class Model:
     vocabulary: list[str]
-    pointing: np.ndarray  # whether each feature points to toxicity
+    pointing: np.ndarray  # whether each feature points to toxicity, as a column
     chain: Chain | None  # None: nothing to learn from
-    threshold: float = THRESHOLD
+    threshold: float = 0.5
 
     def score(self, n: np.ndarray) -> np.ndarray:
-        return self.chain.predict(np.log1p(n)) if self.chain else np.zeros((len(n), len(CATEGORIES)))
+        x = np.log1p(n)
+        return self.chain.predict(x[:, :-1], x[:, -1:]) if self.chain else np.zeros((len(n), len(CATEGORIES)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
-    """Fit the chain on at most `sample` labelled documents. Rows without a label or text teach nothing;
-    of a doc_id's several labels the highest counts; equal texts count once."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The threshold of the best F1, the one nearest to 0.5 among equals, on a grid of hundredths."""
+    grid = np.arange(round(100 * THRESHOLDS[0]), round(100 * THRESHOLDS[1]) + 1) / 100
+    hit = np.array([(y & (p >= t)).sum() for t in grid])
+    f1 = np.round(2 * hit / (np.array([(p >= t).sum() for t in grid]) + max(1, y.sum())), 9)
+    return float(min(zip(-f1, np.abs(grid - 0.5), grid, strict=True))[2])
+
+
+def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """doc_id, flag and text of at most `sample` documents, one for each text; of several labels the highest counts."""
     chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("flag"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so the broadcast is bounded
     texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("copy", F.xxhash64("text"))
-    texts = common.materialize(texts.groupBy("copy").agg(F.min(F.struct("doc_id", "flag", "text")).alias("x")).select("x.*"), "toxicity-sample")
+    once = texts.groupBy("copy").agg(F.min(F.struct("doc_id", "flag", "text")).alias("x")).select("x.*")
+    # a doc_id may stand for many texts, so the bound holds for the rows themselves
+    return common.materialize(once.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(sample), "toxicity-sample")
+
+
+def _z(b, n, bad: int, good: int):
+    """z-score of the log odds of a word in b of bad and n - b of good documents."""
+    b, g = b + 0.5, n - b + 0.5
+    return (F.log(b / (bad + 1 - b)) - F.log(g / (good + 1 - g))) / F.sqrt(1 / b + 1 / g)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
+    """Fit the chain on at most `sample` labelled documents. Rows without a label or text teach nothing;
+    of a doc_id's several labels the highest counts; equal texts count once."""
+    common.small_batches(docs.sparkSession)
+    texts = labelled(docs, labels, sample)
 
     def distinct_forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for t, y in zip(f["text"], f["flag"], strict=True):
-                rows += [(w, int(y)) for w in {x for r in set(t.split()) for x in forms(word(r))}]
+            for t, y, k in zip(f["text"], f["flag"], f["doc_id"] % FOLDS, strict=True):
+                rows += [(w, int(y > 0), int(k)) for w in {x for r in set(t.split()) for x in forms(word(r))}]
                 if len(rows) > FORM_ROWS:
-                    yield pd.DataFrame(rows, columns=["word", "flag"])
+                    yield pd.DataFrame(rows, columns=["word", "flag", "fold"])
                     rows = []
-            yield pd.DataFrame(rows, columns=["word", "flag"])
-
-    totals = dict(texts.groupBy("flag").count().collect())
-    bad, good = totals.get(1, 0), totals.get(0, 0)
-    if not bad or not good:
-        return Model([], np.zeros(0, bool), None)
-    df = texts.mapInPandas(distinct_forms, "word string, flag long").groupBy("word").agg(F.sum("flag").alias("b"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
-    b, g = F.col("b") + 0.5, F.col("n") - F.col("b") + 0.5
-    z = (F.log(b / (bad + 1 - b)) - F.log(g / (good + 1 - g))) / F.sqrt(1 / b + 1 / g)
-    best = Window.partitionBy(F.col("word").endswith("*")).orderBy(F.abs("z").desc(), "word")
-    found = df.select("word", z.alias("z")).withColumn("k", F.row_number().over(best)).where(F.col("k") <= features).orderBy("word").collect()
-    vocabulary, pointing = [r.word for r in found], np.array([r.z >= POINTING_Z for r in found], dtype=bool)
+            yield pd.DataFrame(rows, columns=["word", "flag", "fold"])
+
+    bad, good = np.zeros(FOLDS, np.int64), np.zeros(FOLDS, np.int64)
+    for fold, flag, n in texts.groupBy(F.pmod("doc_id", F.lit(FOLDS)).alias("fold"), (F.col("flag") > 0).alias("flag")).count().collect():
+        (bad if flag else good)[fold] += n
+    if not bad.sum() or not good.sum():
+        return Model([], np.zeros((0, 1), bool), None)
+    here = lambda v, k: F.sum(F.when(F.col("fold") == k, v).otherwise(0))
+    df = texts.mapInPandas(distinct_forms, "word string, flag long, fold int").groupBy("word").agg(
+        F.sum("flag").alias("b"), F.count("*").alias("n"), *[here(F.col("flag"), k).alias(f"b{k}") for k in range(FOLDS)], *[here(F.lit(1), k).alias(f"n{k}") for k in range(FOLDS)]
+    )
+    df = df.where(F.col("n") >= MIN_DOCS).withColumn("kind", F.col("word").endswith("*"))
+    parts = {FOLDS: (F.col("b"), F.col("n"), int(bad.sum()), int(good.sum()))}  # FOLDS: all folds; k: all but fold k
+    parts |= {k: (F.col("b") - F.col(f"b{k}"), F.col("n") - F.col(f"n{k}"), int(bad.sum() - bad[k]), int(good.sum() - good[k])) for k in range(FOLDS)}
+    df = df.select("word", "kind", *[_z(*p).alias(f"z{k}") for k, p in parts.items()])
+    df = df.withColumns({f"r{k}": F.row_number().over(Window.partitionBy("kind").orderBy(F.abs(f"z{k}").desc(), "word")) for k in parts})
+    found = df.where(F.least(*[F.col(f"r{k}") for k in parts]) <= features).orderBy("word").toPandas()  # 2 * (FOLDS + 1) * features rows at most
+    vocabulary = found["word"].tolist()
+    used = {k: np.flatnonzero(found[f"r{k}"].to_numpy() <= features) for k in parts}
+    pointing = np.stack([(found[f"z{k}"] >= POINTING_Z).to_numpy(bool) for k in parts], axis=1)  # first that of all folds
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = _Index(vocabulary, pointing)
+        index = _Index(vocabulary)
         for f in frames:
-            n = np.minimum(counts(list(f["text"]), index), 60_000).astype("<u2")
+            n = counts(list(f["text"]), index, pointing).astype("<u4")
             yield pd.DataFrame({"doc_id": f["doc_id"], "flag": f["flag"], "n": [r.tobytes() for r in n]})
 
-    rows = texts.mapInPandas(count, "doc_id long, flag int, n binary").toPandas().sort_values("doc_id")  # `sample` rows at most
-    model = Model(vocabulary, pointing, None)
-    n = np.frombuffer(b"".join(rows["n"]), dtype="<u2").reshape(len(rows), len(vocabulary) + 1).astype(np.float64)
-    flag = rows["flag"].to_numpy() > 0
-    toward = n[:, -1]
+    rows = texts.mapInPandas(count, "doc_id long, flag int, n binary").toPandas().sort_values(["doc_id", "n"])  # `sample` rows at most
+    n = np.frombuffer(b"".join(rows["n"]), dtype="<u4").reshape(len(rows), len(vocabulary) + 1 + FOLDS).astype(np.float64)
+    flag, fold = rows["flag"].to_numpy() > 0, rows["doc_id"].to_numpy() % FOLDS
+    toward = n[np.arange(len(rows)), len(vocabulary) + 1 + fold]  # by words found in the other folds
     y = np.stack([flag & (toward >= 1), flag & (toward >= 3), flag], axis=1).astype(np.float64)
-    model.chain = Chain.fit(np.log1p(n), y, rows["doc_id"].to_numpy() % 5)
-    return model
+    chain = Chain.fit(np.log1p(n[:, : len(vocabulary)]), y, fold, used[FOLDS], used, np.log1p(toward[:, None]))
+    return Model([vocabulary[i] for i in used[FOLDS]], pointing[used[FOLDS], :1], chain, best_threshold(chain.held[:, -1], flag))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -206,9 +253,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     common.small_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = _Index(model.vocabulary, model.pointing)
+        index = _Index(model.vocabulary)
         for f in frames:
-            p = model.score(counts(list(f["text"]), index))
+            p = model.score(counts(list(f["text"]), index, model.pointing))
             out = pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "copy": f["copy"].astype("Int64")})
             for j, c in enumerate(CATEGORIES):
                 out[f"p_{c}"] = p[:, j]
