@@ -135,14 +135,13 @@ class Chain:
         """x: features; y: a column for each category; fold: a number for each row. use: the columns of x of the final models;
         fold_use: for each fold the columns that were chosen without it. All by default. last: columns for the last category only."""
         whole = x if use is None else x[:, use]
-        chosen = {k: x if fold_use is None else x[:, fold_use[k]] for k in np.unique(fold).tolist()}
         weights, before = [], np.zeros((len(x), 0))
         for j in range(y.shape[1]):
             more = [before] if last is None or j < y.shape[1] - 1 else [before, last]
             weights.append(fit_logistic(np.hstack([whole, *more]), y[:, j], penalty))
             held = np.zeros(len(x))
-            for k, own_x in chosen.items():
-                own, z = fold == k, np.hstack([own_x, *more])
+            for k in np.unique(fold).tolist():
+                own, z = fold == k, np.hstack([x if fold_use is None else x[:, fold_use[k]], *more])
                 # with a single fold there are no others to learn from
                 held[own] = probability(z[own], fit_logistic(z[~own], y[~own, j], penalty)) if (~own).any() else y[:, j].mean()
             before = np.hstack([before, held[:, None]])
@@ -185,7 +184,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("copy", F.xxhash64("text"))
     once = texts.groupBy("copy").agg(F.min(F.struct("doc_id", "flag", "text")).alias("x")).select("x.*")
     # a doc_id may stand for many texts, so the bound holds for the rows themselves
-    return common.materialize(once.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(sample), "toxicity-sample")
+    return common.materialize(once.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(sample).repartition(32, "doc_id"), "toxicity-sample")
 
 
 def _z(b, n, bad: int, good: int):
@@ -232,15 +231,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = _Index(vocabulary)
         for f in frames:
-            n = counts(list(f["text"]), index, pointing).astype("<u4")
-            yield pd.DataFrame({"doc_id": f["doc_id"], "flag": f["flag"], "n": [r.tobytes() for r in n]})
+            n = counts(list(f["text"]), index, pointing)
+            n[:, : len(vocabulary)] = np.log1p(n[:, : len(vocabulary)])
+            yield pd.DataFrame({"doc_id": f["doc_id"], "flag": f["flag"], "x": [r.tobytes() for r in n.astype("<f4")]})
 
-    rows = texts.mapInPandas(count, "doc_id long, flag int, n binary").toPandas().sort_values(["doc_id", "n"])  # `sample` rows at most
-    n = np.frombuffer(b"".join(rows["n"]), dtype="<u4").reshape(len(rows), len(vocabulary) + 1 + FOLDS).astype(np.float64)
+    rows = texts.mapInPandas(count, "doc_id long, flag int, x binary").toPandas().sort_values(["doc_id", "x"])  # `sample` rows at most
     flag, fold = rows["flag"].to_numpy() > 0, rows["doc_id"].to_numpy() % FOLDS
-    toward = n[np.arange(len(rows)), len(vocabulary) + 1 + fold]  # by words found in the other folds
+    x = np.frombuffer(b"".join(rows.pop("x")), dtype="<f4").reshape(len(rows), len(vocabulary) + 1 + FOLDS)
+    toward = x[np.arange(len(rows)), len(vocabulary) + 1 + fold].astype(np.float64)  # by words found in the other folds
     y = np.stack([flag & (toward >= 1), flag & (toward >= 3), flag], axis=1).astype(np.float64)
-    chain = Chain.fit(np.log1p(n[:, : len(vocabulary)]), y, fold, used[FOLDS], used, np.log1p(toward[:, None]))
+    chain = Chain.fit(x[:, : len(vocabulary)], y, fold, used[FOLDS], used, np.log1p(toward[:, None]))
     return Model([vocabulary[i] for i in used[FOLDS]], pointing[used[FOLDS], :1], chain, best_threshold(chain.held[:, -1], flag))
 
 
