@@ -1,14 +1,18 @@
 """Scalar truth tables and plain-Python counterparts."""
 
+import random
 import re
+import string
 import unicodedata
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewire import fixed
-from tidewire.functions import followup, text, timewin
+from tidewire.functions import followup, similar, text, timewin
+from tidewire.operators import admission, filters, ranking, store
 from tidewire.sources import config, pages, sinks
 
 
@@ -38,16 +42,75 @@ def test_features_follow_their_definition(s):
 
 
 @pytest.mark.parametrize(("a", "b", "same"), [("Diesel price hits $6.06 in California", "California diesel price at $6", True), ("Fed cuts by 25 bp", "Fed cuts by 50 bp", False), ("", "x y", False)])
-def test_same_event(a, b, same):
-    assert followup.Facts.of(a).same(followup.Facts.of(b)) is same
-
-
-def test_followup_skips_a_rehash_and_keeps_a_new_angle():
-    old = "Storm closes harbour near Lisbon: ferries cancelled tonight"
-    assert followup.sanitized("Storm closes harbour near Lisbon", "ferries cancelled tonight", [], [old], False, "")[0]
-    skip, rewritten, title, _, kept = followup.sanitized("Storm closes harbour near Lisbon", "ferries cancelled tonight", ["ferries cancelled tonight near Lisbon harbour storm", "Insurers expect 400 million in claims"], [old], False, "")
-    assert not skip and rewritten and kept == ["Insurers expect 400 million in claims"] and title == kept[0]
-    assert followup.sanitized(None, None, None, None, None, None) == (False, False, "", "", [])
+def test_same_event(spark, a, b, same):
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(text.features("a").alias("a"), text.features("b").alias("b"))
+    assert row.select(similar.same_event(F.col("a"), F.col("b"))).first()[0] is same
+
+
+FOLLOWUP = "id int, title string, summary string, bullets array<string>, recents array<string>, is_update boolean, reason string"
+OLD = "Storm closes harbour near Lisbon: ferries cancelled tonight"
+NEW = "Insurers expect 400 million in claims"
+CASES = [
+    # title, summary, bullets, recents, is_update, reason -> skip, rewritten, title, summary, bullets
+    (("Storm closes harbour near Lisbon", "ferries cancelled tonight", [], [OLD], False, ""), (True, False, "Storm closes harbour near Lisbon", "ferries cancelled tonight", [])),
+    (("Storm closes harbour near Lisbon", "ferries cancelled tonight", ["ferries cancelled tonight near Lisbon harbour storm", NEW], [OLD], False, ""), (False, True, NEW, NEW, [NEW])),
+    ((None, None, None, None, None, None), (False, False, "", "", [])),
+    (("Any title", " text ", [" b ", ""], [], True, "why"), (False, False, "Any title", "text", ["b"])),
+    (("Quite another matter", "of bread and wine", ["bakers strike"], [OLD], False, ""), (False, False, "Quite another matter", "of bread and wine", ["bakers strike"])),
+    (("Storm closes harbour near Lisbon", "ferries cancelled tonight", [], [OLD], True, "Harbour damage now 700 million"), (False, True, "Harbour damage now 700 million", "Harbour damage now 700 million", ["Harbour damage now 700 million"])),
+    (("Storm closes harbour near Lisbon", "", [OLD], [OLD, " "], False, None), (True, False, "Storm closes harbour near Lisbon", "", [OLD])),
+]
+
+
+def test_followup_cases(spark):
+    rows = spark.createDataFrame([(k, *given) for k, (given, _) in enumerate(CASES)], FOLLOWUP)
+    out = followup.sanitized(rows, *[F.col(c.split()[0]) for c in FOLLOWUP.split(", ")[1:]]).collect()
+    assert {r.id: tuple(r["copy"]) for r in out} == {k: want for k, (_, want) in enumerate(CASES)}
+
+
+def test_guard_changes_no_result_over_letters_that_fold_to_ascii(spark):
+    odd = [chr(c) for c in range(128, 0x11000) if not 0xD800 <= c < 0xE000 and (set(chr(c).lower() + chr(c).upper() + chr(c).casefold()) & set(string.ascii_letters))]
+    texts = [t.replace(x, c) for t in ("airdrop for all", "BITCOIN kiss", "task kraken") for x in set(t) if x.isalpha() for c in odd] + ["bıtcoin", "BİTCOIN price rises", "aırdrop for everyone here", "ſol up", "Kraken"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for patterns in (fixed.SPAM, fixed.CRYPTO):
+        bare = F.lit(False)
+        for p in patterns:
+            bare = bare | F.col("t").rlike(text.pattern(p))
+        assert df.where(text.any_match(F.col("t"), *patterns) != bare).collect() == []
+    assert df.where(text.any_match(F.col("t"), *fixed.CRYPTO)).where("t IN ('bıtcoin', 'BİTCOIN price rises')").count() == 2
+
+
+def test_topic_patterns_of_both_dialects(spark):
+    df = spark.createDataFrame([("black swans here",), ("aa bb",), ("end",)], "t string")
+    match = lambda *p: [r[0] for r in df.where(filters.topic_matches(F.col("t"), F.lit("g"), {"default": {"patterns": list(p)}})).collect()]
+    assert match(r"(?P<x>swans)") == ["black swans here"] and match(r"(?P<c>b)(?P=c)") == ["aa bb"] and match(r"end\Z") == ["end"]
+    assert match("(", r"a(?<!b+)c", None) == []  # one that either dialect doesn't know is left out
+
+
+def test_recent_summaries_cut_before_blank_ones_go(spark):
+    rows = [("g", f"f{k}", 1000 - k, " " if k < 40 else f"summary {k}") for k in range(60)]
+    claims = spark.createDataFrame(rows, "group_id string, fingerprint string, claimed long, summary string")
+    assert ranking.recent_summaries(claims, F.lit(0)).count() == 0
+    mixed = spark.createDataFrame([("g", f"f{k}", 1000 - k, [" a", "a ", "b", None][k % 4]) for k in range(12)], claims.schema)
+    assert [(r.summary, r.position) for r in ranking.recent_summaries(mixed, F.lit(0)).orderBy("position").collect()] == [("a", 1), ("b", 2)]
+
+
+def test_live_claims_equal_a_plain_walk():
+    rng = random.Random(3)
+    now, plain, live = 0.0, {}, admission.Live(50)
+    for _ in range(500):
+        now += rng.randrange(12)
+        prints = [f"f{rng.randrange(12)}" for _ in range(rng.randrange(1, 3))]
+        ok = not any(now - plain.get(p, -1e9) <= 50 for p in prints)
+        if ok:
+            plain.update(dict.fromkeys(prints, now))
+        assert live.claim(now, prints) is ok
+
+
+def test_failures_at_one_time(spark):
+    rows = [("g", "c", 1, 5, False, "b"), ("g", "c", 1, 5, True, "a"), ("g", "c", 1, 4, True, "z"), ("g", "c", 2, 1, True, "x"), ("g", "c", 2, 2, False, None)]
+    out = store.failures(spark.createDataFrame(rows, "group_id string, channel string, message_id long, at long, permanent boolean, error string"))
+    assert sorted((r.message_id, r.retry_count, r.alert_sent, r.alert_error) for r in out.collect()) == [(1, 3, -1, "a"), (2, 2, 0, None)]
 
 
 @pytest.mark.parametrize(("token", "value"), [("7", 420), ("07:30", 450), ("23:59", 1439)])

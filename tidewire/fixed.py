@@ -65,7 +65,12 @@ BREAKING_KEYWORDS = (
 )
 CATEGORIES = ("科技/AI", "宏观财经", "加密货币", "军事", "地缘政治", "行业快讯", "突发安全", "宏观监管", "市场异动", "重大商业", "日常闲聊", "推广广告")
 SPAM_CATEGORY, URGENT_CATEGORY, DEFAULT_CATEGORY, CHAT_CATEGORY = "推广广告", "突发安全", "行业快讯", "日常闲聊"
+CRYPTO_CATEGORY = "加密货币"
 DEFAULT_TITLE, DEFAULT_TAKEAWAY = "实时快讯评估简报", "密切跟踪事件后续官方动态及市场反应。"
+HEURISTIC = {
+    "source": "原文摘要：", "words": "触发应急告警关键词：", "fallback": "评估服务暂时不可用，系统触发启发式规则应急预警。",
+    "from": "来自 @", "news": " 的突发动态", "alert": "[降级预警] ", "plain": "未分级动态: @",
+}
 IMPACT_MIN_SCORE, IMPACT_CATEGORIES = 9, ("军事", "地缘政治", "宏观财经")
 ICONS = {"red": "alarm_outlined", "orange": "bell_outlined", "blue": "info_outlined", "grey": "cross_outlined"}
 

@@ -109,8 +109,8 @@ def any_match(text: Column, *patterns: str) -> Column:
             out = out | hit
         return out
 
-    # "ſ" is the one letter that matches another case but isn't its lower case
-    return let(F.translate(F.lower(text), "ſ", "s"), tried)
+    # three letters match an ASCII letter's other case but aren't lowered to it
+    return let(F.lower(F.translate(text, "İıſ", "iis")), tried)
 
 
 def stripped(text: Column | str) -> Column:

@@ -113,6 +113,16 @@ def fresh(value: Column, max_age: Column | int | None, now: Column) -> Column:
     return F.coalesce((age >= -fixed.FUTURE_SLACK) & ((limit <= 0) | (age <= limit)), F.lit(False))
 
 
+def before(value: Column, now: Column) -> Column:
+    """Whether an instant is no more than the slack ahead of now; a null one isn't."""
+    return F.coalesce(age_seconds(value, now) >= -fixed.FUTURE_SLACK, F.lit(False))
+
+
+def in_window(value: Column, start: Column, end: Column, now: Column) -> Column:
+    """Whether an instant is in [start, end) and no more than the slack ahead of now."""
+    return F.coalesce((value >= start) & (value < end), F.lit(False)) & before(value, now)
+
+
 def iso_instant(text: Column) -> Column:
     """Instant of an ISO-8601 text; the epoch for texts without a zone or that don't parse."""
     zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")

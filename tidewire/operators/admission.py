@@ -6,7 +6,7 @@ them in batches with a state of a few values for each key; no group is ever held
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,8 +34,26 @@ def fold(rows: DataFrame, key: list[str], order: list[str], step: Callable[[dict
     return placed.sortWithinPartitions(*key, *order).mapInPandas(run, schema)
 
 
+class Live:
+    """Fingerprints accepted in the last `window` seconds of a group, in the order of their times: each is added and removed once."""
+
+    def __init__(self, window: int, prints: Iterable[str] = (), times: Iterable[float] = ()):
+        self.window, self.taken = window, dict(zip(prints, times, strict=True))
+
+    def claim(self, now: float, prints: Iterable[str]) -> bool:
+        """Take all of prints unless one is taken. Calls should come in order of time; late ones only delay removals."""
+        while self.taken and now - self.taken[oldest := next(iter(self.taken))] > self.window:
+            del self.taken[oldest]
+        if any(p in self.taken and now - self.taken[p] <= self.window for p in prints):
+            return False
+        for p in prints:
+            self.taken.pop(p, None)
+            self.taken[p] = now
+        return True
+
+
 def claims(rows: DataFrame, window: int = fixed.WINDOW_SECONDS) -> DataFrame:
-    """From (group_id, fingerprint, claimed_s, id): accepted unless a claim accepted less than `window` seconds
+    """From (group_id, fingerprint, claimed_s, id): accepted unless a claim accepted at most `window` seconds
     ago has the fingerprint. A rejected claim doesn't extend the window."""
 
     def step(state: dict, v: tuple) -> bool:
@@ -53,13 +71,8 @@ def paired_claims(rows: DataFrame, window: int = fixed.WINDOW_SECONDS) -> DataFr
     Keeps the fingerprints of the last `window` seconds of one group."""
 
     def step(state: dict, v: tuple) -> bool:
-        now, prints = v
-        for fp in [k for k, t in state.items() if now - t > window]:
-            del state[fp]
-        if any(fp in state for fp in prints):
-            return False
-        state.update(dict.fromkeys(prints, now))
-        return True
+        live = state.setdefault("live", Live(window))
+        return live.claim(v[0], v[1])
 
     return fold(rows, ["group_id"], ["claimed_s", "id"], step, ["claimed_s", "fingerprints"])
 
@@ -67,13 +80,13 @@ def paired_claims(rows: DataFrame, window: int = fixed.WINDOW_SECONDS) -> DataFr
 def _reserve(state: dict, group, now: float, interval: int, per_group: int, total: int | None) -> bool:
     day = int(now // 86400)
     if state.get("day") != day:
-        state["day"], state["calls"] = day, {}
+        state["day"], state["calls"], state["all"] = day, {}, 0
     last, calls = state.setdefault("last", {}), state["calls"]
     if group in last and now - last[group] < interval:
         return False
-    if calls.get(group, 0) >= per_group or (total is not None and sum(calls.values()) >= total):
+    if calls.get(group, 0) >= per_group or (total is not None and state["all"] >= total):
         return False
-    last[group], calls[group] = now, calls.get(group, 0) + 1
+    last[group], calls[group], state["all"] = now, calls.get(group, 0) + 1, state["all"] + 1
     return True
 
 

@@ -54,7 +54,7 @@ def topic_matches(text: Column, group: Column, policy: Mapping[str, Mapping]) ->
     even if it is disabled. Patterns that don't compile are left out."""
 
     def block(spec: Mapping | None) -> Column:
-        good = [p for p in (spec or {}).get("patterns", ()) if _compiles(p)]
+        good = [j for p in (spec or {}).get("patterns", ()) if (j := _java(p)) is not None]
         if not spec or not spec.get("enabled", True) or not good:
             return F.lit(False)
         return text.rlike(_any(*good))
@@ -66,12 +66,32 @@ def topic_matches(text: Column, group: Column, policy: Mapping[str, Mapping]) ->
     return out
 
 
-def _compiles(p: str) -> bool:
+def _java(p: object) -> str | None:
+    """A pattern of Python's syntax as Java's, or None if either doesn't know it. Differences are those of named groups
+    ((?P<x>…), (?P=x)), of \\Z and of inline comments; the JVM itself says whether the rest compiles."""
+    from pyspark import SparkContext
+
     try:
         re.compile(p, re.I)
     except (re.error, TypeError):
-        return False
-    return True
+        return None
+    out = re.sub(r"\(\?#[^)]*\)", "", p)
+    names: list[str] = []
+
+    def name(m: re.Match) -> str:
+        names.append(m[1])
+        return f"(?<g{len(names) - 1}>"
+
+    out = re.sub(r"\(\?P<(\w+)>", name, out)
+    out = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<g{names.index(m[1])}>", out)
+    out = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", out)
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(_any(out))
+    except Exception as e:  # py4j's error of a PatternSyntaxException
+        if "PatternSyntaxException" not in str(e):
+            raise
+        return None
+    return out
 
 
 def bucket(text: Column, group: Column | None = None, policy: Mapping[str, Mapping] | None = None) -> Column:
@@ -126,6 +146,14 @@ def send_decision(mode_then: Column, mode_now: Column, post_fresh: Column, event
     )
 
 
+def subject_reason(category: Column, title: Column, summary: Column, bullets: Column, insight: Column, group: Column | None = None, policy: Mapping[str, Mapping] | None = None) -> Column:
+    """Why an evaluated item is dropped for its subject, or null: crypto_filter by category or text, then topic_filter."""
+    texts = [F.coalesce(c, F.lit("")) for c in (category, title, summary)]
+    blob = F.concat_ws(" ", *texts, F.array_join(F.coalesce(bullets, F.array().cast("array<string>")), " "), F.coalesce(insight, F.lit("")))
+    out = F.when((tx.stripped(texts[0]) == fixed.CRYPTO_CATEGORY) | is_crypto(blob), fixed.CRYPTO_REASON)
+    return out.when(topic_matches(blob, group, policy), fixed.TOPIC_REASON) if policy and group is not None else out
+
+
 def tally(posts: DataFrame, reason: Column) -> DataFrame:
     """reason (kept for null) and how many posts it has."""
     return posts.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions import text as tx
 
 
 def pending(posts: DataFrame, limit: int, group: str | None = None) -> DataFrame:
@@ -20,7 +21,7 @@ def pending(posts: DataFrame, limit: int, group: str | None = None) -> DataFrame
     return rows.orderBy("scraped_at", "message_id", "group_id", "channel").limit(max(limit, 0))
 
 
-def pending_by_group(posts: DataFrame, limit: int) -> DataFrame:
+def pending_by_group(posts: DataFrame, limit: int | Column) -> DataFrame:
     """The queue of every group at once, with its position."""
     w = Window.partitionBy("group_id").orderBy("scraped_at", "message_id", "channel")
     return posts.where("evaluated_at IS NULL").withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
@@ -36,7 +37,7 @@ def newest_by_fingerprint(posts: DataFrame, key: Sequence[str] = ("group_id", "f
     return posts.withColumn("duplicate", F.row_number().over(w) > 1)
 
 
-def batch(posts: DataFrame, size: int = fixed.BATCH) -> DataFrame:
+def batch(posts: DataFrame, size: int | Column = fixed.BATCH) -> DataFrame:
     """The next batch of every group: urgent first, then newest; rank from 1."""
     w = Window.partitionBy("group_id").orderBy(F.desc("urgent"), F.desc("published_at"), "channel", "message_id")
     return posts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= size)
@@ -65,9 +66,11 @@ def flushes(modes: DataFrame) -> DataFrame:
 
 
 def recent_summaries(claims: DataFrame, cutoff: Column, most: int = fixed.RECENT_MAX) -> DataFrame:
-    """Distinct summaries of each group, newest first, at most `most`, out of the newest 2 * most claims."""
+    """Distinct stripped summaries of each group, newest first, at most `most`, out of the newest 2 * most claims; claims
+    without a summary count among these."""
     newest = Window.partitionBy("group_id").orderBy(F.desc("claimed"), "fingerprint")
-    rows = claims.where((F.col("claimed") >= cutoff) & (F.coalesce("summary", F.lit("")) != "")).withColumn("n", F.row_number().over(newest)).where(F.col("n") <= 2 * most)
+    rows = claims.where(F.col("claimed") >= cutoff).withColumn("n", F.row_number().over(newest)).where(F.col("n") <= 2 * most)
+    rows = rows.withColumn("summary", tx.stripped(F.coalesce("summary", F.lit("")))).where("summary <> ''")
     once = rows.groupBy("group_id", "summary").agg(F.min("n").alias("n"))
     return once.withColumn("position", F.row_number().over(Window.partitionBy("group_id").orderBy("n"))).where(F.col("position") <= most).drop("n")
 

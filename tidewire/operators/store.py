@@ -62,8 +62,13 @@ def mark_sent(stored: DataFrame, sent: DataFrame, key: Sequence[str] = KEY) -> D
 
 
 def failures(attempts: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """From attempts (key, at, permanent, error): retry_count, alert_sent (-1 once permanent) and the last error."""
-    return attempts.groupBy(*key).agg(F.count("*").alias("retry_count"), F.when(F.max_by("permanent", "at"), -1).otherwise(0).alias("alert_sent"), F.max_by("error", "at").alias("alert_error"))
+    """From attempts (key, at, permanent, error): retry_count, alert_sent (-1 if the last one was permanent) and the last error.
+
+    Of attempts at one time a permanent one is the last, then the one whose error sorts last."""
+    last = F.max(F.struct("at", "permanent", F.coalesce("error", F.lit("")).alias("order"), "error"))
+    return attempts.groupBy(*key).agg(F.count("*").alias("retry_count"), last.alias("x")).select(
+        *key, "retry_count", F.when(F.col("x.permanent"), -1).otherwise(0).alias("alert_sent"), F.col("x.error").alias("alert_error")
+    )
 
 
 def channel_state(polls: DataFrame, key: Sequence[str] = ("group_id", "channel")) -> DataFrame:

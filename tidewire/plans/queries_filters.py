@@ -163,9 +163,8 @@ def flt12_eligible(spark, sf_dir):
 
 @query(f"WITH {I} SELECT id FROM i0 WHERE NOT {like("concat_ws(' ', title, summary, category, source, text)", *fixed.CRYPTO, '油市|芯片')}")
 def flt13_post_model_drop(spark, sf_dir):
-    whole = F.concat_ws(" ", "title", "summary", "category", "source", "text")
-    policy = {"default": {"patterns": ["油市|芯片"]}}
-    return items(spark).where(~filters.is_crypto(whole) & ~filters.topic_matches(whole, F.lit("g"), policy)).select("id")
+    reason = filters.subject_reason(F.col("category"), F.col("title"), F.col("summary"), F.array("source"), F.col("text"), F.lit("g"), {"default": {"patterns": ["油市|芯片"]}})
+    return items(spark).where(reason.isNull()).select("id")
 
 
 @query(

@@ -76,8 +76,8 @@ def src12_json_rows(spark, sf_dir):
 
 @query(f"WITH {POSTS} SELECT message_id, published_s >= {NOW - 7200} AND published_s < {NOW} AND published_s <= {NOW - 3600} + 120 AS inside FROM posts")
 def flt17_in_window(spark, sf_dir):
-    s = F.unix_seconds("published_at")
-    return views.posts(spark, sf_dir).select("message_id", ((s >= NOW - 7200) & (s < NOW) & (s <= NOW - 3600 + 120)).alias("inside"))
+    at = lambda s: F.timestamp_seconds(F.lit(s))
+    return views.posts(spark, sf_dir).select("message_id", timewin.in_window(F.col("published_at"), at(NOW - 7200), at(NOW), at(NOW - 3600)).alias("inside"))
 
 
 @query(f"WITH {POSTS} SELECT message_id, row_number() OVER (ORDER BY published_s, message_id) AS place FROM (SELECT * FROM posts ORDER BY length(text) DESC, message_id LIMIT 20)")

@@ -132,8 +132,8 @@ def strf14_followup(spark, sf_dir):
     c = views.table(spark, sf_dir, "conversations")
     prev = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.array("text").alias("recents"))
     j = c.join(prev, ["conv_id", "turn"], "left")
-    s = followup.sanitize(tx.lead_title(F.col("text")), "text", F.split("text", "\n"), "recents", F.col("turn") % 2 == 0, F.lit(""))
-    return j.select("conv_id", "turn", s.alias("s")).select("conv_id", "turn", "s.skip", "s.rewritten", "s.title", F.size("s.bullets").alias("n_bullets"))
+    s = followup.sanitized(j, tx.lead_title(F.col("text")), F.col("text"), F.split("text", "\n"), F.col("recents"), F.col("turn") % 2 == 0, F.lit(""), out="s")
+    return s.select("conv_id", "turn", "s.skip", "s.rewritten", "s.title", F.size("s.bullets").alias("n_bullets"))
 
 
 CAPTIONS = [(1, "A quiet lake…"), (2, ""), (3, "• 看 https://t.me/x/1 湖边"), (4, "长句" * 40 + "。" + "尾巴" * 20), (5, "x" * 150), (6, "已经完整。"), (7, "..."), (8, None)]

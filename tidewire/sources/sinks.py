@@ -51,11 +51,12 @@ def request(card: str, timestamp: str, secret: str | None) -> tuple[str, dict[st
 
 def outcome(status: Column, reply: Column) -> Column:
     """sent, retry or failed: by HTTP status, then by the code in the reply."""
-    code = F.coalesce(F.get_json_object(reply, "$.code"), F.get_json_object(reply, "$.StatusCode"))
+    fields = F.from_json(reply, "code long, StatusCode long")  # a code given as text is none
+    code = F.coalesce(fields["code"], fields["StatusCode"])
     return (
         F.when(status.isNull() | (status == 429) | status.between(500, 599), "retry")
-        .when((status == 200) & (code == "0"), "sent")
-        .when((status == 200) & (code == "19001"), "retry")
+        .when((status == 200) & (code == 0), "sent")
+        .when((status == 200) & (code == 19001), "retry")
         .otherwise("failed")
     )
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import fixed
+from ..operators.admission import Live
 
 CLAIM_OUT = "group_id string, id long, claimed_s double, accepted boolean"
 CLAIM_STATE = "prints array<string>, times array<double>"
@@ -24,16 +25,10 @@ def claim_stream(rows: DataFrame, window: int = fixed.WINDOW_SECONDS) -> DataFra
     `window` seconds. Within a batch rows go by time, then id. Keeps only the window's fingerprints of a group."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        live = Live(window, *(state.get if state.exists else ()))
         rows = pd.concat(list(frames), ignore_index=True).sort_values(["claimed_s", "id"], kind="stable")
-        accepted = []
-        for now, prints in zip(rows["claimed_s"], rows["fingerprints"], strict=True):
-            held = {k: t for k, t in held.items() if now - t <= window}
-            ok = not any(p in held for p in prints)
-            if ok:
-                held |= dict.fromkeys(prints, float(now))
-            accepted.append(ok)
-        state.update((list(held), list(held.values())))
+        accepted = [live.claim(float(now), prints) for now, prints in zip(rows["claimed_s"], rows["fingerprints"], strict=True)]
+        state.update((list(live.taken), list(live.taken.values())))
         yield pd.DataFrame({"group_id": key[0], "id": rows["id"], "claimed_s": rows["claimed_s"], "accepted": accepted})
 
     picked = rows.select("group_id", "id", F.col("claimed_s").cast("double"), "fingerprints")
