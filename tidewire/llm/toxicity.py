@@ -131,7 +131,7 @@ class Chain:
         return {"weights": self.weights, "held": None}
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, fold: np.ndarray, use: np.ndarray | None = None, fold_use: dict[int, np.ndarray] | None = None, last: np.ndarray | None = None, penalty: float = 1.0) -> Chain:
+    def fit(cls, x: np.ndarray | Sparse, y: np.ndarray, fold: np.ndarray, use: np.ndarray | None = None, fold_use: dict[int, np.ndarray] | None = None, last: np.ndarray | None = None, penalty: float = 1.0) -> Chain:
         """x: features; y: a column for each category; fold: a number for each row. use: the columns of x of the final models;
         fold_use: for each fold the columns that were chosen without it. All by default. last: columns for the last category only."""
         whole = x if use is None else x[:, use]
@@ -169,6 +169,24 @@ class Model:
         return self.chain.predict(x[:, :-1], x[:, -1:]) if self.chain else np.zeros((len(n), len(CATEGORIES)))
 
 
+class Sparse:
+    """A matrix of few values by rows; x[:, columns] is dense. Rows are pairs of bytes: column numbers and values."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes]], width: int):
+        self.rows, self.width = [(np.frombuffer(at, dtype="<u2"), np.frombuffer(v, dtype="<f4")) for at, v in rows], width
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, key: tuple[slice, np.ndarray]) -> np.ndarray:
+        place = np.full(self.width, len(key[1]))
+        place[key[1]] = np.arange(len(key[1]))
+        out = np.zeros((len(self.rows), len(key[1]) + 1), dtype=np.float32)  # the last column takes what isn't asked for
+        for row, (at, v) in zip(out, self.rows, strict=True):
+            row[place[at]] = v
+        return out[:, :-1]
+
+
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The threshold of the best F1, the one nearest to 0.5 among equals, on a grid of hundredths."""
     grid = np.arange(round(100 * THRESHOLDS[0]), round(100 * THRESHOLDS[1]) + 1) / 100
@@ -232,15 +250,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         index = _Index(vocabulary)
         for f in frames:
             n = counts(list(f["text"]), index, pointing)
-            n[:, : len(vocabulary)] = np.log1p(n[:, : len(vocabulary)])
-            yield pd.DataFrame({"doc_id": f["doc_id"], "flag": f["flag"], "x": [r.tobytes() for r in n.astype("<f4")]})
-
-    rows = texts.mapInPandas(count, "doc_id long, flag int, x binary").toPandas().sort_values(["doc_id", "x"])  # `sample` rows at most
-    flag, fold = rows["flag"].to_numpy() > 0, rows["doc_id"].to_numpy() % FOLDS
-    x = np.frombuffer(b"".join(rows.pop("x")), dtype="<f4").reshape(len(rows), len(vocabulary) + 1 + FOLDS)
-    toward = x[np.arange(len(rows)), len(vocabulary) + 1 + fold].astype(np.float64)  # by words found in the other folds
+            fold = f["doc_id"].to_numpy() % FOLDS
+            words, at = np.log1p(n[:, : len(vocabulary)]).astype("<f4"), [np.flatnonzero(r) for r in n[:, : len(vocabulary)]]
+            toward = n[np.arange(len(f)), len(vocabulary) + 1 + fold]  # by words found in the other folds
+            yield pd.DataFrame({"doc_id": f["doc_id"], "flag": f["flag"], "toward": toward, "at": [a.astype("<u2").tobytes() for a in at], "x": [r[a].tobytes() for r, a in zip(words, at, strict=True)]})
+
+    rows = texts.mapInPandas(count, "doc_id long, flag int, toward double, at binary, x binary").toPandas().sort_values(["doc_id", "at", "x"])  # `sample` rows at most
+    flag, fold, toward = rows["flag"].to_numpy() > 0, rows["doc_id"].to_numpy() % FOLDS, rows["toward"].to_numpy()
+    x = Sparse(list(zip(rows.pop("at"), rows.pop("x"), strict=True)), len(vocabulary))
     y = np.stack([flag & (toward >= 1), flag & (toward >= 3), flag], axis=1).astype(np.float64)
-    chain = Chain.fit(x[:, : len(vocabulary)], y, fold, used[FOLDS], used, np.log1p(toward[:, None]))
+    chain = Chain.fit(x, y, fold, used[FOLDS], used, np.log1p(toward[:, None]))
     return Model([vocabulary[i] for i in used[FOLDS]], pointing[used[FOLDS], :1], chain, best_threshold(chain.held[:, -1], flag))
 
 
