@@ -11,13 +11,14 @@ from . import text as tx
 
 def same_event(a: Column, b: Column) -> Column:
     """Whether two texts tell of the same event: token overlap, with compatible numbers."""
-    shared, union = F.size(F.array_intersect(a["tokens"], b["tokens"])), F.size(F.array_union(a["tokens"], b["tokens"]))
-    specific = F.size(F.array_intersect(a["specific"], b["specific"]))
+    meet = F.arrays_overlap(a["specific"], b["specific"])  # either way needs one; most pairs end here
     numbers = (F.size(a["numbers"]) == 0) | (F.size(b["numbers"]) == 0) | F.arrays_overlap(a["numbers"], b["numbers"])
-    share = F.try_divide(shared, union)
+    shared = F.size(F.array_intersect(a["tokens"], b["tokens"]))
+    specific = F.size(F.array_intersect(a["specific"], b["specific"]))
+    share = F.try_divide(shared, F.size(a["tokens"]) + F.size(b["tokens"]) - shared)  # tokens are sets
     tight = (share >= fixed.JACCARD) & (specific >= fixed.SPECIFIC_MIN)
     loose = (share >= fixed.LOOSE_JACCARD) & (specific >= fixed.LOOSE_SPECIFIC_MIN)
-    return (F.size(a["tokens"]) > 0) & (F.size(b["tokens"]) > 0) & numbers & (tight | loose)
+    return F.coalesce(meet & numbers & (tight | loose), F.lit(False))
 
 
 def adds_content(new: Column, old: Column, least: int = fixed.NEW_TOKENS_MIN) -> Column:
