@@ -28,13 +28,13 @@ def test_stored_side_of_item_joins_is_the_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     ids = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
     convs = {r.conv_id for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().collect()}
-    assert {r.message_id for r in queries.QUERIES["jn6_outcome_all"](spark, sf).collect()} == ids
-    assert {r.message_id for r in queries.QUERIES["jn4_first_known_item_all"](spark, sf).collect()} == ids & convs
-    assert {r.item for r in queries.QUERIES["jn5_item_to_post_all"](spark, sf).collect()} == ids & convs
+    assert {r.message_id for r in queries.QUERIES["jn6_outcome"](spark, sf).collect()} == ids
+    assert {r.message_id for r in queries.QUERIES["jn4_first_known_item"](spark, sf).collect()} == ids & convs
+    assert {r.item for r in queries.QUERIES["jn5_item_to_post"](spark, sf).collect()} == ids & convs
 
 
 def test_digest_candidates_come_from_the_whole_table(spark):
     sf = "/root/testdata/sf0.01"
-    got, want = both(spark, sf, queries.QUERIES["pending_digest_candidates_all"], queries.SQL["pending_digest_candidates_all"])
+    got, want = both(spark, sf, queries.QUERIES["pending_digest_candidates"], queries.SQL["pending_digest_candidates"])
     column = sorted(["group_id", "channel", "message_id", "fingerprint", "rank"]).index("message_id")
     assert got == want and max(r[column] for r in got) > 602

@@ -9,8 +9,7 @@ from ..functions import prompts, timewin
 from ..functions import text as tx
 from ..operators import ranking, store
 from . import views
-from .queries_filters import COPY, EARLY, C, NORM, NOW, P, PHOTO_COLUMNS, PHOTOS, TOKENS, URLS, strip
-from .queries_tables import early
+from .queries_filters import COPY, KNOWN, C, NORM, NOW, P, PHOTO_COLUMNS, PHOTOS, TOKENS, URLS, strip
 from .registry import query, rows_sql
 
 POSTS = views.POSTS
@@ -106,17 +105,17 @@ def set1_token_sets(spark, sf_dir):
     return g.agg(F.count_if(F.col("a") & F.col("b")).alias("shared"), F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count("*").alias("total"))
 
 
-@query(f"WITH {POSTS}, s AS (SELECT DISTINCT group_id, channel FROM posts WHERE published_s < {EARLY}) SELECT p.message_id, s.channel IS NOT NULL AS stored FROM posts p LEFT JOIN s USING (group_id, channel)")
+@query(f"WITH {POSTS}, s AS (SELECT DISTINCT group_id, channel FROM posts WHERE {KNOWN}) SELECT p.message_id, s.channel IS NOT NULL AS stored FROM posts p LEFT JOIN s USING (group_id, channel)")
 def src11_key_lookup(spark, sf_dir):
-    p = views.posts(spark, sf_dir)
-    known = p.where(early()).select("group_id", "channel").distinct().withColumn("stored", F.lit(True))
+    p = views.marked(spark, sf_dir)
+    known = p.where("known").select("group_id", "channel").distinct().withColumn("stored", F.lit(True))
     return p.join(known, ["group_id", "channel"], "left").select("message_id", F.coalesce("stored", F.lit(False)).alias("stored"))
 
 
-@query(f"WITH {POSTS} SELECT message_id FROM posts WHERE published_s >= {EARLY}")
+@query(f"WITH {POSTS} SELECT message_id FROM posts WHERE NOT {KNOWN}")
 def snk1_save_new(spark, sf_dir):
-    p = views.posts(spark, sf_dir)
-    return store.insert_if_absent(p, p.where(early()), [F.col("text")]).select("message_id")
+    p = views.marked(spark, sf_dir)
+    return store.insert_if_absent(p, p.where("known"), [F.col("text")]).select("message_id")
 
 
 WINDOWS = [("22:00-00:00", 1320, 0), ("8-9:30", 480, 570), ("08:00-08:00", None, None), ("", None, None)]

@@ -10,18 +10,13 @@ from ..operators import admission, filters, nearjoin, ranking, store
 from ..functions import text as tx
 from ..functions import timewin
 from . import views
-from .queries_filters import BUCKET, EARLY, NORM, NOW, TOKENS, T, now, texts  # noqa: F401
+from .queries_filters import BUCKET, KNOWN, NORM, NOW, TOKENS, T, now, texts  # noqa: F401
 from .registry import query, rows_sql
 
 P, E, C = views.POSTS, views.EVENTS, views.EVENTS + ", " + views.CALLS
 FP = f"sha256({NORM})"
 
 
-def early():
-    """Whether a post is one of the stored ones."""
-    return F.unix_seconds("published_at") < EARLY
-
-
 def keyed(df):
     """Posts with their fingerprint."""
     return df.withColumn("fingerprint", tx.fingerprint("text"))
@@ -29,22 +24,7 @@ def keyed(df):
 
 # the flagship: pending digest candidates ---------------------------------------------------------------
 
-BATCH, MAX_AGE = 20, 7 * 24 * 3600
-
-
-@query(
-    f"""WITH {P}, fresh AS (SELECT *, {FP} AS fingerprint FROM posts WHERE {NOW} - published_s BETWEEN -120 AND {MAX_AGE}),
-    u AS (SELECT *, row_number() OVER (PARTITION BY group_id, fingerprint ORDER BY published_s DESC, channel, message_id) AS k FROM fresh),
-    kept AS (SELECT * FROM u WHERE k = 1 AND ({BUCKET.replace("WHEN group_id <> 'intl'", "WHEN FALSE AND group_id <> 'intl'")}) IS NULL),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY published_s DESC, channel, message_id) AS rank FROM kept)
-    SELECT group_id, channel, message_id, fingerprint, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= {BATCH}"""
-)
-def pending_digest_candidates(spark, sf_dir):
-    """Fresh posts, newest of each fingerprint, unfiltered, in the order of the next batch."""
-    posts = views.posts(spark, sf_dir).where(timewin.fresh(F.col("published_at"), MAX_AGE, now()))
-    unique = ranking.newest_by_fingerprint(keyed(posts)).where("NOT duplicate")
-    kept = unique.where(filters.bucket(F.col("text")).isNull()).withColumn("urgent", filters.is_urgent(F.col("text")))
-    return ranking.batch(kept, BATCH).select("group_id", "channel", "message_id", "fingerprint", "rank")
+BATCH = 20
 
 
 @query(
@@ -54,11 +34,10 @@ def pending_digest_candidates(spark, sf_dir):
     ranked AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY published_s DESC, channel, message_id) AS rank FROM kept)
     SELECT group_id, channel, message_id, fingerprint, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= {BATCH}"""
 )
-def pending_digest_candidates_all(spark, sf_dir):
-    """The same batch at the time of the latest post, with posts of any age."""
+def pending_digest_candidates(spark, sf_dir):
+    """Posts of any age, newest of each fingerprint, unfiltered, in the order of the next batch at the time of the latest post."""
     posts = views.posts(spark, sf_dir)
-    clock = posts.agg(F.max("published_at").alias("latest"))
-    posts = posts.crossJoin(F.broadcast(clock)).where(timewin.fresh(F.col("published_at"), 0, F.col("latest"))).drop("latest")
+    posts = posts.where(timewin.fresh(F.col("published_at"), 0, posts.agg(F.max("published_at")).scalar()))
     unique = ranking.newest_by_fingerprint(keyed(posts)).where("NOT duplicate")
     kept = unique.where(filters.bucket(F.col("text")).isNull()).withColumn("urgent", filters.is_urgent(F.col("text")))
     return ranking.batch(kept, BATCH).select("group_id", "channel", "message_id", "fingerprint", "rank")
@@ -66,12 +45,12 @@ def pending_digest_candidates_all(spark, sf_dir):
 
 # joins ---------------------------------------------------------------------------------------------------
 
-NEW = f"{P}, stored AS (SELECT group_id, channel, message_id FROM posts WHERE published_s < {EARLY}), incoming AS (SELECT *, 0 AS ord FROM posts UNION ALL SELECT *, 1 FROM posts)"
+NEW = f"{P}, stored AS (SELECT group_id, channel, message_id FROM posts WHERE {KNOWN}), incoming AS (SELECT *, 0 AS ord FROM posts UNION ALL SELECT *, 1 FROM posts)"
 
 
 def stored_and_new(spark, sf_dir):
-    p = views.posts(spark, sf_dir)
-    return p.where(early()), p.withColumn("ord", F.explode(F.array(F.lit(0), F.lit(1))))
+    p = views.marked(spark, sf_dir)
+    return p.where("known"), views.posts(spark, sf_dir).withColumn("ord", F.explode(F.array(F.lit(0), F.lit(1))))
 
 
 @query(f"WITH {NEW} SELECT i.group_id, i.channel, i.message_id, i.ord FROM incoming i ANTI JOIN stored USING (group_id, channel, message_id)")
@@ -86,33 +65,35 @@ def snk2_insert_if_absent(spark, sf_dir):
     return store.insert_if_absent(new, stored, [F.col("ord")]).select(*store.KEY, "ord")
 
 
-CLAIMS = f"claims AS (SELECT group_id, {FP} AS fingerprint, published_s AS claimed FROM posts WHERE published_s < {EARLY})"
+CLAIMS = f"claims AS (SELECT group_id, {FP} AS fingerprint, published_s AS claimed FROM posts WHERE {KNOWN})"
 
 
 @query(f"WITH {P}, {CLAIMS} SELECT message_id FROM posts WHERE EXISTS (SELECT 1 FROM claims c WHERE c.group_id = posts.group_id AND c.fingerprint = {FP} AND c.claimed >= {NOW - 86400})")
 def jn2_seen_recently(spark, sf_dir):
-    p = keyed(views.posts(spark, sf_dir))
-    claims = p.where(early()).select("group_id", "fingerprint", F.unix_seconds("published_at").alias("claimed"))
+    p = keyed(views.marked(spark, sf_dir))
+    claims = p.where("known").select("group_id", "fingerprint", F.unix_seconds("published_at").alias("claimed"))
     return store.seen(p, claims, F.lit(NOW - 86400)).select("message_id")
 
 
-ITEMS = "raw AS (SELECT conv_id % 50 AS message_id, turn AS pos, conv_id AS item, CASE WHEN turn % 3 = 0 THEN NULL ELSE turn % 12 END AS score FROM conversations)"
+# every post is stored, and every turn is an item of the post with its conversation's id
+
+ITEMS = "raw AS (SELECT conv_id AS message_id, turn AS pos, conv_id AS item, CASE WHEN turn % 3 = 0 THEN NULL ELSE turn % 12 END AS score FROM conversations)"
 
 
 def model_items(spark, sf_dir):
     c = views.table(spark, sf_dir, "conversations")
-    p = views.posts(spark, sf_dir).where(early())
-    items = c.select((F.col("conv_id") % 50).alias("message_id"), F.col("turn").alias("pos"), F.col("conv_id").alias("item"), F.when(F.col("turn") % 3 != 0, F.col("turn") % 12).alias("score"))
+    p = views.posts(spark, sf_dir)
+    items = c.select(F.col("conv_id").alias("message_id"), F.col("turn").alias("pos"), F.col("conv_id").alias("item"), F.when(F.col("turn") % 3 != 0, F.col("turn") % 12).alias("score"))
     return items.join(p.select("message_id", "group_id", "channel"), "message_id"), p
 
 
-@query(f"WITH {P}, {ITEMS} SELECT message_id, item, pos FROM (SELECT r.*, row_number() OVER (PARTITION BY r.message_id ORDER BY pos, item) AS n FROM raw r JOIN posts p USING (message_id) WHERE p.published_s < {EARLY}) WHERE n = 1")
+@query(f"WITH {P}, {ITEMS} SELECT message_id, item, pos FROM (SELECT r.*, row_number() OVER (PARTITION BY r.message_id ORDER BY pos, item) AS n FROM raw r JOIN posts p USING (message_id)) WHERE n = 1")
 def jn4_first_known_item(spark, sf_dir):
     items, p = model_items(spark, sf_dir)
     return ranking.first_items(items.withColumn("pos", F.struct("pos", "item")), p).select("message_id", "item", "pos.pos")
 
 
-@query(f"WITH {P}, {ITEMS} SELECT r.item, r.pos, p.channel, p.published_s FROM raw r JOIN posts p USING (message_id) WHERE p.published_s < {EARLY}")
+@query(f"WITH {P}, {ITEMS} SELECT r.item, r.pos, p.channel, p.published_s FROM raw r JOIN posts p USING (message_id)")
 def jn5_item_to_post(spark, sf_dir):
     items, p = model_items(spark, sf_dir)
     return items.join(p.select(*store.KEY, "published_at"), list(store.KEY)).select("item", "pos", "channel", F.unix_seconds("published_at").alias("published_s"))
@@ -121,7 +102,7 @@ def jn5_item_to_post(spark, sf_dir):
 @query(
     f"""WITH {P}, {ITEMS}, f AS (SELECT message_id, max(score) AS score FROM (SELECT * FROM raw WHERE pos = 1) GROUP BY 1)
     SELECT p.message_id, f.score AS item_score, CASE WHEN f.score IS NULL THEN CASE WHEN p.message_id % 10 = 0 THEN 'near_duplicate' ELSE 'digest_filtered' END WHEN p.message_id % 10 = 0 THEN 'near_duplicate' END AS filter_reason
-    FROM posts p LEFT JOIN f USING (message_id) WHERE p.published_s < {EARLY}"""
+    FROM posts p LEFT JOIN f USING (message_id)"""
 )
 def jn6_outcome(spark, sf_dir):
     items, p = model_items(spark, sf_dir)
@@ -129,45 +110,10 @@ def jn6_outcome(spark, sf_dir):
     return ranking.outcome(cand, items.where("pos = 1").groupBy(*store.KEY).agg(F.max("score").alias("score"))).select("message_id", "item_score", "filter_reason")
 
 
-# the same three joins with every post stored and every conversation as an item of the post with its id
-
-ALL_ITEMS = "raw AS (SELECT conv_id AS message_id, turn AS pos, conv_id AS item, CASE WHEN turn % 3 = 0 THEN NULL ELSE turn % 12 END AS score FROM conversations)"
-
-
-def all_items(spark, sf_dir):
-    c = views.table(spark, sf_dir, "conversations")
-    p = views.posts(spark, sf_dir)
-    items = c.select(F.col("conv_id").alias("message_id"), F.col("turn").alias("pos"), F.col("conv_id").alias("item"), F.when(F.col("turn") % 3 != 0, F.col("turn") % 12).alias("score"))
-    return items.join(p.select("message_id", "group_id", "channel"), "message_id"), p
-
-
-@query(f"WITH {P}, {ALL_ITEMS} SELECT message_id, item, pos FROM (SELECT r.*, row_number() OVER (PARTITION BY r.message_id ORDER BY pos, item) AS n FROM raw r JOIN posts p USING (message_id)) WHERE n = 1")
-def jn4_first_known_item_all(spark, sf_dir):
-    items, p = all_items(spark, sf_dir)
-    return ranking.first_items(items.withColumn("pos", F.struct("pos", "item")), p).select("message_id", "item", "pos.pos")
-
-
-@query(f"WITH {P}, {ALL_ITEMS} SELECT r.item, r.pos, p.channel, p.published_s FROM raw r JOIN posts p USING (message_id)")
-def jn5_item_to_post_all(spark, sf_dir):
-    items, p = all_items(spark, sf_dir)
-    return items.join(p.select(*store.KEY, "published_at"), list(store.KEY)).select("item", "pos", "channel", F.unix_seconds("published_at").alias("published_s"))
-
-
-@query(
-    f"""WITH {P}, {ALL_ITEMS}, f AS (SELECT message_id, max(score) AS score FROM (SELECT * FROM raw WHERE pos = 1) GROUP BY 1)
-    SELECT p.message_id, f.score AS item_score, CASE WHEN f.score IS NULL THEN CASE WHEN p.message_id % 10 = 0 THEN 'near_duplicate' ELSE 'digest_filtered' END WHEN p.message_id % 10 = 0 THEN 'near_duplicate' END AS filter_reason
-    FROM posts p LEFT JOIN f USING (message_id)"""
-)
-def jn6_outcome_all(spark, sf_dir):
-    items, p = all_items(spark, sf_dir)
-    cand = p.withColumn("filter_reason", F.when(F.col("message_id") % 10 == 0, fixed.NEAR_DUPLICATE))
-    return ranking.outcome(cand, items.where("pos = 1").groupBy(*store.KEY).agg(F.max("score").alias("score"))).select("message_id", "item_score", "filter_reason")
-
-
-@query(f"WITH {P} SELECT message_id, CASE WHEN published_s < {EARLY} THEN message_id % 10 ELSE 7 END AS score FROM posts")
+@query(f"WITH {P} SELECT message_id, CASE WHEN {KNOWN} THEN message_id % 10 ELSE 7 END AS score FROM posts")
 def jn7_overnight_merge(spark, sf_dir):
-    p = views.posts(spark, sf_dir)
-    archived = p.where(early()).select(*store.KEY, (F.col("message_id") % 10).cast("int").alias("score"))
+    p = views.marked(spark, sf_dir)
+    archived = p.where("known").select(*store.KEY, (F.col("message_id") % 10).cast("int").alias("score"))
     return ranking.merged_overnight(archived, p.select(*store.KEY)).select("message_id", F.col("score").cast("long").alias("score"))
 
 
@@ -193,10 +139,10 @@ def jn10_group_settings(spark, sf_dir):
     return store.with_settings(views.posts(spark, sf_dir), groups, {"min_score": 7, "quiet_hours": "00:00-08:00"}).select("message_id", "min_score", "quiet_hours")
 
 
-@query(f"WITH {P} SELECT message_id, CASE WHEN published_s < {EARLY} THEN scraped_s ELSE {NOW} END AS scraped_s FROM posts")
+@query(f"WITH {P} SELECT message_id, CASE WHEN {KNOWN} THEN scraped_s ELSE {NOW} END AS scraped_s FROM posts")
 def jn11_scraped_or_now(spark, sf_dir):
-    p = views.posts(spark, sf_dir)
-    read = p.where(early()).select(*store.KEY, F.unix_seconds("scraped_at").alias("s"))
+    p = views.marked(spark, sf_dir)
+    read = p.where("known").select(*store.KEY, F.unix_seconds("scraped_at").alias("s"))
     return p.select(*store.KEY).join(read, list(store.KEY), "left").select("message_id", F.coalesce("s", F.lit(NOW)).alias("scraped_s"))
 
 
@@ -374,9 +320,9 @@ def str3_paired_claims(spark, sf_dir):
 # top-k ---------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {P} SELECT group_id, message_id FROM posts WHERE published_s >= {EARLY} ORDER BY scraped_s, message_id, group_id, channel LIMIT 100")
+@query(f"WITH {P} SELECT group_id, message_id FROM posts WHERE NOT {KNOWN} ORDER BY scraped_s, message_id, group_id, channel LIMIT 100")
 def top1_pending(spark, sf_dir):
-    p = views.posts(spark, sf_dir).withColumn("evaluated_at", F.when(early(), F.lit(1)))
+    p = views.marked(spark, sf_dir).withColumn("evaluated_at", F.when(F.col("known"), F.lit(1)))
     return ranking.pending(p, ranking.load_limit(20, 5)).select("group_id", "message_id")
 
 
@@ -419,19 +365,19 @@ def top8_photo_cap(spark, sf_dir):
 STATE = f"{P}, st AS (SELECT group_id, channel, message_id, published_s, CAST(NULL AS INTEGER) AS score, CASE WHEN message_id % 6 = 0 THEN 1 ELSE 0 END AS alert_sent FROM posts)"
 
 
-@query(f"WITH {STATE} SELECT message_id, CASE WHEN published_s < {EARLY} THEN CAST(message_id % 10 AS INTEGER) ELSE score END AS score, alert_sent FROM st")
+@query(f"WITH {STATE} SELECT message_id, CASE WHEN {KNOWN} THEN CAST(message_id % 10 AS INTEGER) ELSE score END AS score, alert_sent FROM st")
 def snk3_evaluation_update(spark, sf_dir):
-    p = views.posts(spark, sf_dir)
+    p = views.marked(spark, sf_dir)
     st = p.select(*store.KEY, F.lit(None).cast("int").alias("score"), F.when(F.col("message_id") % 6 == 0, 1).otherwise(0).alias("alert_sent"))
-    u = p.where(early()).select(*store.KEY, (F.col("message_id") % 10).cast("int").alias("score"), F.lit(0).alias("alert_sent"))
+    u = p.where("known").select(*store.KEY, (F.col("message_id") % 10).cast("int").alias("score"), F.lit(0).alias("alert_sent"))
     return store.apply_updates(st, u).select("message_id", "score", "alert_sent")
 
 
-@query(f"WITH {STATE} SELECT message_id, CASE WHEN published_s < {EARLY} THEN 1 ELSE alert_sent END AS alert_sent, CASE WHEN published_s < {EARLY} AND message_id % 8 = 0 THEN 9 END AS score FROM st")
+@query(f"WITH {STATE} SELECT message_id, CASE WHEN {KNOWN} THEN 1 ELSE alert_sent END AS alert_sent, CASE WHEN {KNOWN} AND message_id % 8 = 0 THEN 9 END AS score FROM st")
 def snk4_mark_sent(spark, sf_dir):
-    p = views.posts(spark, sf_dir)
+    p = views.marked(spark, sf_dir)
     st = p.select(*store.KEY, F.lit(None).cast("int").alias("score"), F.when(F.col("message_id") % 6 == 0, 1).otherwise(0).alias("alert_sent"), F.lit(None).cast("timestamp").alias("alert_sent_at"), F.lit(None).cast("string").alias("summary"))
-    sent = p.where(early()).select(*store.KEY, now().alias("at"), F.when(F.col("message_id") % 8 == 0, 9).alias("score"), F.lit(None).cast("string").alias("summary"))
+    sent = p.where("known").select(*store.KEY, now().alias("at"), F.when(F.col("message_id") % 8 == 0, 9).alias("score"), F.lit(None).cast("string").alias("summary"))
     return store.mark_sent(st, sent).select("message_id", "alert_sent", "score")
 
 

@@ -30,6 +30,12 @@ POSTS = f"""posts AS (SELECT CASE WHEN lang = 'en' THEN 'news24' ELSE 'intl' END
   coalesce(text, '') AS text, {START} + doc_id * 60 AS published_s, {START} + (doc_id + doc_id % 7) * 60 AS scraped_s FROM documents)"""
 
 
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts with a column known: whether the post is a stored one, which are those with a label."""
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("message_id"), F.lit(True).alias("known")).distinct()
+    return posts(spark, sf_dir).join(labelled, "message_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def seconds(ts: Column) -> Column:
     """Seconds since 1970 of a timestamp without zone."""
     return F.unix_date(F.to_date(ts)).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.floor(F.extract(F.lit("SECOND"), ts)).cast("long")
