@@ -5,8 +5,8 @@
    values. Sketches of two sets merge by taking the larger register (`merge`).
 2. Collapse. Documents with equal sets are one node, with a number of its own and their smallest doc_id.
 3. Band. Groups of `Sketch.rows` registers are hashed; nodes that share a band meet in a bucket. A
-   bucket beyond `BLOCK` nodes is split into blocks, and pairs of blocks are compared apart, so no task
-   holds a hot bucket.
+   bucket beyond `BLOCK` nodes is split into blocks, so no task holds a hot bucket; blocks are compared
+   by one node of each component that they hold, and what stays apart then with the whole bucket.
 4. Estimate. In a bucket, the similarity of two nodes is estimated jointly by maximum likelihood from the
    counts of equal, larger and smaller registers and the known set sizes; pairs far below the threshold
    go. A bucket emits a star for each of its estimated components, never its pairs.
@@ -20,7 +20,7 @@ deviations of the estimate at 0.85 and 4.65 at 0.80, so links are not lost in pr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +33,8 @@ from . import common
 
 #: Nodes of a bucket or estimated component that are compared in one task, and shingles held for it.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Nodes of a bucket beyond which its components are grown instead of estimating every pair; the components are the same.
+MANY = 128
 #: How far below the threshold an estimate may lie for its pair to be verified.
 MARGIN = 0.19
 
@@ -167,7 +169,7 @@ def sketched(docs: DataFrame, sketch: Sketch, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("copy"), "text").mapInPandas(run, "doc_id long, copy long, n_shingles long, signature binary, registers binary")
 
 
-def _blocks(rows: DataFrame, key: str, parts: str) -> DataFrame:
+def _blocks(rows: DataFrame, parts: str) -> DataFrame:
     """rows with a column of block numbers `parts`, repeated for each pair of blocks: adds lo <= hi."""
     own = F.pmod(F.xxhash64("node", F.lit(17)), F.col(parts))
     return (
@@ -179,6 +181,52 @@ def _blocks(rows: DataFrame, key: str, parts: str) -> DataFrame:
     )
 
 
+def _group_components(groups: DataFrame, key: str, payload: Callable[[DataFrame], DataFrame], compare) -> DataFrame:
+    """Connected components (node, component) of the links within groups, without all pairs of a large one.
+
+    groups: key, node and weight, the share of a block that the node fills. A group beyond one block goes in three steps:
+    each of its blocks on its own; then one node of each component found so far; then the nodes outside the group's largest
+    component with all of its nodes. A pair left uncompared has both ends in one component, so no link is missed.
+    payload: adds what compare reads to rows with a node. compare: rows sorted by key, lo and hi to stars (a, b)."""
+    order = [key, "lo", "hi"]
+
+    def links(rows: DataFrame) -> DataFrame:
+        rows = payload(rows.select(*order, "node")).repartition(*order).sortWithinPartitions(*order, "node")
+        return rows.select(*order, *[c for c in rows.columns if c not in order]).mapInPandas(compare, "a long, b long")
+
+    def parts(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(key).agg(F.ceil(F.sum("weight")).alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
+
+    groups = common.materialize(groups.join(parts(groups), key), "groups")
+    own = groups.withColumn("lo", F.pmod(F.xxhash64("node", F.lit(17)), "parts")).withColumn("hi", F.lit(0).cast("long"))
+    found = common.components(links(own))
+    large = groups.where("parts > 1").drop("parts")
+    if large.isEmpty():
+        return found
+
+    def labelled() -> DataFrame:
+        label = found.select("node", F.col("component").alias("label"))
+        return large.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def and_links(rows: DataFrame) -> DataFrame:
+        return common.components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links(rows)))
+
+    first = labelled().groupBy(key, "label").agg(F.min(F.struct("node", "weight")).alias("x")).select(key, "x.*")
+    found = and_links(_blocks(first.join(parts(first), key), "parts"))
+
+    sized = common.materialize(labelled(), "labelled")
+    top = sized.groupBy(key, "label").agg(F.sum("weight").alias("w")).groupBy(key)
+    top = top.agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("all"), F.count("*").alias("n")).where("n > 1")
+    apart = common.materialize(sized.join(top, key), "apart")
+    if apart.isEmpty():
+        return found
+    few = apart.where("label <> top.label")
+    rest = few.groupBy(key).agg(F.ceil(F.sum("weight")).alias("his"))
+    apart, few = (x.join(rest, key).withColumn("los", F.ceil("all")) for x in (apart, few))
+    side = lambda x, of, n, other, m: x.withColumn(of, F.pmod(F.xxhash64("node", F.lit(17)), n)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))).select(*order, "node")
+    return and_links(side(apart, "lo", "los", "hi", "his").union(side(few, "hi", "his", "lo", "los")).distinct())
+
+
 def _bucket_links(threshold: int, sketch: Sketch, margin: float):
     """Stars of the estimated components in each bucket block."""
 
@@ -188,28 +236,49 @@ def _bucket_links(threshold: int, sketch: Sketch, margin: float):
             cuts = common.group_bounds(frame, key)
             nodes, n = frame["node"].to_numpy(), frame["n_shingles"].to_numpy().astype(np.float64)
             regs = np.frombuffer(b"".join(frame["registers"]), dtype=np.uint16).reshape(len(frame), sketch.registers)
-            for a, b in _pairs(cuts):
-                close = 100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
-                a, b = a[close], b[close]
-                keep = np.zeros(len(a), dtype=bool)
-                for k in range(0, len(a), 50_000):
-                    s = slice(k, k + 50_000)
-                    x, y = regs[a[s]], regs[b[s]]
+
+            def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                keep = 100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
+                sized = np.flatnonzero(keep)
+                for k in range(0, len(sized), 50_000):
+                    at = sized[k : k + 50_000]
+                    x, y = regs[a[at]], regs[b[at]]
                     equal, more = (x == y).sum(axis=1), (x > y).sum(axis=1)
-                    keep[s] = estimate(equal, more, sketch.registers - equal - more, n[a[s]], n[b[s]], sketch.base) >= threshold / 100 - margin
+                    keep[at] = estimate(equal, more, sketch.registers - equal - more, n[a[at]], n[b[at]], sketch.base) >= threshold / 100 - margin
+                return keep
+
+            many = np.diff(cuts) > MANY
+            for a, b in _pairs(cuts[:-1][~many], np.diff(cuts)[~many]):
+                keep = similar(a, b)
                 yield _stars(nodes, a[keep], b[keep])
+            for start, end in zip(cuts[:-1][many], cuts[1:][many], strict=True):
+                yield _stars(nodes, *_grown(start, end, similar))
 
     return run
 
 
-def _pairs(cuts: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _grown(start: int, end: int, similar) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the components of rows start to end: a reached row is compared with those not reached yet only."""
+    left, a, b = np.arange(start, end), [], []
+    while len(left):
+        waiting, left = [left[0]], left[1:]
+        while waiting and len(left):
+            row = np.full(len(left), waiting.pop())
+            hit = similar(row, left)
+            a.append(row[hit])
+            b.append(left[hit])
+            waiting += left[hit].tolist()
+            left = left[~hit]
+    return np.concatenate([np.empty(0, dtype=np.int64), *a]), np.concatenate([np.empty(0, dtype=np.int64), *b])
+
+
+def _pairs(starts: np.ndarray, sizes: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of the pairs within each group, some groups at a time."""
-    sizes = np.diff(cuts)
-    two = cuts[:-1][sizes == 2]
+    two = starts[sizes == 2]
     if len(two):
         yield two, two + 1
     left, right, held = [], [], 0
-    for start, size in zip(cuts[:-1][sizes > 2], sizes[sizes > 2], strict=True):
+    for start, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
         a, b = np.triu_indices(size, 1)
         left.append(a + start)
         right.append(b + start)
@@ -302,27 +371,24 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, size: int = 5, sketch:
         "node",
         F.explode(F.array(*[F.xxhash64(F.substring("registers", 1 + k * width, width), F.lit(k)) for k in range(bands)])).alias("bucket"),
     )
-    sizes = banded.groupBy("bucket").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / BLOCK)).drop("count")
-    members = _blocks(banded.join(sizes, "bucket"), "bucket", "parts")
-    members = members.join(nodes.select("node", "n_shingles", "registers"), "node")
-    stars = members.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node").select("bucket", "lo", "hi", "node", "n_shingles", "registers")
-    guessed = common.components(stars.mapInPandas(_bucket_links(threshold, sketch, margin), "a long, b long"))
-
-    grouped = guessed.join(nodes.select("node", "n_shingles"), "node")
-    sizes = grouped.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
-    to_check = _blocks(grouped.join(sizes, "component").drop("n_shingles"), "component", "parts")
+    registers = lambda rows: rows.join(nodes.select("node", "n_shingles", "registers"), "node")
+    banded = banded.withColumn("weight", F.lit(1 / BLOCK))
+    guessed = _group_components(banded, "bucket", registers, _bucket_links(threshold, sketch, margin))
 
     def full_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"node": frame["node"], "shingles": [shingles(t, size).tobytes() for t in frame["text"]]})
 
-    # each node by the row that it was made from; rows that repeat doc_id and text give its set more than once, which does no harm
-    asked = guessed.select("node").join(nodes.select("node", F.col("doc_id").alias("n_doc"), F.col("copy").alias("n_copy")), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("t_doc"), F.xxhash64("text").alias("t_copy"), "text")
-    texts = texts.join(asked, (F.col("t_doc") == F.col("n_doc")) & (F.col("t_copy") == F.col("n_copy"))).select("node", "text")
-    sets = texts.mapInPandas(full_sets, "node long, shingles binary")
-    blocks = to_check.join(sets, "node").repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "node").select("component", "lo", "hi", "node", "shingles")
-    linked = common.components(blocks.mapInPandas(_exact_links(threshold), "a long, b long"))
+    def sets(rows: DataFrame) -> DataFrame:
+        # each node by the row that it was made from; rows that repeat doc_id and text give its set more than once, which does no harm
+        asked = rows.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("n_doc"), F.col("copy").alias("n_copy")), "node")
+        texts = docs.select(F.col("doc_id").cast("long").alias("t_doc"), F.xxhash64("text").alias("t_copy"), "text")
+        texts = texts.join(asked, (F.col("t_doc") == F.col("n_doc")) & (F.col("t_copy") == F.col("n_copy"))).select("node", "text")
+        return rows.join(texts.mapInPandas(full_sets, "node long, shingles binary"), "node")
+
+    weight = F.greatest(F.lit(1 / BLOCK), F.col("n_shingles") / BLOCK_SHINGLES).alias("weight")
+    grouped = guessed.join(nodes.select("node", "n_shingles"), "node").select("component", "node", weight)
+    linked = _group_components(grouped, "component", sets, _exact_links(threshold))
 
     mine = nodes.select("signature", "node", "doc_id").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mine = common.materialize(mine, "members")
