@@ -7,7 +7,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -131,7 +130,6 @@ def test_near_duplicates_of_chained_copies(spark):
 
 def test_blocks_give_the_same_groups(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 7)
-    monkeypatch.setattr(neardup, "MANY", 3)
     rng = random.Random(2)
     base = [f"b{i}" for i in range(80)]
     texts = {}
@@ -144,40 +142,6 @@ def test_blocks_give_the_same_groups(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 85).collect()} == groups_of(texts, 85)
 
 
-def test_components_of_large_groups_lose_no_link(spark, monkeypatch):
-    """Stars, chains, strangers and links that only nodes outside the representatives have, against union-find."""
-    monkeypatch.setattr(neardup, "BLOCK", 4)
-    rng = random.Random(8)
-    links = {(0, k) for k in range(1, 15)} | {(k, k + 1) for k in range(20, 50)} | {(rng.randrange(50, 120), rng.randrange(50, 120)) for _ in range(45)}
-    links |= {(b, a) for a, b in links}
-    member = {(g, n) for n in range(120) for g in ([0] if n < 50 else [1] if n < 100 else [1, 2])}
-
-    def compare(frames):
-        for frame in common.whole_groups(frames, ["g", "lo", "hi"]):
-            for _, part in frame.groupby(["g", "lo", "hi"]):
-                assert part["node"].nunique() <= 60  # no task sees a whole group
-                found = [(a, b) for a in part["node"] for b in part["node"] if a > b and (a, b) in links]
-                yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    groups = spark.createDataFrame([(g, n, 1 / 4) for g, n in sorted(member)], "g long, node long, weight double")
-    got = {r.node: r.component for r in neardup._group_components(groups, "g", lambda rows: rows, compare).collect()}
-    low = {n: n for n in range(120)}
-    for _ in range(120):
-        for a, b in links:
-            if any((g, a) in member and (g, b) in member for g in range(3)):
-                low[a] = min(low[a], low[b])
-    assert got == {n: c for n, c in low.items() if list(low.values()).count(c) > 1}
-
-
-def test_grown_components_are_those_of_all_pairs():
-    rng = np.random.default_rng(4)
-    for size, share in ((1, 0.5), (40, 0.0), (60, 0.02), (60, 0.5)):
-        near = np.triu(rng.random((size, size)) < share, 1)
-        near |= near.T
-        a, b = neardup._grown(3, 3 + size, lambda x, y: near[x - 3, y - 3])
-        assert (common.local_components(size, a - 3, b - 3) == common.local_components(size, *np.nonzero(np.triu(near, 1)))).all()
-
-
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**63, 3000).astype(np.uint64)
