@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, linededup, neardup, packing, pii, quality, rules, toxicity, warc, whitening
+from . import decontam, langid, lexical, linededup, neardup, packing, pii, quality, rules, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -20,10 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": langid.op9_language_id,
     "op10_quality_rules": rules.op10_quality_rules,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_ranked_lexical_search": lexical.op13_ranked_lexical_search,
 }
 
 SQL: dict[str, str] = {
     "op3_minhash_near_dedup": neardup.OP3_SQL,
     "op7_line_dedup": linededup.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
+    "op13_ranked_lexical_search": lexical.OP13_SQL,
 }
