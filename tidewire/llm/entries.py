@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lexical, linededup, neardup, packing, pii, quality, rules, toxicity, warc, whitening
+from . import decontam, langid, lexical, linededup, neardup, packing, pii, pivots, quality, rules, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": warc.op8_warc,
     "op9_language_id": langid.op9_language_id,
     "op10_quality_rules": rules.op10_quality_rules,
+    "op11_embedding_near_dedup": pivots.op11_embedding_near_dedup,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
     "op13_ranked_lexical_search": lexical.op13_ranked_lexical_search,
 }
