@@ -9,7 +9,8 @@
    holds a hot bucket.
 4. Estimate. In a bucket, the similarity of two nodes is estimated jointly by maximum likelihood from the
    counts of equal, larger and smaller registers and the known set sizes; pairs far below the threshold
-   go. A bucket emits a star for each of its estimated components, never its pairs.
+   go. In a larger bucket components grow from one node each, and nodes that have joined aren't compared again, so a bucket
+   of near copies takes one comparison a node and block. A bucket emits a star for each component, never its pairs.
 5. Verify. Nodes of one estimated component are compared on their full sets (split into blocks in the
    same way), and each block emits a star for each of its exact components.
 6. The exact links' connected components are the groups.
@@ -35,6 +36,8 @@ from . import common
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: How far below the threshold an estimate may lie for its pair to be verified.
 MARGIN = 0.19
+#: Groups from so many nodes on are grown component by component instead of comparing every pair.
+GROWN = 12
 
 
 @dataclass(frozen=True)
@@ -150,6 +153,48 @@ def estimate(equal: np.ndarray, more: np.ndarray, less: np.ndarray, n_u: np.ndar
     return best
 
 
+def reaches(equal: np.ndarray, more: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, base: float, least: float) -> np.ndarray:
+    """Whether estimate() is at least `least`, without solving for it: the likelihood is concave, so its peak lies there
+    exactly if it still rises at the last step of the grid below."""
+    u = n_u / (n_u + n_v)
+    v = 1 - u
+    top = np.minimum(u / v, v / u)
+    step = np.ceil(least / top * 100 - 1e-9)
+    p = lambda x: -np.log1p(-np.clip(x, 1e-12, 1) * (base - 1) / base) / np.log(base)
+
+    def score(j: np.ndarray) -> np.ndarray:
+        p1, p2 = p(u - v * j), p(v - u * j)
+        return more * np.log(p1) + less * np.log(p2) + equal * np.log(np.clip(1 - p1 - p2, 1e-12, 1))
+
+    return (step <= 100) & ((step <= 0) | (score(top * np.clip(step, 0, 100) / 100) > score(top * np.clip(step - 1, 0, 100) / 100)))
+
+
+def grown(nodes: np.ndarray, similar) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (member, centre) of the single-linkage components of some rows; similar(a, b) compares rows pairwise.
+
+    A component grows from its first row: what it reaches is taken out of the rest before its members look further, so
+    a row is compared with those of its own component only until it joins. A group of near copies takes one pass."""
+    member, centre = [], []
+    rest = nodes
+    while len(rest) > 1:
+        start, front, rest = rest[0], rest[:1], rest[1:]
+        while len(front) and len(rest):
+            hit = np.zeros(len(rest), dtype=bool)
+            # the front meets what is left of the rest, some of it at a time
+            step = max(1, 50_000 // len(rest))
+            for k in range(0, len(front), step):
+                open_ = np.flatnonzero(~hit)
+                part = front[k : k + step]
+                hit[open_] = similar(np.repeat(part, len(open_)), np.tile(rest[open_], len(part))).reshape(len(part), -1).any(axis=0)
+                if hit.all():
+                    break
+            front, rest = rest[hit], rest[~hit]
+            member.append(front)
+            centre.append(np.full(len(front), start))
+    whole = lambda x: np.concatenate([*x, []]).astype(np.int64)
+    return whole(member), whole(centre)
+
+
 def sketched(docs: DataFrame, sketch: Sketch, size: int) -> DataFrame:
     """For each row: doc_id, copy (a hash of the text), n_shingles, signature of the set (null if empty), registers, bands."""
 
@@ -188,23 +233,35 @@ def _bucket_links(threshold: int, sketch: Sketch, margin: float):
             cuts = common.group_bounds(frame, key)
             nodes, n = frame["node"].to_numpy(), frame["n_shingles"].to_numpy().astype(np.float64)
             regs = np.frombuffer(b"".join(frame["registers"]), dtype=np.uint16).reshape(len(frame), sketch.registers)
-            for a, b in _pairs(cuts):
-                close = 100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
-                a, b = a[close], b[close]
-                keep = np.zeros(len(a), dtype=bool)
-                for k in range(0, len(a), 50_000):
-                    s = slice(k, k + 50_000)
-                    x, y = regs[a[s]], regs[b[s]]
+
+            def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                keep = 100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
+                close = np.flatnonzero(keep)
+                for k in range(0, len(close), 50_000):
+                    s = close[k : k + 50_000]
+                    x, y = regs[a[s]], regs[b[s]]  # noqa: B023
                     equal, more = (x == y).sum(axis=1), (x > y).sum(axis=1)
-                    keep[s] = estimate(equal, more, sketch.registers - equal - more, n[a[s]], n[b[s]], sketch.base) >= threshold / 100 - margin
-                yield _stars(nodes, a[keep], b[keep])
+                    keep[s] = reaches(equal, more, sketch.registers - equal - more, n[a[s]], n[b[s]], sketch.base, threshold / 100 - margin)
+                return keep
+
+            sizes = np.diff(cuts)
+            left, right = [], []
+            for a, b in _pairs(cuts, sizes < GROWN):
+                keep = similar(a, b)
+                left.append(a[keep])
+                right.append(b[keep])
+            for k in np.flatnonzero(sizes >= GROWN):
+                a, b = grown(np.arange(cuts[k], cuts[k + 1]), similar)
+                left.append(a)
+                right.append(b)
+            yield _stars(nodes, np.concatenate([*left, []]).astype(np.int64), np.concatenate([*right, []]).astype(np.int64))
 
     return run
 
 
-def _pairs(cuts: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of the pairs within each group, some groups at a time."""
-    sizes = np.diff(cuts)
+def _pairs(cuts: np.ndarray, chosen: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs within each chosen group, some groups at a time."""
+    sizes = np.where(chosen, np.diff(cuts), 0)
     two = cuts[:-1][sizes == 2]
     if len(two):
         yield two, two + 1
