@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
+from .cut import cut
 
 
 def fold(rows: DataFrame, key: list[str], order: list[str], step: Callable[[dict, tuple], bool], columns: list[str]) -> DataFrame:
@@ -95,10 +96,46 @@ def reservations(calls: DataFrame, interval: int, per_group: int = fixed.DAILY_C
     return fold(calls, ["group_id"], ["at_s", "id"], lambda state, v: _reserve(state, v[0], v[1], interval, per_group, None), ["group_id", "at_s"])
 
 
+DAY = 86400
+
+
 def reservations_with_total(calls: DataFrame, interval: int, per_group: int = fixed.DAILY_CALLS, total: int = fixed.DAILY_CALLS) -> DataFrame:
-    """As reservations, with a budget over all groups. It couples every group's decisions in one sequence, so a single
-    task walks all requests, in batches; its state is one number for each group."""
-    return fold(calls, [], ["at_s", "id"], lambda state, v: _reserve(state, v[0], v[1], interval, per_group, total), ["group_id", "at_s"])
+    """As reservations, with a budget over all groups of the UTC day.
+
+    The budget couples the groups, but only within a day; from one day to the next only each group's last call counts. So
+    days are folded side by side, each with the last calls of the days before it as far as they are known. Where a fold
+    changes what the next days start from, those days are folded again, until nothing changes: then every day started
+    from what the days before it ended with, which is what one sequence over all days gives. Mostly only calls around
+    midnight differ, so two or three rounds do; a chain of changes takes a round for each of its days at worst."""
+    rows = calls.withColumn("_day", F.floor(F.col("at_s") / DAY).cast("long"))
+
+    def folded(part: DataFrame, since: DataFrame) -> DataFrame:
+        def step(state: dict, v: tuple) -> bool:
+            group, now, before = v
+            if group not in state.setdefault("last", {}) and before == before and before is not None:
+                state["last"][group] = before
+            return _reserve(state, group, now, interval, per_group, total)
+
+        known = part.join(since, ["_day", "group_id"], "left")
+        return fold(known, ["_day"], ["at_s", "id"], step, ["group_id", "at_s", "_since"])
+
+    def starts(decided: DataFrame) -> DataFrame:
+        """For each day and group the last accepted call before the day, if it is near enough to matter."""
+        ends = decided.groupBy("_day", "group_id").agg(F.max(F.when(F.col("accepted"), F.col("at_s"))).alias("end"))
+        before = Window.partitionBy("group_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+        return ends.select("_day", "group_id", F.max("end").over(before).cast("double").alias("_since")).where(F.col("_day") * DAY - F.col("_since") < interval)
+
+    since = rows.sparkSession.createDataFrame([], rows.select("_day", "group_id").schema.add("_since", "double"))
+    decided = cut(folded(rows, since))
+    while True:
+        now = cut(starts(decided))
+        one = lambda df, name: df.withColumnRenamed("_since", name)
+        both = one(now, "_new").join(one(since, "_old"), ["_day", "group_id"], "full")
+        stale = both.where(~F.col("_new").eqNullSafe(F.col("_old"))).select("_day").distinct()
+        if stale.isEmpty():
+            return decided.select(*calls.columns, "accepted")
+        again = folded(rows.join(stale, "_day", "left_semi"), now)
+        decided, since = cut(decided.join(stale, "_day", "left_anti").unionByName(again)), now
 
 
 def night_alerts(alerts: DataFrame, interval: int = fixed.NIGHT_ALERT_INTERVAL) -> DataFrame:

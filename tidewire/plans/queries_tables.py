@@ -302,7 +302,17 @@ def str12_morning_claim(spark, sf_dir):
     return admission.once_per_day(e).select("group_id", "day", "at_s")
 
 
-@query()
+#: One step a call, in order; the state is the last call and the day's calls of each group, and the day's calls of all.
+_BUDGET = f"""WITH RECURSIVE {C}, q AS MATERIALIZED (SELECT list({{'g': group_id, 's': at_s, 'id': id}} ORDER BY at_s, id) AS xs FROM calls), w AS (
+      SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS g, CAST(NULL AS BIGINT) AS id, CAST(-1 AS BIGINT) AS at_s, FALSE AS ok, CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)) AS last, CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)) AS n, CAST(0 AS BIGINT) AS total
+      UNION ALL SELECT i, g, id, at_s, ok, CASE WHEN ok THEN map_concat(last, MAP {{g: at_s}}) ELSE last END, CASE WHEN ok THEN map_concat(n, MAP {{g: coalesce(n[g], 0) + 1}}) ELSE n END, total + CAST(ok AS BIGINT) FROM (
+        SELECT *, coalesce(at_s - last[g] >= 600, TRUE) AND coalesce(n[g], 0) < 50 AND total < 120 AS ok FROM (
+          SELECT i + 1 AS i, xs[i + 1].g AS g, xs[i + 1].id AS id, xs[i + 1].s AS at_s, last, CASE WHEN xs[i + 1].s // 86400 = w.at_s // 86400 THEN n ELSE MAP {{}} END AS n,
+            CASE WHEN xs[i + 1].s // 86400 = w.at_s // 86400 THEN total ELSE 0 END AS total FROM w, q WHERE i < len(xs))))
+    SELECT g AS group_id, id, at_s FROM w WHERE ok"""
+
+
+@query(_BUDGET)
 def str4_total_budget(spark, sf_dir):
     """Calls accepted under a cooldown, a group budget and one over all groups."""
     return admission.reservations_with_total(views.calls(spark, sf_dir), 600, 50, 120).where("accepted").select("group_id", "id", "at_s")
