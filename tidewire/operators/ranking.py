@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as tx
+from ..functions import timewin
 
 
 def pending(posts: DataFrame, limit: int, group: str | None = None) -> DataFrame:
@@ -103,3 +104,21 @@ def gate(candidates: DataFrame, now: Column, least: int, max_wait: int) -> DataF
         F.count("*").alias("n"), F.greatest(F.lit(0), F.unix_seconds(now) - F.min(F.unix_seconds("scraped_at"))).alias("oldest"), F.bool_or("urgent").alias("any_urgent")
     )
     return out.withColumn("open", F.col("any_urgent") | (F.col("n") >= least) | (F.col("oldest") >= max_wait))
+
+
+def night_recap(items: DataFrame, quiet: str = "00:00-08:00", tz: str = "Asia/Shanghai", most: int = fixed.BATCH) -> DataFrame:
+    """The recap of each night: (group_id, day, rank, channel, message_id, score).
+
+    items: group_id, channel, message_id, at (an instant), score, fingerprint. A night is the quiet window, and has the date of its
+    end. Of a post's items in a night the latest counts (of one time the highest score); of one fingerprint the best by
+    score, then time, then channel and post; of these the first `most`."""
+    local = timewin.local_time(F.col("at"), tz)
+    end = timewin.quiet_bounds(local, quiet)[1]
+    inside = timewin.Span.parse(quiet).holds(timewin.minute_of_day(local))
+    night = items.where(inside).withColumn("day", F.date_format(F.to_date(end), "yyyy-MM-dd"))
+    first = lambda df, by, order: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+    last = first(night, ["group_id", "day", "channel", "message_id"], [F.desc("at"), F.desc("score"), F.desc("fingerprint")])
+    best = [F.desc("score"), F.desc("at"), F.col("channel"), F.col("message_id")]
+    once = first(last, ["group_id", "day", "fingerprint"], best)
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("group_id", "day").orderBy(*best)))
+    return ranked.where(F.col("rank") <= most).select("group_id", "day", "rank", "channel", "message_id", "score")

@@ -1,10 +1,10 @@
-"""Queries over the history of channels."""
+"""Queries over the history of channels and of nights."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import history
+from ..operators import history, ranking
 from . import views
 from .registry import query
 
@@ -40,3 +40,26 @@ def src3_history_walk(spark, sf_dir):
 def src3_history_walk_capped(spark, sf_dir):
     """The same by pages of three, with at most 17 new posts a channel."""
     return history.walked(channel_posts(spark, sf_dir), 3, 50, 17).select("channel", "page", "message_id")
+
+
+@query(
+    f"""WITH {views.EVENTS}, n AS (SELECT event_type AS group_id, CAST(user_id AS VARCHAR) AS channel, event_id % 50 AS message_id, at_s, CAST(value AS INTEGER) % 10 + 1 AS score, CAST(user_id % 7 AS VARCHAR) AS fp,
+        epoch(ts) AS exact, (at_s + 28800) % 86400 AS second, strftime(make_timestamp((at_s + 28800) * 1000000), '%Y-%m-%d') AS today, strftime(make_timestamp((at_s + 28800 + 86400) * 1000000), '%Y-%m-%d') AS tomorrow FROM ev),
+      d AS (SELECT *, CASE WHEN second >= 82800 THEN tomorrow ELSE today END AS day FROM n WHERE second >= 82800 OR second < 25200),
+      l AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY group_id, day, channel, message_id ORDER BY exact DESC, score DESC, fp DESC) = 1),
+      o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY group_id, day, fp ORDER BY score DESC, exact DESC, channel, message_id) = 1)
+    SELECT group_id, day, CAST(row_number() OVER (PARTITION BY group_id, day ORDER BY score DESC, exact DESC, channel, message_id) AS INTEGER) AS rank, channel, message_id, score FROM o
+    QUALIFY row_number() OVER (PARTITION BY group_id, day ORDER BY score DESC, exact DESC, channel, message_id) <= 5"""
+)
+def str7_night_recap(spark, sf_dir):
+    """The five best items of each group's nights, 23:00 to 07:00 in Shanghai."""
+    return ranking.night_recap(night_items(spark, sf_dir), "23:00-07:00", "Asia/Shanghai", 5)
+
+
+def night_items(spark, sf_dir):
+    e = views.events(spark, sf_dir)
+    exact = F.timestamp_micros((F.col("at_s") * 1_000_000 + F.date_format(F.col("ts").cast("timestamp_ntz"), "SSSSSS").cast("long")))
+    return e.select(
+        F.col("event_type").alias("group_id"), F.col("user_id").cast("string").alias("channel"), (F.col("event_id") % 50).alias("message_id"), exact.alias("at"),
+        (F.rint("value").cast("int") % 10 + 1).alias("score"), (F.col("user_id") % 7).cast("string").alias("fingerprint"),
+    )

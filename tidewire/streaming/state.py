@@ -58,36 +58,3 @@ def reservation_stream(rows: DataFrame, interval: int, per_group: int = fixed.DA
 
     picked = rows.select("group_id", "id", F.col("at_s").cast("double"))
     return picked.groupBy("group_id").applyInPandasWithState(step, CALL_OUT, CALL_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-BUFFER_OUT = "group_id string, n long, oldest_s double, reason string"
-BUFFER_STATE = "n long, oldest double"
-
-
-def gate_stream(rows: DataFrame, least: int, max_wait: int) -> DataFrame:
-    """Buffered candidates (group_id, at timestamp, urgent): a row for each batch that goes out, and why.
-
-    A group's buffer opens at `least` candidates, for an urgent one, or `max_wait` seconds after its oldest
-    by the watermark of `at`."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, oldest = state.get if state.exists else (0, None)
-        urgent = False
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"group_id": [key[0]], "n": [n], "oldest_s": [oldest], "reason": ["waited"]})
-            return
-        for f in frames:
-            n += len(f)
-            first = f["at"].min().timestamp()
-            oldest = first if oldest is None else min(oldest, first)
-            urgent |= bool(f["urgent"].any())
-        if urgent or n >= least:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"group_id": [key[0]], "n": [n], "oldest_s": [oldest], "reason": ["urgent" if urgent else "count"]})
-            return
-        state.update((n, oldest))
-        state.setTimeoutTimestamp(max(int((oldest + max_wait) * 1000), state.getCurrentWatermarkMs() + 1))
-
-    return rows.select("group_id", "at", "urgent").groupBy("group_id").applyInPandasWithState(step, BUFFER_OUT, BUFFER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
