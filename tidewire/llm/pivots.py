@@ -3,16 +3,17 @@
 1. Collapse. Rows with equal label and vector are one node with a number of rows.
 2. Describe. A node's permutation prefix is its `Index.prefix` nearest pivots, in order. Pivots are reference vectors drawn
    from a bounded sample, none close to another, filled up with fixed random directions to `Index.pivots`.
-3. Retrieve. Two nodes of a label are candidates if they share `Index.shared` pivots or more. An inverted list stands for that
-   many pivots together, so that nodes which share fewer never meet: a node lies in the list of each combination of its
-   pivots. A pair that meets in several lists counts in one: that of its smallest shared pivots, which both prefixes tell.
-   Lists beyond `BLOCK` nodes are split into pairs of blocks, so no task holds a hot list.
+3. Retrieve. Two nodes of a label are candidates if they share `Index.shared` pivots or more. An inverted list stands for
+   `Index.together` pivots at once, so that nodes which share one frequent pivot don't meet: a node lies in the list of each
+   combination of its pivots (of its first ones by number: what shares enough has its smallest shared pivots there). A pair
+   that meets in several lists counts in one, that of its smallest shared pivots, which both prefixes tell; there its shared
+   pivots are counted. Lists beyond `BLOCK` nodes are split into pairs of blocks, so no task holds a hot list.
 4. Verify. Nodes that have a candidate in a list meet there again with their vectors; cosines are exact, in double
    precision. A block gives each node's number of linked rows and a star for each of its components, never its pairs.
 5. Components of the stars are the groups.
 
-With the parameters given, a pair of 64-dimensional vectors at cosine 0.93 is missed with a chance of about 4e-4, at 0.95 of
-1.5e-4 and from 0.98 on of less than 5e-5 (random directions, 20,000 pairs each); 0.2 % of unrelated pairs are compared. A
+With the parameters given, a pair of 64-dimensional vectors at cosine 0.93 is missed with a chance of about 1e-3, at 0.95 of
+3e-4 and from 0.97 on of less than 1e-4 (random directions, 12,000 pairs each); 0.02 % of unrelated pairs are compared. A
 group of near copies that aren't equal takes as many products as it has pairs, in matrix products of blocks, as every row's exact
 number of links is asked for.
 """
@@ -38,13 +39,14 @@ BLOCK, LARGE = 2048, 48
 
 @dataclass(frozen=True)
 class Index:
-    """Number of pivots, length of a prefix, pivots that candidates share, rows of the sample, and the cosine from which a
-    sampled vector is too close to a pivot to be one."""
-
-    pivots: int = 1024
-    prefix: int = 10
-    shared: int = 2
-    sample: int = 4096
+    """Number of pivots, length of a prefix, pivots that candidates share, pivots of a list, rows of the sample, and the
+    cosine from which a sampled vector is too close to a pivot to be one."""
+
+    pivots: int = 2048
+    prefix: int = 12
+    shared: int = 3
+    together: int = 2
+    sample: int = 8192
     close: float = 0.8
     seed: int = 20240101
 
@@ -130,7 +132,7 @@ def lists(nodes: DataFrame, index: Index) -> DataFrame:
             out = out * index.pivots + F.element_at(p, k + 1)
         return out
 
-    return nodes.select("place", F.explode(F.array(*[number(c) for c in combinations(range(index.prefix), index.shared)])).alias("pivots"), "node", "prefix")
+    return nodes.select("place", F.explode(F.array(*[number(c) for c in combinations(range(index.prefix - index.shared + index.together), index.together)])).alias("pivots"), "node", "prefix")
 
 
 def blocked(rows: DataFrame) -> DataFrame:
@@ -150,15 +152,15 @@ def candidates(frame: pd.DataFrame, index: Index) -> Iterator[tuple[np.ndarray,
     list, (rows, columns, mask)."""
     cuts = common.group_bounds(frame, LIST)
     prefix = np.stack(frame["prefix"].to_numpy()).astype(np.int32) if len(frame) else np.empty((0, index.prefix), dtype=np.int32)
-    last = frame["pivots"].to_numpy() // index.pivots ** (index.shared - 1)
+    last = frame["pivots"].to_numpy() // index.pivots ** (index.together - 1)
     own, lo, hi = (frame[c].to_numpy() for c in ("own", "lo", "hi"))
     sizes = np.diff(cuts)
     small = np.flatnonzero((sizes > 1) & (sizes < LARGE))
     for a, b in small_pairs(cuts[:-1][small], sizes[small]):
         # the smallest shared pivots are this list's: no others up to its last one
         p, q = prefix[a], prefix[b]
-        shared = ((p[:, :, None] == q[:, None, :]) & (p <= last[a, None])[:, :, None]).sum(axis=(1, 2))
-        good = (shared == index.shared) & ((lo[a] == hi[a]) | (own[a] != own[b]))
+        both = (p[:, :, None] == q[:, None, :]).any(axis=2)
+        good = ((both & (p <= last[a, None])).sum(axis=1) == index.together) & (both.sum(axis=1) >= index.shared) & ((lo[a] == hi[a]) | (own[a] != own[b]))
         yield a[good], b[good], None
     for k in np.flatnonzero(sizes >= LARGE):
         rows = np.arange(cuts[k], cuts[k + 1])
@@ -166,10 +168,10 @@ def candidates(frame: pd.DataFrame, index: Index) -> Iterator[tuple[np.ndarray,
         left, right = (rows[own[rows] == lo[rows[0]]], rows[own[rows] == hi[rows[0]]]) if cross else (rows, rows)
         if not len(left) or not len(right):
             continue
-        seen = np.zeros((len(rows), int(last[rows[0]]) + 1), dtype=np.float32)
-        at, place = np.nonzero(prefix[rows] <= last[rows[0]])
-        seen[at, prefix[rows][at, place]] = 1
-        mask = np.rint(seen[left - rows[0]] @ seen[right - rows[0]].T) == index.shared
+        seen = np.zeros((len(rows), index.pivots), dtype=np.float32)
+        seen[np.arange(len(rows))[:, None], prefix[rows]] = 1
+        p, q, till = seen[left - rows[0]], seen[right - rows[0]], int(last[rows[0]]) + 1
+        mask = (np.rint(p[:, :till] @ q[:, :till].T) == index.together) & (p @ q.T > index.shared - 0.5)
         yield left, right, mask if cross else np.triu(mask, 1)
 
 
