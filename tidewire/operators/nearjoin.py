@@ -1,4 +1,4 @@
-"""Near-duplicate matching of posts: against recent claims, and all pairs by prefix filtering."""
+"""Near-duplicate matching of posts: against recent claims, and among all posts by an index of rare tokens."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import similar
 from ..functions import text as tx
+from .components import components
+from .cut import cut
 
 
 def against_recent(candidates: DataFrame, recents: DataFrame) -> DataFrame:
@@ -23,26 +25,84 @@ def against_recent(candidates: DataFrame, recents: DataFrame) -> DataFrame:
     return j.withColumn("near_duplicate", F.coalesce(match & (tx.stripped("blob") != ""), F.lit(False))).drop("_new", "_reason", "olds")
 
 
+#: Posts of a token's list that are compared in one task, and 64-bit words of a post's token bitmap.
+BLOCK, WORDS = 2048, 8
+
+
+def _prefixes(base: DataFrame) -> DataFrame:
+    """The index: for each post and each of its rarest tokens g, token, id, n (tokens), pos (its place by rarity), and the
+    post's bitmap of tokens; by base (g, id, tokens)."""
+    each = base.select("g", "id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    rarity = each.groupBy("g", "token").agg(F.count("*").alias("df"))
+    ranked = each.join(rarity, ["g", "token"]).withColumn("pos", F.row_number().over(Window.partitionBy("g", "id").orderBy("df", "token")))
+    length = F.col("n") - F.ceil(F.col("n") * _PERCENT / 100) + 1
+    bit = F.pmod(F.xxhash64("token"), F.lit(64 * WORDS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    none = F.lit(0).cast("long")
+    maps = each.groupBy("g", "id").agg(*[F.coalesce(F.bit_or(F.when(F.floor(bit / 64) == k, one)), none).alias(f"w{k}") for k in range(WORDS)])
+    return ranked.where((F.col("pos") <= length) & (F.col("df") > 1)).drop("df").join(maps, ["g", "id"])
+
+
+def candidate_pairs(base: DataFrame) -> DataFrame:
+    """Pairs (g, a, b), a < b, of base (g, id, tokens) whose token sets may reach a Jaccard similarity of 0.30.
+
+    Exact: no pair that reaches it is left out. Tokens are ranked by rarity; two such sets share one of each one's first
+    n - ceil(0.30 n) + 1 tokens, so only these prefixes are joined. Where two prefixes meet, three bounds decide before
+    anything is shuffled: the sizes, what can follow the places at which they meet first, and the bits in which their
+    bitmaps differ, each of which is a token that they don't share. Lists of frequent tokens are dealt out in pairs of
+    blocks, so no task joins a hot token."""
+    index = cut(_prefixes(base))
+    parts = index.groupBy("g", "token").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.count("*").alias("in_list")).where("in_list > 1").drop("in_list")
+    dealt = index.join(parts, ["g", "token"]).withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("parts", "other")
+    key = ["g", "token", "lo", "hi"]
+    a, b = (dealt.select(*key, *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "own", *[f"w{k}" for k in range(WORDS)])]) for x in "ab")
+    c = F.col
+    once = (c("id_a") < c("id_b")) & ((c("lo") == c("hi")) | (c("own_a") != c("own_b")))
+    near = (c("n_a") * _PERCENT <= c("n_b") * 100) & (c("n_b") * _PERCENT <= c("n_a") * 100)
+    needed = (c("n_a") + c("n_b")) * _PERCENT  # of 100 + _PERCENT times the shared tokens
+    follow = (1 + F.least(c("n_a") - c("pos_a"), c("n_b") - c("pos_b"))) * (100 + _PERCENT) >= needed
+    apart = F.bit_count(c("w0_a").bitwiseXOR(c("w0_b")))
+    for k in range(1, WORDS):
+        apart = apart + F.bit_count(c(f"w{k}_a").bitwiseXOR(c(f"w{k}_b")))
+    alike = (c("n_a") + c("n_b") - apart) * (100 + _PERCENT) >= 2 * needed
+    return a.join(b, key).where(once & near & follow & alike).select("g", c("id_a").alias("a"), c("id_b").alias("b")).distinct()
+
+
+_PERCENT = round(100 * fixed.LOOSE_JACCARD)
+
+
 def similar_pairs(posts: DataFrame, id_: str = "id", group: str = "group_id") -> DataFrame:
     """All pairs (a < b) of posts of a group that tell of the same event: (group, a, b, shared, total).
 
-    posts: id, group and feature struct f. Exact. Tokens are ranked by rarity; two sets with a Jaccard
-    similarity of 0.30 share one of each one's first n - ceil(0.30 n) + 1 tokens, so only these prefixes
-    are joined, of sets whose sizes allow the threshold. Shared tokens outside of both prefixes are at most
-    as many as the longer rest, so pairs that share too few prefix tokens go before their sets are compared."""
-    t = F.lit(fixed.LOOSE_JACCARD)
+    posts: id, group and feature struct f. Exact; candidates come from candidate_pairs."""
     base = posts.select(F.col(group).alias("g"), F.col(id_).alias("id"), F.col("f.tokens").alias("tokens")).where(F.size("tokens") > 0)
-    each = base.select("g", "id", F.explode("tokens").alias("token"), F.size("tokens").alias("n"))
-    rarity = each.groupBy("g", "token").agg(F.count("*").alias("df"))
-    ranked = each.join(rarity, ["g", "token"]).withColumn("pos", F.row_number().over(Window.partitionBy("g", "id").orderBy("df", "token")))
-    percent = round(100 * fixed.LOOSE_JACCARD)
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = ranked.where((F.col("pos") <= length) & (F.col("df") > 1)).withColumn("rest", F.col("n") - length)
-    a, b = (prefix.select("g", "token", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("rest").alias(f"r{x}")) for x in "ab")
-    near = (F.col("na") * percent <= F.col("nb") * 100) & (F.col("nb") * percent <= F.col("na") * 100)
-    met = a.join(b, ["g", "token"]).where((F.col("a") < F.col("b")) & near).groupBy("g", "a", "b", "na", "nb", "ra", "rb").agg(F.count("*").alias("met"))
-    pairs = met.where(F.col("met") + F.greatest("ra", "rb") + 1e-6 >= t * (F.col("na") + F.col("nb")) / (t + 1)).select("g", "a", "b")
+    pairs = candidate_pairs(base)
     fa, fb = posts.select(F.col(group).alias("g"), F.col(id_).alias("a"), F.col("f").alias("fa")), posts.select(F.col(group).alias("g"), F.col(id_).alias("b"), F.col("f").alias("fb"))
     full = pairs.join(fa, ["g", "a"]).join(fb, ["g", "b"])
     shared, total = F.size(F.array_intersect("fa.tokens", "fb.tokens")), F.size(F.array_union("fa.tokens", "fb.tokens"))
     return full.where(similar.same_event(F.col("fa"), F.col("fb"))).select(F.col("g").alias(group), "a", "b", shared.alias("shared"), total.alias("total"))
+
+
+def similar_groups(posts: DataFrame, id_: str = "id", group: str = "group_id") -> DataFrame:
+    """Posts by event: (group, id, class_id, n_links, component_id), a row for each post.
+
+    posts: id (distinct in a group), group and feature struct f. class_id: the smallest id of the posts with equal tokens
+    and numbers; only one post of a class is compared, so copies cost nothing. n_links: other posts that tell of the same event;
+    component_id: the smallest id that is reached by such links."""
+    g = posts.select(F.col(group).alias("g"), F.col(id_).alias("id"), F.col("f"), F.xxhash64("f.tokens", "f.numbers").alias("h1"), F.xxhash64(F.lit(1), "f.tokens", "f.numbers").alias("h2"))
+    classes = g.groupBy("g", "h1", "h2").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    member = cut(g.select("g", "id", "h1", "h2").join(classes, ["g", "h1", "h2"]).select("g", "id", "class_id", "n"))
+    nodes = cut(g.join(member.where("id = class_id").select("g", "id", "n"), ["g", "id"]).select("g", "id", "f", "n"))
+    links = cut(similar_pairs(nodes, "id", "g").select("g", "a", "b"))
+    both = links.select("g", "a", "b").unionByName(links.select("g", F.col("b").alias("a"), F.col("a").alias("b")))
+    counts = nodes.select("g", F.col("id").alias("b"), "n")
+    outside = both.join(counts, ["g", "b"]).groupBy("g", F.col("a").alias("class_id")).agg(F.sum("n").alias("outside"))
+    # a class of several posts is linked within if its text can tell of an event at all
+    inside = nodes.select("g", F.col("id").alias("class_id"), F.when(similar.same_event(F.col("f"), F.col("f")), F.col("n") - 1).otherwise(0).alias("inside"))
+    tops = components(links).withColumnRenamed("node", "class_id")
+    by_class = inside.join(outside, ["g", "class_id"], "left").join(tops, ["g", "class_id"], "left")
+    out = member.join(by_class, ["g", "class_id"])
+    alone = F.when(F.col("inside") > 0, F.col("class_id")).otherwise(F.col("id"))
+    return out.select(F.col("g").alias(group), F.col("id").alias(id_), "class_id", (F.col("inside") + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", alone).alias("component_id"))

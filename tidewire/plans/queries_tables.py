@@ -117,8 +117,7 @@ def jn7_overnight_merge(spark, sf_dir):
     return ranking.merged_overnight(archived, p.select(*store.KEY)).select("message_id", F.col("score").cast("long").alias("score"))
 
 
-@query(
-    f"""WITH {P}, f AS (SELECT group_id, message_id, {TOKENS} AS tokens FROM posts),
+_SIMILAR = f"""WITH {P}, f AS (SELECT group_id, message_id, {TOKENS} AS tokens FROM posts),
     x AS (SELECT group_id, message_id, len(tokens) AS n, unnest(tokens) AS t FROM f),
     s AS (SELECT a.group_id, a.message_id AS a, b.message_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared,
       count(*) FILTER (a.t NOT IN ('the', 'and', 'for', 'from', 'with', 'that', 'this')) AS specific FROM x a JOIN x b ON a.group_id = b.group_id AND a.t = b.t AND a.message_id < b.message_id GROUP BY 1, 2, 3),
@@ -126,13 +125,28 @@ def jn7_overnight_merge(spark, sf_dir):
     SELECT s.group_id, a, b, shared, na + nb - shared AS total FROM s JOIN q qa ON qa.group_id = s.group_id AND qa.message_id = a JOIN q qb ON qb.group_id = s.group_id AND qb.message_id = b
     WHERE ((shared >= 0.45 * (na + nb - shared) AND specific >= 1) OR (shared >= 0.30 * (na + nb - shared) AND specific >= 4))
       AND (len(qa.nums) = 0 OR len(qb.nums) = 0 OR len(list_intersect(qa.nums, qb.nums)) > 0)"""
-)
+
+
+@query(_SIMILAR)
 def jn8_similar_posts(spark, sf_dir):
     p = views.posts(spark, sf_dir)
     f = p.select("group_id", F.col("message_id").alias("id"), tx.features("text").alias("f"))
     return nearjoin.similar_pairs(f).select("group_id", "a", "b", F.col("shared").cast("long").alias("shared"), F.col("total").cast("long").alias("total"))
 
 
+@query(
+    "WITH RECURSIVE pairs AS (" + _SIMILAR + """), l AS (SELECT group_id, a, b FROM pairs UNION ALL SELECT group_id, b, a FROM pairs),
+    r AS (SELECT group_id, a, b FROM l UNION SELECT r.group_id, r.a, l.b FROM r JOIN l ON r.group_id = l.group_id AND r.b = l.a),
+    d AS (SELECT group_id, a, count(*) AS n FROM l GROUP BY 1, 2), m AS (SELECT group_id, a, min(b) AS low FROM r GROUP BY 1, 2),
+    """ + P + """ SELECT p.group_id, p.message_id, coalesce(n, 0) AS n_links, least(p.message_id, coalesce(low, p.message_id)) AS component_id
+    FROM posts p LEFT JOIN d ON d.group_id = p.group_id AND d.a = p.message_id LEFT JOIN m ON m.group_id = p.group_id AND m.a = p.message_id"""
+)
+def jn8_similar_groups(spark, sf_dir):
+    """Number of posts that tell of a post's event, and the group of posts that it is in."""
+    f = views.posts(spark, sf_dir).select("group_id", "message_id", tx.features("text").alias("f"))
+    return nearjoin.similar_groups(f, "message_id").select("group_id", "message_id", "n_links", "component_id")
+
+
 @query(f"WITH {P} SELECT message_id, CASE group_id WHEN 'news24' THEN 8 ELSE 7 END AS min_score, CASE group_id WHEN 'news24' THEN '' ELSE '00:00-08:00' END AS quiet_hours FROM posts")
 def jn10_group_settings(spark, sf_dir):
     groups = spark.createDataFrame([("news24", 8, ""), ("other", 5, None)], "group_id string, min_score int, quiet_hours string")
