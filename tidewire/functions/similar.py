@@ -15,10 +15,15 @@ def same_event(a: Column, b: Column) -> Column:
     numbers = (F.size(a["numbers"]) == 0) | (F.size(b["numbers"]) == 0) | F.arrays_overlap(a["numbers"], b["numbers"])
     shared = F.size(F.array_intersect(a["tokens"], b["tokens"]))
     specific = F.size(F.array_intersect(a["specific"], b["specific"]))
-    share = F.try_divide(shared, F.size(a["tokens"]) + F.size(b["tokens"]) - shared)  # tokens are sets
+    return F.coalesce(meet & numbers & tells(shared, specific, F.size(a["tokens"]) + F.size(b["tokens"]) - shared), F.lit(False))
+
+
+def tells(shared: Column, specific: Column, total: Column) -> Column:
+    """The overlap of one event, of tokens shared (all, specific) and in total; tokens are sets."""
+    share = F.try_divide(shared, total)
     tight = (share >= fixed.JACCARD) & (specific >= fixed.SPECIFIC_MIN)
     loose = (share >= fixed.LOOSE_JACCARD) & (specific >= fixed.LOOSE_SPECIFIC_MIN)
-    return F.coalesce(meet & numbers & (tight | loose), F.lit(False))
+    return tight | loose
 
 
 def adds_content(new: Column, old: Column, least: int = fixed.NEW_TOKENS_MIN) -> Column:

@@ -25,49 +25,39 @@ def against_recent(candidates: DataFrame, recents: DataFrame) -> DataFrame:
     return j.withColumn("near_duplicate", F.coalesce(match & (tx.stripped("blob") != ""), F.lit(False))).drop("_new", "_reason", "olds")
 
 
-#: Posts of a token's list that are compared in one task, and 64-bit words of a post's token bitmap.
-BLOCK, WORDS = 2048, 8
+#: Posts of a token's list that are joined in one task.
+BLOCK = 2048
 
 
 def _prefixes(base: DataFrame) -> DataFrame:
-    """The index: for each post and each of its rarest tokens g, token, id, n (tokens), pos (its place by rarity), and the
-    post's bitmap of tokens; by base (g, id, tokens)."""
+    """The index: for each post and each of its rarest tokens g, token, id, n (tokens), and rest (tokens after the prefix);
+    by base (g, id, tokens)."""
     each = base.select("g", "id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     rarity = each.groupBy("g", "token").agg(F.count("*").alias("df"))
     ranked = each.join(rarity, ["g", "token"]).withColumn("pos", F.row_number().over(Window.partitionBy("g", "id").orderBy("df", "token")))
     length = F.col("n") - F.ceil(F.col("n") * _PERCENT / 100) + 1
-    bit = F.pmod(F.xxhash64("token"), F.lit(64 * WORDS))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
-    none = F.lit(0).cast("long")
-    maps = each.groupBy("g", "id").agg(*[F.coalesce(F.bit_or(F.when(F.floor(bit / 64) == k, one)), none).alias(f"w{k}") for k in range(WORDS)])
-    return ranked.where((F.col("pos") <= length) & (F.col("df") > 1)).drop("df").join(maps, ["g", "id"])
+    # tokens go on as hashes: two that are one only add a candidate
+    return ranked.where((F.col("pos") <= length) & (F.col("df") > 1)).select("g", F.xxhash64("token").alias("token"), "id", "n", (F.col("n") - length).alias("rest"), F.ceil(F.col("df") / BLOCK).alias("parts"))
 
 
 def candidate_pairs(base: DataFrame) -> DataFrame:
     """Pairs (g, a, b), a < b, of base (g, id, tokens) whose token sets may reach a Jaccard similarity of 0.30.
 
     Exact: no pair that reaches it is left out. Tokens are ranked by rarity; two such sets share one of each one's first
-    n - ceil(0.30 n) + 1 tokens, so only these prefixes are joined. Where two prefixes meet, three bounds decide before
-    anything is shuffled: the sizes, what can follow the places at which they meet first, and the bits in which their
-    bitmaps differ, each of which is a token that they don't share. Lists of frequent tokens are dealt out in pairs of
-    blocks, so no task joins a hot token."""
-    index = cut(_prefixes(base))
-    parts = index.groupBy("g", "token").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.count("*").alias("in_list")).where("in_list > 1").drop("in_list")
-    dealt = index.join(parts, ["g", "token"]).withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")))
+    n - ceil(0.30 n) + 1 tokens, so only these prefixes are joined, of sets whose sizes allow the threshold. Shared tokens
+    outside of both prefixes are at most as many as the longer rest, so a pair must share enough in its prefixes: the
+    counts are summed before they are shuffled, and few pairs are left. Lists of frequent tokens are dealt out in pairs
+    of blocks, so no task joins a hot token."""
+    dealt = _prefixes(base).withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("parts", "other")
+    dealt = cut(dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("parts", "other"))
     key = ["g", "token", "lo", "hi"]
-    a, b = (dealt.select(*key, *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos", "own", *[f"w{k}" for k in range(WORDS)])]) for x in "ab")
+    a, b = (dealt.select(*key, *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "rest", "own")]) for x in "ab")
     c = F.col
     once = (c("id_a") < c("id_b")) & ((c("lo") == c("hi")) | (c("own_a") != c("own_b")))
     near = (c("n_a") * _PERCENT <= c("n_b") * 100) & (c("n_b") * _PERCENT <= c("n_a") * 100)
-    needed = (c("n_a") + c("n_b")) * _PERCENT  # of 100 + _PERCENT times the shared tokens
-    follow = (1 + F.least(c("n_a") - c("pos_a"), c("n_b") - c("pos_b"))) * (100 + _PERCENT) >= needed
-    apart = F.bit_count(c("w0_a").bitwiseXOR(c("w0_b")))
-    for k in range(1, WORDS):
-        apart = apart + F.bit_count(c(f"w{k}_a").bitwiseXOR(c(f"w{k}_b")))
-    alike = (c("n_a") + c("n_b") - apart) * (100 + _PERCENT) >= 2 * needed
-    return a.join(b, key).where(once & near & follow & alike).select("g", c("id_a").alias("a"), c("id_b").alias("b")).distinct()
+    met = a.join(b, key).where(once & near).groupBy("g", c("id_a").alias("a"), c("id_b").alias("b"), "n_a", "n_b", F.greatest("rest_a", "rest_b").alias("rest")).agg(F.count("*").alias("met"))
+    return met.where((c("met") + c("rest")) * (100 + _PERCENT) >= (c("n_a") + c("n_b")) * _PERCENT).select("g", "a", "b")
 
 
 _PERCENT = round(100 * fixed.LOOSE_JACCARD)
@@ -76,13 +66,18 @@ _PERCENT = round(100 * fixed.LOOSE_JACCARD)
 def similar_pairs(posts: DataFrame, id_: str = "id", group: str = "group_id") -> DataFrame:
     """All pairs (a < b) of posts of a group that tell of the same event: (group, a, b, shared, total).
 
-    posts: id, group and feature struct f. Exact; candidates come from candidate_pairs."""
-    base = posts.select(F.col(group).alias("g"), F.col(id_).alias("id"), F.col("f.tokens").alias("tokens")).where(F.size("tokens") > 0)
-    pairs = candidate_pairs(base)
-    fa, fb = posts.select(F.col(group).alias("g"), F.col(id_).alias("a"), F.col("f").alias("fa")), posts.select(F.col(group).alias("g"), F.col(id_).alias("b"), F.col("f").alias("fb"))
-    full = pairs.join(fa, ["g", "a"]).join(fb, ["g", "b"])
-    shared, total = F.size(F.array_intersect("fa.tokens", "fb.tokens")), F.size(F.array_union("fa.tokens", "fb.tokens"))
-    return full.where(similar.same_event(F.col("fa"), F.col("fb"))).select(F.col("g").alias(group), "a", "b", shared.alias("shared"), total.alias("total"))
+    posts: id, group and feature struct f. Candidates come from candidate_pairs; they are compared on whole sets of 64-bit
+    token hashes, which are a fraction of the tokens' size. What is specific is counted by what isn't, as generic tokens are few."""
+    base = posts.select(F.col(group).alias("g"), F.col(id_).alias("id"), F.col("f.tokens").alias("tokens"), F.col("f.specific").alias("specific"), F.col("f.numbers").alias("numbers")).where(F.size("tokens") > 0)
+    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    sets = cut(base.select("g", "id", hashed(F.col("tokens")).alias("t"), hashed(F.array_except("tokens", "specific")).alias("u"), "numbers"))
+    a, b = (sets.select("g", *[F.col(k).alias(f"{k}{x}") for k in ("id", "t", "u", "numbers")]).withColumnRenamed(f"id{x}", x) for x in "ab")
+    full = candidate_pairs(base.select("g", "id", "tokens")).join(a, ["g", "a"]).join(b, ["g", "b"])
+    compatible = (F.size("numbersa") == 0) | (F.size("numbersb") == 0) | F.arrays_overlap("numbersa", "numbersb")
+    counted = full.where(compatible).select("g", "a", "b", F.size(F.array_intersect("ta", "tb")).alias("shared"), F.size(F.array_intersect("ua", "ub")).alias("generic"), (F.size("ta") + F.size("tb")).alias("both"))
+    counted = counted.withColumn("total", F.col("both") - F.col("shared"))
+    found = counted.where(similar.tells(F.col("shared"), F.col("shared") - F.col("generic"), F.col("total")))
+    return found.select(F.col("g").alias(group), "a", "b", "shared", "total")
 
 
 def similar_groups(posts: DataFrame, id_: str = "id", group: str = "group_id") -> DataFrame:
@@ -91,7 +86,9 @@ def similar_groups(posts: DataFrame, id_: str = "id", group: str = "group_id") -
     posts: id (distinct in a group), group and feature struct f. class_id: the smallest id of the posts with equal tokens
     and numbers; only one post of a class is compared, so copies cost nothing. n_links: other posts that tell of the same event;
     component_id: the smallest id that is reached by such links."""
-    g = posts.select(F.col(group).alias("g"), F.col(id_).alias("id"), F.col("f"), F.xxhash64("f.tokens", "f.numbers").alias("h1"), F.xxhash64(F.lit(1), "f.tokens", "f.numbers").alias("h2"))
+    f = F.struct(*[F.col(f"f.{c}").alias(c) for c in ("numbers", "tokens", "specific")]).alias("f")
+    g = posts.select(F.col(group).alias("g"), F.col(id_).alias("id"), f, F.xxhash64("f.tokens", "f.numbers").alias("h1"), F.xxhash64(F.lit(1), "f.tokens", "f.numbers").alias("h2"))
+    g = cut(g)
     classes = g.groupBy("g", "h1", "h2").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
     member = cut(g.select("g", "id", "h1", "h2").join(classes, ["g", "h1", "h2"]).select("g", "id", "class_id", "n"))
     nodes = cut(g.join(member.where("id = class_id").select("g", "id", "n"), ["g", "id"]).select("g", "id", "f", "n"))
