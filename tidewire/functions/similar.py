@@ -1,7 +1,9 @@
-"""Event similarity over feature structs (see text.features), as column expressions."""
+"""Event similarity over feature structs (see text.features), as column expressions and, for Arrow batches, over Python sets."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,3 +39,27 @@ def material_update(is_update: Column, reason: Column, reason_features: Column,
     number = F.size(F.array_except(reason_features["numbers"], old["numbers"])) > 0
     tokens = F.size(F.array_except(reason_features["specific"], old["specific"])) >= fixed.NEW_TOKENS_MIN
     return F.coalesce(is_update, F.lit(False)) & (r != "") & (number | ((F.length(r) >= 10) & tokens))
+
+
+class Sets(NamedTuple):
+    """A text's features as sets."""
+
+    numbers: frozenset[str]
+    tokens: frozenset[str]
+    specific: frozenset[str]
+
+    @classmethod
+    def of(cls, text: str | None) -> Sets:
+        return cls(*map(frozenset, tx.features_of(text)[1:4]))
+
+    def same_event(self, other: Sets) -> bool:
+        """As same_event()."""
+        if self.specific.isdisjoint(other.specific) or (self.numbers and other.numbers and self.numbers.isdisjoint(other.numbers)):
+            return False
+        shared, specific = len(self.tokens & other.tokens), len(self.specific & other.specific)
+        share = shared / (len(self.tokens) + len(other.tokens) - shared)
+        return (share >= fixed.JACCARD and specific >= fixed.SPECIFIC_MIN) or (share >= fixed.LOOSE_JACCARD and specific >= fixed.LOOSE_SPECIFIC_MIN)
+
+    def adds_to(self, other: Sets, least: int = fixed.NEW_TOKENS_MIN) -> bool:
+        """As adds_content(self, other, least)."""
+        return not self.numbers <= other.numbers or len(self.specific - other.specific) >= least
