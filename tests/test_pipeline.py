@@ -137,3 +137,39 @@ def test_passes_over_a_store_decide_each_post_once(spark, tmp_path, capsys):
     assert said == [["g", "selected", "None", "1"], []]
     rows = {n: spark.read.parquet(f"{tmp_path}/store/{n}").count() for n in cli.TABLES}
     assert rows == {"posts": 1, "outcomes": 1, "claims": 1, "calls": 1}
+
+
+class Broken:
+    """Fails when its items are computed, as a service that is down does."""
+
+    def evaluate(self, batch):
+        return batch.select("group_id", "channel", "message_id", F.raise_error(F.lit("service down")).cast("int").alias("pos"), F.lit(1).alias("score"), F.lit("").alias("title"), F.lit("").alias("summary"), F.lit("").alias("category"))
+
+
+def test_a_failed_evaluation_leaves_the_batch_pending_and_counts_the_call(spark):
+    rows = [("g", 1, HALT, 3), ("g", 2, "hello", 3), ("g", 3, "A breach was found in the valley", 3)]
+    got, sent, done = decide(spark, rows, 12, Settings(), evaluator=Broken())
+    assert got == {1: ("pending", None), 2: ("filtered", "coarse_filter"), 3: ("pending", None)} and sent == []
+    assert "service down" in done.failure and [r.group_id for r in done.calls.collect()] == ["g"] and done.claims.count() == 0
+
+
+def test_the_next_evaluator_takes_over(spark):
+    from tidewire.plans.pipeline import FallbackEvaluator, KeywordEvaluator
+
+    rows = [("g", 1, HALT, 3)]
+    got, sent, done = decide(spark, rows, 12, Settings(), evaluator=FallbackEvaluator(Broken(), KeywordEvaluator()))
+    assert got == {1: ("selected", None)} and sent == [1] and done.failure is None
+    broken = Broken()
+    _, _, done = decide(spark, rows, 12, Settings(), evaluator=FallbackEvaluator(broken, broken))
+    assert done.failure.count("Broken") == 1  # one evaluator isn't asked twice
+
+
+def test_counters_equal_the_outcomes(spark, tmp_path):
+    rows = [("g", k, t, 3) for k, t in enumerate([HALT, HALT, "hello", "Bitcoin rises again this afternoon", "A quiet day at the lake with two boats"])]
+    got, _, done = decide(spark, rows, 12, Settings())
+    outcomes, counters = done.counted()
+    outcomes.write.parquet(f"{tmp_path}/outcomes")
+    said = counters.get
+    assert said["seen"] == 5 and {s: said[s] for s in ("pending", "filtered", "selected")} == {s: sum(v[0] == s for v in got.values()) for s in ("pending", "filtered", "selected")}
+    assert {k.removeprefix("reason_"): n for k, n in said.items() if k.startswith("reason_") and n} == {r: sum(v[1] == r for v in got.values()) for r in {v[1] for v in got.values()} - {None}}
+    assert said["evaluated"] == 2

@@ -53,6 +53,19 @@ def apply_updates(stored: DataFrame, updates: DataFrame, key: Sequence[str] = KE
     return j.select(*[value[c].alias(c) if c in value else F.col(c) for c in stored.columns])
 
 
+def record_usage(calls: DataFrame, usage: DataFrame, key: Sequence[str] = ("group_id", "started")) -> DataFrame:
+    """calls with the tokens that usage (key, tokens) tells; a call without usage keeps its own. Null is unknown, not 0, and of
+    several rows for a call the largest counts."""
+    u = usage.groupBy(*key).agg(F.max("tokens").alias("_tokens"))
+    return calls.join(u, list(key), "left").select(*[F.coalesce("_tokens", "tokens").alias("tokens") if c == "tokens" else F.col(c) for c in calls.columns])
+
+
+def schedule_rows(groups: DataFrame, stored: DataFrame) -> DataFrame:
+    """A schedule row for each of groups (group_id): the stored one, or a new one with nothing sent yet."""
+    new = groups.select("group_id").distinct().join(stored, "group_id", "left")
+    return new.select(*[F.coalesce(c, F.lit(0)).alias(c) if c == "quiet_cards_sent" else F.col(c) for c in stored.columns])
+
+
 def mark_sent(stored: DataFrame, sent: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """alert_sent 1 with its time; a new score or summary only where one is given."""
     u = sent.select(*key, F.lit(True).alias("_hit"), F.col("at").alias("_at"), F.col("score").alias("_score"), F.col("summary").alias("_summary"))

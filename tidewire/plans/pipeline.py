@@ -10,13 +10,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as tx
 from ..functions import timewin
 from ..operators import filters, nearjoin, ranking, store
+from ..operators.cut import cut
 from ..sources.config import Settings
 
 
@@ -61,6 +62,28 @@ class KeywordEvaluator:
         return ranking.capped(items, ["group_id"], [F.col("pos")], self.most).where("within_cap").drop("within_cap")
 
 
+class EvaluationFailed(Exception):
+    """No evaluator gave items for a batch."""
+
+
+class FallbackEvaluator:
+    """The first of several evaluators that answers: each one's items are computed before the next is asked."""
+
+    def __init__(self, *evaluators: Evaluator):
+        self.evaluators = list(dict.fromkeys(evaluators))
+
+    def evaluate(self, batch: DataFrame) -> DataFrame:
+        said = []
+        for e in self.evaluators:
+            try:
+                return cut(e.evaluate(batch))
+            except Exception as x:
+                said.append(f"{type(e).__name__}: {x}".splitlines()[0])
+        raise EvaluationFailed("; ".join(said))
+
+
+ITEMS = "group_id string, channel string, message_id long, pos int, score int, title string, summary string, category string"
+
 CLAIMS = "group_id string, fingerprint string, claimed long, summary string"
 CALLS = "group_id string, started long"
 
@@ -68,7 +91,9 @@ CALLS = "group_id string, started long"
 @dataclass(frozen=True)
 class Pass:
     """Results of one pass: what became of every pending post, the items to send in order, each group's gate, and the claims
-    (CLAIMS; to be written before anything is sent) and calls (CALLS) that it adds. release() drops what it holds."""
+    (CLAIMS; to be written before anything is sent) and calls (CALLS) that it adds. release() drops what it holds.
+
+    failure: why the evaluator gave nothing. The batch's posts stay pending then; its calls count all the same."""
 
     outcomes: DataFrame
     items: DataFrame
@@ -76,6 +101,17 @@ class Pass:
     claims: DataFrame
     calls: DataFrame
     held: tuple[DataFrame, ...] = ()
+    failure: str | None = None
+
+    def counted(self) -> tuple[DataFrame, Observation]:
+        """The outcomes, and counters of them that are there once they have been written: seen, of each state, of each
+        reason a column `reason_<reason>`, and of posts that were evaluated. They cost no pass of their own."""
+        reasons = [fixed.EXPIRED, fixed.DUPLICATE, fixed.COARSE, fixed.CRYPTO_REASON, fixed.TOPIC_REASON, fixed.DIGEST_FILTERED, fixed.NEAR_DUPLICATE]
+        counters = Observation("pass")
+        state, reason = F.col("state"), F.col("filter_reason")
+        evaluated = (state == "selected") | reason.isin(fixed.DIGEST_FILTERED, fixed.NEAR_DUPLICATE)
+        counts = [F.count(F.lit(1)).alias("seen"), F.count_if(F.coalesce(evaluated, F.lit(False))).alias("evaluated"), *[F.count_if(state == x).alias(x) for x in ("pending", "filtered", "selected")]]
+        return self.outcomes.observe(counters, *counts, *[F.count_if(F.coalesce(reason == x, F.lit(False))).alias(f"reason_{x}") for x in reasons]), counters
 
     def release(self) -> None:
         for df in self.held:
@@ -140,17 +176,22 @@ class Pipeline:
         gates = self.admitted(candidates, now, calls if calls is not None else spark.createDataFrame([], CALLS)).persist()
         opened = candidates.join(gates.where("admitted").select("group_id"), "group_id", "left_semi")
         batch = ranking.batch(opened, self._each(lambda get: F.lit(get("batch")))).persist()
-        items = self.vetted(ranking.first_items(self.evaluator.evaluate(batch), batch), batch, claims, now).persist()
+        # two phases: the evaluator's answer is there, or its failure known, before any post's outcome is decided
+        try:
+            answered, failure = cut(self.evaluator.evaluate(batch)), None
+        except Exception as e:
+            answered, failure = spark.createDataFrame([], ITEMS), f"{type(e).__name__}: {e}".splitlines()[0]
+        items = self.vetted(ranking.first_items(answered, batch), batch, claims, now).persist()
         chosen = items.where("item_reason IS NULL OR item_reason = 'near_duplicate'")
         outcomes = ranking.outcome(routed.join(batch.select(*store.KEY, F.lit(True).alias("in_batch")), list(store.KEY), "left"), chosen)
         outcomes = outcomes.join(items.where("item_reason IS NOT NULL").select(*store.KEY, "item_reason"), list(store.KEY), "left")
-        waits = F.col("in_batch").isNull() & (F.col("filter_reason") == fixed.DIGEST_FILTERED)
+        waits = (F.col("in_batch").isNull() | F.lit(failure is not None)) & (F.col("filter_reason") == fixed.DIGEST_FILTERED)
         outcomes = outcomes.withColumn("filter_reason", F.when(~F.coalesce(waits, F.lit(False)), F.coalesce("item_reason", "filter_reason")))
-        state = F.when(F.col("filter_reason").isNotNull(), "filtered").when(F.col("in_batch"), "selected").otherwise("pending")
+        state = F.when(F.col("filter_reason").isNotNull(), "filtered").when(F.col("in_batch") & F.lit(failure is None), "selected").otherwise("pending")
         sending = self.to_send(items.where("item_reason IS NULL"), now, sent)
         new_claims = sending.select("group_id", "fingerprint", F.unix_seconds(now).alias("claimed"), F.substring(tx.blob(F.col("title"), F.col("summary")), 1, fixed.CLAIM_SUMMARY_MAX).alias("summary"))
         new_calls = gates.where("admitted").select("group_id", F.unix_seconds(now).alias("started"))
-        return Pass(outcomes.select(*store.KEY, "filter_reason", state.alias("state")), sending.orderBy("published_at", "pos"), gates, new_claims, new_calls, (routed, gates, batch, items))
+        return Pass(outcomes.select(*store.KEY, "filter_reason", state.alias("state")), sending.orderBy("published_at", "pos"), gates, new_claims, new_calls, (routed, gates, batch, items), failure)
 
     def admitted(self, candidates: DataFrame, now: Column, calls: DataFrame) -> DataFrame:
         """Each group's gate (see ranking.gate), and whether the call budgets admit it: its cooldown, its calls of the UTC day, and

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import history, ranking
+from ..operators import history, ranking, store
 from . import views
 from .registry import query
 
@@ -63,3 +63,26 @@ def night_items(spark, sf_dir):
         F.col("event_type").alias("group_id"), F.col("user_id").cast("string").alias("channel"), (F.col("event_id") % 50).alias("message_id"), exact.alias("at"),
         (F.rint("value").cast("int") % 10 + 1).alias("score"), (F.col("user_id") % 7).cast("string").alias("fingerprint"),
     )
+
+
+@query(
+    f"""WITH {views.EVENTS}, {views.CALLS}, u AS (SELECT event_type AS group_id, event_id AS id, max(CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id * 10 END) AS told FROM ev WHERE event_id % 3 = 0 GROUP BY 1, 2)
+    SELECT group_id, count(*) AS calls, sum(coalesce(told, tokens)) AS tokens, count(*) FILTER (coalesce(told, tokens) IS NULL) AS unknown FROM calls LEFT JOIN u USING (group_id, id) GROUP BY 1"""
+)
+def sup3_token_usage(spark, sf_dir):
+    """Calls, tokens and calls of unknown usage of each group, after usage came in for a third of the calls."""
+    e = views.events(spark, sf_dir)
+    usage = e.where("event_id % 3 = 0").select(F.col("event_type").alias("group_id"), F.col("event_id").alias("id"), F.when(F.col("user_id") % 4 != 0, F.col("user_id") * 10).alias("tokens"))
+    calls = store.record_usage(views.calls(spark, sf_dir), usage, ("group_id", "id"))
+    return calls.groupBy("group_id").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens").isNull()).alias("unknown"))
+
+
+@query(
+    f"""WITH {views.EVENTS}, s AS (SELECT CAST(user_id AS VARCHAR) AS group_id, count(*) AS quiet_cards_sent, max(at_s) AS last_mode_at FROM ev WHERE event_type = 'purchase' AND user_id % 3 = 0 GROUP BY 1),
+    g AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS group_id FROM ev) SELECT group_id, coalesce(quiet_cards_sent, 0) AS quiet_cards_sent, last_mode_at FROM g LEFT JOIN s USING (group_id)"""
+)
+def sup5_schedule_rows(spark, sf_dir):
+    """A schedule row for every user: the stored one of some, a new one for the others."""
+    e = views.events(spark, sf_dir).withColumn("group_id", F.col("user_id").cast("string"))
+    stored = e.where("event_type = 'purchase' AND user_id % 3 = 0").groupBy("group_id").agg(F.count("*").alias("quiet_cards_sent"), F.max("at_s").alias("last_mode_at"))
+    return store.schedule_rows(e, stored)

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators import store
+from ..operators.keyed import KeyedTable
 from ..sources.sinks import Transport, deliver
 
 
@@ -40,6 +41,20 @@ def ingest(posts: DataFrame, path: str, checkpoint: str, available_now: bool = T
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="60 seconds")).start()
 
 
+def ingest_table(posts: DataFrame, table: KeyedTable, checkpoint: str, name: str = "ingest", available_now: bool = True) -> StreamingQuery:
+    """As ingest(), into a keyed table: a batch reads and writes only the parts that its posts fall into, so its time doesn't grow
+    with the posts stored elsewhere. A batch that runs again after a failure isn't merged twice."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # merge() reads it for its parts and for its rows
+        merge = lambda old, new: old.unionByName(store.insert_if_absent(new, old, [F.col("scraped_at"), F.col("text")]).select(*old.columns))
+        table.merge(batch, merge, name, number)
+        batch.unpersist()
+
+    w = posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="60 seconds")).start()
+
+
 def deliver_stream(cards: DataFrame, claims: str, checkpoint: str, transport: Transport, url: str, clock: Callable[[], str], secret: str | None = None) -> StreamingQuery:
     """Send each card (group_id, fingerprint, card) once: its claim is written first, and one that exists isn't sent again."""
     schema = "group_id string, fingerprint string"
