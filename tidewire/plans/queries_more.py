@@ -9,7 +9,7 @@ from ..functions import prompts, timewin
 from ..functions import text as tx
 from ..operators import ranking, store
 from . import views
-from .queries_filters import COPY, KNOWN, C, NORM, NOW, P, PHOTO_COLUMNS, PHOTOS, TOKENS, URLS, strip
+from .queries_filters import KNOWN, LOCAL, NORM, NOW, TOKENS, URLS, C, P, copies, local_events, photos, strip
 from .registry import query, rows_sql
 
 POSTS = views.POSTS
@@ -50,19 +50,18 @@ def win9_clauses(spark, sf_dir):
 
 @query(f"WITH {C} SELECT id, concat_ws(' ', nullif(CASE WHEN {strip('title')} <> '' AND {strip('summary')} <> '' THEN {strip('title')} || ': ' || {strip('summary')} ELSE {strip('title')} || {strip('summary')} END, ''), 'b1') AS copy FROM c0")
 def strf12_reader_copy(spark, sf_dir):
-    c = spark.createDataFrame(COPY, "id long, title string, summary string")
-    return c.select("id", tx.reader_blob(F.col("title"), F.col("summary"), F.array(F.lit(" b1 "), F.lit(" "))).alias("copy"))
+    return copies(spark, sf_dir).select("id", tx.reader_blob(F.col("title"), F.col("summary"), F.array(F.lit(" b1 "), F.lit(" "))).alias("copy"))
 
 
 @query(f"WITH {P}, u AS (SELECT id, text, {URLS} AS l FROM p0) SELECT id, coalesce(text, '') || chr(10) || array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), chr(10)) AS material FROM u")
 def strf17_material_text(spark, sf_dir):
-    p = spark.createDataFrame(PHOTOS, PHOTO_COLUMNS)
+    p = photos(spark, sf_dir)
     return p.select("id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.array_join(tx.photo_urls(F.col("urls")), "\n")).alias("material"))
 
 
 @query(f"WITH {P} SELECT id, CASE WHEN coalesce(text, '') = '' AND coalesce(has_media, FALSE) THEN '[' || upper(coalesce(media_type, 'MEDIA')) || ']' ELSE coalesce(text, '') END AS shown FROM p0")
 def src9_placeholder(spark, sf_dir):
-    p = spark.createDataFrame(PHOTOS, PHOTO_COLUMNS)
+    p = photos(spark, sf_dir)
     t = F.coalesce("text", F.lit(""))
     return p.select("id", F.when((t == "") & F.coalesce("has_media", F.lit(False)), F.concat(F.lit("["), F.upper(F.coalesce("media_type", F.lit("MEDIA"))), F.lit("]"))).otherwise(t).alias("shown"))
 
@@ -121,10 +120,16 @@ def snk1_save_new(spark, sf_dir):
 WINDOWS = [("22:00-00:00", 1320, 0), ("8-9:30", 480, 570), ("08:00-08:00", None, None), ("", None, None)]
 
 
-@query(f"WITH {rows_sql('x', 'spec string, start int, stop int', WINDOWS)} SELECT * FROM x")
+@query(
+    f"""WITH {rows_sql('x', 'spec string, start int, stop int', WINDOWS)}, {views.EVENTS}, {LOCAL}
+    SELECT spec, any_value(start) AS start, any_value(stop) AS stop, count(*) FILTER (CASE WHEN start < stop THEN mi >= start AND mi < stop WHEN start > stop THEN mi >= start OR mi < stop ELSE FALSE END) AS inside FROM x, m GROUP BY spec"""
+)
 def dt2_windows(spark, sf_dir):
+    """The ends of each window, and the events inside."""
     spans = [(s, timewin.Span.parse(s)) for s, _, _ in WINDOWS]
-    return spark.createDataFrame([(s, x and x.start, x and x.end) for s, x in spans], "spec string, start int, stop int")
+    minute = timewin.minute_of_day(F.col("l"))
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("spec"), F.lit(x and x.start).cast("int").alias("start"), F.lit(x and x.end).cast("int").alias("stop"), (x.holds(minute) if x else F.lit(False)).alias("in")) for s, x in spans]))
+    return local_events(spark, sf_dir).select(each.alias("w")).groupBy("w.spec", "w.start", "w.stop").agg(F.count_if("w.in").alias("inside"))
 
 
 @query(

@@ -18,23 +18,31 @@ RAW = [
     (7, '{"score": "8", "title": "' + "t" * 120 + '"}'), (8, '[1, 2]'), (9, '{"score": 0, "is_news": True, "note": None}'), (10, ""), (11, '```\n{"score": 7, "key_takeaways": ["k"], "actionable_insight": " go "}\n```'), (12, None),
 ]
 RAW_COLUMNS = "id long, raw string"
-R = rows_sql("r0", RAW_COLUMNS, RAW)
+#: The inline cases, and every event's properties in the ways in which a model may wrap them.
+R = rows_sql("r00", RAW_COLUMNS, RAW) + """, r0 AS (SELECT * FROM r00 UNION ALL SELECT event_id + 1000, CASE event_id % 6 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN 'Here: ' || props || ' thanks'
+  WHEN 2 THEN '{"x": [1, 2, ], "on": True, "p": ' || props || ', }' WHEN 3 THEN ' ``` {"n": None, "e": "' || event_type || '"} ``` ' WHEN 4 THEN event_type ELSE props END FROM events)"""
 CLEAN = r"CASE WHEN regexp_matches(trim(coalesce(raw, ''), E' \n'), '(?is)^```(?:json)?\s*(.*?)\s*```$') THEN trim(regexp_extract(trim(coalesce(raw, ''), E' \n'), '(?is)^```(?:json)?\s*(.*?)\s*```$', 1), E' \n') ELSE trim(coalesce(raw, ''), E' \n') END"
 OUTER = "CASE WHEN strpos(c, '{') > 0 AND strpos(reverse(c), '}') > 0 AND length(c) - strpos(reverse(c), '}') + 1 > strpos(c, '{') THEN substr(c, strpos(c, '{'), length(c) - strpos(reverse(c), '}') + 2 - strpos(c, '{')) END"
 
 
-def raw(spark):
-    return spark.createDataFrame(RAW, RAW_COLUMNS)
+def raw(spark, sf_dir):
+    e, i = views.table(spark, sf_dir, "events"), F.col("event_id")
+    said = (
+        F.when(i % 6 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(i % 6 == 1, F.concat(F.lit("Here: "), "props", F.lit(" thanks")))
+        .when(i % 6 == 2, F.concat(F.lit('{"x": [1, 2, ], "on": True, "p": '), "props", F.lit(", }"))).when(i % 6 == 3, F.concat(F.lit(' ``` {"n": None, "e": "'), "event_type", F.lit('"} ``` ')))
+        .when(i % 6 == 4, F.col("event_type")).otherwise(F.col("props"))
+    )
+    return spark.createDataFrame(RAW, RAW_COLUMNS).unionByName(e.select((i + 1000).alias("id"), said.alias("raw")))
 
 
 @query(f"WITH {R} SELECT id, {CLEAN} AS clean FROM r0")
 def jsn1_fences(spark, sf_dir):
-    return raw(spark).select("id", jsonfix.without_fences(F.col("raw")).alias("clean"))
+    return raw(spark, sf_dir).select("id", jsonfix.without_fences(F.col("raw")).alias("clean"))
 
 
 @query(f"WITH {R}, c AS (SELECT id, {CLEAN} AS c FROM r0) SELECT id, {OUTER} AS inner_text FROM c")
 def jsn2_outer_object(spark, sf_dir):
-    return raw(spark).select("id", jsonfix.outer_object(jsonfix.without_fences(F.col("raw"))).alias("inner_text"))
+    return raw(spark, sf_dir).select("id", jsonfix.outer_object(jsonfix.without_fences(F.col("raw"))).alias("inner_text"))
 
 
 @query(
@@ -42,7 +50,7 @@ def jsn2_outer_object(spark, sf_dir):
     SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(o, ',\\s*([}}\\]])', '\\1', 'g'), '\\bTrue\\b', 'true', 'g'), '\\bFalse\\b', 'false', 'g'), '\\bNone\\b', 'null', 'g') AS repaired FROM o"""
 )
 def jsn3_repair(spark, sf_dir):
-    return raw(spark).select("id", jsonfix.repaired(jsonfix.outer_object(jsonfix.without_fences(F.col("raw")))).alias("repaired"))
+    return raw(spark, sf_dir).select("id", jsonfix.repaired(jsonfix.outer_object(jsonfix.without_fences(F.col("raw")))).alias("repaired"))
 
 
 EXPECTED = [
@@ -52,10 +60,17 @@ EXPECTED = [
 ]
 
 
-@query(f"WITH {rows_sql('x', 'id long, score int, is_news boolean, is_spam boolean, title string, bullets string, category string', EXPECTED)} SELECT * FROM x")
+@query(
+    f"""WITH {rows_sql('x', 'id long, score int, is_news boolean, is_spam boolean, title string, bullets string, category string', EXPECTED)},
+    e AS (SELECT event_id, event_id % 5 = 0 AS spam, least(10, greatest(1, CAST(user_id % 14 - 1 AS INTEGER))) AS s, event_id % 3 = 0 AS named, event_type || ' ' || event_id AS title FROM events)
+    SELECT * FROM x UNION ALL SELECT event_id + 1000, CASE WHEN spam THEN least(s, 2) ELSE s END, NOT spam AND s >= 5, spam, title, title, CASE WHEN spam THEN '推广广告' WHEN named THEN '军事' WHEN s >= 7 THEN '突发安全' ELSE '行业快讯' END FROM e"""
+)
 def jsn5_normalised(spark, sf_dir):
-    e = raw(spark).select("id", jsonfix.normalised(jsonfix.parsed(F.col("raw"))).alias("e"))
-    return e.select("id", "e.score", "e.is_news", "e.is_spam", "e.title", F.array_join("e.summary_bullets", "|").alias("bullets"), "e.category")
+    e, i = views.table(spark, sf_dir, "events"), F.col("event_id")
+    given = F.struct((F.col("user_id") % 14 - 1).alias("score"), (i % 5 == 0).alias("is_spam"), F.concat("event_type", F.lit(" "), i.cast("string")).alias("title"), F.when(i % 3 == 0, "军事").alias("category"))
+    rows = spark.createDataFrame(RAW, RAW_COLUMNS).unionByName(e.select((i + 1000).alias("id"), F.to_json(given).alias("raw")))
+    r = rows.select("id", jsonfix.normalised(jsonfix.parsed(F.col("raw"))).alias("e"))
+    return r.select("id", "e.score", "e.is_news", "e.is_spam", "e.title", F.array_join("e.summary_bullets", "|").alias("bullets"), "e.category")
 
 
 BRIEFS = [
@@ -65,34 +80,67 @@ BRIEFS = [
 ]
 
 
-@query("SELECT * FROM (VALUES (1, 2, TRUE), (2, 0, FALSE), (3, NULL, NULL), (4, NULL, NULL), (5, NULL, NULL), (6, 5, TRUE)) AS v(id, n_items, material)")
+@query(
+    """SELECT * FROM (VALUES (1, 2, TRUE), (2, 0, FALSE), (3, NULL, NULL), (4, NULL, NULL), (5, NULL, NULL), (6, 5, TRUE)) AS v(id, n_items, material)
+    UNION ALL SELECT CAST(event_id + 1000 AS INTEGER), CASE WHEN event_id % 11 > 0 THEN CAST(least(event_id % 8, 5) AS INTEGER) END, CASE WHEN event_id % 11 > 0 THEN event_id % 8 > 0 END FROM events"""
+)
 def jsn6_digest(spark, sf_dir):
-    b = spark.createDataFrame(BRIEFS, "id int, raw string").select("id", jsonfix.brief(F.col("raw")).alias("b"))
+    """Digests of up to seven items, of which five count; a rank beyond five spoils one."""
+    e, i = views.table(spark, sf_dir, "events"), F.col("event_id")
+    item = lambda k: F.struct(F.when(i % 11 == 0, 9).otherwise(F.least(k, F.lit(5))).alias("rank"), (i * 10 + k).alias("message_id"), F.col("event_type").alias("channel"))
+    items = F.transform(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: (k > 0) & ((k <= i % 8) | (i % 11 == 0))), item)
+    made = e.select((i + 1000).cast("int").alias("id"), F.to_json(F.struct(F.col("event_type").alias("headline"), items.alias("items"))).alias("raw"))
+    b = spark.createDataFrame(BRIEFS, "id int, raw string").unionByName(made).select("id", jsonfix.brief(F.col("raw")).alias("b"))
     return b.select("id", F.when(F.col("b").isNotNull(), F.size("b.items")).alias("n_items"), F.col("b.has_material_news").alias("material"))
 
 
 ENVELOPES = [(1, '{"choices": [{"message": {"content": "hi"}}]}'), (2, '{"x": 1}'), (3, "plain")]
 
 
-@query(f"""WITH {rows_sql('x', 'id long, s string', ENVELOPES)} SELECT id, CASE id WHEN 1 THEN 'hi' ELSE s END AS content FROM x""")
+@query(
+    f"""WITH {rows_sql('x', 'id long, s string', ENVELOPES)} SELECT id, CAST(0 AS BIGINT) AS turn, CASE id WHEN 1 THEN 'hi' ELSE s END AS content FROM x
+    UNION ALL SELECT conv_id + 1000, turn, CASE turn % 3 WHEN 2 THEN '{{"x":' || turn || '}}' ELSE text END FROM conversations"""
+)
 def jsn7_envelope(spark, sf_dir):
-    return spark.createDataFrame(ENVELOPES, "id long, s string").select("id", jsonfix.envelope(F.col("s")).alias("content"))
+    c, t = views.table(spark, sf_dir, "conversations"), F.col("turn")
+    whole = F.to_json(F.struct(F.array(F.struct(F.struct("role", F.col("text").alias("content")).alias("message"))).alias("choices")))
+    made = c.select((F.col("conv_id") + 1000).alias("id"), "turn", F.when(t % 3 == 0, whole).when(t % 3 == 2, F.concat(F.lit('{"x":'), t.cast("string"), F.lit("}"))).otherwise(F.col("text")).alias("s"))
+    own = spark.createDataFrame(ENVELOPES, "id long, s string").withColumn("turn", F.lit(0).cast("long"))
+    return own.unionByName(made).select("id", "turn", jsonfix.envelope(F.col("s")).alias("content"))
 
 
 SECRETS = [(1, "api_key=abc123 ok"), (2, "Authorization: Bearer abc.def-1"), (3, "post to https://x.example/hook/abc-1 now"), (4, "nothing")]
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'api_key=*** ok'), (2, 'Authorization: Bearer ***'), (3, 'post to https://x.example/hook/*** now'), (4, 'nothing')) AS v(id, shown)")
+@query(
+    """SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'api_key=*** ok'), (2, 'Authorization: Bearer ***'), (3, 'post to https://x.example/hook/*** now'), (4, 'nothing')) AS v(id, shown)
+    UNION ALL SELECT doc_id + 1000, CASE doc_id % 4 WHEN 0 THEN source || ' api_key=*** ok' WHEN 1 THEN 'Authorization: Bearer *** ' || source WHEN 2 THEN 'post to https://x.example/hook/*** now' ELSE source END FROM documents"""
+)
 def jsn10_redaction(spark, sf_dir):
-    return spark.createDataFrame(SECRETS, "id long, s string").select("id", jsonfix.redacted(F.col("s")).alias("shown"))
+    d, i = views.table(spark, sf_dir, "documents"), F.col("doc_id")
+    key = F.md5("text")
+    said = (
+        F.when(i % 4 == 0, F.concat("source", F.lit(" api_key="), key, F.lit(" ok"))).when(i % 4 == 1, F.concat(F.lit("Authorization: Bearer "), key, F.lit(" "), "source"))
+        .when(i % 4 == 2, F.concat(F.lit("post to https://x.example/hook/"), key, F.lit(" now"))).otherwise(F.col("source"))
+    )
+    rows = spark.createDataFrame(SECRETS, "id long, s string").unionByName(d.select((i + 1000).alias("id"), said.alias("s")))
+    return rows.select("id", jsonfix.redacted(F.col("s")).alias("shown"))
 
 
 CHANNELS = [(1, "A, @b ,,a"), (2, '["@X", "y", "x"]'), (3, ""), (4, "@@q")]
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a|b'), (2, 'x|y'), (3, ''), (4, 'q')) AS v(id, channels)")
+@query(
+    """SELECT * FROM (VALUES ('1', 'a|b'), ('2', 'x|y'), ('3', ''), ('4', 'q')) AS v(id, channels)
+    UNION ALL SELECT lang || '-' || form, (SELECT string_agg(DISTINCT lower(source), '|' ORDER BY lower(source)) FROM documents d WHERE d.lang = l.lang) FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) l, (VALUES ('csv'), ('json')) AS f(form)"""
+)
 def jsn11_channel_list(spark, sf_dir):
-    return spark.createDataFrame(CHANNELS, "id long, s string").select("id", F.array_join(jsonfix.channel_list(F.col("s")), "|").alias("channels"))
+    d = views.table(spark, sf_dir, "documents").where("lang IS NOT NULL")
+    by = d.groupBy("lang").agg(F.array_sort(F.collect_set(F.concat(F.lit("@"), F.upper("source")))).alias("c"))
+    forms = F.array(F.struct(F.lit("csv").alias("form"), F.array_join("c", " ,, ").alias("s")), F.struct(F.lit("json").alias("form"), F.to_json(F.concat("c", F.array(F.element_at("c", 1)))).alias("s")))
+    made = by.select("lang", F.explode(forms).alias("x")).select(F.concat("lang", F.lit("-"), "x.form").alias("id"), "x.s")
+    rows = spark.createDataFrame([(str(i), s) for i, s in CHANNELS], "id string, s string")
+    return rows.unionByName(made).select("id", F.array_join(jsonfix.channel_list(F.col("s")), "|").alias("channels"))
 
 
 @query(r"SELECT conv_id, turn, regexp_matches(text, '\p{Lu}') AS upper_case, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS length FROM conversations")

@@ -432,9 +432,14 @@ def snk14_retention(spark, sf_dir):
 OLD = [(1, "news24", "a"), (2, "bad id!", "a"), (3, None, "a"), (4, "-x", "b"), (5, "ok_1", "b"), (6, "x" * 65, "c")]
 
 
-@query(f"WITH {rows_sql('x', 'id long, group_id string, channel string', OLD)}, g AS (SELECT id, channel, CASE WHEN regexp_matches(coalesce(group_id, ''), '^[A-Za-z0-9][A-Za-z0-9_-]{{0,63}}$') THEN group_id ELSE 'legacy' END AS group_id FROM x) SELECT group_id, channel, min(id) AS id FROM g GROUP BY 1, 2")
+@query(
+    f"""WITH {rows_sql('x0', 'id long, group_id string, channel string', OLD)}, x AS (SELECT * FROM x0 UNION ALL SELECT doc_id + 1000, [lang, NULL, '-' || lang, lang || ' x', lang || '_' || doc_id % 3][doc_id % 5 + 1], source FROM documents),
+    g AS (SELECT id, channel, CASE WHEN regexp_matches(coalesce(group_id, ''), '^[A-Za-z0-9][A-Za-z0-9_-]{{0,63}}$') THEN group_id ELSE 'legacy' END AS group_id FROM x) SELECT group_id, channel, min(id) AS id FROM g GROUP BY 1, 2"""
+)
 def snk16_migration(spark, sf_dir):
-    x = spark.createDataFrame(OLD, "id long, group_id string, channel string")
+    d, i = views.table(spark, sf_dir, "documents"), F.col("doc_id")
+    group = F.element_at(F.array("lang", F.lit(None).cast("string"), F.concat(F.lit("-"), "lang"), F.concat("lang", F.lit(" x")), F.concat("lang", F.lit("_"), (i % 3).cast("string"))), (i % 5).cast("int") + 1)
+    x = spark.createDataFrame(OLD, "id long, group_id string, channel string").unionByName(d.select((i + 1000).alias("id"), group.alias("group_id"), F.col("source").alias("channel")))
     return store.migrated(x, ["group_id", "channel"], [F.col("id")])
 
 
@@ -444,7 +449,12 @@ def sup11_mark_filtered(spark, sf_dir):
     return store.mark_filtered(p, fixed.DIGEST_EMPTY, F.substring("text", 1, 20)).select("message_id", "score", "is_filtered", "filter_reason", "summary")
 
 
-@query("SELECT 'b' AS channel, CAST(2 AS BIGINT) AS n")
+@query(
+    """WITH g AS (SELECT * FROM (VALUES ('g1', ['A', '@b']), ('g2', ['B', 'c']), ('g3', ['d', '@D'])) AS v(group_id, channels) UNION ALL SELECT lang || '-' || doc_id % 3, list(DISTINCT CASE WHEN doc_id % 2 = 0 THEN '@' || upper(source) ELSE source END) FROM documents GROUP BY 1),
+    c AS (SELECT DISTINCT group_id, ltrim(lower(unnest(channels)), '@') AS channel FROM g) SELECT channel, count(*) AS n FROM c GROUP BY 1 HAVING count(*) > 1"""
+)
 def api4_exclusive_channels(spark, sf_dir):
+    d, i = views.table(spark, sf_dir, "documents"), F.col("doc_id")
+    listed = d.groupBy(F.concat("lang", F.lit("-"), (i % 3).cast("string")).alias("group_id")).agg(F.collect_set(F.when(i % 2 == 0, F.concat(F.lit("@"), F.upper("source"))).otherwise(F.col("source"))).alias("channels"))
     g = spark.createDataFrame([("g1", ["A", "@b"]), ("g2", ["B", "c"]), ("g3", ["d", "@D"])], "group_id string, channels array<string>")
-    return store.exclusive_channels(g)
+    return store.exclusive_channels(g.unionByName(listed))
\ No newline at end of file
