@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import cards, followup, jsonfix, similar
 from ..functions import text as tx
-from ..operators import nearjoin
+from ..operators import nearjoin, ranking
 from ..sources import pages as page_source
 from ..sources import sinks
 from . import views
+from .queries_filters import KNOWN, TOKENS, strip
+from .queries_more import NUMBERS
 from .registry import query, rows_sql
 
 RAW = [
@@ -157,21 +159,54 @@ PAIRS = [
 ]
 
 
+#: The event rule in SQL, for rows with the features of two texts a and b (t: tokens, s: specific ones, n: numbers).
+_SPECIFIC = "list_filter(t, lambda x: x NOT IN ('the', 'and', 'for', 'from', 'with', 'that', 'this'))"
+_SAME = """(len(list_intersect(sa, sb)) >= 1 AND (len(na) = 0 OR len(nb) = 0 OR len(list_intersect(na, nb)) > 0) AND
+  ((len(list_intersect(ta, tb)) >= 0.45 * (len(ta) + len(tb) - len(list_intersect(ta, tb)))) OR (len(list_intersect(ta, tb)) >= 0.30 * (len(ta) + len(tb) - len(list_intersect(ta, tb))) AND len(list_intersect(sa, sb)) >= 4)))"""
+_ADDS = "(len(list_filter({0}n{1}, lambda x: NOT list_contains(nb, x))) > 0 OR len(list_filter({0}s{1}, lambda x: NOT list_contains(sb, x))) >= 2)"
+
+
+def _features(source: str) -> str:
+    return f"SELECT *, {_SPECIFIC} AS s FROM (SELECT *, {TOKENS} AS t, {NUMBERS} AS n FROM ({source}))"
+
+
 @query(
-    """SELECT * FROM (VALUES (CAST(1 AS BIGINT), TRUE, FALSE, TRUE), (2, FALSE, FALSE, TRUE), (3, FALSE, FALSE, TRUE), (4, FALSE, FALSE, FALSE), (5, TRUE, TRUE, FALSE), (6, TRUE, TRUE, FALSE), (7, TRUE, FALSE, FALSE), (8, FALSE, FALSE, FALSE), (9, FALSE, FALSE, FALSE)) AS v(id, same, material, adds)"""
+    f"""SELECT id, CAST(0 AS BIGINT) AS turn, same, material, adds FROM (VALUES (CAST(1 AS BIGINT), TRUE, FALSE, TRUE), (2, FALSE, FALSE, TRUE), (3, FALSE, FALSE, TRUE), (4, FALSE, FALSE, FALSE), (5, TRUE, TRUE, FALSE), (6, TRUE, TRUE, FALSE), (7, TRUE, FALSE, FALSE), (8, FALSE, FALSE, FALSE), (9, FALSE, FALSE, FALSE)) AS v(id, same, material, adds)
+    UNION ALL SELECT id, turn, {_SAME}, turn % 2 = 0 AND said <> '' AND {_ADDS.format('', 'a')}, {_ADDS.format('', 'a')} FROM (
+      SELECT x.conv_id + 1000 AS id, x.turn, trim(x.text) AS said, x.t AS ta, x.s AS sa, x.n AS na, y.t AS tb, y.s AS sb, y.n AS nb FROM ({_features("SELECT * FROM conversations")}) x JOIN ({_features("SELECT * FROM conversations")}) y ON x.conv_id = y.conv_id AND x.turn = y.turn + 1)"""
 )
 def strf9_similar_event(spark, sf_dir):
-    p = spark.createDataFrame(PAIRS, "id long, a string, b string, is_update boolean, reason string").withColumns({"fa": tx.features("a"), "fb": tx.features("b"), "fr": tx.features("reason")})
+    """Inline pairs, and every conversation's turns against the turns before them."""
+    c = views.table(spark, sf_dir, "conversations")
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("b"))
+    turns = c.join(before, ["conv_id", "turn"]).select((F.col("conv_id") + 1000).alias("id"), "turn", F.col("text").alias("a"), "b", (F.col("turn") % 2 == 0).alias("is_update"), F.col("text").alias("reason"))
+    own = spark.createDataFrame(PAIRS, "id long, a string, b string, is_update boolean, reason string").withColumn("turn", F.lit(0).cast("long"))
+    p = own.unionByName(turns).withColumns({"fa": tx.features("a"), "fb": tx.features("b"), "fr": tx.features("reason")})
     fa, fb = F.col("fa"), F.col("fb")
-    return p.select("id", similar.same_event(fa, fb).alias("same"), similar.material_update(F.col("is_update"), F.col("reason"), F.col("fr"), fb).alias("material"), similar.adds_content(fa, fb).alias("adds"))
+    return p.select("id", "turn", similar.same_event(fa, fb).alias("same"), similar.material_update(F.col("is_update"), F.col("reason"), F.col("fr"), fb).alias("material"), similar.adds_content(fa, fb).alias("adds"))
+
+
+_CLAIMED = f"""SELECT group_id, s AS text FROM (SELECT group_id, s, row_number() OVER (PARTITION BY group_id ORDER BY min(n)) AS place FROM (
+    SELECT group_id, {strip('text')} AS s, row_number() OVER (PARTITION BY group_id ORDER BY published_s DESC, CAST(message_id AS VARCHAR)) AS n FROM posts WHERE {KNOWN}) WHERE n <= 40 AND s <> '' GROUP BY 1, 2) WHERE place <= 20"""
 
 
 @query(
-    """SELECT * FROM (VALUES (CAST(1 AS BIGINT), TRUE), (2, FALSE), (3, FALSE), (4, FALSE), (5, FALSE), (6, FALSE), (7, TRUE), (8, FALSE), (9, FALSE)) AS v(id, near_duplicate)"""
+    f"""WITH {views.POSTS}, old AS MATERIALIZED ({_features(_CLAIMED)}), new AS MATERIALIZED ({_features("SELECT group_id, message_id, text FROM posts")}),
+    j AS (SELECT new.message_id, new.text, new.t AS ta, new.s AS sa, new.n AS na, old.t AS tb, old.s AS sb, old.n AS nb FROM new JOIN old USING (group_id)),
+    d AS (SELECT message_id, bool_or({_SAME} AND NOT (message_id % 4 = 0 AND {_ADDS.format('', 'a')})) AS dup FROM j GROUP BY 1)
+    SELECT * FROM (VALUES (CAST(-1 AS BIGINT), TRUE), (-2, FALSE), (-3, FALSE), (-4, FALSE), (-5, FALSE), (-6, FALSE), (-7, TRUE), (-8, FALSE), (-9, FALSE)) AS v(id, near_duplicate)
+    UNION ALL SELECT message_id, coalesce(dup, FALSE) FROM posts LEFT JOIN d USING (message_id)"""
 )
 def jn8_against_recent(spark, sf_dir):
-    p = spark.createDataFrame(PAIRS, "id long, blob string, b string, is_update boolean, reason string").withColumn("group_id", F.col("id").cast("string"))
-    return nearjoin.against_recent(p.drop("b"), p.select("group_id", F.col("b").alias("summary"))).select("id", "near_duplicate")
+    """Inline cases, and every post against the last twenty summaries of its group's stored posts; some are updates."""
+    own = spark.createDataFrame(PAIRS, "id long, blob string, b string, is_update boolean, reason string").withColumn("group_id", F.col("id").cast("string")).withColumn("id", -F.col("id"))
+    p = views.posts(spark, sf_dir)
+    update = F.col("message_id") % 4 == 0
+    new = p.select("group_id", F.col("message_id").alias("id"), F.col("text").alias("blob"), update.alias("is_update"), F.when(update, F.col("text")).otherwise("").alias("reason"))
+    known = views.marked(spark, sf_dir).where("known").select("group_id", F.col("message_id").cast("string").alias("fingerprint"), F.unix_seconds("published_at").alias("claimed"), F.col("text").alias("summary"))
+    recents = ranking.recent_summaries(known, F.lit(0)).select("group_id", "summary")
+    both = nearjoin.against_recent(own.select(*new.columns).unionByName(new), recents.unionByName(own.select("group_id", F.col("b").alias("summary"))))
+    return both.select("id", "near_duplicate")
 
 
 @query()
