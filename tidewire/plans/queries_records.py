@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions import cards, followup, jsonfix, similar
 from ..functions import text as tx
 from ..operators import nearjoin, ranking
@@ -220,27 +221,55 @@ def strf14_followup(spark, sf_dir):
 
 
 CAPTIONS = [(1, "A quiet lake…"), (2, ""), (3, "• 看 https://t.me/x/1 湖边"), (4, "长句" * 40 + "。" + "尾巴" * 20), (5, "x" * 150), (6, "已经完整。"), (7, "..."), (8, None)]
+_CAPTIONS = [(1, "A quiet lake。"), (2, ""), (3, "看 湖边。"), (4, "长句" * 40 + "。"), (5, "x" * 99 + "。"), (6, "已经完整。"), (7, ""), (8, "")]
 
 
 @query(
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"(CAST({k} AS BIGINT), '{v}')" for k, v in [(1, "A quiet lake。"), (2, ""), (3, "看 湖边。"), (4, "长句" * 40 + "。"), (5, "x" * 99 + "。"), (6, "已经完整。"), (7, ""), (8, "")])
-    + ") AS v(id, caption)"
+    "SELECT * FROM (VALUES " + ", ".join(f"(CAST({k} AS BIGINT), '{v}')" for k, v in _CAPTIONS) + """) AS v(id, caption)
+    UNION ALL SELECT doc_id + 1000, CASE doc_id % 4 WHEN 0 THEN source || ' ' || lang || '。' WHEN 1 THEN source || '！' WHEN 2 THEN repeat('x', least(99, 60 + CAST(doc_id % 80 AS INTEGER))) || '。' ELSE '看 ' || source || '。' END FROM documents WHERE lang IS NOT NULL"""
 )
 def strf16_caption(spark, sf_dir):
-    return spark.createDataFrame(CAPTIONS, "id long, s string").select("id", tx.caption(F.col("s")).alias("caption"))
+    """Captions: inline cases, and of every document one with odd spacing, a mark of its own, a long word or a link."""
+    d, i = views.table(spark, sf_dir, "documents").where("lang IS NOT NULL"), F.col("doc_id")
+    text = (
+        F.when(i % 4 == 0, F.concat(F.lit("  "), "source", F.lit(" \t "), "lang", F.lit("..."))).when(i % 4 == 1, F.concat("source", F.lit("！")))
+        .when(i % 4 == 2, F.repeat(F.lit("x"), 60 + (i % 80).cast("int"))).otherwise(F.concat(F.lit("• 看 https://t.me/x/"), i.cast("string"), F.lit(" "), "source"))
+    )
+    rows = spark.createDataFrame(CAPTIONS, "id long, s string").unionByName(d.select((i + 1000).alias("id"), text.alias("s")))
+    return rows.select("id", tx.caption(F.col("s")).alias("caption"))
 
 
 SUMMARIES = [(1, "- Rates held..."), (2, ""), (3, "第一句。第二句"), (4, "甲" * 30 + "，" + "乙" * 70), (5, "完整！"), (6, "…"), (7, None)]
+_POLISHED = "CASE WHEN p = '' OR regexp_matches(p, '[。！？；]$') THEN p ELSE p || '。' END"
 
 
 @query(
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"(CAST({k} AS BIGINT), '{p}', '{s}')" for k, p, s in [(1, "Rates held。", "Rates held。"), (2, "", ""), (3, "第一句。第二句。", "第一句。"), (4, "甲" * 30 + "，" + "乙" * 70 + "。", "甲" * 30 + "。"), (5, "完整！", "完整！"), (6, "", ""), (7, "", "")])
-    + ") AS v(id, polished, shortened)"
+    f"""WITH {rows_sql('x0', 'id long, s string', SUMMARIES)}, x AS (SELECT * FROM x0 UNION ALL SELECT conv_id * 100 + turn + 1000, CASE turn % 3 WHEN 0 THEN '• ' || text || '…' WHEN 1 THEN role || '。' || text ELSE substr(text, 1, 60) || '；' END FROM conversations),
+    p AS (SELECT id, trim(regexp_replace(regexp_replace({strip('s')}, '^[•\\-* ]+', ''), '[.…⋯． ]+$', '')) AS p FROM x)
+    SELECT id, {_POLISHED} AS polished FROM p"""
 )
 def strf20_summaries(spark, sf_dir):
-    return spark.createDataFrame(SUMMARIES, "id long, s string").select("id", cards.polished(F.col("s")).alias("polished"), cards.shortened(F.col("s")).alias("shortened"))
+    """Polished summaries: inline cases, and every turn as a bullet of some kind."""
+    c, t = views.table(spark, sf_dir, "conversations"), F.col("turn")
+    text = F.when(t % 3 == 0, F.concat(F.lit("• "), "text", F.lit("…"))).when(t % 3 == 1, F.concat("role", F.lit("。"), "text")).otherwise(F.concat(F.substring("text", 1, 60), F.lit("；")))
+    rows = spark.createDataFrame(SUMMARIES, "id long, s string").unionByName(c.select((F.col("conv_id") * 100 + t + 1000).alias("id"), text.alias("s")))
+    return rows.select("id", cards.polished(F.col("s")).alias("polished"))
+
+
+_SHORT = [(1, "Rates held。"), (2, ""), (3, "第一句。"), (4, "甲" * 30 + "。"), (5, "完整！"), (6, ""), (7, "")]
+
+
+@query(
+    "SELECT * FROM (VALUES " + ", ".join(f"(CAST({k} AS BIGINT), '{v}')" for k, v in _SHORT) + """) AS v(id, shortened)
+    UNION ALL SELECT doc_id + 1000, CASE doc_id % 3 WHEN 0 THEN source || ' rises。' WHEN 1 THEN lang || '？' || source || '。' ELSE repeat('甲', 30 + CAST(doc_id % 40 AS INTEGER)) || '。' END FROM documents WHERE lang IS NOT NULL"""
+)
+def strf20_shortened(spark, sf_dir):
+    """First sentences: the full stop comes before other marks; those too long are cut at a clause."""
+    d, i = views.table(spark, sf_dir, "documents").where("lang IS NOT NULL"), F.col("doc_id")
+    long = F.concat(F.repeat(F.lit("甲"), 30 + (i % 40).cast("int")), F.lit("，"), F.repeat(F.lit("乙"), F.lit(70)))
+    text = F.when(i % 3 == 0, F.concat("source", F.lit(" rises。"), "lang", F.lit("。falls"))).when(i % 3 == 1, F.concat("lang", F.lit("？"), "source")).otherwise(long)
+    rows = spark.createDataFrame(SUMMARIES, "id long, s string").unionByName(d.select((i + 1000).alias("id"), text.alias("s")))
+    return rows.select("id", cards.shortened(F.col("s")).alias("shortened"))
 
 
 @query("SELECT doc_id, '**1. T**' || chr(10) || 'short' || chr(10) || '关注：跟踪后续进展' || chr(10) || '北京时间：08:00' AS block FROM documents")
@@ -266,10 +295,19 @@ def snk8_signature(spark, sf_dir):
     return e.select("event_id", sinks.signatures(F.col("at_s").cast("string"), F.lit("secret")).alias("sign"))
 
 
-@query()
+@query(
+    """WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM (SELECT page_id * 2 AS page_id, url FROM pages UNION ALL
+      SELECT page_id * 2 + 1, ['http://127.0.0.1/' || page_id, 'https://10.0.0.' || page_id % 250 || '/x', 'http://8.8.8.' || page_id % 250, 'ftp://a.example/' || page_id, 'https://db' || page_id || '.internal/', 'https://host' || page_id][page_id % 6 + 1] FROM pages))
+    SELECT page_id, regexp_matches(url, '^https?://') AND contains(host, '.') AND NOT regexp_matches(host, '(^(127|10)[.]|[.](local|internal|localhost)$)') AS safe FROM u"""
+)
 def snk12_safe_urls(spark, sf_dir):
-    """Whether each page's URL may be fetched from."""
-    return views.table(spark, sf_dir, "pages").select("page_id", sinks.safe_image_url("url").alias("safe"))
+    """Whether each page's URL, and one made of its number, may be fetched from."""
+    p, i = views.table(spark, sf_dir, "pages"), F.col("page_id")
+    n, small = i.cast("string"), (i % 250).cast("string")
+    made = [("http://127.0.0.1/", n, ""), ("https://10.0.0.", small, "/x"), ("http://8.8.8.", small, ""), ("ftp://a.example/", n, ""), ("https://db", n, ".internal/"), ("https://host", n, "")]
+    urls = F.element_at(F.array(*[F.concat(F.lit(a), b, F.lit(c)) for a, b, c in made]), (i % 6).cast("int") + 1)
+    both = p.select((i * 2).alias("page_id"), "url").unionByName(p.select((i * 2 + 1).alias("page_id"), urls.alias("url")))
+    return both.select("page_id", sinks.safe_image_url("url").alias("safe"))
 
 
 WIDGET = """<div class="tgme_widget_message_wrap"><div class="tgme_widget_message" data-post="News/{n}"><div class="tgme_widget_message_text">Hi <b>all</b><br>see <a href="https://a.example">this</a> <a href="x">@who</a></div>
@@ -292,7 +330,12 @@ def src4_page_posts(spark, sf_dir):
     return posts.select("channel", "message_id", "text", "has_media", "media_type", F.array_join("media_urls", "|").alias("urls"), F.unix_seconds("published_at").cast("int").alias("at_s"), "views")
 
 
-@query()
+@query(
+    f"""WITH {views.POSTS}, b AS (SELECT message_id, channel, {strip('text')} AS body FROM posts),
+    f AS (SELECT *, len(list_filter([{', '.join(f"'{k}'" for k in fixed.BREAKING_KEYWORDS)}], lambda k: contains(lower(body), k))) > 0 AS found, {strip("regexp_extract(body, '^[^。！？!?\n]*')")} AS head FROM b)
+    SELECT message_id, CASE WHEN found THEN 7 ELSE 3 END AS score, found AS is_news, CASE WHEN found THEN '突发安全' ELSE '日常闲聊' END AS category,
+      CASE WHEN NOT found THEN '未分级动态: @' || channel || '#' || message_id WHEN head = '' THEN '[降级预警] 来自 @' || channel || ' 的突发动态' WHEN length(head) > 40 THEN '[降级预警] ' || substr(head, 1, 37) || '...' ELSE '[降级预警] ' || head END AS title FROM f"""
+)
 def udf1_heuristic_evaluation(spark, sf_dir):
     """The offline evaluator's record of each post."""
     from .pipeline import heuristic

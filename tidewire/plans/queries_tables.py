@@ -332,7 +332,16 @@ def str4_total_budget(spark, sf_dir):
     return admission.reservations_with_total(views.calls(spark, sf_dir), 600, 50, 120).where("accepted").select("group_id", "id", "at_s")
 
 
-@query()
+#: One step a claim of each group, in order; the state is what the group took in the last day.
+_PAIRED = f"""WITH RECURSIVE {E}, q AS MATERIALIZED (SELECT event_type AS g, list({{'s': at_s, 'id': event_id, 'u': 'u' || user_id, 'v': 'v' || CAST(floor(value) AS BIGINT)}} ORDER BY at_s, event_id) AS xs FROM ev GROUP BY 1), w AS (
+      SELECT g, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, FALSE AS ok, CAST([] AS STRUCT(p VARCHAR, s BIGINT)[]) AS live FROM q
+      UNION ALL SELECT g, i, id, ok, CASE WHEN ok THEN list_concat(live, [{{'p': u, 's': s}}, {{'p': v, 's': s}}]) ELSE live END FROM (
+        SELECT *, len(list_filter(live, lambda x: x.p = u OR x.p = v)) = 0 AS ok FROM (
+          SELECT g, i + 1 AS i, xs[i + 1].id AS id, xs[i + 1].s AS s, xs[i + 1].u AS u, xs[i + 1].v AS v, list_filter(live, lambda x: xs[i + 1].s - x.s <= 86400) AS live FROM w JOIN q USING (g) WHERE i < len(xs))))
+    SELECT g AS group_id, id FROM w WHERE ok"""
+
+
+@query(_PAIRED)
 def str3_paired_claims(spark, sf_dir):
     """Claims of two fingerprints each: by user and by a bucket of the value."""
     e = views.events(spark, sf_dir)
