@@ -92,3 +92,14 @@ KNOBS = {
 }
 DAILY_CALLS, BATCH, PENDING_MULTIPLIER, NIGHT_ALERT_INTERVAL = 288, 20, 5, 1800
 RETENTION_DAYS = {"posts": 90, "calls": 90, "night": 30}
+
+# --- fixed values: texts of messages ---
+HEADLINE, OVERVIEW, NO_OVERVIEW, UNTITLED, LITTLE_IMPACT = "本轮快讯汇总", "**📰 本轮总览**\n", "本轮暂无概述。", "未命名", "影响有限"
+DIGEST_SUBTITLE, ITEM_SUBTITLE = "Telegram 批量快讯汇总", "投资情报快报"
+SOURCE, FOUR_IMPACTS, FILTER_NOTE = "来源：@", "**四维影响**\n", "**🧹 过滤说明**："
+IMPACT_LINES = ("**① 总体**：", "**② 美股**：", "**③ 上证**：", "**④ 大宗（黄金/原油等）**：")
+IMPACT_ROWS = (("🌐 整体", "overall"), ("📈 美股", "us"), ("📊 上证", "cn"), ("🛢️ 大宗", "commodities"))
+TIERS = ((9, "🚨", "特急"), (7, "⚡", "重要"), (5, "📢", "一般"), (0, "ℹ️", "低优"))
+PUBLISHED, LOCAL_CLOCK, URGENCY = "🕒 **发布时间** ", "（北京时间）\n", "🎚️ **紧急** **"
+CORE, NO_BULLETS, DETAIL_HEAD, INVESTMENT = "**📌 核心速览**\n", "暂无详细摘要要点", "\n📌 事件详情\n", "**💹 投资影响**"
+ADVICE, DEFAULT_ADVICE = "**🎯 关注建议**\n💡 ", "紧密跟踪后续进展与官方确认信息。"
