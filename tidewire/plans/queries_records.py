@@ -272,20 +272,31 @@ def strf20_shortened(spark, sf_dir):
     return rows.select("id", cards.shortened(F.col("s")).alias("shortened"))
 
 
-@query("SELECT doc_id, '**1. T**' || chr(10) || 'short' || chr(10) || '关注：跟踪后续进展' || chr(10) || '北京时间：08:00' AS block FROM documents")
+@query(
+    """SELECT doc_id, '**' || (doc_id % 5 + 1) || '. ' || CASE WHEN doc_id % 4 = 0 THEN '未命名' ELSE source END || '**' || chr(10) || source || ' in short' || chr(10) || '关注：' || CASE WHEN doc_id % 3 = 0 THEN lang ELSE '跟踪后续进展' END || chr(10)
+      || '北京时间：' || strftime(make_timestamp((1704067200 + doc_id * 60) * 1000000), '%H:%M') AS block FROM documents WHERE lang IS NOT NULL"""
+)
 def strf22_morning_block(spark, sf_dir):
-    d = views.table(spark, sf_dir, "documents")
-    none = F.lit(None).cast("string")
-    return d.select("doc_id", cards.morning_block(F.lit(1), F.lit(" T "), F.lit(" short "), F.lit(None).cast("array<string>"), none, F.lit("08:00")).alias("block"))
+    """A short morning item of every document."""
+    d, i = views.table(spark, sf_dir, "documents").where("lang IS NOT NULL"), F.col("doc_id")
+    clock = F.date_format(F.timestamp_seconds(views.START + i * 60), "HH:mm")
+    block = cards.morning_block(i % 5 + 1, F.when(i % 4 > 0, F.concat(F.lit(" "), "source", F.lit(" "))), F.concat(F.lit(" "), "source", F.lit(" in short ")), F.lit(None).cast("array<string>"), F.when(i % 3 == 0, F.col("lang")), clock)
+    return d.select("doc_id", block.alias("block"))
 
 
-@query("SELECT doc_id, 'orange' AS template, 'bell_outlined' AS icon, 2 AS elements FROM documents")
+@query(
+    """WITH s AS (SELECT doc_id, CAST(doc_id % 12 AS INTEGER) AS score, ['军事', '科技/AI', '宏观财经'][doc_id % 3 + 1] AS category, doc_id % 2 = 0 AS flagged FROM documents)
+    SELECT doc_id, CASE WHEN score >= 9 THEN 'red' WHEN score >= 7 THEN 'orange' WHEN score >= 5 THEN 'blue' ELSE 'grey' END AS template,
+      CASE WHEN score >= 9 THEN 'alarm_outlined' WHEN score >= 7 THEN 'bell_outlined' WHEN score >= 5 THEN 'info_outlined' ELSE 'cross_outlined' END AS icon,
+      2 + CAST(flagged AND score >= 9 AND category IN ('军事', '宏观财经') AS INTEGER) AS elements FROM s"""
+)
 def jsn9_item_card(spark, sf_dir):
-    d = views.table(spark, sf_dir, "documents")
-    item = F.struct(F.lit(8).alias("score"), tx.lead_title(F.col("text")).alias("title"), F.col("text").alias("summary"), F.split("text", "\n").alias("summary_bullets"), F.lit("军事").alias("category"))
-    shown = cards.shows_impact(F.lit(8), F.lit("军事"), F.lit(True))
-    card = d.select("doc_id", cards.item_card(item, F.timestamp_seconds(views.START + F.col("doc_id")), shown).alias("card"))
-    return card.select("doc_id", F.get_json_object("card", "$.header.template").alias("template"), F.get_json_object("card", "$.header.icon").alias("icon"), F.json_array_length(F.get_json_object("card", "$.elements")).alias("elements"))
+    d, i = views.table(spark, sf_dir, "documents"), F.col("doc_id")
+    score, category = (i % 12).cast("int"), F.element_at(F.array(F.lit("军事"), F.lit("科技/AI"), F.lit("宏观财经")), (i % 3).cast("int") + 1)
+    item = F.struct(score.alias("score"), tx.lead_title(F.col("text")).alias("title"), F.col("text").alias("summary"), F.split("text", "\n").alias("summary_bullets"), category.alias("category"))
+    card = d.select("doc_id", cards.item_card(item, F.timestamp_seconds(views.START + i), cards.shows_impact(score, category, i % 2 == 0)).alias("card"))
+    read = F.from_json("card", "struct<header: struct<template: string, icon: string>, elements: array<struct<tag: string>>>")
+    return card.select("doc_id", read.alias("c")).select("doc_id", "c.header.template", "c.header.icon", F.size("c.elements").alias("elements"))
 
 
 @query()
@@ -310,24 +321,34 @@ def snk12_safe_urls(spark, sf_dir):
     return both.select("page_id", sinks.safe_image_url("url").alias("safe"))
 
 
-WIDGET = """<div class="tgme_widget_message_wrap"><div class="tgme_widget_message" data-post="News/{n}"><div class="tgme_widget_message_text">Hi <b>all</b><br>see <a href="https://a.example">this</a> <a href="x">@who</a></div>
-<span class="tgme_widget_message_views">1.2K</span><time datetime="2024-01-02T03:04:05+00:00">03:04</time></div></div>
+WIDGET = """<div class="tgme_widget_message_wrap"><div class="tgme_widget_message" data-post="News/{n}"><div class="tgme_widget_message_text">Hi <b>all</b><br>see <a href="{u}">this</a> <a href="x">@who</a></div>
+<span class="tgme_widget_message_views">{v}</span><time datetime="{t}">03:04</time></div></div>
 <div class="tgme_widget_message tgme_widget_message_service" data-post="News/9"><div class="tgme_widget_message_text">pinned</div></div>
-<div class="tgme_widget_message" data-post="News/{m}"><a class="tgme_widget_message_photo_wrap" style="background-image:url('https://a.example/1.jpg')"></a><a class="tgme_widget_message_photo_wrap" style="background-image:url(https://a.example/2.jpg)"></a></div>
+<div class="tgme_widget_message" data-post="News/{m}"><a class="tgme_widget_message_forwarded_from_name"> Origin {v} </a><a class="tgme_widget_message_photo_wrap" style="background-image:url('{u}/1.jpg')"></a>{p}</div>
 <div class="tgme_widget_message" data-post="News/x"></div>"""
+#: Further parts of the second message, by page: another photo, a video, a document, a poll or nothing.
+_PARTS = (
+    """<a class="tgme_widget_message_photo_wrap" style="background-image:url({u}/2.jpg)"></a>""", """<video src="{u}/v.mp4"></video>""", """<div class="tgme_widget_message_document"></div>""",
+    """<div class="tgme_widget_message_poll"></div><video src="{u}/v.mp4"></video>""", "",
+)
 
 
 @query(
-    """SELECT 'news' AS channel, page_id * 10 + 1 AS message_id, 'Hi all' || chr(10) || 'see [this](https://a.example) @who' AS text, FALSE AS has_media, CAST(NULL AS VARCHAR) AS media_type, '' AS urls, 1704164645 AS at_s, '1.2K' AS views FROM pages
-    UNION ALL SELECT 'news', page_id * 10 + 2, '[ALBUM]', TRUE, 'album', 'https://a.example/1.jpg|https://a.example/2.jpg', 0, NULL FROM pages"""
+    """WITH p AS (SELECT page_id, page_id % 5 AS k, replace(url, '&', '&amp;') AS u, url, 'v' || page_id % 17 AS v FROM pages)
+    SELECT 'news' AS channel, page_id * 10 + 1 AS message_id, 'Hi all' || chr(10) || 'see [this](' || url || ') @who' AS text, FALSE AS has_media, CAST(NULL AS VARCHAR) AS media_type, '' AS urls, CAST(1704067200 + page_id * 60 AS INTEGER) AS at_s, v AS views, CAST(NULL AS VARCHAR) AS forwarded FROM p
+    UNION ALL SELECT 'news', page_id * 10 + 2, '[' || upper(['album', 'video', 'document', 'poll', 'photo'][k + 1]) || ']', TRUE, ['album', 'video', 'document', 'poll', 'photo'][k + 1],
+      array_to_string(list_concat([url || '/1.jpg'], CASE k WHEN 0 THEN [url || '/2.jpg'] WHEN 1 THEN [url || '/v.mp4'] WHEN 3 THEN [url || '/v.mp4'] ELSE [] END), '|'), 0, NULL, 'Origin ' || v FROM p"""
 )
 def src4_page_posts(spark, sf_dir):
-    p = views.table(spark, sf_dir, "pages")
-    html = F.lit(WIDGET)
-    for name, k in (("{n}", 1), ("{m}", 2)):
-        html = F.replace(html, F.lit(name), (F.col("page_id") * 10 + k).cast("string"))
+    """Posts of a page made of every page's address: text with links, five kinds of media, a forward and what is to be skipped."""
+    p, i = views.table(spark, sf_dir, "pages"), F.col("page_id")
+    html = F.replace(F.lit(WIDGET), F.lit("{p}"), F.element_at(F.array(*[F.lit(x) for x in _PARTS]), (i % 5).cast("int") + 1))
+    clock = F.date_format(F.timestamp_seconds(views.START + i * 60), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    values = {"{n}": (i * 10 + 1).cast("string"), "{m}": (i * 10 + 2).cast("string"), "{u}": F.replace("url", F.lit("&"), F.lit("&amp;")), "{v}": F.concat(F.lit("v"), (i % 17).cast("string")), "{t}": clock}
+    for name, value in values.items():
+        html = F.replace(html, F.lit(name), value)
     posts = page_source.posts(p.select(F.lit("news").alias("channel"), html.alias("html")))
-    return posts.select("channel", "message_id", "text", "has_media", "media_type", F.array_join("media_urls", "|").alias("urls"), F.unix_seconds("published_at").cast("int").alias("at_s"), "views")
+    return posts.select("channel", "message_id", "text", "has_media", "media_type", F.array_join("media_urls", "|").alias("urls"), F.unix_seconds("published_at").cast("int").alias("at_s"), "views", F.col("forward_from").alias("forwarded"))
 
 
 @query(
