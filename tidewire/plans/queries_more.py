@@ -89,9 +89,10 @@ def top9_last_archived(spark, sf_dir):
     return ranking.capped(views.posts(spark, sf_dir), ["group_id"], [F.desc("message_id")], 20).where("within_cap").select("group_id", "message_id")
 
 
-@query(f"WITH {POSTS}, f AS (SELECT message_id, {NORM} AS n FROM posts) SELECT message_id, length(n) AS length FROM f")
+@query(f"WITH {POSTS}, f AS (SELECT message_id, {NORM} AS n FROM posts) SELECT message_id, length(n) AS length, md5(n) AS norm_md5 FROM f")
 def strf1_normalised(spark, sf_dir):
-    return views.posts(spark, sf_dir).select("message_id", F.length(tx.normalized("text")).cast("long").alias("length"))
+    n = views.posts(spark, sf_dir).select("message_id", tx.normalized("text").alias("n"))
+    return n.select("message_id", F.length("n").cast("long").alias("length"), F.md5("n").alias("norm_md5"))
 
 
 SPLIT = "SELECT message_id % 2 AS side, unnest({t}) AS x FROM posts".format(t=TOKENS)

@@ -146,10 +146,15 @@ def jsn11_channel_list(spark, sf_dir):
     return rows.unionByName(made).select("id", F.array_join(jsonfix.channel_list(F.col("s")), "|").alias("channels"))
 
 
-@query(r"SELECT conv_id, turn, regexp_matches(text, '\p{Lu}') AS upper_case, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS length FROM conversations")
+@query(
+    r"""WITH c AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text ELSE text || ' see ' || role || '  now' END AS shown FROM conversations)
+    SELECT conv_id, turn, md5(trim(regexp_replace(shown, '\s+', ' ', 'g'))) AS shown_md5 FROM c"""
+)
 def strf15_squeezed(spark, sf_dir):
+    """Turns without their links: two thirds of them have one."""
     c = views.table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.col("text").rlike(r"\p{Lu}").alias("upper_case"), F.length(tx.without_traces(F.col("text"))).cast("long").alias("length"))
+    linked = F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" see https://t.me/"), "role", F.lit("/7 "), "role", F.lit("  now")))
+    return c.select("conv_id", "turn", F.md5(tx.without_traces(linked)).alias("shown_md5"))
 
 
 PAIRS = [
@@ -299,11 +304,19 @@ def jsn9_item_card(spark, sf_dir):
     return card.select("doc_id", read.alias("c")).select("doc_id", "c.header.template", "c.header.icon", F.size("c.elements").alias("elements"))
 
 
-@query()
+#: HMAC by its definition: the key, filled up to a block, is combined with two pads around two hashes.
+_PAD = "unhex(repeat('{}', 64))"
+_XOR = "CAST(xor(CAST(k AS BIT), CAST({} AS BIT)) AS BLOB)"
+
+
+@query(
+    f"""WITH {views.EVENTS}, k AS (SELECT event_id, encode(CAST(at_s AS VARCHAR) || chr(10) || 'secret-' || event_type) AS raw FROM ev), b AS (SELECT event_id, raw || unhex(repeat('00', 64 - octet_length(raw))) AS k FROM k)
+    SELECT event_id, to_base64(unhex(sha256({_XOR.format(_PAD.format('5C'))} || unhex(sha256({_XOR.format(_PAD.format('36'))}))))) AS sign FROM b"""
+)
 def snk8_signature(spark, sf_dir):
-    """Signature of each event's time under a fixed secret."""
+    """Signature of each event's time under a secret of its kind."""
     e = views.events(spark, sf_dir)
-    return e.select("event_id", sinks.signatures(F.col("at_s").cast("string"), F.lit("secret")).alias("sign"))
+    return e.select("event_id", sinks.signatures(F.col("at_s").cast("string"), F.concat(F.lit("secret-"), "event_type")).alias("sign"))
 
 
 @query(
