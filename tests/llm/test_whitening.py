@@ -70,3 +70,5 @@ def test_edges(spark):
     assert {r.component for r in whitening.whitened(flat).collect()} == {1}  # no variance in the second dimension
     far = spark.createDataFrame([(k, [(-1.0) ** k * 4e12, k / 3.0]) for k in range(6)], "vec_id long, embedding array<double>")
     assert {r.deviation for r in whitening.whitened(far).collect()} == {None}
+    large = spark.createDataFrame([(k, [8e12 - 1e6, k / 3.0]) for k in range(3000)], "vec_id long, embedding array<double>")  # sums beyond 64 bits
+    assert {r.deviation for r in whitening.whitened(large).where("vec_id = 1").collect()} == {((1024 // 3 + 100_000) * 3000 - sum(int(1024 * (k / 3.0)) + 100_000 for k in range(3000))) ** 2}

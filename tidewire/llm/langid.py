@@ -242,8 +242,10 @@ def train(docs: DataFrame) -> Model:
     part = drawn.select("lang", "h", F.substring(F.regexp_replace("text", r"[^\p{L}\p{M}]+", " "), 1, EXCERPT).alias("text"))
     kept = part.groupBy("lang").agg(F.slice(F.sort_array(F.collect_set(F.struct("h", "text"))), 1, DOCUMENTS).alias("x"))
     texts, most = {}, min(CHARACTERS, TOTAL // len(total))
-    for r in sorted(kept.collect(), key=lambda r: r.lang):  # DOCUMENTS * EXCERPT characters of each language at most
-        text = letters(" ".join(x.text for x in r.x))[:most].decode("utf-8", "ignore")  # not inside a character
+    # what is collected is bounded by TOTAL, however many languages there are; letters() may shorten a text, so twice as much is taken
+    joined = kept.select("lang", F.substring(F.array_join("x.text", " "), 1, 2 * most).alias("text"))
+    for r in sorted(joined.collect(), key=lambda r: r.lang):
+        text = letters(r.text)[:most].decode("utf-8", "ignore")  # not inside a character
         if clean := letters(text):
             texts[r.lang] = clean
     return Model(texts)

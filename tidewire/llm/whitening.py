@@ -83,19 +83,20 @@ def moments(df: DataFrame, vector: str, width: int, whiten: Whitening | None = N
             x = quantised(vectors.matrix(batch.column(0), width))
             own = Moments.of(whiten.of(x)) if whiten else Moments.of(x, exact=True)
             held = held.merged(own) if held else own
-        if held:
-            row = {"n": [held.n], "mean": [held.mean.tobytes()], "scatter": [held.scatter.tobytes()], "total": [[str(t) for t in held.total]]}
-            yield pa.RecordBatch.from_pydict(row, pa.schema([("n", pa.int64()), ("mean", pa.binary()), ("scatter", pa.binary()), ("total", pa.list_(pa.string()))]))
+        none = {"n": [0], "mean": [b""], "scatter": [b""], "total": [[]]}
+        row = {"n": [held.n], "mean": [held.mean.tobytes()], "scatter": [held.scatter.tobytes()], "total": [[str(t) for t in held.total]]} if held else none
+        yield pa.RecordBatch.from_pydict(row, pa.schema([("n", pa.int64()), ("mean", pa.binary()), ("scatter", pa.binary()), ("total", pa.list_(pa.string()))]))
 
-    def read(row) -> Moments:
+    def read(row) -> Moments | None:
+        if not row.n:  # a partition without rows
+            return None
         mean = np.frombuffer(row.mean)
         return Moments(row.n, mean, np.frombuffer(row.scatter).reshape(len(mean), len(mean)), tuple(map(int, row.total)))
 
-    parts = df.select(vector).mapInArrow(run, "n long, mean binary, scatter binary, total array<string>").rdd.map(read).map(lambda m: (m,))
-    # an empty tuple stands for a partition without rows
-    both = lambda a, b: (a[0].merged(b[0]),) if a and b else a or b
-    found = parts.treeAggregate((), both, both, depth=3)
-    return found[0] if found else None
+    parts = df.select(vector).mapInArrow(run, "n long, mean binary, scatter binary, total array<string>").rdd.map(read)
+    if not parts.getNumPartitions():
+        return None
+    return parts.treeReduce(lambda a, b: a.merged(b) if a and b else a or b, depth=3)
 
 
 @dataclass(frozen=True)
@@ -117,8 +118,9 @@ class Whitening:
 
     def deviation(self, x: np.ndarray) -> list[int | None]:
         """Sum over dimensions of (n * x - total)^2, exact; None beyond a 64-bit integer."""
-        apart = max(abs(int(self.n * int(edge) - t)) for edges, t in zip(zip(x.min(axis=0), x.max(axis=0), strict=True), self.total, strict=True) for edge in edges)
-        if apart * apart * len(self.total) < 2**63:
+        edges = [(int(e), t) for ends in (x.min(axis=0), x.max(axis=0)) for e, t in zip(ends, self.total, strict=True)]
+        apart, largest = max(abs(self.n * e - t) for e, t in edges), max(max(abs(self.n * e), abs(t)) for e, t in edges)
+        if apart * apart * len(self.total) < 2**63 and largest < 2**63:
             return ((self.n * x - np.array(self.total, dtype=np.int64)) ** 2).sum(axis=1).tolist()
         sums = ((self.n * x.astype(object) - np.array(self.total, dtype=object)) ** 2).sum(axis=1)
         return [s if s < 2**63 else None for s in sums]
