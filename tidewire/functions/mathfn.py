@@ -20,6 +20,16 @@ def jittered_backoff(attempt: Column, base: float = 2.0, most: float = 60.0, low
     return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), exponent) + F.rand(seed) * (high - low) + low)
 
 
+def poll_delay(base: Column, ratio: float = 0.2, seed: int = 0) -> Column:
+    """Seconds to the next poll: base, up to `ratio` of it more or less by a seeded draw; at least one second."""
+    return F.greatest(F.lit(1.0), base * (1 + (2 * F.rand(seed) - 1) * ratio))
+
+
+def channel_delay(low: float = 1.5, high: float = 3.5, seed: int = 0) -> Column:
+    """Seconds between two channels, by a seeded draw."""
+    return low + F.rand(seed) * (high - low)
+
+
 def retry_after(header: Column, most: float) -> Column:
     """Seconds of a Retry-After header between 0 and most; null where it isn't a number."""
     v = F.trim(header).try_cast("double")

@@ -31,3 +31,21 @@ def digest_prompts(batch: DataFrame) -> DataFrame:
     entry = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] @"), F.col("channel"), F.lit("#"), F.col("message_id").cast("string"), F.lit("\n"), body(F.col("text")))
     listed = batch.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("rank", entry.alias("entry")))).alias("posts"))
     return listed.select("group_id", F.size("posts").alias("n"), F.array_join(F.col("posts.entry"), "\n\n").alias("prompt"))
+
+
+def post_prompt(channel: Column, message_id: Column, published: Column, text: Column) -> Column:
+    """The user prompt for one post; its text is whole."""
+    return F.concat_ws("\n", F.concat(F.lit("Channel: @"), channel), F.concat(F.lit("Message: #"), message_id.cast("string")), F.concat(F.lit("Published: "), F.coalesce(published, F.lit("unknown"))), F.lit("Text:"), F.coalesce(text, F.lit("")))
+
+
+def photo_prompts(batch: DataFrame) -> DataFrame:
+    """One user prompt for each group's photo posts in order of rank: with the kind of media, and the number and list of its links.
+
+    batch: group_id, rank, channel, message_id, media_type, media_urls, text; bounded by its size."""
+    urls = F.filter(F.transform(F.coalesce("media_urls", F.array().cast("array<string>")), lambda u: F.trim(u)), lambda u: u != "")
+    entry = F.concat_ws(
+        "\n", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] @"), F.col("channel"), F.lit("#"), F.col("message_id").cast("string")), F.concat(F.lit("media: "), F.coalesce("media_type", F.lit(""))),
+        F.concat(F.lit("photos: "), F.size(urls).cast("string")), F.when(F.size(urls) > 0, F.array_join(urls, "\n")).otherwise("(none)"), body(F.col("text")),
+    )
+    listed = batch.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("rank", entry.alias("entry")))).alias("posts"))
+    return listed.select("group_id", F.size("posts").alias("n"), F.array_join(F.col("posts.entry"), "\n\n").alias("prompt"))

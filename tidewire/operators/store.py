@@ -21,6 +21,13 @@ def safe_group(c: Column, default: str = "legacy") -> Column:
     return F.when(c.rlike(r"^[A-Za-z0-9][A-Za-z0-9_-]{0,63}\z"), c).otherwise(default)
 
 
+def group_of(argument: Column, own: Column, default: str = "legacy") -> Column:
+    """The group that a row belongs to: the one asked for, else its own, else the default. A name that isn't safe becomes
+    the general one."""
+    given = F.coalesce(F.when(argument != "", argument), F.when(own != "", own))
+    return F.when(given.isNull(), default).otherwise(safe_group(given))
+
+
 def first_by(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in an order that must be total."""
     w = Window.partitionBy(*key).orderBy(*order)
