@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions import similar
@@ -17,12 +22,31 @@ def against_recent(candidates: DataFrame, recents: DataFrame) -> DataFrame:
 
     recents: (group_id, summary), at most fixed.RECENT_MAX rows a group (ranking.recent_summaries), so they
     travel as one array for each group."""
-    f = tx.features
-    old = recents.groupBy("group_id").agg(F.collect_list("summary").alias("summaries"))
-    listed = old.select("group_id", F.explode("summaries").alias("summary")).withColumn("old", f("summary")).groupBy("group_id").agg(F.collect_list("old").alias("olds"))
-    j = candidates.withColumn("_new", f("blob")).withColumn("_reason", f("reason")).join(listed, "group_id", "left")
-    match = F.exists("olds", lambda o: similar.same_event(F.col("_new"), o) & ~similar.material_update(F.col("is_update"), F.col("reason"), F.col("_reason"), o))
-    return j.withColumn("near_duplicate", F.coalesce(match & (tx.stripped("blob") != ""), F.lit(False))).drop("_new", "_reason", "olds")
+    old = recents.groupBy("group_id").agg(F.collect_list("summary").alias("_olds"))
+    j = candidates.join(old, "group_id", "left")
+    told = _told(F.coalesce("blob", F.lit("")), F.coalesce("is_update", F.lit(False)), tx.stripped(F.coalesce("reason", F.lit(""))), "_olds")
+    return j.withColumn("near_duplicate", (tx.stripped("blob") != "") & F.col("_olds").isNotNull() & told).withColumn("near_duplicate", F.coalesce("near_duplicate", F.lit(False))).drop("_olds")
+
+
+@F.pandas_udf(T.BooleanType())
+def _told(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Whether a text tells of the event of one of some summaries, and isn't a material update of it."""
+    known: dict[str, similar.Sets] = {}
+    for blobs, updates, reasons, olds in batches:
+        out = []
+        for blob, update, reason, summaries in zip(blobs, updates, reasons, olds, strict=True):
+            hit = False
+            if summaries is not None and len(summaries):
+                new, why = similar.Sets.of(blob), similar.Sets.of(reason) if update and reason else None
+                least = fixed.NEW_TOKENS_MIN if len(reason) >= 10 else math.inf
+                for s in summaries:
+                    if len(known) > 10_000:  # summaries of many groups may pass through one task
+                        known.clear()
+                    if s not in known:
+                        known[s] = similar.Sets.of(s)
+                    hit = hit or (new.same_event(known[s]) and not (why is not None and why.adds_to(known[s], least)))
+            out.append(hit)
+        yield pd.Series(out, dtype=bool)
 
 
 #: Posts of a token's list that are joined in one task.
