@@ -38,3 +38,13 @@ def test_digest_candidates_come_from_the_whole_table(spark):
     got, want = both(spark, sf, queries.QUERIES["pending_digest_candidates"], queries.SQL["pending_digest_candidates"])
     column = sorted(["group_id", "channel", "message_id", "fingerprint", "rank"]).index("message_id")
     assert got == want and max(r[column] for r in got) > 602
+
+
+def test_summaries_are_polished_and_shortened_whole(spark):
+    """Every turn's whole text, none cut before it is polished, and both columns of each."""
+    sf = "/root/testdata/sf0.1"
+    got, want = both(spark, sf, queries.QUERIES["strf20_summaries"], queries.SQL["strf20_summaries"])
+    assert got == want and len(got[0]) == 3  # id, polished, shortened
+    texts = spark.read.parquet(f"{sf}/conversations.parquet").where("turn % 3 = 2 AND length(text) > 60").count()
+    long = queries.QUERIES["strf20_summaries"](spark, sf).where("id >= 1000 AND id % 100 % 3 = 2 AND length(polished) > 61").count()
+    assert long == texts > 0

@@ -248,17 +248,35 @@ SUMMARIES = [(1, "- Rates held..."), (2, ""), (3, "第一句。第二句"), (4,
 _POLISHED = "CASE WHEN p = '' OR regexp_matches(p, '[。！？；]$') THEN p ELSE p || '。' END"
 
 
+def _polished(source: str, column: str, out: str, *keep: str) -> str:
+    """The rows of source with a column's texts polished, and the columns kept."""
+    bare = f"trim(regexp_replace(regexp_replace({strip(f"coalesce({column}, '')")}, '^[•\\-* ]+', ''), '[.…⋯． ]+$', ''))"
+    return f"SELECT {', '.join(keep)}, {_POLISHED} AS {out} FROM (SELECT {', '.join(keep)}, {bare} AS p FROM {source})"
+
+
+def _first_sentence(column: str) -> str:
+    head = lambda mark: strip(f"split_part({column}, '{mark}', 1)")
+    return "CASE " + " ".join(f"WHEN contains({column}, '{m}') AND {head(m)} <> '' THEN {head(m)} || '{m}'" for m in "。！？") + f" ELSE {column} END"
+
+
+def _clause(window: str, least: int) -> str:
+    at = lambda mark: f"length({window}) - strpos(reverse({window}), '{mark}')"
+    return "CASE " + " ".join(f"WHEN contains({window}, '{m}') AND {at(m)} >= {least} THEN substr({window}, 1, {at(m)})" for m in "，、； ") + f" ELSE {window} END"
+
+
 @query(
-    f"""WITH {rows_sql('x0', 'id long, s string', SUMMARIES)}, x AS (SELECT * FROM x0 UNION ALL SELECT conv_id * 100 + turn + 1000, CASE turn % 3 WHEN 0 THEN '• ' || text || '…' WHEN 1 THEN role || '。' || text ELSE substr(text, 1, 60) || '；' END FROM conversations),
-    p AS (SELECT id, trim(regexp_replace(regexp_replace({strip('s')}, '^[•\\-* ]+', ''), '[.…⋯． ]+$', '')) AS p FROM x)
-    SELECT id, {_POLISHED} AS polished FROM p"""
+    f"""WITH {rows_sql('x0', 'id long, s string', SUMMARIES)}, x AS (SELECT * FROM x0 UNION ALL SELECT conv_id * 100 + turn + 1000, CASE turn % 3 WHEN 0 THEN '• ' || text || '…' WHEN 1 THEN role || '。' || text ELSE text || '；' END FROM conversations),
+    p AS ({_polished('x', 's', 'polished', 'id')}), l AS (SELECT id, polished, {strip("split_part(polished, chr(10), 1)")} AS line FROM p),
+    f AS (SELECT id, polished, {_first_sentence('line')} AS sentence FROM l), w AS (SELECT id, polished, sentence, substr(sentence, 1, {cards.LONG_CHARS}) AS w FROM f),
+    c AS (SELECT id, polished, CASE WHEN length(sentence) <= {cards.LONG_CHARS} THEN sentence ELSE {_clause('w', max(20, cards.LONG_CHARS // 3))} END AS cut FROM w)
+    {_polished('c', 'cut', 'shortened', 'id', 'polished')}"""
 )
 def strf20_summaries(spark, sf_dir):
-    """Polished summaries: inline cases, and every turn as a bullet of some kind."""
+    """Summaries polished and shortened: inline cases, and every turn's whole text as a bullet of some kind."""
     c, t = views.table(spark, sf_dir, "conversations"), F.col("turn")
-    text = F.when(t % 3 == 0, F.concat(F.lit("• "), "text", F.lit("…"))).when(t % 3 == 1, F.concat("role", F.lit("。"), "text")).otherwise(F.concat(F.substring("text", 1, 60), F.lit("；")))
+    text = F.when(t % 3 == 0, F.concat(F.lit("• "), "text", F.lit("…"))).when(t % 3 == 1, F.concat("role", F.lit("。"), "text")).otherwise(F.concat("text", F.lit("；")))
     rows = spark.createDataFrame(SUMMARIES, "id long, s string").unionByName(c.select((F.col("conv_id") * 100 + t + 1000).alias("id"), text.alias("s")))
-    return rows.select("id", cards.polished(F.col("s")).alias("polished"))
+    return rows.select("id", cards.polished(F.col("s")).alias("polished"), cards.shortened(F.col("s")).alias("shortened"))
 
 
 _SHORT = [(1, "Rates held。"), (2, ""), (3, "第一句。"), (4, "甲" * 30 + "。"), (5, "完整！"), (6, ""), (7, "")]
