@@ -192,3 +192,17 @@ def test_pipeline_stages_take_empty_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("FALSE"), sf).count() == 0
+
+
+def test_words_learned_by_one_task_serve_the_next(monkeypatch):
+    """600,000 words are kept, as many as a task or two learn; what comes again isn't encoded again."""
+    enc, learned = packing.WordTokens(packing.default_tokenizer()), []
+    slow = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda new: (learned.append(len(new)), slow(new)))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d + e for e in "xy" for a in letters for b in letters for c in letters for d in letters][:600_000]
+    first = enc.encode([" ".join(words[:1000])])
+    for k in range(0, len(words), 30_000):
+        enc.encode([" ".join(words[k : k + 30_000])])
+    assert sum(learned) == len(words)
+    assert enc.encode([" ".join(words[:1000])]) == first and sum(learned) == len(words)

@@ -96,19 +96,24 @@ class Packer:
         needs = np.array(self.needs, dtype=np.float64)
         order = np.lexsort((np.arange(len(needs)), -(needs / np.where(self.cap > 0, self.cap, 1)).max(axis=1)))
         needs, pieces = needs[order], [self.pieces[i] for i in order]
-        share = needs / np.where(self.cap > 0, self.cap, 1)
-        left = np.arange(len(needs))
+        scale = np.where(self.cap > 0, self.cap, 1)
+        # by capacity, so that each test is one pass over a plain vector
+        need, share = needs.T.copy(), (needs / scale).T.copy()
+        left, waits = np.arange(len(needs)), np.ones(len(needs), dtype=bool)
         while len(left) and (last or self.waiting > self.limits.choice):
             free, bin_ = self.cap.copy(), []
             fits = left
             while len(fits):
-                best = fits[int(np.argmax(share[fits] @ (free / np.where(self.cap > 0, self.cap, 1))))]
+                now = free / scale
+                best = fits[int(np.argmax(sum(w * s[fits] for w, s in zip(now, share, strict=True))))]
                 bin_.append(best)
+                waits[best] = False
                 free -= needs[best]
-                fits = fits[fits != best]
-                fits = fits[(needs[fits] <= free).all(axis=1)]
+                for f, n in zip(free, need, strict=True):
+                    fits = fits[n[fits] <= f]
+                fits = fits[waits[fits]]
             self.waiting -= int(needs[bin_, 0].sum())
-            left = left[~np.isin(left, bin_)]
+            left = left[waits[left]]
             yield [pieces[i] for i in bin_]
         self.pieces, self.needs = [pieces[i] for i in left], [tuple(map(int, needs[i])) for i in left]
 
@@ -132,7 +137,8 @@ class WordTokens:
     holds the string of a special token is encoded as a whole.
     """
 
-    BOUND = 500_000
+    #: Words kept; new ones are learned in some 9 microseconds each, so most of what a task learns should serve the next.
+    BOUND = 1_200_000
 
     def __init__(self, path: str):
         import os
@@ -146,7 +152,6 @@ class WordTokens:
         self.is_end[ends] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         # for these characters lower() and the pattern below do what the file's normalizer and splitter do
         self.safe = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
         self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r 0-9a-zß-öø-ÿ]+")
@@ -155,19 +160,12 @@ class WordTokens:
         """Little-endian unsigned 32-bit ids of each text."""
         safe = [bool(self.safe.fullmatch(t)) for t in texts]
         words = [t.lower().split() if ok else [] for t, ok in zip(texts, safe, strict=True)]
-        get = self.words.get
-        got = [list(map(get, ws)) for ws in words]
-        short = [k for k, g in enumerate(got) if None in g]
-        if short:
-            if len(self.parts) > self.BOUND:
-                self.parts.clear()
-            fresh = self._words({w for k in short for w, g in zip(words[k], got[k], strict=True) if g is None})
-            for k in short:
-                got[k] = [fresh[w] if g is None else g for w, g in zip(words[k], got[k], strict=True)]
-            if len(self.words) > self.BOUND:
-                self.words.clear()
-            self.words.update(fresh)
-        return [self._special(t) or (b"".join(g) if ok else self._odd(t)) for t, ok, g in zip(texts, safe, got, strict=True)]
+        if len(self.words) > self.BOUND:
+            self.words.clear()
+        if new := set().union(*words).difference(self.words):
+            self._learn_words(new)
+        get = self.words.__getitem__
+        return [self._special(t) or (b"".join(map(get, ws)) if ok else self._odd(t)) for t, ok, ws in zip(texts, safe, words, strict=True)]
 
     def _special(self, text: str) -> bytes | None:
         return self._plain([text])[0] if "<|" in text and any(s in text for s in self.special) else None
@@ -178,15 +176,20 @@ class WordTokens:
         for w in re.split(r"[ \t\n\r\f\v]+", text):
             if self.safe.fullmatch(w):
                 w = w.lower()
-                out.append(self.words.get(w) or self._words({w})[w])
+                if w not in self.words:
+                    self._learn_words({w})
+                out.append(self.words[w])
             else:
                 out.append(self._plain([w])[0])
         return b"".join(out)
 
-    def _words(self, new: set[str]) -> dict[str, bytes]:
-        split = {w: self.split.findall(w) for w in new}
-        self._learn(sorted({p for ps in split.values() for p in ps if p not in self.parts}))
-        return {w: b"".join(map(self.parts.__getitem__, ps)) for w, ps in split.items()}
+    def _learn_words(self, new: set[str]) -> None:
+        """Words of letters only are one part; the others' parts are words of their own, kept along with them."""
+        plain = set(filter(str.isalpha, new))
+        split = {w: self.split.findall(w) for w in new - plain}
+        self._learn(list(plain.union(*split.values()).difference(self.words)))
+        get = self.words.__getitem__
+        self.words.update([(w, b"".join(map(get, ps))) for w, ps in split.items() if len(ps) != 1])
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -199,10 +202,10 @@ class WordTokens:
             if len(cuts) == len(some):  # each part ends with an id that ends a word
                 raw, start = ids.tobytes(), 0
                 for p, end in zip(some, (4 * cuts).tolist(), strict=True):
-                    self.parts[p] = raw[start:end]
+                    self.words[p] = raw[start:end]
                     start = end
             else:
-                self.parts.update(zip(some, self._plain(some), strict=True))
+                self.words.update(zip(some, self._plain(some), strict=True))
 
 
 _encoders: dict[str, WordTokens] = {}
