@@ -44,20 +44,25 @@ def material_update(is_update: Column, reason: Column, reason_features: Column,
 class Sets(NamedTuple):
     """A text's features as sets."""
 
-    numbers: frozenset[str]
-    tokens: frozenset[str]
-    specific: frozenset[str]
+    numbers: set[str]
+    tokens: set[str]
+    specific: set[str]
 
     @classmethod
     def of(cls, text: str | None) -> Sets:
-        return cls(*map(frozenset, tx.features_of(text)[1:4]))
+        numbers, tokens = tx.sets_of(tx.fold(text))
+        return cls(numbers, tokens, tx.specific_of(tokens))
 
     def same_event(self, other: Sets) -> bool:
         """As same_event()."""
-        if self.specific.isdisjoint(other.specific) or (self.numbers and other.numbers and self.numbers.isdisjoint(other.numbers)):
+        a, b = len(self.tokens), len(other.tokens)
+        if min(a, b) < fixed.LOOSE_JACCARD * max(a, b) or (self.numbers and other.numbers and self.numbers.isdisjoint(other.numbers)):
             return False
-        shared, specific = len(self.tokens & other.tokens), len(self.specific & other.specific)
-        share = shared / (len(self.tokens) + len(other.tokens) - shared)
+        shared = len(self.tokens & other.tokens)
+        share = shared / (a + b - shared) if shared else 0.0
+        if share < fixed.LOOSE_JACCARD:
+            return False
+        specific = len(self.specific & other.specific)
         return (share >= fixed.JACCARD and specific >= fixed.SPECIFIC_MIN) or (share >= fixed.LOOSE_JACCARD and specific >= fixed.LOOSE_SPECIFIC_MIN)
 
     def adds_to(self, other: Sets, least: int = fixed.NEW_TOKENS_MIN) -> bool:

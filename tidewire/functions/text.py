@@ -46,19 +46,30 @@ def bucket(whole: str, fraction: str | None) -> str:
 def features_of(text: str | None) -> tuple[str, list[str], list[str], list[str], str | None]:
     """Values of FEATURES for a text; arrays are sorted."""
     norm = fold(text)
-    numbers, body = [], norm
+    numbers, tokens = map(sorted, sets_of(norm))
+    specific = [t for t in tokens if t not in _GENERIC]
+    parts = specific + [f"#{n}" for n in numbers]
+    return norm, numbers, tokens, specific, " ".join(parts) if len(parts) >= fixed.EVENT_KEY_MIN_PARTS else None
+
+
+def sets_of(norm: str) -> tuple[set[str], set[str]]:
+    """The numbers and the tokens of a text that fold() has given."""
+    numbers, body = set(), norm
     if _DIGIT.search(norm):
-        numbers = sorted({bucket(*m.groups()) for m in _NUMBER.finditer(norm)})
+        numbers = {bucket(*m.groups()) for m in _NUMBER.finditer(norm)}
         body = _NUMBER.sub(" ", norm)
     if _CJK.search(body):
         for phrase in _PHRASES:  # one after another, longest first: phrases overlap
             body = body.replace(phrase, " ")
-    tokens: set[str] = set()
-    for run in set(_TOKEN.findall(body)):
-        tokens.update([run] if run[0] <= "z" or len(run) == 1 else map("".join, zip(run, run[1:], strict=False)))
-    specific = sorted(tokens - _GENERIC)
-    parts = specific + [f"#{n}" for n in numbers]
-    return norm, numbers, sorted(tokens), specific, " ".join(parts) if len(parts) >= fixed.EVENT_KEY_MIN_PARTS else None
+    tokens = set(_TOKEN.findall(body))
+    for run in [r for r in tokens if r[0] > "z" and len(r) > 1]:
+        tokens.remove(run)
+        tokens.update(map("".join, zip(run, run[1:], strict=False)))
+    return numbers, tokens
+
+
+def specific_of(tokens: set[str]) -> set[str]:
+    return tokens - _GENERIC
 
 
 @F.pandas_udf(struct(FEATURES))

@@ -66,12 +66,16 @@ def flushes(modes: DataFrame) -> DataFrame:
     return changes.groupBy("group_id", "day").agg(F.min("at").alias("at"))
 
 
+def newest_claims(claims: DataFrame, cutoff: Column, most: int) -> DataFrame:
+    """The newest claims of each group since cutoff, at most `most`, with their place n."""
+    newest = Window.partitionBy("group_id").orderBy(F.desc("claimed"), "fingerprint")
+    return claims.where(F.col("claimed") >= cutoff).withColumn("n", F.row_number().over(newest)).where(F.col("n") <= most)
+
+
 def recent_summaries(claims: DataFrame, cutoff: Column, most: int = fixed.RECENT_MAX) -> DataFrame:
     """Distinct stripped summaries of each group, newest first, at most `most`, out of the newest 2 * most claims; claims
     without a summary count among these."""
-    newest = Window.partitionBy("group_id").orderBy(F.desc("claimed"), "fingerprint")
-    rows = claims.where(F.col("claimed") >= cutoff).withColumn("n", F.row_number().over(newest)).where(F.col("n") <= 2 * most)
-    rows = rows.withColumn("summary", tx.stripped(F.coalesce("summary", F.lit("")))).where("summary <> ''")
+    rows = newest_claims(claims, cutoff, 2 * most).withColumn("summary", tx.stripped(F.coalesce("summary", F.lit("")))).where("summary <> ''")
     once = rows.groupBy("group_id", "summary").agg(F.min("n").alias("n"))
     return once.withColumn("position", F.row_number().over(Window.partitionBy("group_id").orderBy("n"))).where(F.col("position") <= most).drop("n")
 

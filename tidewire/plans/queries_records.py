@@ -209,7 +209,10 @@ def jn8_against_recent(spark, sf_dir):
     p = views.posts(spark, sf_dir)
     update = F.col("message_id") % 4 == 0
     new = p.select("group_id", F.col("message_id").alias("id"), F.col("text").alias("blob"), update.alias("is_update"), F.when(update, F.col("text")).otherwise("").alias("reason"))
-    known = views.marked(spark, sf_dir).where("known").select("group_id", F.col("message_id").cast("string").alias("fingerprint"), F.unix_seconds("published_at").alias("claimed"), F.col("text").alias("summary"))
+    key = ["group_id", "message_id", F.col("message_id").cast("string").alias("fingerprint"), F.unix_seconds("published_at").alias("claimed")]
+    # the newest stored posts are found without their texts; only these ones' are read, 40 a group
+    newest = ranking.newest_claims(views.marked(spark, sf_dir).where("known").select(*key), F.lit(0), 2 * fixed.RECENT_MAX).select("message_id").distinct()
+    known = p.join(F.broadcast(newest), "message_id", "left_semi").select(*key, F.col("text").alias("summary"))
     recents = ranking.recent_summaries(known, F.lit(0)).select("group_id", "summary")
     both = nearjoin.against_recent(own.select(*new.columns).unionByName(new), recents.unionByName(own.select("group_id", F.col("b").alias("summary"))))
     return both.select("id", "near_duplicate")
